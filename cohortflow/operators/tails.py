@@ -8,18 +8,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v)).astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _signed_rank_p(n: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series([_exact_signed_rank(int(a), float(b)) for a, b in zip(n, w)], dtype="float64")
 
