@@ -165,83 +165,78 @@ def mean_wear_rate(rates: DataFrame) -> DataFrame:
     return rates.agg(F.avg("data_valid_rate").alias("mean_rate"))
 
 
-def _steps(readings: DataFrame, key: str, chunk_seconds: int) -> DataFrame:
-    """Differences between neighbouring readings.
+def _runs(cut: DataFrame, key: str) -> DataFrame:
+    """Monotone runs inside each chunk of the time line, numbered from 0.
 
-    Inside a chunk of the time line they come from a window over the chunk; the
-    step into a chunk comes from one row per chunk.  ``inner`` tells them apart.
+    A run holds its direction (NULL without a change), the sum of its absolute
+    steps and its first and last reading; equal neighbours do not end a run.
     """
-    order = ["ts", "reading_id"]
-    cut = readings.withColumn("chunk", time_chunk("ts", chunk_seconds))
-    w = Window.partitionBy(key, "chunk").orderBy(*order)
-    inside = cut.select(
-        key,
-        "chunk",
-        F.lit(True).alias("inner"),
-        *order,
-        (F.col("glucose") - F.lag("glucose").over(w)).alias("step"),
-    )
-    edge = F.struct(*order, "glucose")
-    edges = cut.groupBy(key, "chunk").agg(F.min(edge).alias("head"), F.max(edge).alias("tail"))
-    # One row per chunk that holds readings: bounded by the length of the time line.
-    along = Window.partitionBy(key).orderBy("chunk")
-    links = edges.select(
-        key,
-        "chunk",
-        F.lit(False).alias("inner"),
-        *[F.col(f"head.{c}").alias(c) for c in order],
-        (F.col("head.glucose") - F.lag("tail.glucose").over(along)).alias("step"),
+    w = Window.partitionBy(key, "chunk").orderBy("ts", "reading_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    reading = F.struct("ts", "reading_id", "glucose")
+    return (
+        cut.withColumn("step", F.col("glucose") - F.lag("glucose").over(w))
+        .withColumn("up", F.when(F.col("step") > 0, True).when(F.col("step") < 0, False))
+        .withColumn("was_up", F.last("up", ignorenulls=True).over(before))
+        .withColumn("turned", F.when(F.col("up") != F.col("was_up"), 1).otherwise(0))
+        .withColumn("run", F.sum("turned").over(upto))
+        .groupBy(key, "chunk", "run")
+        .agg(
+            F.max("up").alias("up"),
+            F.coalesce(F.sum(F.abs("step")), F.lit(0.0)).alias("amplitude"),
+            F.min(reading).alias("head"),
+            F.max(reading).alias("tail"),
+        )
+        .withColumn("last_run", F.max("run").over(Window.partitionBy(key, "chunk")))
     )
-    return inside.unionByName(links).where(F.col("step").isNotNull() & (F.col("step") != 0))
 
 
-def excursions(
-    readings: DataFrame, key: str = "patient_id", chunk_seconds: int = 3600
-) -> DataFrame:
+def excursions(cut: DataFrame, key: str = "patient_id") -> DataFrame:
     """Amplitude of every monotone run between two turning points, per patient.
 
-    Runs inside a chunk are final.  The first and the last run of a chunk may go
-    on in its neighbours, so these, at most three rows a chunk, are joined up in
-    a second pass over the patient.
+    ``cut`` holds readings with the chunk of the time line.  Runs inside a chunk are
+    final.  The first and the last run of a chunk may go on in its neighbours, so
+    these and the step into the chunk, at most three rows for a chunk, are joined
+    up in a pass over the patient.  Every patient has a row, be it of amplitude 0.
     """
-    steps = _steps(readings, key, chunk_seconds).withColumn("up", F.col("step") > 0)
-    inside = steps.where("inner")
-    w = Window.partitionBy(key, "chunk").orderBy("ts", "reading_id")
-    turned = F.coalesce((F.col("up") != F.lag("up").over(w)).cast("int"), F.lit(0))
-    runs = (
-        inside.withColumn("turned", turned)
-        .withColumn("run", F.sum("turned").over(w))
-        .groupBy(key, "chunk", "run")
-        .agg(F.max("up").alias("up"), F.sum(F.abs("step")).alias("amplitude"))
-        .withColumn("last_run", F.max("run").over(Window.partitionBy(key, "chunk")))
-    )
+    runs = _runs(cut, key)
     at_edge = (F.col("run") == 0) | (F.col("run") == F.col("last_run"))
     closed = runs.where(~at_edge).select(key, "amplitude")
-    links = steps.where(~F.col("inner")).select(
-        key,
-        "chunk",
-        F.lit(-1).cast("bigint").alias("run"),
-        "up",
-        F.abs("step").alias("amplitude"),
+    piece = F.struct("up", "amplitude")
+    chunks = runs.where(at_edge).groupBy(key, "chunk").agg(
+        F.max("last_run").alias("last_run"),
+        F.max(F.when(F.col("run") == 0, piece)).alias("first"),
+        F.max(F.when(F.col("run") > 0, piece)).alias("last"),
+        F.min("head").alias("head"),
+        F.max("tail").alias("tail"),
     )
-    open_runs = runs.where(at_edge).select(key, "chunk", "run", "up", "amplitude")
-    along = Window.partitionBy(key).orderBy("chunk", "run")
-    changed = F.coalesce((F.col("up") != F.lag("up").over(along)).cast("int"), F.lit(0))
-    # A chunk with three runs or more has a closed run between its open ones, so
-    # its last run never continues its first one; the parity of the runs in
-    # between keeps their directions apart.
-    gap = F.when(
-        (F.col("run") > 1) & (F.col("chunk") == F.lag("chunk").over(along)), 1
-    ).otherwise(0)
+    # One row per chunk that holds readings: bounded by the length of the time line.
+    along = Window.partitionBy(key).orderBy("chunk")
+    link = F.col("head.glucose") - F.lag("tail.glucose").over(along)
+    step = F.struct((F.col("link") > 0).alias("up"), F.abs("link").alias("amplitude"))
+    pieces = F.posexplode(F.array(F.when(F.col("link") != 0, step), "first", "last"))
+    edges = (
+        chunks.withColumn("link", link)
+        .select(key, "chunk", "last_run", pieces.alias("pos", "piece"))
+        .select(key, "chunk", "last_run", "pos", "piece.up", "piece.amplitude")
+        .where(F.col("amplitude").isNotNull())
+    )
+    # With three runs or more in a chunk a closed run lies between its first and
+    # its last one, so these never join up, even in the same direction.
+    ordered = Window.partitionBy(key).orderBy("chunk", "pos")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    apart = (F.col("pos") == 2) & (F.col("last_run") > 1)
+    was_up = F.last("up", ignorenulls=True).over(before)
+    turned = F.when(apart | (F.col("up") != was_up), 1).otherwise(0)
     joined = (
-        open_runs.unionByName(links)
-        .withColumn("changed", F.greatest(changed, gap))
-        .withColumn("run_id", F.sum("changed").over(along))
-        .groupBy(key, "run_id")
+        edges.withColumn("turned", turned)
+        .withColumn("run", F.sum("turned").over(upto))
+        .groupBy(key, "run")
         .agg(F.sum("amplitude").alias("amplitude"))
-        .select(key, "amplitude")
     )
-    return closed.unionByName(joined)
+    return closed.unionByName(joined.select(key, "amplitude"))
 
 
 def patient_metrics(
@@ -255,12 +250,13 @@ def patient_metrics(
     MAG is the sum of absolute steps per hour of wear.  MAGE is the mean of the
     excursions that exceed one SD, NULL when there is none.  Measures of spread
     are NULL for a patient with fewer than two readings.
+
+    Two scans run: one for the moments, which combine on the map side, and one that
+    lays the readings out by patient and chunk for the excursions.
     """
-    valid = readings.where((F.col("glucose") >= valid_from) & F.col(key).isNotNull()).select(
-        key, "ts", "reading_id", "glucose"
-    )
+    valid = readings.where((F.col("glucose") >= valid_from) & F.col(key).isNotNull())
     g = F.col("glucose")
-    base = valid.groupBy(key).agg(
+    moments = valid.groupBy(key).agg(
         F.count(g).alias("n"),
         F.avg(g).alias("mean"),
         F.stddev_samp(g).alias("sd"),
@@ -268,16 +264,22 @@ def patient_metrics(
         *[c.alias(name) for name, c in _risk(g).items()],
         ((F.max(micros("ts")) - F.min(micros("ts"))) / 3.6e9).alias("hours"),
     )
-    moved = excursions(valid, key, chunk_seconds)
+    chunk = time_chunk("ts", chunk_seconds).alias("chunk")
+    cut = valid.select(key, "ts", "reading_id", "glucose", chunk)
     large = F.when(F.col("amplitude") > F.col("sd"), F.col("amplitude"))
-    swings = (
-        moved.join(base.select(key, "sd"), key)
+    base = (
+        excursions(cut, key)
+        .join(moments, key)
         .groupBy(key)
-        .agg(F.sum("amplitude").alias("path"), F.avg(large).alias("MAGE"))
+        .agg(
+            *[F.any_value(c).alias(c) for c in moments.columns if c != key],
+            F.sum("amplitude").alias("path"),
+            F.avg(large).alias("MAGE"),
+        )
     )
     n, vlow, low, high, vhigh = (F.col(c) for c in ("n", "vlow", "low", "high", "vhigh"))
     several = F.col("n") >= 2
-    return base.join(swings, key, "left").select(
+    return base.select(
         key,
         "n",
         "mean",
@@ -289,7 +291,7 @@ def patient_metrics(
         ((3.0 * vlow + 2.4 * low + 1.6 * vhigh + 0.8 * high) / n).alias("GRI"),
         "lbgi",
         "hbgi",
-        F.when(several, F.try_divide(F.coalesce("path", F.lit(0.0)), "hours")).alias("MAG"),
+        F.when(several, F.try_divide("path", "hours")).alias("MAG"),
         "MAGE",
     )
 

@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.functions.columns import complete_cases
@@ -82,14 +82,16 @@ def cluster_profile(model: PipelineModel, metrics: DataFrame) -> DataFrame:
 def scaled_features(metrics: DataFrame, features: Sequence[str], key: str) -> DataFrame:
     """Standardised features of the complete patients, in plain columns.
 
-    The means and SDs are one row, attached by a constant key.
+    The means and SDs, one row, are read first.
     """
-    full = complete_cases(metrics.select(key, *features), features).withColumn("_all", F.lit(1))
-    moments = full.groupBy("_all").agg(
-        *[F.avg(f).alias(f"_m_{f}") for f in features],
-        *[F.stddev_samp(f).alias(f"_s_{f}") for f in features],
-    )
-    joined = full.join(moments, "_all")
-    return joined.select(
-        key, *[F.try_divide(F.col(f) - F.col(f"_m_{f}"), F.col(f"_s_{f}")).alias(f) for f in features]
-    )
+    full = complete_cases(metrics.select(key, *features), features)
+    moments = full.agg(
+        *[F.avg(f).alias(f"m_{f}") for f in features],
+        *[F.stddev_samp(f).alias(f"s_{f}") for f in features],
+    ).first()
+
+    def scaled(f: str) -> Column:
+        centred = F.col(f) - F.lit(moments[f"m_{f}"])
+        return F.try_divide(centred, F.lit(moments[f"s_{f}"])).alias(f)
+
+    return full.select(key, *[scaled(f) for f in features])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.operators.shape import Z95
 from cohortflow.operators.tails import normal_two_sided
+from cohortflow.session import cut_lineage
 
 # A categorical column adds one coefficient per level, so it cannot have many.
 MAX_LEVELS = 200
@@ -183,6 +184,14 @@ def _maximise(names, rows, centre, reml) -> MixedFit:
             ll -= 0.5 * np.linalg.slogdet(a)[1]
         return ll, beta, scale, a
 
+    def slope(theta: float) -> float:
+        """Derivative of the profile log-likelihood."""
+        _, beta, scale, a = at(theta)
+        change = -np.tensordot(1.0 / (1.0 + sizes * theta) ** 2, between, axes=1)
+        v = np.append(-beta, 1.0)
+        out = -0.5 * (v @ change @ v) / scale - 0.5 * float(groups @ (sizes / (1.0 + sizes * theta)))
+        return out - 0.5 * np.trace(np.linalg.solve(a, change[:p, :p])) if reml else out
+
     diagonal = np.sqrt(np.diag(within)[:p])
     scaled = within[:p, :p] / np.outer(diagonal, diagonal) if (diagonal > 0).all() else None
     if scaled is None or np.linalg.matrix_rank(scaled, tol=1e-10) < p:
@@ -191,23 +200,16 @@ def _maximise(names, rows, centre, reml) -> MixedFit:
     grid = np.concatenate([[0.0], 10.0 ** np.arange(-6, 6.01, 0.125)])
     best = int(np.argmax([at(t)[0] for t in grid]))
     lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    theta = grid[best]
-    golden = (math.sqrt(5) - 1) / 2
-    x1, x2 = hi - golden * (hi - lo), lo + golden * (hi - lo)
-    f1, f2 = at(x1)[0], at(x2)[0]
-    for _ in range(200):
-        if hi - lo <= 1e-13 * max(hi, 1e-3):
-            break
-        if f1 >= f2:
-            hi, x2, f2 = x2, x1, f1
-            x1 = hi - golden * (hi - lo)
-            f1 = at(x1)[0]
-        else:
-            lo, x1, f1 = x1, x2, f2
-            x2 = lo + golden * (hi - lo)
-            f2 = at(x2)[0]
-    middle = 0.5 * (lo + hi)
-    theta = max((theta, middle, 0.0), key=lambda t: at(t)[0])
+    if slope(lo) <= 0:
+        theta = lo
+    elif slope(hi) >= 0:
+        theta = hi
+    else:
+        for _ in range(100):
+            theta = 0.5 * (lo + hi)
+            if theta in (lo, hi):
+                break
+            lo, hi = (theta, hi) if slope(theta) > 0 else (lo, theta)
     ll, beta, scale, a = at(theta)
     # Undo the centring: only the intercept changes.
     back = np.eye(p)

@@ -36,11 +36,6 @@ def value_band(value: Column | str) -> Column:
     )
 
 
-def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Give a frame without keys one constant key."""
-    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
-
-
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -53,7 +48,7 @@ def running_totals(
 
     ``order`` is unique within the keys and ``chunk`` grows with it.
     """
-    df, by = _keyed(df.withColumn("_chunk", chunk), keys)
+    df, by = df.withColumn("_chunk", chunk), list(keys)
 
     def ordered(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
@@ -85,7 +80,7 @@ def running_totals(
     return (
         inner.join(offsets, [*by, "_chunk"])
         .withColumns({n: F.col(n) + F.col(f"_off_{n}") for n in names})
-        .drop("_chunk", "_all", *[f"_off_{n}" for n in names])
+        .drop("_chunk", *[f"_off_{n}" for n in names])
     )
 
 
@@ -122,7 +117,7 @@ def exact_quantiles(
     hold a wanted position are put in order.  No task sees a whole group, so the
     number of distinct values may grow with the data.  ``n`` counts the values.
     """
-    src, by = _keyed(df.where(F.col(value).isNotNull()), keys)
+    src, by = df.where(F.col(value).isNotNull()), list(keys)
     src = reduce(lambda d, k: d.where(F.col(k).isNotNull()), by, src)
     counts = (
         src.groupBy(*by, F.col(value).cast("double").alias("_v"))

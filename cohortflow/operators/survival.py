@@ -269,18 +269,20 @@ def cox_ph(
     if ties not in ("efron", "breslow"):
         raise ValueError(f"unknown ties {ties}")
     p = len(x)
-    known = df_known(df, [t, e, *x])
-    means = known.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(x)])
-    centre = [v or 0.0 for v in means.first()]
-    rows = cut_lineage(
-        known.select(
+    names = [f"x{i}" for i in range(p)]
+    merged = (
+        df_known(df, [t, e, *x])
+        .select(
             F.col(t).cast("double").alias("t"),
             F.col(e).cast("int").alias("e"),
-            *[(F.col(c).cast("double") - centre[i]).alias(f"x{i}") for i, c in enumerate(x)],
+            *[F.col(c).cast("double").alias(n) for c, n in zip(x, names)],
         )
-        .groupBy("t", "e", *[f"x{i}" for i in range(p)])
+        .groupBy("t", "e", *names)
         .agg(F.count(F.lit(1)).alias("m"))
     )
+    kept = cut_lineage(merged)
+    means = kept.agg(*[F.avg(n).alias(n) for n in names]).first()
+    rows = kept.withColumns({n: F.col(n) - F.lit(means[n] or 0.0) for n in names})
     beta = np.zeros(p)
     ll, gradient, info = _cox_step(rows, beta, ties)
     converged = False

@@ -99,7 +99,9 @@ def wilcoxon(
         )
         .drop("_normal", "_exact")
     )
-    half = {"median": 0.5}
-    mid_a = exact_quantiles(pairs, [by], a, half).select(by, F.col("median").alias("median_a"))
-    mid_b = exact_quantiles(pairs, [by], b, half).select(by, F.col("median").alias("median_b"))
-    return tested.join(mid_a, by, "left").join(mid_b, by, "left")
+    sides = pairs.select(by, F.col(a).alias("median_a"), F.col(b).alias("median_b"))
+    middles = exact_quantiles(
+        sides.unpivot(by, ["median_a", "median_b"], "side", "value"), [by, "side"], "value", {"median": 0.5}
+    )
+    wide = middles.groupBy(by).pivot("side", ["median_a", "median_b"]).agg(F.max("median"))
+    return tested.join(wide, by, "left")

@@ -49,17 +49,23 @@ def first_last_pair(
     order: str,
     labels: tuple[str, str] = ("first", "last"),
     lone: bool = False,
+    spread: bool = False,
 ) -> DataFrame:
     """Rows at the first and the last value of ``order``, labelled.
 
     A patient with a single occasion is dropped, or kept as first with ``lone``.
-    Both ends come from one aggregate, so no window over the patient is needed.
+    Weekly frames use a window over the patient; raw measurements pass ``spread``,
+    so that both ends come from an aggregate and a hot patient stays spread out.
     """
     known = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-    ends = known.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    if spread:
+        ends = known.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+        marked = known.join(ends, key)
+    else:
+        w = Window.partitionBy(key)
+        marked = known.withColumns({"_lo": F.min(order).over(w), "_hi": F.max(order).over(w)})
     at = F.when(F.col(order) == F.col("_lo"), labels[0]).otherwise(labels[1])
-    joined = known.join(ends, key)
-    picked = joined.where((F.col(order) == F.col("_lo")) | (F.col(order) == F.col("_hi")))
+    picked = marked.where((F.col(order) == F.col("_lo")) | (F.col(order) == F.col("_hi")))
     if not lone:
         picked = picked.where(F.col("_lo") < F.col("_hi"))
     return picked.withColumn("seq", at).drop("_lo", "_hi")

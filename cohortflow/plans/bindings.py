@@ -380,4 +380,4 @@ def with_frames(body: str, *frames: str, extra: dict[str, str] | None = None) ->
         add(name)
     ordered |= extra or {}
     ctes = ",\n".join(f"{n} AS ({q})" for n, q in ordered.items())
-    return f"WITH {ctes}\n{body}" if ctes else body
+    return f"WITH RECURSIVE {ctes}\n{body}" if ctes else body

@@ -23,6 +23,7 @@ from cohortflow.operators.joins import (
 from cohortflow.operators.shape import box_stats, first_by, melt, median_count, pivot_first
 from cohortflow.operators.wilcoxon import pair_up, wilcoxon
 from cohortflow.operators.windows import first_last_pair, keep_one
+from cohortflow.session import cut_lineage
 
 
 def week_pairs(weekly: DataFrame, min_weeks: int = 2) -> DataFrame:
@@ -84,7 +85,8 @@ def early_phenotype(
     Without a saved model one is fitted; patients with incomplete metrics keep
     their row with a NULL cluster.
     """
-    metrics = patient_metrics(first_days(readings, anchors).select("patient_id", "ts", "reading_id", "glucose"))
+    early = first_days(readings, anchors).select("patient_id", "ts", "reading_id", "glucose")
+    metrics = cut_lineage(patient_metrics(early))
     if model is None:
         model = clusters.fit_clusters(metrics, features, k, seed)
     return clusters.assign_clusters(model, metrics, anchors), model
@@ -121,12 +123,8 @@ def first_last_measure(
     A patient with one record has a first and no last one.
     """
     known = measures.where(F.col(value).isNotNull())
-    ends = known.groupBy(key).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
-    at = F.col("ts")
-    rows = known.join(ends, key).where((at == F.col("_lo")) | (at == F.col("_hi")))
-    graded = rows.withColumn("grade", bmi_class(value)).withColumn(
-        "seq", F.when(at == F.col("_lo"), "first").otherwise("last")
-    )
+    ends = first_last_pair(known, key, "ts", lone=True, spread=True)
+    graded = ends.withColumn("grade", bmi_class(value))
     return pivot_first(graded, key, "seq", ["first", "last"], [value, "grade"], tie)
 
 
@@ -196,11 +194,22 @@ def weight_model(
     reml: bool = False,
 ) -> WeightModel:
     """Cut the follow-up where an arm gets too small and fit the model (PIPE5)."""
+    frame = cut_lineage(frame)
     cut = quality.adequate_week(frame, "week", arm, min_n, key).first()["cut_week"]
     chosen = complete_cases(frame.where(F.col("week") <= cut), ["base_bmi", arm, "drug"])
     return WeightModel(chosen, cut, mixed.fit_mixed(chosen, value, terms, key, reml))
 
 
+@dataclass
+class ReboundReport:
+    """Events, survival curves, log-rank test and, with covariates, hazard ratios."""
+
+    events: DataFrame
+    curves: DataFrame
+    test: DataFrame
+    hazards: DataFrame | None
+
+
 def rebound_report(
     weekly: DataFrame,
     ratio: float = 0.05,
@@ -209,16 +218,16 @@ def rebound_report(
     covariates: Sequence[str] = ("arm", "drug", "base"),
     value: str = "bmi",
     base: str = "base_bmi",
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Events, survival curves, log-rank test and hazard ratios (PIPE6)."""
+) -> ReboundReport:
+    """Time to regained weight by arm (PIPE6).  The events are written once."""
     own = [c for c in dict.fromkeys([arm, *covariates]) if c != "base"]
-    events = survival.rebound_events(weekly, ratio, value=value, base=base, covariates=own)
+    events = cut_lineage(survival.rebound_events(weekly, ratio, value=value, base=base, covariates=own))
     followed = events.where(F.col("T") > 0)
-    return (
+    return ReboundReport(
         events,
         survival.kaplan_meier(followed, by=[arm]),
         survival.logrank(followed, arm_value, arm=arm),
-        survival.cox_ph(followed, x=list(covariates)),
+        survival.cox_ph(followed, x=list(covariates)) if covariates else None,
     )
 
 

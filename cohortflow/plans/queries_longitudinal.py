@@ -306,7 +306,7 @@ def first_last_pair(spark: SparkSession, base: str) -> DataFrame:
     ),
 )
 def first_last_lone(spark: SparkSession, base: str) -> DataFrame:
-    df = windows.first_last_pair(B.scale(spark, base), "patient_id", "ts", lone=True)
+    df = windows.first_last_pair(B.scale(spark, base), "patient_id", "ts", lone=True, spread=True)
     return df.select("patient_id", "reading_id", "seq")
 
 

@@ -13,7 +13,7 @@ from cohortflow.plans import jobs
 from cohortflow.plans.bindings import with_frames
 from cohortflow.plans.queries_longitudinal import NORMAL_TAIL
 from cohortflow.plans.registry import day_sql, query, r, ts_sql, ts_text
-from cohortflow.session import scratch_path
+from cohortflow.session import cut_lineage, scratch_path
 
 # Mixed models.
 
@@ -58,14 +58,88 @@ def sufficient_statistics(spark: SparkSession, base: str) -> DataFrame:
     return rounded(mixed.sufficient_statistics(df, "y", columns, "patient_id"), 2)
 
 
-@query("STAT2_mixed_lm")
+def _fit_ctes(x: str, by: str = "'all'", reml: bool = False, frame: str = "outcome") -> dict[str, str]:
+    """The one-covariate model in SQL: bisection on the slope of the profile likelihood."""
+    q = {
+        "q11": ("c * size", "c * size * size"),
+        "q1x": ("sx", "size * sx"),
+        "q1y": ("sy", "size * sy"),
+        "qxx": ("wxx", "bxx"),
+        "qxy": ("wxy", "bxy"),
+        "qyy": ("wyy", "byy"),
+    }
+    sums = ", ".join(
+        f"sum({w} - theta / (1 + size * theta) * {b}) AS {n}, sum(-1 / pow(1 + size * theta, 2) * {b}) AS d{n[1:]}"
+        for n, (w, b) in q.items()
+    )
+    solved = f"""SELECT *, (qxx * q1y - q1x * qxy) / det AS b0, (q11 * qxy - q1x * q1y) / det AS b1
+        FROM (SELECT *, q11 * qxx - q1x * q1x AS det, obs - {2 if reml else 0} AS free FROM (
+            SELECT stratum, theta, {{keep}} sum(c * size) AS obs, sum(c) AS n_groups, {sums},
+            sum(c * ln(1 + size * theta)) AS logv, sum(c * size / (1 + size * theta)) AS dlogv
+            FROM {{source}} JOIN sizes USING (stratum) GROUP BY ALL))"""
+    change = "(d11 * b0 * b0 + 2 * d1x * b0 * b1 + dxx * b1 * b1 - 2 * b0 * d1y - 2 * b1 * dxy + dyy)"
+    trace = "(qxx * d11 + q11 * dxx - 2 * q1x * d1x) / det" if reml else "0"
+    step = solved.format(
+        keep="lo, hi, step,",
+        source="(SELECT *, (lo + hi) / 2 / (1 - (lo + hi) / 2) AS theta FROM search WHERE step < 60)",
+    )
+    slope = f"-0.5 * {change} * free / (qyy - b0 * q1y - b1 * qxy) - 0.5 * dlogv - 0.5 * {trace} > 0"
+    log_det = "ln(det)" if reml else "0"
+    return {
+        "outcome": "SELECT * FROM weekly_outcome WHERE base IS NOT NULL",
+        "sizes": f"""SELECT stratum, size::DOUBLE AS size, count(*)::DOUBLE AS c, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS wxx,
+            sum(sxy) AS wxy, sum(syy) AS wyy, sum(sx * sx) AS bxx, sum(sx * sy) AS bxy, sum(sy * sy) AS byy
+            FROM (SELECT {by} AS stratum, patient_id, count(*) AS size, sum({x}::DOUBLE) AS sx, sum(y) AS sy,
+                sum({x}::DOUBLE * {x}) AS sxx, sum({x} * y) AS sxy, sum(y * y) AS syy FROM {frame} GROUP BY 1, 2)
+            GROUP BY 1, 2""",
+        "search": f"""SELECT DISTINCT stratum, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM sizes
+            UNION ALL SELECT stratum, CASE WHEN {slope} THEN (lo + hi) / 2 ELSE lo END,
+            CASE WHEN {slope} THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM ({step})""",
+        "fitted": f"""SELECT *, scale * theta AS group_var, -0.5 * (free * ln(2 * pi() * scale) + logv + free)
+            - 0.5 * {log_det} AS loglik FROM (SELECT *, (qyy - b0 * q1y - b1 * qxy) / free AS scale FROM ({solved.format(
+            keep="", source="(SELECT stratum, (lo + hi) / 2 / (1 - (lo + hi) / 2) AS theta FROM search WHERE step = 60)")}))""",
+        "terms": f"""SELECT stratum, 'Intercept' AS term, b0 AS coef, sqrt(scale * qxx / det) AS se FROM fitted
+            UNION ALL SELECT stratum, '{x}', b1, sqrt(scale * q11 / det) FROM fitted""",
+        "tested": "SELECT *, coef / se AS z FROM terms",
+    }
+
+
+COEF_COLUMNS = f"""term, {r('coef', 'se', 'z', digits=5)}, round({NORMAL_TAIL}, 6) AS p,
+    round(coef - 1.959963984540054::DOUBLE * se, 5) AS ci_lo,
+    round(coef + 1.959963984540054::DOUBLE * se, 5) AS ci_hi"""
+SUMMARY_COLUMNS = f"""CAST(obs AS BIGINT) AS n_obs, CAST(n_groups AS BIGINT) AS n_groups,
+    {r('group_var', 'scale', 'loglik', digits=4)}, round(-2 * (loglik - 4), 4) AS aic"""
+
+
+def rounded_coefficients(df: DataFrame) -> DataFrame:
+    return rounded(df, {c: 5 for c in ("coef", "se", "z", "ci_lo", "ci_hi")})
+
+
+@query("STAT2_mixed_lm", with_frames(f"SELECT {COEF_COLUMNS} FROM tested", "weekly_outcome", extra=_fit_ctes("week")))
 def mixed_lm(spark: SparkSession, base: str) -> DataFrame:
-    return mixed.mixed_lm(outcome(spark, base), "y", TERMS, "patient_id")
+    return rounded_coefficients(mixed.mixed_lm(outcome(spark, base), "y", ["week"], "patient_id"))
 
 
-@query("STAT2_mixed_lm_reml")
+@query(
+    "STAT2_mixed_lm_reml",
+    with_frames(f"SELECT {COEF_COLUMNS} FROM tested", "weekly_outcome", extra=_fit_ctes("week", reml=True)),
+)
 def mixed_lm_reml(spark: SparkSession, base: str) -> DataFrame:
-    return mixed.mixed_lm(outcome(spark, base), "y", TERMS, "patient_id", reml=True)
+    return rounded_coefficients(mixed.mixed_lm(outcome(spark, base), "y", ["week"], "patient_id", reml=True))
+
+
+@query(
+    "STAT2_model_summary",
+    with_frames(f"SELECT {SUMMARY_COLUMNS} FROM fitted", "weekly_outcome", extra=_fit_ctes("arm", reml=True)),
+)
+def model_summary(spark: SparkSession, base: str) -> DataFrame:
+    fits = mixed.fit_mixed(outcome(spark, base), "y", ["arm"], "patient_id", reml=True)
+    return rounded(mixed.summaries(spark, fits), 4)
+
+
+@query("STAT2_mixed_lm_covariates")
+def mixed_lm_covariates(spark: SparkSession, base: str) -> DataFrame:
+    return mixed.mixed_lm(outcome(spark, base), "y", TERMS, "patient_id")
 
 
 @query(
@@ -85,21 +159,55 @@ def design(spark: SparkSession, base: str) -> DataFrame:
     return rounded(mixed.design(df, ["week*arm*drug", "base"], keep=["patient_id"]))
 
 
-@query("STAT4_mixed_lm_by")
+@query(
+    "STAT4_mixed_lm_by",
+    with_frames(
+        f"SELECT stratum AS drug, {COEF_COLUMNS} FROM tested",
+        "weekly_outcome",
+        extra=_fit_ctes("week", "CASE WHEN drug THEN 'True' ELSE 'False' END"),
+    ),
+)
 def mixed_lm_by(spark: SparkSession, base: str) -> DataFrame:
-    return mixed.mixed_lm_by(outcome(spark, base), "drug", "y", TERMS, "patient_id")
+    return rounded_coefficients(
+        mixed.mixed_lm_by(outcome(spark, base), "drug", "y", ["week"], "patient_id")
+    )
+
+
+def _compared(names: list[str]) -> str:
+    fits = [
+        f"SELECT '{n}' AS model, * FROM ("
+        + with_frames(f"SELECT {SUMMARY_COLUMNS} FROM fitted", "weekly_outcome", extra=_fit_ctes(n))
+        + ")"
+        for n in names
+    ]
+    return " UNION ALL ".join(fits)
 
 
-@query("STAT5_compare_models")
+@query("STAT5_compare_models", _compared(["week", "arm", "base"]))
 def compare_models(spark: SparkSession, base: str) -> DataFrame:
+    formulas = {n: [n] for n in ("week", "arm", "base")}
+    return rounded(mixed.compare_models(outcome(spark, base), "y", formulas, "patient_id"), 4)
+
+
+@query("STAT5_compare_formulas")
+def compare_formulas(spark: SparkSession, base: str) -> DataFrame:
     return mixed.compare_models(outcome(spark, base), "y", FORMULAS, "patient_id")
 
 
-@query("STAT6_predict_mixed")
+@query(
+    "STAT6_predict_mixed",
+    with_frames(
+        """SELECT patient_id, week, round(y, 6) AS y, round(b0 + b1 * week, 5) AS predicted
+        FROM outcome, fitted""",
+        "weekly_outcome",
+        extra=_fit_ctes("week"),
+    ),
+)
 def predict_mixed(spark: SparkSession, base: str) -> DataFrame:
     df = outcome(spark, base)
-    fit = mixed.fit_mixed(df, "y", TERMS, "patient_id")[0]
-    return mixed.predict_mixed(df, TERMS, fit).select("patient_id", "week", "y", "predicted")
+    fit = mixed.fit_mixed(df, "y", ["week"], "patient_id")[0]
+    out = mixed.predict_mixed(df, ["week"], fit).select("patient_id", "week", "y", "predicted")
+    return rounded(out, {"predicted": 5})
 
 
 # Survival.
@@ -166,8 +274,37 @@ def logrank(spark: SparkSession, base: str) -> DataFrame:
     return rounded(survival.logrank(B.survival_frame(spark, base), 1))
 
 
-@query("SURV4_cox_ph")
+def _cox_ctes(frame: str) -> dict[str, str]:
+    """Newton steps for a 0/1 covariate with Efron ties, one row per event and tie."""
+    share = "(n1 - l / d * d1) * exp(b) / (n0 - l / d * d0 + (n1 - l / d * d1) * exp(b))"
+    return {
+        "times": f"""SELECT T, sum(E * arm)::DOUBLE AS d1, sum(E * (1 - arm))::DOUBLE AS d0,
+            (sum(sum(arm)) OVER (ORDER BY T DESC))::DOUBLE AS n1,
+            (sum(sum(1 - arm)) OVER (ORDER BY T DESC))::DOUBLE AS n0 FROM {frame} GROUP BY 1""",
+        "ties": """SELECT *, d0 + d1 AS d, d1 / (d0 + d1) AS own,
+            unnest(range(CAST(d0 + d1 AS BIGINT)))::DOUBLE AS l FROM times WHERE d0 + d1 > 0""",
+        "newton": f"""SELECT 0 AS step, 0.0::DOUBLE AS b UNION ALL SELECT step + 1, b + u / i FROM (
+            SELECT step, b, sum(own - p) AS u, sum(p * (1 - p)) AS i FROM (SELECT step, b, own, {share} AS p
+            FROM newton JOIN ties ON step < 25) GROUP BY 1, 2)""",
+        "cox": f"""SELECT b AS coef, 1 / sqrt(sum(p * (1 - p))) AS se, sum(own * b - ln(total)) AS loglik
+            FROM (SELECT b, own, {share} AS p, n0 - l / d * d0 + (n1 - l / d * d1) * exp(b) AS total
+            FROM newton JOIN ties ON step = 25) GROUP BY b""",
+        "tested": "SELECT *, coef / se AS z FROM cox",
+    }
+
+
+COX_COLUMNS = f"""'arm' AS term, {r('coef', 'se', 'z')}, round(exp(coef), 6) AS hazard_ratio,
+    round({NORMAL_TAIL}, 6) AS p, round(coef - 1.959963984540054::DOUBLE * se, 6) AS ci_lo,
+    round(coef + 1.959963984540054::DOUBLE * se, 6) AS ci_hi, round(loglik, 6) AS loglik, true AS converged"""
+
+
+@query("SURV4_cox_ph", with_frames(f"SELECT {COX_COLUMNS} FROM tested", "survival", extra=_cox_ctes("survival")))
 def cox_ph(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(survival.cox_ph(B.survival_frame(spark, base), x=["arm"]))
+
+
+@query("SURV4_cox_covariates")
+def cox_covariates(spark: SparkSession, base: str) -> DataFrame:
     return survival.cox_ph(B.survival_frame(spark, base), x=["arm", "age"])
 
 
@@ -175,7 +312,7 @@ def cox_ph(spark: SparkSession, base: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, base: str) -> DataFrame:
-    return cgm.patient_metrics(B.readings(spark, base))
+    return cut_lineage(cgm.patient_metrics(B.readings(spark, base)))
 
 
 @query("ML1_fit_clusters")
@@ -370,30 +507,62 @@ def weight_frame(spark: SparkSession, base: str) -> DataFrame:
     return rounded(df)
 
 
+@query(
+    "JOB5_weight_slope",
+    with_frames(
+        f"SELECT {COEF_COLUMNS} FROM tested",
+        "scale",
+        "exam",
+        "anchors",
+        "prescriptions",
+        extra={
+            **WEIGHT,
+            "cut": """SELECT coalesce(min(week) FILTER (WHERE arms < 2) - 1, max(week)) AS last_week FROM (
+                SELECT week, count(*) FILTER (WHERE n >= 2) AS arms FROM (SELECT week, arm,
+                count(DISTINCT patient_id) AS n FROM framed GROUP BY 1, 2) GROUP BY 1)""",
+            **_fit_ctes("week"),
+            "outcome": """SELECT patient_id, week, bmi AS y FROM framed, cut
+                WHERE week <= last_week AND base_bmi IS NOT NULL""",
+        },
+    ),
+)
+def weight_slope(spark: SparkSession, base: str) -> DataFrame:
+    fitted = jobs.weight_model(frame_of(spark, base), ["week"], min_n=2)
+    return rounded_coefficients(mixed.coefficients(spark, fitted.fits))
+
+
 @query("JOB5_weight_model")
 def weight_model(spark: SparkSession, base: str) -> DataFrame:
     fitted = jobs.weight_model(frame_of(spark, base), ["week*arm", "base_bmi", "drug"], min_n=2)
     return mixed.coefficients(spark, fitted.fits)
 
 
-def report(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def report(spark: SparkSession, base: str, covariates: list[str]) -> jobs.ReboundReport:
     weekly = B.weekly_outcome(spark, base).withColumn("drug", F.col("drug").cast("int"))
-    return jobs.rebound_report(weekly, 0.9, value="y", base="base")
+    return jobs.rebound_report(weekly, 0.9, value="y", base="base", covariates=covariates)
+
+
+FOLLOWED = {"rebounds": f"SELECT * FROM ({REBOUND}) WHERE T > 0"}
+
+
+@query("JOB6_rebound_curves", with_frames(curve_sql("rebounds"), "weekly_outcome", extra=FOLLOWED))
+def rebound_curves(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(report(spark, base, []).curves)
 
 
 @query(
-    "JOB6_rebound_curves",
+    "JOB6_rebound_hazards",
     with_frames(
-        curve_sql("rebounds"), "weekly_outcome", extra={"rebounds": f"SELECT * FROM ({REBOUND}) WHERE T > 0"}
+        f"SELECT {COX_COLUMNS} FROM tested", "weekly_outcome", extra={**FOLLOWED, **_cox_ctes("rebounds")}
     ),
 )
-def rebound_curves(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(report(spark, base)[1])
+def rebound_hazards(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(report(spark, base, ["arm"]).hazards)
 
 
-@query("JOB6_rebound_hazards")
-def rebound_hazards(spark: SparkSession, base: str) -> DataFrame:
-    return report(spark, base)[3]
+@query("JOB6_rebound_covariates")
+def rebound_covariates(spark: SparkSession, base: str) -> DataFrame:
+    return report(spark, base, ["arm", "drug", "base"]).hazards
 
 
 def _wide_cell(source: str, measure: str, how: str, w: int) -> str:
