@@ -744,7 +744,7 @@ def snapshot_extent(spark: SparkSession, base: str) -> DataFrame:
 # Jobs on these operators.
 
 
-NORMAL_TAIL = """CASE WHEN abs(z) > 12 THEN 0.0 ELSE 1 - 2 * (SELECT sum(w * exp(-0.5 * x * x)) FROM
+NORMAL_TAIL = """CASE WHEN abs(z) > 8 THEN 0.0 ELSE 1 - 2 * (SELECT sum(w * exp(-0.5 * x * x)) FROM
     (SELECT (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) AS w,
         i * abs(z) / 2000 AS x FROM range(2001) t(i))) * abs(z) / 2000 / 3 / sqrt(2 * pi()) END"""
 

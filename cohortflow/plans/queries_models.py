@@ -598,8 +598,8 @@ WIDE_CELLS = ", ".join(
         "readings",
         "anchors",
         extra={
-            "long": """SELECT 'exam' AS source, patient_id, ts, weight, height, NULL AS bmi, NULL AS glucose,
-                NULL AS c5, NULL AS c7 FROM exam
+            "long": """SELECT 'exam' AS source, patient_id, ts, weight, height, NULL::DOUBLE AS bmi,
+                NULL::DOUBLE AS glucose, NULL::DOUBLE AS c5, NULL::DOUBLE AS c7 FROM exam
                 UNION ALL SELECT 'scale', patient_id, ts, NULL, NULL, bmi, NULL, NULL, NULL FROM scale
                 UNION ALL SELECT 'glucose', patient_id, ts, NULL, NULL, NULL, glucose, NULL, NULL FROM readings
                 UNION ALL SELECT 'lab', patient_id, ts, NULL, NULL, NULL, NULL,
