@@ -41,18 +41,24 @@ def running_totals(
     keys: Sequence[str],
     order: str,
     totals: Mapping[str, str],
-    chunk: Column,
+    chunk: Column | None,
     descending: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums (``totals``: new name -> column) along ``order``.
 
-    ``order`` is unique within the keys and ``chunk`` grows with it.
+    ``order`` is unique within the keys and ``chunk`` grows with it.  Without a
+    chunk one window per key runs; only for a frame of a checked size.
     """
-    df, by = df.withColumn("_chunk", chunk), list(keys)
 
     def ordered(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(ordered(order))
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({n: F.sum(c).over(upto) for n, c in totals.items()})
+    df, by = df.withColumn("_chunk", chunk), list(keys)
+
     inside = (
         Window.partitionBy(*by, "_chunk")
         .orderBy(ordered(order))

@@ -179,8 +179,14 @@ def _tie_sums(z: Column, d: Column) -> tuple[Column, Column, Column]:
     )
 
 
-def _cox_step(rows: DataFrame, beta: np.ndarray, ties: str) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, gradient and information at beta: one job, one result row."""
+def _cox_step(
+    rows: DataFrame, beta: np.ndarray, ties: str, few_times: bool = False
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and information at beta: one job, one result row.
+
+    With few distinct times one window over them makes the risk sums; otherwise
+    they are made stretch by stretch.
+    """
     p = len(beta)
     cells = [(i, j) for i in range(p) for j in range(i, p)]
     x = [F.col(f"x{i}") for i in range(p)]
@@ -203,8 +209,9 @@ def _cox_step(rows: DataFrame, beta: np.ndarray, ties: str) -> tuple[float, np.n
             *[F.sum(F.when(event, m * x[i]).otherwise(0.0)).alias(f"s{i}") for i in range(p)],
         )
     )
+    stretch = None if few_times else _stretch("t")
     risk = running_totals(
-        per_time, [], "t", {k: f"_{k}" for k in sums}, _stretch("t"), descending=True
+        per_time, [], "t", {k: f"_{k}" for k in sums}, stretch, descending=True
     ).where("deaths > 0")
     n = F.col("deaths")
     total = F.col("r")
@@ -246,6 +253,9 @@ def _cox_step(rows: DataFrame, beta: np.ndarray, ties: str) -> tuple[float, np.n
     return row["ll"], np.array([row[f"g{i}"] for i in range(p)]), info
 
 
+# Up to this many distinct times are ordered in one task.
+FEW_TIMES = 50_000
+
 COX_SCHEMA = (
     "term string, coef double, hazard_ratio double, se double, z double, p double, "
     "ci_lo double, ci_hi double, loglik double, converged boolean"
@@ -263,8 +273,9 @@ def cox_ph(
 ) -> DataFrame:
     """Proportional-hazards regression by Newton steps, one Spark job each.
 
-    A step groups by time and runs the risk sums over the distinct times; one row
-    of sums reaches the driver.  Equal rows are merged into counts beforehand.
+    A step groups by time and runs the risk sums over the distinct times, whose
+    number is checked first; one row of sums reaches the driver.  Equal rows are
+    merged into counts beforehand.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError(f"unknown ties {ties}")
@@ -283,13 +294,14 @@ def cox_ph(
     kept = cut_lineage(merged)
     means = kept.agg(*[F.avg(n).alias(n) for n in names]).first()
     rows = kept.withColumns({n: F.col(n) - F.lit(means[n] or 0.0) for n in names})
+    few = kept.select("t").distinct().limit(FEW_TIMES + 1).count() <= FEW_TIMES
     beta = np.zeros(p)
-    ll, gradient, info = _cox_step(rows, beta, ties)
+    ll, gradient, info = _cox_step(rows, beta, ties, few)
     converged = False
     for _ in range(max_iter):
         step = np.linalg.solve(info, gradient)
         for _ in range(10):
-            new = _cox_step(rows, beta + step, ties)
+            new = _cox_step(rows, beta + step, ties, few)
             if math.isfinite(new[0]) and new[0] >= ll - 1e-12 * abs(ll):
                 break
             step = step / 2

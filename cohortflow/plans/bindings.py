@@ -82,6 +82,10 @@ def day_map_text(spark: SparkSession, base: str) -> DataFrame:
     return maps.select("id", "patient_id", "date", text.alias("daily_data"))
 
 
+# Two versions of the same records: each side lacks some readings and the new one
+# has other values, by fixed rules on the ids, so that every kind of change occurs.
+
+
 def _week_records(spark: SparkSession, base: str) -> DataFrame:
     rows = readings(spark, base).withColumn("day", elapsed_days(F.lit(ORIGIN), F.col("ts")))
     d = F.pmod("day", F.lit(7))
@@ -231,11 +235,8 @@ def survival_frame(spark: SparkSession, base: str) -> DataFrame:
 
 
 def series(spark: SparkSession, base: str) -> DataFrame:
-    """Embeddings as ragged series of 48 to 64 values."""
     rows = load(spark, base, "embeddings")
-    length = (48 + F.col("vec_id") % 17).cast("int")
-    v = F.slice(F.col("embedding").cast("array<double>"), F.lit(1), length)
-    return rows.select(F.col("vec_id").alias("id"), v.alias("v"))
+    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def id_map(spark: SparkSession, base: str) -> DataFrame:

@@ -504,12 +504,12 @@ DEVICES = """SELECT 'D' || patient_id AS device_id, date >= DATE '2024-01-20' AS
     CAST(sum(valid) AS BIGINT) AS valid_data, CAST(sum(n) AS BIGINT) AS data_count, max(date) AS last_updated_at,
     count(*) AS days
     FROM (SELECT patient_id, date, count(*) AS n, count(*) FILTER (WHERE glucose >= 1.1) AS valid
-        FROM day_long GROUP BY 1, 2) WHERE patient_id % 50 <> 0 GROUP BY 1, 2"""
+        FROM day_long GROUP BY 1, 2)
+    WHERE patient_id NOT IN (SELECT patient_id FROM readings WHERE glucose > 300) GROUP BY 1, 2"""
 
 
 def devices(spark: SparkSession, base: str) -> DataFrame:
-    tests = B.anchors(spark, base).where("patient_id % 50 = 0")
-    listed = tests.select(F.concat(F.lit("D"), F.col("patient_id").cast("string")).alias("device_id"))
+    listed = B.readings(spark, base).where("glucose > 300").select("device_id")
     return quality.device_quality(day_records(spark, base), "2024-01-20", listed)
 
 

@@ -43,11 +43,11 @@ def table_scan(spark: SparkSession, base: str) -> DataFrame:
 )
 def cohort_extract(spark: SparkSession, base: str) -> DataFrame:
     cohort = B.patients(spark, base).where("status = 'BUILDING'")
-    start = F.lit("2024-01-05").cast("timestamp")
-    end = F.lit("2024-01-20 12:00:00").cast("timestamp")
-    df = T.cohort_extract(
-        B.readings(spark, base), cohort, "patient_id", "ts", start, end, ["patient_id", "ts", "glucose"]
-    )
+    names = {"user_id": "patient_id", "value": "glucose"}
+    source = C.rename_columns(T.load(spark, base, "events", ["user_id", "ts", "value"]), names)
+    start = F.lit("2024-01-05").cast("timestamp_ntz")
+    end = F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
+    df = T.cohort_extract(source, cohort, "patient_id", "ts", start, end, ["ts", "glucose"])
     return df.select("patient_id", ts_text("ts"), "glucose")
 
 

@@ -125,6 +125,13 @@ def test_filters_and_columns_reach_the_scan(spark, base):
     assert re.search(r"ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>", text)
 
 
+def test_cohort_extract_prunes_by_time_in_the_scan(spark, base):
+    start, end = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-05", "2024-01-06"))
+    cohort = T.load(spark, base, "customer", [F.col("c_custkey").alias("user_id")])
+    df = T.cohort_extract(T.load(spark, base, "events"), cohort, "user_id", "ts", start, end, ["value"])
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(ts,[^]]*LessThanOrEqual\(ts,", plan(df))
+
+
 def test_first_row_is_cut_before_the_shuffle(spark, base):
     text = plan(windows.keep_one(B.scale(spark, base), ["patient_id"], ["ts", "reading_id"]))
     assert text.count("WindowGroupLimit") == 2

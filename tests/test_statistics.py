@@ -109,7 +109,8 @@ def efron(t, e, x, beta):
     return ll, grad, info
 
 
-def test_cox_step_with_many_ties(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_cox_step_with_many_ties(spark, few):
     rng = np.random.default_rng(5)
     n = 300
     t = rng.integers(1, 5, n).astype(float)
@@ -118,7 +119,7 @@ def test_cox_step_with_many_ties(spark):
     beta = np.array([0.3, -0.4])
     rows = [(float(a), int(b), float(c), float(d), 1) for a, b, (c, d) in zip(t, e, x)]
     df = spark.createDataFrame(rows, "t double, e int, x0 double, x1 double, m bigint")
-    got = survival._cox_step(df, beta, "efron")
+    got = survival._cox_step(df, beta, "efron", few)
     want = efron(t, e, x, beta)
     assert got[0] == pytest.approx(want[0], rel=1e-10)
     np.testing.assert_allclose(got[1], want[1], rtol=1e-8, atol=1e-8)
