@@ -359,10 +359,7 @@ def daily_summary(spark: SparkSession, base: str) -> DataFrame:
     return rounded(out, 5)
 
 
-@query(
-    "CGM2_patient_metrics",
-    with_frames(
-        """SELECT m.patient_id, n, round(mean, 8) AS mean, round(sd, 6) AS sd, round(sd / mean, 6) AS cv,
+METRICS_SQL = """SELECT m.patient_id, n, round(mean, 8) AS mean, round(sd, 6) AS sd, round(sd / mean, 6) AS cv,
         round((n - vlow - low - high - vhigh) / n, 6) AS TIR, round((vlow + low) / n, 6) AS TBR,
         round((high + vhigh) / n, 6) AS TAR,
         round((3.0 * vlow + 2.4 * low + 1.6 * vhigh + 0.8 * high) / n, 6) AS GRI,
@@ -370,27 +367,27 @@ def daily_summary(spark: SparkSession, base: str) -> DataFrame:
         round(CASE WHEN n >= 2 THEN coalesce(path, 0) / nullif(hours, 0) END, 6) AS MAG, round(MAGE, 7) AS MAGE
         FROM moments m LEFT JOIN (SELECT r.patient_id, sum(amplitude) AS path,
             avg(amplitude) FILTER (WHERE amplitude > sd) AS MAGE FROM runs r
-            JOIN moments USING (patient_id) GROUP BY 1) s USING (patient_id)""",
-        "risk",
-        extra={
-            "moments": """SELECT patient_id, count(*) AS n, avg(glucose) AS mean, stddev_samp(glucose) AS sd,
-                count(*) FILTER (WHERE glucose < 3) AS vlow,
-                count(*) FILTER (WHERE glucose >= 3 AND glucose < 3.9) AS low,
-                count(*) FILTER (WHERE glucose > 10 AND glucose <= 13.9) AS high,
-                count(*) FILTER (WHERE glucose > 13.9) AS vhigh,
-                avg(CASE WHEN f < 0 THEN 10 * f * f ELSE 0 END) AS lbgi,
-                avg(CASE WHEN f > 0 THEN 10 * f * f ELSE 0 END) AS hbgi,
-                epoch_us(max(ts)) / 3.6e9 - epoch_us(min(ts)) / 3.6e9 AS hours FROM risk GROUP BY 1""",
-            "steps": """SELECT * FROM (SELECT patient_id, ts, reading_id,
-                glucose - lag(glucose) OVER (PARTITION BY patient_id ORDER BY ts, reading_id) AS step FROM risk)
-                WHERE step <> 0""",
-            "turns": """SELECT *, CASE WHEN (step > 0) <> lag(step > 0) OVER
-                (PARTITION BY patient_id ORDER BY ts, reading_id) THEN 1 ELSE 0 END AS turned FROM steps""",
-            "runs": """SELECT patient_id, run, sum(abs(step)) AS amplitude FROM (SELECT *, sum(turned) OVER
-                (PARTITION BY patient_id ORDER BY ts, reading_id) AS run FROM turns) GROUP BY 1, 2""",
-        },
-    ),
-)
+            JOIN moments USING (patient_id) GROUP BY 1) s USING (patient_id)"""
+METRIC_FRAMES = {
+    "moments": """SELECT patient_id, count(*) AS n, avg(glucose) AS mean, stddev_samp(glucose) AS sd,
+        count(*) FILTER (WHERE glucose < 3) AS vlow,
+        count(*) FILTER (WHERE glucose >= 3 AND glucose < 3.9) AS low,
+        count(*) FILTER (WHERE glucose > 10 AND glucose <= 13.9) AS high,
+        count(*) FILTER (WHERE glucose > 13.9) AS vhigh,
+        avg(CASE WHEN f < 0 THEN 10 * f * f ELSE 0 END) AS lbgi,
+        avg(CASE WHEN f > 0 THEN 10 * f * f ELSE 0 END) AS hbgi,
+        epoch_us(max(ts)) / 3.6e9 - epoch_us(min(ts)) / 3.6e9 AS hours FROM risk GROUP BY 1""",
+    "steps": """SELECT * FROM (SELECT patient_id, ts, reading_id,
+        glucose - lag(glucose) OVER (PARTITION BY patient_id ORDER BY ts, reading_id) AS step FROM risk)
+        WHERE step <> 0""",
+    "turns": """SELECT *, CASE WHEN (step > 0) <> lag(step > 0) OVER
+        (PARTITION BY patient_id ORDER BY ts, reading_id) THEN 1 ELSE 0 END AS turned FROM steps""",
+    "runs": """SELECT patient_id, run, sum(abs(step)) AS amplitude FROM (SELECT *, sum(turned) OVER
+        (PARTITION BY patient_id ORDER BY ts, reading_id) AS run FROM turns) GROUP BY 1, 2""",
+}
+
+
+@query("CGM2_patient_metrics", with_frames(METRICS_SQL, "risk", extra=METRIC_FRAMES))
 def patient_metrics(spark: SparkSession, base: str) -> DataFrame:
     return rounded(cgm.patient_metrics(B.readings(spark, base)), {"mean": 8, "lbgi": 5, "hbgi": 5, "MAGE": 7})
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.functions.columns import complete_cases
+from cohortflow.functions.columns import complete_cases, rejected_keys
 from cohortflow.operators import cgm, clusters, mixed, series, survival
 from cohortflow.operators.shape import rounded
 from cohortflow.plans import bindings as B
 from cohortflow.plans import jobs
 from cohortflow.plans.bindings import with_frames
-from cohortflow.plans.queries_longitudinal import NORMAL_TAIL
+from cohortflow.plans.queries_longitudinal import METRIC_FRAMES, METRICS_SQL, NORMAL_TAIL
 from cohortflow.plans.registry import day_sql, query, r, ts_sql, ts_text
 from cohortflow.session import cut_lineage, scratch_path
 
@@ -405,6 +405,35 @@ def spectral_labels(spark: SparkSession, base: str) -> DataFrame:
 # Jobs.
 
 
+EARLY = {
+    "early": """SELECT r.* FROM readings r JOIN anchors USING (patient_id)
+        WHERE floor(epoch(ts - enroll_ts) / 86400) BETWEEN 0 AND 6""",
+    "risk": B.SQL["risk"].replace("FROM readings", "FROM early"),
+    **METRIC_FRAMES,
+}
+
+
+@query("JOB3_early_metrics", with_frames(METRICS_SQL, "readings", "anchors", extra=EARLY))
+def early_metrics(spark: SparkSession, base: str) -> DataFrame:
+    early = cgm.first_days(B.readings(spark, base), B.anchors(spark, base))
+    return rounded(cgm.patient_metrics(early), {"mean": 8, "lbgi": 5, "hbgi": 5, "MAGE": 7})
+
+
+@query(
+    "ML2_incomplete_patients",
+    with_frames(
+        f"""SELECT patient_id FROM ({METRICS_SQL}) WHERE sd IS NULL OR cv IS NULL OR MAG IS NULL
+        OR MAGE IS NULL""",
+        "readings",
+        "anchors",
+        extra={**EARLY, "early": EARLY["early"].replace("BETWEEN 0 AND 6", "= 0")},
+    ),
+)
+def incomplete_patients(spark: SparkSession, base: str) -> DataFrame:
+    first_day = cgm.first_days(B.readings(spark, base), B.anchors(spark, base), days=1)
+    return rejected_keys(cgm.patient_metrics(first_day), "patient_id", clusters.FEATURES)
+
+
 @query("JOB3_early_phenotype")
 def early_phenotype(spark: SparkSession, base: str) -> DataFrame:
     out, _ = jobs.early_phenotype(B.readings(spark, base), B.anchors(spark, base))
