@@ -8,7 +8,7 @@ size.  The variance ratio is then found on these p x p matrices.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -161,56 +161,113 @@ def _matrix(row, letter: str, m: int) -> np.ndarray:
     return out
 
 
-def _maximise(names, rows, centre, reml) -> MixedFit:
-    m = len(names) + 1
-    p = m - 1
+# Up to this many rows of sufficient statistics are searched on the driver.
+MAX_SIZES = 10_000
+
+
+@dataclass
+class _Sums:
+    """What the likelihood needs: totals, and per variance ratio four weighted sums."""
+
+    within: np.ndarray
+    n_obs: float
+    n_groups: float
+    evaluate: Callable[[Sequence[float]], list[tuple[np.ndarray, np.ndarray, float, float]]]
+
+
+def _local_sums(rows: Sequence, m: int) -> _Sums:
     sizes = np.array([r["size"] for r in rows], dtype=float)
     groups = np.array([r["groups"] for r in rows], dtype=float)
-    within = sum(_matrix(r, "w", m) for r in rows)
     between = np.array([_matrix(r, "b", m) for r in rows])
-    n_obs = float(sizes @ groups)
-
-    def at(theta: float):
-        shrink = theta / (1.0 + sizes * theta)
-        q = within - np.tensordot(shrink, between, axes=1)
-        a, b = q[:p, :p], q[:p, p]
-        beta = np.linalg.solve(a, b)
-        rss = max(q[p, p] - b @ beta, 1e-300)
-        free = n_obs - p if reml else n_obs
-        scale = rss / free
-        log_v = float(groups @ np.log1p(sizes * theta))
-        ll = -0.5 * (free * math.log(2 * math.pi * scale) + log_v + free)
-        if reml:
-            ll -= 0.5 * np.linalg.slogdet(a)[1]
-        return ll, beta, scale, a
 
-    def slope(theta: float) -> float:
-        """Derivative of the profile log-likelihood."""
-        _, beta, scale, a = at(theta)
-        change = -np.tensordot(1.0 / (1.0 + sizes * theta) ** 2, between, axes=1)
-        v = np.append(-beta, 1.0)
-        out = -0.5 * (v @ change @ v) / scale - 0.5 * float(groups @ (sizes / (1.0 + sizes * theta)))
-        return out - 0.5 * np.trace(np.linalg.solve(a, change[:p, :p])) if reml else out
+    def evaluate(thetas):
+        out = []
+        for theta in thetas:
+            grown = 1.0 + sizes * theta
+            out.append(
+                (
+                    np.tensordot(theta / grown, between, axes=1),
+                    np.tensordot(1.0 / grown**2, between, axes=1),
+                    float(groups @ np.log(grown)),
+                    float(groups @ (sizes / grown)),
+                )
+            )
+        return out
 
-    diagonal = np.sqrt(np.diag(within)[:p])
-    scaled = within[:p, :p] / np.outer(diagonal, diagonal) if (diagonal > 0).all() else None
+    within = sum(_matrix(r, "w", m) for r in rows)
+    return _Sums(within, float(sizes @ groups), float(groups.sum()), evaluate)
+
+
+def _spark_sums(stats: DataFrame, m: int) -> _Sums:
+    """The same sums as Spark jobs, for more group sizes than the driver should hold."""
+    cells = [f"{i}_{j}" for i in range(m) for j in range(i, m)]
+    size, groups, theta = F.col("size"), F.col("groups"), F.col("theta")
+    total = stats.agg(
+        F.sum(size * groups).alias("n_obs"),
+        F.sum(groups).alias("n_groups"),
+        *[F.sum(f"w_{c}").alias(f"w_{c}") for c in cells],
+    ).first()
+    grown = 1.0 + size * theta
+
+    def evaluate(thetas):
+        at = F.posexplode(F.array(*[F.lit(float(t)) for t in thetas])).alias("at", "theta")
+        sums = stats.select("*", at).groupBy("at").agg(
+            F.sum(groups * F.ln(grown)).alias("log_v"),
+            F.sum(groups * size / grown).alias("slope_v"),
+            *[F.sum(theta / grown * F.col(f"b_{c}")).alias(f"k_{c}") for c in cells],
+            *[F.sum(F.col(f"b_{c}") / (grown * grown)).alias(f"d_{c}") for c in cells],
+        )
+        rows = sorted(sums.collect(), key=lambda r: r["at"])
+        return [(_matrix(r, "k", m), _matrix(r, "d", m), r["log_v"], r["slope_v"]) for r in rows]
+
+    return _Sums(_matrix(total, "w", m), float(total["n_obs"]), float(total["n_groups"]), evaluate)
+
+
+def _maximise(names: list[str], sums: _Sums, centre: Sequence[float], reml: bool) -> MixedFit:
+    p = len(names)
+    diagonal = np.sqrt(np.diag(sums.within)[:p])
+    scaled = sums.within[:p, :p] / np.outer(diagonal, diagonal) if (diagonal > 0).all() else None
     if scaled is None or np.linalg.matrix_rank(scaled, tol=1e-10) < p:
         raise ValueError("the design columns are linearly dependent")
+    free = sums.n_obs - p if reml else sums.n_obs
+
+    def solve(theta: float, part: tuple):
+        """Log-likelihood, its slope, coefficients, scale and information at one ratio."""
+        shrunk, change, log_v, slope_v = part
+        q = sums.within - shrunk
+        a = q[:p, :p]
+        beta = np.linalg.solve(a, q[:p, p])
+        v = np.append(-beta, 1.0)
+        scale = max(v @ q @ v, 1e-300) / free
+        ll = -0.5 * (free * math.log(2 * math.pi * scale) + log_v + free)
+        slope = 0.5 * (v @ change @ v) / scale - 0.5 * slope_v
+        if reml:
+            ll -= 0.5 * np.linalg.slogdet(a)[1]
+            slope += 0.5 * np.trace(np.linalg.solve(a, change[:p, :p]))
+        return ll, slope, beta, scale, a
+
+    def at(thetas: Sequence[float]) -> list[tuple]:
+        return [solve(t, part) for t, part in zip(thetas, sums.evaluate(thetas))]
 
     grid = np.concatenate([[0.0], 10.0 ** np.arange(-6, 6.01, 0.125)])
-    best = int(np.argmax([at(t)[0] for t in grid]))
-    lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    if slope(lo) <= 0:
-        theta = lo
-    elif slope(hi) >= 0:
-        theta = hi
-    else:
-        for _ in range(100):
-            theta = 0.5 * (lo + hi)
-            if theta in (lo, hi):
-                break
-            lo, hi = (theta, hi) if slope(theta) > 0 else (lo, theta)
-    ll, beta, scale, a = at(theta)
+    found = at(grid)
+    best = int(np.argmax([f[0] for f in found]))
+    low, high = max(best - 1, 0), min(best + 1, len(grid) - 1)
+    lo, hi = float(grid[low]), float(grid[high])
+    if found[low][1] <= 0:
+        hi = lo
+    elif found[high][1] >= 0:
+        lo = hi
+    # The slope changes its sign inside: sixteen points narrow the interval at a time.
+    while hi - lo > 1e-14 * hi:
+        points = np.linspace(lo, hi, 18)
+        if not (np.diff(points) > 0).all():
+            break
+        falling = [f[1] <= 0 for f in at(points[1:-1])]
+        k = falling.index(True) + 1 if any(falling) else 17
+        lo, hi = float(points[k - 1]), float(points[k])
+    theta = 0.5 * (lo + hi)
+    ll, _, beta, scale, a = at([theta])[0]
     # Undo the centring: only the intercept changes.
     back = np.eye(p)
     back[0, 1:] = -np.asarray(centre[:-1])
@@ -218,7 +275,7 @@ def _maximise(names, rows, centre, reml) -> MixedFit:
     coef[0] += centre[-1]
     cov = back @ (scale * np.linalg.inv(a)) @ back.T
     return MixedFit(
-        names, coef, cov, float(theta * scale), float(scale), float(ll), int(n_obs), int(groups.sum())
+        names, coef, cov, float(theta * scale), float(scale), float(ll), int(sums.n_obs), int(sums.n_groups)
     )
 
 
@@ -234,21 +291,32 @@ def fit_mixed(
 
     Two jobs run: column means, then the sufficient statistics.  Their result has
     one row per stratum and distinct group size; in a weekly frame a size is at
-    most the number of weeks.
+    most the number of weeks.  With more rows than the driver should hold, the
+    search over the variance ratio runs on Spark as well.
     """
     columns = design_columns(df, terms)
     names = ["Intercept", *columns]
     parts = [*columns.values(), F.col(y).cast("double")]
     means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(parts)]).first()
     centre = [float(v) if v is not None else 0.0 for v in means]
-    rows = sufficient_statistics(df, y, columns, group, centre, by).collect()
-    if not rows:
-        return []
-    strata = sorted({r[by] for r in rows}) if by else [None]
+    stats = sufficient_statistics(df, y, columns, group, centre, by)
+    rows = stats.limit(MAX_SIZES + 1).collect()
+    m = len(names) + 1
+    if len(rows) > MAX_SIZES:
+        kept = cut_lineage(stats)
+        parts_of = {
+            s: _spark_sums(kept.where(F.col(by) == F.lit(s)) if by else kept, m)
+            for s in (_levels(kept, by) if by else [None])
+        }
+    else:
+        strata = sorted({r[by] for r in rows}) if by else [None] if rows else []
+        parts_of = {
+            s: _local_sums(sorted((r for r in rows if not by or r[by] == s), key=lambda r: r["size"]), m)
+            for s in strata
+        }
     fits = []
-    for stratum in strata:
-        mine = [r for r in rows if not by or r[by] == stratum]
-        fit = _maximise(names, sorted(mine, key=lambda r: r["size"]), centre, reml)
+    for stratum, sums in parts_of.items():
+        fit = _maximise(names, sums, centre, reml)
         fit.stratum = stratum
         fits.append(fit)
     return fits

@@ -183,6 +183,23 @@ def test_mixed_model_against_dense_matrices(spark, reml):
         assert likelihood(other, x, y, g, reml)[0] < ll
 
 
+@pytest.mark.parametrize("reml", [False, True])
+def test_search_on_spark_gives_the_same_fit(spark, monkeypatch, reml):
+    rows = [(i % 17, i % 5, float(20 + (i % 17) ** 1.5 - 0.3 * (i % 5) + (i * 7 % 11) / 5), i % 2 == 0)
+            for i in range(150) if i % 17 < 5 + i % 12]
+    df = spark.createDataFrame(rows, "g int, week int, y double, drug boolean").cache()
+    here = mixed.fit_mixed(df, "y", ["week"], "g", reml=reml, by="drug")
+    monkeypatch.setattr(mixed, "MAX_SIZES", 1)
+    there = mixed.fit_mixed(df, "y", ["week"], "g", reml=reml, by="drug")
+    assert [f.stratum for f in here] == [f.stratum for f in there] == [False, True]
+    for a, b in zip(here, there):
+        np.testing.assert_allclose(a.coef, b.coef, rtol=1e-9)
+        np.testing.assert_allclose(a.cov, b.cov, rtol=1e-8)
+        assert a.loglik == pytest.approx(b.loglik, abs=1e-9)
+        assert a.group_var == pytest.approx(b.group_var, rel=1e-8)
+        assert (a.n_obs, a.n_groups) == (b.n_obs, b.n_groups)
+
+
 def test_no_group_variance_gives_least_squares(spark):
     rows = [(i % 3, float(i), float(2 * i + (-1) ** i)) for i in range(12)]
     df = spark.createDataFrame(rows, "g int, x double, y double")
