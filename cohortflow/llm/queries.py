@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm.bpe import encode_decode
+from cohortflow.llm.jaccard_join import jaccard_groups
 from cohortflow.llm.language import fit_language, language_spans
 from cohortflow.llm.pieces import Vocabulary
 from cohortflow.llm.quality_model import fit_quality, score_quality
 from cohortflow.llm.quality_rules import BASE, PRODUCTION, apply_policy, ledger
 from cohortflow.llm.secrets import secret_spans
+from cohortflow.llm.suffix_dedup import remove_repeats
 from cohortflow.llm.token_counts import token_counts
 from cohortflow.session import configure
 
@@ -52,6 +54,19 @@ def fold(parts: int, held: int) -> Column:
     return F.coalesce(of == held, F.lit(False))
 
 
+@query("op1_suffix_dedup")
+def suffix_dedup(spark: SparkSession, base: str) -> DataFrame:
+    rows = remove_repeats(table(spark, base, "documents"))
+    return rows.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query("op3_jaccard_join")
+def jaccard_join(spark: SparkSession, base: str) -> DataFrame:
+    return jaccard_groups(table(spark, base, "documents"))
+
+
 @query("op5_quality_classifier")
 def quality_classifier(spark: SparkSession, base: str) -> DataFrame:
     docs, labels = table(spark, base, "documents"), table(spark, base, "labels")
