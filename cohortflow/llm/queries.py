@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm.bpe import encode_decode
+from cohortflow.llm.decontaminate import contaminated
 from cohortflow.llm.jaccard_join import jaccard_groups
 from cohortflow.llm.language import fit_language, language_spans
+from cohortflow.llm.line_dedup import MIN_BYTES, MIN_LINES, dedup_lines
 from cohortflow.llm.pieces import Vocabulary
 from cohortflow.llm.quality_model import fit_quality, score_quality
 from cohortflow.llm.quality_rules import BASE, PRODUCTION, apply_policy, ledger
@@ -62,11 +64,58 @@ def suffix_dedup(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+LINES_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS i
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, i) AS place,
+         lead(line, 1) OVER d AS line1, lead(line, {MIN_LINES - 1}) OVER d AS line2
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY place) > 1
+              AND strlen(line) >= {MIN_BYTES} AS single,
+         line2 IS NOT NULL
+           AND row_number() OVER (PARTITION BY line, line1, line2 ORDER BY place) > 1 AS run
+  FROM p
+), g AS (
+  SELECT doc_id, i, line,
+         single OR max(run) OVER (PARTITION BY doc_id ORDER BY i
+                                  ROWS BETWEEN {MIN_LINES - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM r
+), s AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts
+  FROM g
+), k AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         count(*) FILTER (starts) AS n_runs,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_runs, 0) AS n_runs, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, base: str) -> DataFrame:
+    rows = dedup_lines(table(spark, base, "documents"))
+    return rows.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query("op3_jaccard_join")
 def jaccard_join(spark: SparkSession, base: str) -> DataFrame:
     return jaccard_groups(table(spark, base, "documents"))
 
 
+@query("op4_decontamination")
+def decontamination(spark: SparkSession, base: str) -> DataFrame:
+    found = contaminated(table(spark, base, "documents"), table(spark, base, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 @query("op5_quality_classifier")
 def quality_classifier(spark: SparkSession, base: str) -> DataFrame:
     docs, labels = table(spark, base, "documents"), table(spark, base, "labels")

@@ -45,17 +45,19 @@ def map_texts(
     (null texts as None) to one list per field.  Only the named columns are
     read, so other columns may have any name.  An empty frame gives no row.
     """
-    source = docs.select(*keep, text)
+    keep = list(dict.fromkeys(keep))
+    read = keep if text in keep else [*keep, text]
+    source = docs.select(*read)
     schema = T.StructType([*[docs.schema[c] for c in keep], *fields])
     arrow = to_arrow_schema(schema)
-    n_keep = len(keep)
+    n_keep, at_text = len(keep), read.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for whole in batches:
             fn = fn or make()
-            for batch in slices(whole, n_keep):
-                out = fn(batch.column(n_keep).to_pylist())
+            for batch in slices(whole, at_text):
+                out = fn(batch.column(at_text).to_pylist())
                 kept = [batch.column(i).cast(arrow.field(i).type) for i in range(n_keep)]
                 made = [
                     pa.array(v, type=arrow.field(n_keep + i).type) for i, v in enumerate(out)
