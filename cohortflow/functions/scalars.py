@@ -88,3 +88,22 @@ def last_key(day_map: Column | str) -> Column:
 
 def first_key(day_map: Column | str) -> Column:
     return F.array_min(F.map_keys(col(day_map)))
+
+
+def round_tenth(v: Column) -> Column:
+    """One decimal of the binary value, half to even, as Python's round does.
+
+    10 v is the sum of 8 v and 2 v, whose rounding error is known; compared with
+    the odd number between two results, the sum decides, or at a tie its error.
+    """
+    high, low = v * 8.0, v * 2.0
+    s = high + low
+    t = s - high
+    error = (high - (s - t)) + (low - t)
+    whole = F.floor(s).cast("double")
+    below = F.when((s == whole) & (error < 0), whole - 1).otherwise(whole)
+    gap = 2 * s - (2 * below + 1)
+    side = F.when(gap != 0, gap).otherwise(error)
+    even = F.pmod(below, F.lit(2.0))
+    up = F.when(side > 0, F.lit(1.0)).when(side < 0, F.lit(0.0)).otherwise(even)
+    return F.when(F.abs(v) < 1e14, (below + up) / 10.0).otherwise(v)

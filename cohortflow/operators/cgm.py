@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.scalars import VALID_FROM, col, elapsed_days, floor_div, micros, week_index
 from cohortflow.operators.joins import anchored_window, keep_keys
-from cohortflow.operators.ordered import time_chunk
+from cohortflow.operators.ordered import exact_quantiles, time_chunk
 
 # Band limits in mmol/L.
 VERY_LOW, LOW, HIGH, VERY_HIGH, TIGHT_HIGH = 3.0, 3.9, 10.0, 13.9, 7.8
@@ -320,36 +320,21 @@ def agp(
 ) -> DataFrame:
     """Ambulatory glucose profile: percentiles and time in range per time-of-day bin.
 
-    Equal readings are counted first.  A sensor reports steps of 0.01 or 0.1, so
-    the counts per bin are few however many readings a patient has; for values
-    without such steps ask for ``approx``, whose sketch has a fixed size.
+    Percentiles are exact and no state holds the values of a bin; ``approx`` asks
+    for a sketch of fixed size instead.  Rows with a NULL key form no profile.
     """
     g = F.col("glucose")
     seconds = F.pmod(floor_div(micros("ts"), 1_000_000), F.lit(86400))
-    counts = (
-        readings.where(g >= valid_from)
-        .withColumn("bin", floor_div(seconds, bin_minutes * 60).cast("int"))
-        .groupBy(*keys, "bin", "glucose")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    valid = readings.where(g >= valid_from).withColumn(
+        "bin", floor_div(seconds, bin_minutes * 60).cast("int")
     )
-    probs = F.array(*[F.lit(p) for p in AGP_PERCENTILES.values()])
+    by = [*keys, "bin"]
+    in_range = F.avg(g.between(LOW, HIGH).cast("int")).alias("in_range")
     if approx:
-        raw = readings.where(g >= valid_from).withColumn(
-            "bin", floor_div(seconds, bin_minutes * 60).cast("int")
-        )
-        points = raw.groupBy(*keys, "bin").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("glucose", probs, 10000).alias("_p"),
-            F.avg(g.between(LOW, HIGH).cast("int")).alias("in_range"),
-        )
-    else:
-        inside = F.sum(F.when(g.between(LOW, HIGH), F.col("_n")).otherwise(0))
-        points = counts.groupBy(*keys, "bin").agg(
-            F.sum("_n").alias("n"),
-            F.percentile("glucose", probs, F.col("_n")).alias("_p"),
-            (inside / F.sum("_n")).alias("in_range"),
-        )
-    return points.select(
-        *keys, "bin", "n", *[F.col("_p")[i].alias(p) for i, p in enumerate(AGP_PERCENTILES)],
-        "in_range",
-    )
+        probs = F.array(*[F.lit(p) for p in AGP_PERCENTILES.values()])
+        sketch = F.percentile_approx("glucose", probs, 10000).alias("_p")
+        points = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch, in_range)
+        columns = [F.col("_p")[i].alias(p) for i, p in enumerate(AGP_PERCENTILES)]
+        return points.select(*by, "n", *columns, "in_range")
+    points = exact_quantiles(valid, by, "glucose", AGP_PERCENTILES)
+    return points.join(valid.groupBy(*by).agg(in_range), by).select(*by, "n", *AGP_PERCENTILES, "in_range")

@@ -22,17 +22,38 @@ FEATURES = ("mean", "sd", "cv", "TIR", "TBR", "TAR", "lbgi", "hbgi", "MAG", "MAG
 
 
 def fit_clusters(
-    metrics: DataFrame, features: Sequence[str] = FEATURES, k: int = 3, seed: int = 42
+    metrics: DataFrame,
+    features: Sequence[str] = FEATURES,
+    k: int = 3,
+    seed: int = 42,
+    max_iter: int = 100,
+    tol: float = 1e-6,
 ) -> PipelineModel:
-    """Scale the features and fit k-means on the complete patients."""
+    """Scale the features and fit k-means on the complete patients.
+
+    ``fit_report`` tells whether the centres came to rest within ``max_iter``.
+    """
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-        KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed),
+        KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed, maxIter=max_iter, tol=tol),
     ]
     return Pipeline(stages=stages).fit(complete_cases(metrics, features))
 
 
+def fit_report(model: PipelineModel) -> dict[str, object]:
+    """Rounds, convergence and within-cluster sum of squares of a model just fitted."""
+    means = model.stages[-1]
+    if not means.hasSummary:
+        raise ValueError("a loaded model has no report of its fit")
+    summary = means.summary
+    return {
+        "rounds": summary.numIter,
+        "converged": summary.numIter < means.getMaxIter(),
+        "cost": summary.trainingCost,
+    }
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().save(path)
 

@@ -8,8 +8,8 @@ size.  The variance ratio is then found on these p x p matrices.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Generator, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 
@@ -21,24 +21,6 @@ from cohortflow.operators.shape import Z95
 from cohortflow.operators.tails import normal_two_sided
 from cohortflow.session import cut_lineage
 
-# A categorical column adds one coefficient per level, so it cannot have many.
-MAX_LEVELS = 200
-
-
-def _levels(df: DataFrame, name: str) -> list:
-    rows = (
-        df.where(F.col(name).isNotNull())
-        .select(name)
-        .distinct()
-        .orderBy(name)
-        .limit(MAX_LEVELS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{name} has more than {MAX_LEVELS} levels")
-    return [r[0] for r in rows]
-
-
 def _expand(terms: Sequence[str]) -> list[tuple[str, ...]]:
     """``a*b*c`` stands for all main effects and interactions, ``a:b`` for one product."""
     out: list[tuple[str, ...]] = []
@@ -51,19 +33,41 @@ def _expand(terms: Sequence[str]) -> list[tuple[str, ...]]:
     return sorted(unique, key=len)
 
 
-def design_columns(df: DataFrame, terms: Sequence[str]) -> dict[str, Column]:
+Levels = Mapping[str, Sequence]
+
+
+def category_levels(df: DataFrame, terms: Sequence[str], levels: Levels | None = None) -> dict[str, list]:
+    """Levels of each text or flag column of the terms, in order; those not given are read, in one scan.
+
+    A level adds a coefficient, so their number is that of a model's design.
+    """
+    kinds, given = dict(df.dtypes), dict(levels or {})
+    names = dict.fromkeys(v for t in _expand(terms) for v in t)
+    names = [n for n in names if kinds[n] in ("string", "boolean")]
+    wanted = [n for n in names if n not in given]
+    if wanted:
+        found = df.agg(*[F.sort_array(F.collect_set(n)).alias(n) for n in wanted]).first()
+        given |= {n: found[n] for n in wanted}
+    return {n: list(given[n]) for n in names}
+
+
+def design_columns(
+    df: DataFrame, terms: Sequence[str], levels: Levels | None = None
+) -> dict[str, Column]:
     """Design columns by name: numbers as they are, text and flags as 0/1 columns.
 
-    The reference level of a category is the lowest in code-point order.
+    The reference level of a category is the first one, if they are read the
+    lowest in code-point order.  A value that is no level has NULL columns.
     """
-    kinds = dict(df.dtypes)
+    kinds, known = dict(df.dtypes), category_levels(df, terms, levels)
 
     def coded(name: str) -> list[tuple[str, Column]]:
         if kinds[name] not in ("string", "boolean"):
             return [(name, F.col(name).cast("double"))]
+        listed = F.col(name).isin(known[name])
         return [
-            (f"{name}={lev}", F.when(F.col(name).isNotNull(), (F.col(name) == F.lit(lev)).cast("double")))
-            for lev in _levels(df, name)[1:]
+            (f"{name}={lev}", F.when(listed, (F.col(name) == F.lit(lev)).cast("double")))
+            for lev in known[name][1:]
         ]
 
     codes = {v: coded(v) for v in {v for t in _expand(terms) for v in t}}
@@ -87,7 +91,11 @@ def design(df: DataFrame, terms: Sequence[str], keep: Sequence[str] = ()) -> Dat
 
 @dataclass
 class MixedFit:
-    """Estimates of one model; every field has the size of the design, not of the data."""
+    """Estimates of one model; every field has the size of the design, not of the data.
+
+    ``levels`` are those of the categories at the fit, ``group_sizes`` the least,
+    mean and greatest number of rows of a group.
+    """
 
     names: list[str]
     coef: np.ndarray
@@ -98,6 +106,10 @@ class MixedFit:
     n_obs: int
     n_groups: int
     stratum: object = None
+    model: str = ""
+    levels: dict[str, list] = field(default_factory=dict)
+    group_sizes: tuple[int, float, int] = (0, 0.0, 0)
+    converged: bool = True
 
     @property
     def aic(self) -> float:
@@ -161,69 +173,66 @@ def _matrix(row, letter: str, m: int) -> np.ndarray:
     return out
 
 
-# Up to this many rows of sufficient statistics are searched on the driver.
-MAX_SIZES = 10_000
+# Variance ratios that one job of the search looks at.
+POINTS = 256
+Part = tuple[np.ndarray, np.ndarray, float, float]
 
 
 @dataclass
-class _Sums:
-    """What the likelihood needs: totals, and per variance ratio four weighted sums."""
-
+class _Totals:
     within: np.ndarray
     n_obs: float
     n_groups: float
-    evaluate: Callable[[Sequence[float]], list[tuple[np.ndarray, np.ndarray, float, float]]]
-
-
-def _local_sums(rows: Sequence, m: int) -> _Sums:
-    sizes = np.array([r["size"] for r in rows], dtype=float)
-    groups = np.array([r["groups"] for r in rows], dtype=float)
-    between = np.array([_matrix(r, "b", m) for r in rows])
-
-    def evaluate(thetas):
-        out = []
-        for theta in thetas:
-            grown = 1.0 + sizes * theta
-            out.append(
-                (
-                    np.tensordot(theta / grown, between, axes=1),
-                    np.tensordot(1.0 / grown**2, between, axes=1),
-                    float(groups @ np.log(grown)),
-                    float(groups @ (sizes / grown)),
-                )
-            )
-        return out
-
-    within = sum(_matrix(r, "w", m) for r in rows)
-    return _Sums(within, float(sizes @ groups), float(groups.sum()), evaluate)
+    sizes: tuple[int, float, int]
 
 
-def _spark_sums(stats: DataFrame, m: int) -> _Sums:
-    """The same sums as Spark jobs, for more group sizes than the driver should hold."""
+def _totals(stats: DataFrame, by: str, m: int) -> dict[object, _Totals]:
+    """Sums of the sufficient statistics over all group sizes, per stratum."""
     cells = [f"{i}_{j}" for i in range(m) for j in range(i, m)]
-    size, groups, theta = F.col("size"), F.col("groups"), F.col("theta")
-    total = stats.agg(
+    size, groups = F.col("size"), F.col("groups")
+    rows = stats.groupBy(by).agg(
         F.sum(size * groups).alias("n_obs"),
         F.sum(groups).alias("n_groups"),
+        F.min(size).alias("least"),
+        F.max(size).alias("most"),
         *[F.sum(f"w_{c}").alias(f"w_{c}") for c in cells],
-    ).first()
-    grown = 1.0 + size * theta
-
-    def evaluate(thetas):
-        at = F.posexplode(F.array(*[F.lit(float(t)) for t in thetas])).alias("at", "theta")
-        sums = stats.select("*", at).groupBy("at").agg(
-            F.sum(groups * F.ln(grown)).alias("log_v"),
-            F.sum(groups * size / grown).alias("slope_v"),
-            *[F.sum(theta / grown * F.col(f"b_{c}")).alias(f"k_{c}") for c in cells],
-            *[F.sum(F.col(f"b_{c}") / (grown * grown)).alias(f"d_{c}") for c in cells],
+    )
+    return {
+        r[by]: _Totals(
+            _matrix(r, "w", m),
+            float(r["n_obs"]),
+            float(r["n_groups"]),
+            (r["least"], r["n_obs"] / r["n_groups"], r["most"]),
         )
-        rows = sorted(sums.collect(), key=lambda r: r["at"])
-        return [(_matrix(r, "k", m), _matrix(r, "d", m), r["log_v"], r["slope_v"]) for r in rows]
+        for r in rows.collect()
+    }
 
-    return _Sums(_matrix(total, "w", m), float(total["n_obs"]), float(total["n_groups"]), evaluate)
 
+def _evaluate(
+    stats: DataFrame, by: str, m: int, asked: Sequence[tuple[object, float]]
+) -> list[Part]:
+    """The likelihood's four weighted sums for pairs of stratum and variance ratio, in one job."""
+    cells = [f"{i}_{j}" for i in range(m) for j in range(i, m)]
+    kind = stats.schema[by].dataType.simpleString()
+    requests = stats.sparkSession.createDataFrame(
+        [(k, s, float(t)) for k, (s, t) in enumerate(asked)], f"at int, {by} {kind}, theta double"
+    )
+    size, groups, theta = F.col("size"), F.col("groups"), F.col("theta")
+    grown = 1.0 + size * theta
+    sums = stats.join(requests, by).groupBy("at").agg(
+        F.sum(groups * F.ln(grown)).alias("log_v"),
+        F.sum(groups * size / grown).alias("slope_v"),
+        *[F.sum(theta / grown * F.col(f"b_{c}")).alias(f"k_{c}") for c in cells],
+        *[F.sum(F.col(f"b_{c}") / (grown * grown)).alias(f"d_{c}") for c in cells],
+    )
+    rows = sorted(sums.collect(), key=lambda r: r["at"])
+    return [(_matrix(r, "k", m), _matrix(r, "d", m), r["log_v"], r["slope_v"]) for r in rows]
 
-def _maximise(names: list[str], sums: _Sums, centre: Sequence[float], reml: bool) -> MixedFit:
+
+def _maximise(
+    names: list[str], sums: _Totals, centre: Sequence[float], reml: bool
+) -> Generator[Sequence[float], list[Part], MixedFit]:
+    """The fit of one model; asks for the sums at some variance ratios and goes on with them."""
     p = len(names)
     diagonal = np.sqrt(np.diag(sums.within)[:p])
     scaled = sums.within[:p, :p] / np.outer(diagonal, diagonal) if (diagonal > 0).all() else None
@@ -246,11 +255,12 @@ def _maximise(names: list[str], sums: _Sums, centre: Sequence[float], reml: bool
             slope += 0.5 * np.trace(np.linalg.solve(a, change[:p, :p]))
         return ll, slope, beta, scale, a
 
-    def at(thetas: Sequence[float]) -> list[tuple]:
-        return [solve(t, part) for t, part in zip(thetas, sums.evaluate(thetas))]
+    def at(thetas: Sequence[float]):
+        parts = yield thetas
+        return [solve(t, part) for t, part in zip(thetas, parts)]
 
     grid = np.concatenate([[0.0], 10.0 ** np.arange(-6, 6.01, 0.125)])
-    found = at(grid)
+    found = yield from at(grid)
     best = int(np.argmax([f[0] for f in found]))
     low, high = max(best - 1, 0), min(best + 1, len(grid) - 1)
     lo, hi = float(grid[low]), float(grid[high])
@@ -258,68 +268,113 @@ def _maximise(names: list[str], sums: _Sums, centre: Sequence[float], reml: bool
         hi = lo
     elif found[high][1] >= 0:
         lo = hi
-    # The slope changes its sign inside: sixteen points narrow the interval at a time.
+    # The slope changes its sign inside: every job narrows the interval by so many points.
     while hi - lo > 1e-14 * hi:
-        points = np.linspace(lo, hi, 18)
+        points = np.linspace(lo, hi, POINTS + 2)
         if not (np.diff(points) > 0).all():
             break
-        falling = [f[1] <= 0 for f in at(points[1:-1])]
-        k = falling.index(True) + 1 if any(falling) else 17
+        inner = yield from at(points[1:-1])
+        falling = [f[1] <= 0 for f in inner]
+        k = falling.index(True) + 1 if any(falling) else POINTS + 1
         lo, hi = float(points[k - 1]), float(points[k])
     theta = 0.5 * (lo + hi)
-    ll, _, beta, scale, a = at([theta])[0]
+    last = yield from at([theta])
+    ll, _, beta, scale, a = last[0]
     # Undo the centring: only the intercept changes.
     back = np.eye(p)
     back[0, 1:] = -np.asarray(centre[:-1])
     coef = back @ beta
     coef[0] += centre[-1]
     cov = back @ (scale * np.linalg.inv(a)) @ back.T
+    # At the end of the grid the likelihood still rises, and no ratio was found.
+    converged = bool(theta < grid[-1])
     return MixedFit(
-        names, coef, cov, float(theta * scale), float(scale), float(ll), int(sums.n_obs), int(sums.n_groups)
+        names,
+        coef,
+        cov,
+        float(theta * scale),
+        float(scale),
+        float(ll),
+        int(sums.n_obs),
+        int(sums.n_groups),
+        group_sizes=sums.sizes,
+        converged=converged,
     )
 
 
-def fit_mixed(
+def fit_formulas(
     df: DataFrame,
     y: str,
-    terms: Sequence[str],
+    formulas: Mapping[str, Sequence[str]],
     group: str,
     reml: bool = False,
     by: str | None = None,
+    levels: Levels | None = None,
 ) -> list[MixedFit]:
-    """Fit y on the terms with a random intercept per group, one model per stratum.
+    """Fit several formulas on the rows that are complete for all of them, per stratum.
 
-    Two jobs run: column means, then the sufficient statistics.  Their result has
-    one row per stratum and distinct group size; in a weekly frame a size is at
-    most the number of weeks.  With more rows than the driver should hold, the
-    search over the variance ratio runs on Spark as well.
+    The rows are read for the levels of categories that are not given, for the
+    column means and once for the sufficient statistics of all design columns
+    together, which are written: one row per stratum and distinct group size.
+    The search over the variance ratio runs on them, all models in one job a
+    round, at any number of sizes.
     """
-    columns = design_columns(df, terms)
-    names = ["Intercept", *columns]
+    terms = list(dict.fromkeys(t for f in formulas.values() for t in f))
+    known = category_levels(df, terms, levels)
+    columns = design_columns(df, terms, known)
+    every = ["Intercept", *columns]
     parts = [*columns.values(), F.col(y).cast("double")]
     means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(parts)]).first()
     centre = [float(v) if v is not None else 0.0 for v in means]
-    stats = sufficient_statistics(df, y, columns, group, centre, by)
-    rows = stats.limit(MAX_SIZES + 1).collect()
-    m = len(names) + 1
-    if len(rows) > MAX_SIZES:
-        kept = cut_lineage(stats)
-        parts_of = {
-            s: _spark_sums(kept.where(F.col(by) == F.lit(s)) if by else kept, m)
-            for s in (_levels(kept, by) if by else [None])
-        }
-    else:
-        strata = sorted({r[by] for r in rows}) if by else [None] if rows else []
-        parts_of = {
-            s: _local_sums(sorted((r for r in rows if not by or r[by] == s), key=lambda r: r["size"]), m)
-            for s in strata
-        }
-    fits = []
-    for stratum, sums in parts_of.items():
-        fit = _maximise(names, sums, centre, reml)
-        fit.stratum = stratum
-        fits.append(fit)
-    return fits
+    source, stratum = (df, by) if by else (df.withColumn("_all", F.lit(0)), "_all")
+    stats = cut_lineage(sufficient_statistics(source, y, columns, group, centre, stratum))
+    m = len(every) + 1
+    totals = _totals(stats, stratum, m)
+    own = {f: ["Intercept", *design_columns(df, t, known)] for f, t in formulas.items()}
+    place = {f: [*[every.index(n) for n in names], m - 1] for f, names in own.items()}
+    fits: dict[tuple, MixedFit] = {}
+    searches: dict[tuple, Generator] = {}
+    asked: dict[tuple, Sequence[float]] = {}
+
+    def advance(key: tuple, parts: list[Part] | None) -> None:
+        try:
+            asked[key] = searches[key].send(parts)
+        except StopIteration as done:
+            asked.pop(key, None)
+            fits[key] = done.value
+
+    for s in sorted(totals):
+        for f, names in own.items():
+            at = place[f]
+            sums = totals[s]
+            mine = _Totals(sums.within[np.ix_(at, at)], sums.n_obs, sums.n_groups, sums.sizes)
+            middle = [centre[i - 1] for i in at[1:]]
+            searches[s, f] = _maximise(names, mine, middle, reml)
+            advance((s, f), None)
+    while asked:
+        now = list(asked.items())
+        found = iter(_evaluate(stats, stratum, m, [(s, t) for (s, _), ts in now for t in ts]))
+        for (s, f), ts in now:
+            cut = np.ix_(place[f], place[f])
+            advance((s, f), [(k[cut], d[cut], lv, sv) for k, d, lv, sv in (next(found) for _ in ts)])
+    for (s, f), fit in fits.items():
+        fit.stratum, fit.model = (s if by else None), f
+        used = {v for t in _expand(formulas[f]) for v in t}
+        fit.levels = {n: v for n, v in known.items() if n in used}
+    return [fits[s, f] for f in formulas for s in sorted(totals)]
+
+
+def fit_mixed(
+    df: DataFrame,
+    y: str,
+    terms: Sequence[str],
+    group: str,
+    reml: bool = False,
+    by: str | None = None,
+    levels: Levels | None = None,
+) -> list[MixedFit]:
+    """Fit y on the terms with a random intercept per group, one model per stratum."""
+    return fit_formulas(df, y, {"": terms}, group, reml, by, levels)
 
 
 def coefficients(spark: SparkSession, fits: Sequence[MixedFit], by: str | None = None) -> DataFrame:
@@ -351,21 +406,34 @@ def mixed_lm_by(
 
 
 def compare_models(
-    df: DataFrame, y: str, formulas: dict[str, Sequence[str]], group: str
+    df: DataFrame, y: str, formulas: Mapping[str, Sequence[str]], group: str
 ) -> DataFrame:
-    """Maximum-likelihood fits of several formulas with their AIC."""
-    rows = []
-    for name, terms in formulas.items():
-        for f in fit_mixed(df, y, terms, group, reml=False):
-            rows.append((name, f.n_obs, f.n_groups, f.group_var, f.scale, f.loglik, f.aic))
+    """Maximum-likelihood fits of several formulas with their AIC, on the rows complete for all of them."""
+    rows = [
+        (f.model, f.n_obs, f.n_groups, f.group_var, f.scale, f.loglik, f.aic)
+        for f in fit_formulas(df, y, formulas, group)
+    ]
     return df.sparkSession.createDataFrame(rows, "model string, " + SUMMARY_SCHEMA)
 
 
+def group_report(spark: SparkSession, fits: Sequence[MixedFit]) -> DataFrame:
+    """Groups of each model with their least, mean and greatest size, and convergence."""
+    rows = [(f.model, str(f.stratum), f.n_groups, *f.group_sizes, f.converged) for f in fits]
+    return spark.createDataFrame(
+        [(m, s, n, int(lo), float(mean), int(hi), c) for m, s, n, lo, mean, hi, c in rows],
+        "model string, stratum string, n_groups bigint, least bigint, mean double, most bigint, converged boolean",
+    )
+
+
 def predict_mixed(
     df: DataFrame, terms: Sequence[str], fit: MixedFit, name: str = "predicted"
 ) -> DataFrame:
-    """Fixed-effect prediction per row, as one column expression."""
-    columns = design_columns(df, terms)
+    """Fixed-effect prediction per row, as one column expression.
+
+    Categories have the levels of the fit, on whatever rows; a value that the fit
+    hasn't seen gives NULL.
+    """
+    columns = design_columns(df, terms, fit.levels)
     parts = [F.lit(float(fit.coef[0]))]
     parts += [F.lit(float(b)) * columns[n] for n, b in zip(fit.names[1:], fit.coef[1:])]
     return df.withColumn(name, reduce(lambda a, b: a + b, parts))

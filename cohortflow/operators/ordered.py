@@ -18,6 +18,8 @@ from cohortflow.functions.scalars import col, floor_div, micros
 # Width of a value band: bands grow by 0.5 % of the value.
 BANDS_PER_E = 200
 BAND_OFFSET = 1_000_000
+# Equal parts that a band with a wanted position is cut into.
+PARTS = 1024
 
 
 def time_chunk(ts: Column | str, seconds: int = 3600) -> Column:
@@ -119,9 +121,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 
-    Values are counted, the counts are summed per band, and only the bands that
-    hold a wanted position are put in order.  No task sees a whole group, so the
-    number of distinct values may grow with the data.  ``n`` counts the values.
+    Values are counted, the counts are summed per band, then per part of the
+    bands that hold a wanted position, and only such parts are put in order.  No
+    task sees a whole group or band, so the number of distinct values may grow
+    with the data.  ``n`` counts the values.
     """
     src, by = df.where(F.col(value).isNotNull()), list(keys)
     src = reduce(lambda d, k: d.where(F.col(k).isNotNull()), by, src)
@@ -134,7 +137,7 @@ def exact_quantiles(
     whole = Window.partitionBy(*by)
     bands = (
         counts.groupBy(*by, "_band")
-        .agg(F.sum("_n").alias("_m"))
+        .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_before", F.sum("_m").over(along) - F.col("_m"))
         .withColumn("n", F.sum("_m").over(whole))
     )
@@ -148,11 +151,23 @@ def exact_quantiles(
 
     end = F.col("_before") + F.col("_m")
     hit = [inside(F.col("_before"), end, p, up) for p in probs.values() for up in (False, True)]
-    wanted = bands.where(reduce(lambda a, b: a | b, hit)).drop("_m")
-    upto = Window.partitionBy(*by, "_band").orderBy("_v")
+    wanted = reduce(lambda a, b: a | b, hit)
+    width = F.col("_hi") - F.col("_lo")
+    place = F.floor((F.col("_v") - F.col("_lo")) / width * PARTS)
+    part = F.when(width > 0, F.least(place, F.lit(PARTS - 1))).otherwise(0).cast("int")
+    held = counts.join(bands.where(wanted).drop("_m"), [*by, "_band"]).withColumn("_part", part)
+    inner = Window.partitionBy(*by, "_band").orderBy("_part")
+    parts = (
+        held.groupBy(*by, "_band", "_part", "_before", "n")
+        .agg(F.sum("_n").alias("_m"))
+        .withColumn("_before", F.col("_before") + F.sum("_m").over(inner) - F.col("_m"))
+        .where(wanted)
+        .select(*by, "_band", "_part", F.col("_before").alias("_start"))
+    )
+    upto = Window.partitionBy(*by, "_band", "_part").orderBy("_v")
     near = (
-        counts.join(wanted, [*by, "_band"])
-        .withColumn("_to", F.col("_before") + F.sum("_n").over(upto))
+        held.join(parts, [*by, "_band", "_part"])
+        .withColumn("_to", F.col("_start") + F.sum("_n").over(upto))
         .withColumn("_from", F.col("_to") - F.col("_n"))
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.scalars import VALID_FROM, count_below, first_key, last_key
+from cohortflow.functions.scalars import VALID_FROM, count_below, first_key, last_key, round_tenth
 
 # Fixed value: up to this many keys after the old end are normal late arrival.
 TAIL_MIN = 3
@@ -36,7 +36,7 @@ def snapshot_delta(pairs: DataFrame, limit: float = VALID_FROM) -> DataFrame:
 
 def _boxed(m: Column) -> Column:
     """Values rounded to one decimal, each in a struct, so a NULL value differs from no key."""
-    return F.transform_values(m, lambda _, v: F.struct(F.bround(v, 1).alias("v")))
+    return F.transform_values(m, lambda _, v: F.struct(round_tenth(v).alias("v")))
 
 
 def _zipped(old: str, new: str) -> Column:

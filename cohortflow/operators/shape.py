@@ -69,7 +69,7 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def profile(df: DataFrame, name: str, band: Column | None = None) -> DataFrame:
-    """Count, mean, extremes and quartiles of a number, exact at any size."""
+    """Count, mean, extremes and quartiles of a number, exact at any size; n is 0 without any."""
     numbers = df.select(F.col(name).cast("double").alias("_x"))
     basic = numbers.agg(
         F.count("_x").alias("n"),
@@ -77,7 +77,7 @@ def profile(df: DataFrame, name: str, band: Column | None = None) -> DataFrame:
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
     )
-    return basic.join(exact_quantiles(numbers, [], "_x", QUARTILES, band), "n")
+    return basic.join(exact_quantiles(numbers, [], "_x", QUARTILES, band), "n", "left")
 
 
 def profile_time(df: DataFrame, ts: str) -> DataFrame:
@@ -167,13 +167,17 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
 
 
 def explode_day_map(df: DataFrame, date: str, name: str) -> DataFrame:
-    """Day maps to readings (date, time, glucose, ts), missing values dropped."""
+    """Day maps to readings (date, time, glucose, ts), missing values dropped.
+
+    A key may have a suffix after ``_`` that parts readings of one instant.
+    """
     long = df.withColumn("_d", F.to_date(date)).select(
         *[c for c in df.columns if c not in (name, date)],
         F.col("_d").alias("date"),
         F.explode(name).alias("time", "glucose"),
     )
-    when = F.concat_ws(" ", F.col("date").cast("string"), F.col("time"))
+    clock = F.substring_index("time", "_", 1)
+    when = F.concat_ws(" ", F.col("date").cast("string"), clock)
     return long.where(F.col("glucose").isNotNull()).withColumn("ts", when.try_cast("timestamp"))
 
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,27 @@ from cohortflow.operators.shape import Z95
 from cohortflow.operators.tails import chi2_one_p, normal_two_sided
 from cohortflow.session import cut_lineage
 
-# Distinct times are cut into stretches of this many time units.
-STRETCH = 256
+# Distinct times of a piece; beyond MOST_PIECES the pieces grow instead.
+PIECE = 4096
+MOST_PIECES = 1000
 
 
-def _stretch(t: str) -> Column:
-    return F.floor(F.col(t) / STRETCH).cast("bigint")
+def in_pieces(df: DataFrame, t: str) -> DataFrame:
+    """Add ``_piece``, which cuts the distinct times into nearly equal pieces in order.
+
+    The cuts are approximate quantiles of the distinct times, so the unit of time
+    doesn't matter.  ``df`` is read twice here and should be written before.
+    """
+    times = df.where(F.col(t).isNotNull()).select(F.col(t).cast("double").alias("_t")).distinct()
+    pieces = min(MOST_PIECES, max(1, -(-times.count() // PIECE)))
+    probs = [i / pieces for i in range(1, pieces)]
+    cuts = sorted(set(times.approxQuantile("_t", probs, 0.2 / pieces))) if probs else []
+    if not cuts:
+        return df.withColumn("_piece", F.lit(0).cast("bigint"))
+    splits = [-math.inf, *cuts, math.inf]
+    place = Bucketizer(splits=splits, inputCol="_t", outputCol="_bucket", handleInvalid="keep")
+    placed = place.transform(df.withColumn("_t", F.col(t).cast("double")))
+    return placed.withColumn("_piece", F.col("_bucket").cast("bigint")).drop("_t", "_bucket")
 
 
 def rebound_events(
@@ -60,13 +76,14 @@ def df_known(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _life_table(df: DataFrame, t: str, e: str, by: Sequence[str]) -> DataFrame:
-    """Events and patients at risk per distinct time; ties collapse before any ordering."""
+    """Events and patients at risk per distinct time, with the time's piece; ties collapse before any ordering."""
     counts = (
         df_known(df, [t, e, *by])
         .groupBy(*by, t)
         .agg(F.count(F.lit(1)).alias("leaving"), F.sum(F.col(e).cast("bigint")).alias("events"))
     )
-    return running_totals(counts, by, t, {"at_risk": "leaving"}, _stretch(t), descending=True)
+    placed = in_pieces(cut_lineage(counts), t)
+    return running_totals(placed, by, t, {"at_risk": "leaving"}, F.col("_piece"), descending=True)
 
 
 def kaplan_meier(
@@ -82,7 +99,7 @@ def kaplan_meier(
         .withColumn("_end", (~alive).cast("bigint"))
     )
     totals = {"_log_s": "_log", "_var": "_green", "_gone": "_end"}
-    curve = running_totals(steps, by, t, totals, _stretch(t))
+    curve = running_totals(steps, by, t, totals, F.col("_piece"))
     s = F.when(F.col("_gone") > 0, 0.0).otherwise(F.exp("_log_s"))
     inside = (F.col("_gone") == 0) & (F.col("_log_s") < 0)
     width = F.try_divide(Z95 * F.sqrt("_var"), F.col("_log_s"))
@@ -121,7 +138,8 @@ def logrank(
             F.sum(event * one).alias("d1"),
         )
     )
-    risk = running_totals(counts, [], t, {"n": "c", "n1": "c1"}, _stretch(t), descending=True)
+    placed = in_pieces(cut_lineage(counts), t)
+    risk = running_totals(placed, [], t, {"n": "c", "n1": "c1"}, F.col("_piece"), descending=True)
     n, n1, d = (F.col(c).cast("double") for c in ("n", "n1", "d"))
     expected = d * n1 / n
     variance = F.when(n > 1, d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1)).otherwise(0.0)
@@ -180,12 +198,11 @@ def _tie_sums(z: Column, d: Column) -> tuple[Column, Column, Column]:
 
 
 def _cox_step(
-    rows: DataFrame, beta: np.ndarray, ties: str, few_times: bool = False
+    rows: DataFrame, beta: np.ndarray, ties: str
 ) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, gradient and information at beta: one job, one result row.
 
-    With few distinct times one window over them makes the risk sums; otherwise
-    they are made stretch by stretch.
+    The risk sums are made piece by piece of the distinct times.
     """
     p = len(beta)
     cells = [(i, j) for i in range(p) for j in range(i, p)]
@@ -200,7 +217,7 @@ def _cox_step(
     per_time = (
         rows.withColumn("eta", eta)
         .withColumn("r", m * F.exp("eta"))
-        .groupBy("t")
+        .groupBy("t", "_piece")
         .agg(
             *[F.sum(c).alias(f"_{k}") for k, c in sums.items()],
             *[F.sum(c).alias(f"_{k}") for k, c in dead.items()],
@@ -209,9 +226,8 @@ def _cox_step(
             *[F.sum(F.when(event, m * x[i]).otherwise(0.0)).alias(f"s{i}") for i in range(p)],
         )
     )
-    stretch = None if few_times else _stretch("t")
     risk = running_totals(
-        per_time, [], "t", {k: f"_{k}" for k in sums}, stretch, descending=True
+        per_time, [], "t", {k: f"_{k}" for k in sums}, F.col("_piece"), descending=True
     ).where("deaths > 0")
     n = F.col("deaths")
     total = F.col("r")
@@ -253,9 +269,6 @@ def _cox_step(
     return row["ll"], np.array([row[f"g{i}"] for i in range(p)]), info
 
 
-# Up to this many distinct times are ordered in one task.
-FEW_TIMES = 50_000
-
 COX_SCHEMA = (
     "term string, coef double, hazard_ratio double, se double, z double, p double, "
     "ci_lo double, ci_hi double, loglik double, converged boolean"
@@ -273,9 +286,9 @@ def cox_ph(
 ) -> DataFrame:
     """Proportional-hazards regression by Newton steps, one Spark job each.
 
-    A step groups by time and runs the risk sums over the distinct times, whose
-    number is checked first; one row of sums reaches the driver.  Equal rows are
-    merged into counts beforehand.
+    A step groups by time and runs the risk sums over pieces of the distinct
+    times; one row of sums reaches the driver.  Equal rows are merged into counts
+    beforehand.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError(f"unknown ties {ties}")
@@ -291,17 +304,16 @@ def cox_ph(
         .groupBy("t", "e", *names)
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    kept = cut_lineage(merged)
+    kept = in_pieces(cut_lineage(merged), "t")
     means = kept.agg(*[F.avg(n).alias(n) for n in names]).first()
     rows = kept.withColumns({n: F.col(n) - F.lit(means[n] or 0.0) for n in names})
-    few = kept.select("t").distinct().limit(FEW_TIMES + 1).count() <= FEW_TIMES
     beta = np.zeros(p)
-    ll, gradient, info = _cox_step(rows, beta, ties, few)
+    ll, gradient, info = _cox_step(rows, beta, ties)
     converged = False
     for _ in range(max_iter):
         step = np.linalg.solve(info, gradient)
         for _ in range(10):
-            new = _cox_step(rows, beta + step, ties, few)
+            new = _cox_step(rows, beta + step, ties)
             if math.isfinite(new[0]) and new[0] >= ll - 1e-12 * abs(ll):
                 break
             step = step / 2

@@ -9,9 +9,6 @@ from cohortflow.functions.scalars import fmt_fixed
 from cohortflow.operators.ordered import exact_quantiles, running_totals, value_band
 from cohortflow.operators.tails import normal_p, signed_rank_p
 
-# Fixed value: largest sample for which the exact distribution is used.
-EXACT_UPTO = 50
-
 
 def pair_up(
     melted: DataFrame, key: str, by: str, seq: str = "seq", labels: tuple[str, str] = ("first", "last")
@@ -61,30 +58,35 @@ def signed_ranks(pairs: DataFrame, by: str, a: str = "a", b: str = "b") -> DataF
 
 
 def wilcoxon(
-    pairs: DataFrame, by: str, a: str = "a", b: str = "b", exact_upto: int = EXACT_UPTO
+    pairs: DataFrame, by: str, a: str = "a", b: str = "b", method: str = "normal"
 ) -> DataFrame:
     """Paired test per metric: rank sums, z, p and its text, medians of both sides.
 
-    Zero differences are dropped and ties share the average rank.  p is exact for
-    up to ``exact_upto`` pairs without ties or zeros, else normal with the tie
-    correction; it is 1 where every difference is zero.
+    Zero differences are dropped and ties share the average rank.  p is normal
+    with the tie correction, at any size.  ``method="exact"`` takes the exact
+    distribution instead for a metric without ties and zeros (``exact`` tells
+    which); its work grows with the cube of the pairs.  p is 1 where every
+    difference is zero.
     """
+    if method not in ("normal", "exact"):
+        raise ValueError(f"unknown method {method}")
     sums = signed_ranks(pairs, by, a, b)
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     w = F.least("w_plus", "w_minus")
-    exact = (F.col("n") <= exact_upto) & (F.col("tie_term") == 0) & (F.col("n") == F.col("n_pairs"))
+    exact = F.lit(method == "exact") & (F.col("tie_term") == 0) & (F.col("n") == F.col("n_pairs"))
     tested = (
         sums.withColumn("w", w)
         .withColumn("z", F.try_divide(w - mean, F.sqrt(F.greatest(variance, F.lit(0.0)))))
         .withColumn("exact", exact)
     )
-    # Both probabilities are cheap here: the frame has one row per metric.
-    capped = F.least(F.col("n"), F.lit(exact_upto))
+    # The frame has one row per metric; metrics tested otherwise pass 0 pairs.
+    asked = F.when(F.col("exact"), F.col("n")).otherwise(F.lit(0))
+    own = signed_rank_p(asked, F.col("w")) if method == "exact" else F.lit(None).cast("double")
     tested = (
         tested.withColumn("_normal", normal_p(F.col("z")))
-        .withColumn("_exact", signed_rank_p(capped, F.col("w")))
+        .withColumn("_exact", own)
         .withColumn(
             "p",
             F.when(F.col("n") == 0, 1.0)

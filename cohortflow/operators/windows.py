@@ -3,28 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.operators.ordered import dense_positions
-
 
 def seq_ranks(
     df: DataFrame, keys: Sequence[str], order: str, chunk: Column | None = None
 ) -> DataFrame:
     """Dense rank from the first and from the last value of ``order``.
 
-    Without a chunk the frame must hold a bounded number of rows per key, as the
-    weekly frames do (one row per calendar week).  Raw measurements pass a chunk,
-    so the rows of one key are ranked by many tasks.
+    Rows with a NULL order or a NULL key stay and have NULL ranks.  Without a
+    chunk the frame must hold a bounded number of rows per key, as the weekly
+    frames do (one row per calendar week).  Raw measurements pass a chunk, which
+    grows with the order: rows are ranked inside it, and its offset and size,
+    one row per key and chunk, make the rank of the key.
     """
-    if chunk is not None:
-        return df.join(dense_positions(df, keys, order, chunk), [*keys, order])
-    up = Window.partitionBy(*keys).orderBy(order)
-    down = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("seq_asc", F.dense_rank().over(up)).withColumn(
-        "seq_desc", F.dense_rank().over(down)
+    ranked_by = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, order]])
+    by = list(keys) if chunk is None else [*keys, "_chunk"]
+    up = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last()))
+    down = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(order).desc_nulls_last()))
+    if chunk is None:
+        return df.withColumns(
+            {"seq_asc": F.when(ranked_by, up), "seq_desc": F.when(ranked_by, down)}
+        )
+    inside = df.withColumn("_chunk", chunk).withColumns({"_up": up, "_down": down})
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    sizes = inside.where(ranked_by).groupBy(*by).agg(F.max("_up").cast("bigint").alias("_size"))
+    sizes = sizes.withColumns(
+        {
+            "_upto": F.sum("_size").over(along),
+            "_all": F.sum("_size").over(Window.partitionBy(*keys)),
+        }
+    )
+    asc = F.col("_upto") - F.col("_size") + F.col("_up")
+    desc = F.col("_all") - F.col("_upto") + F.col("_down")
+    return (
+        inside.join(sizes, by, "left")
+        .withColumns({"seq_asc": F.when(ranked_by, asc), "seq_desc": F.when(ranked_by, desc)})
+        .select(*df.columns, "seq_asc", "seq_desc")
     )
 
 

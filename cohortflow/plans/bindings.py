@@ -6,7 +6,7 @@ clinical meaning.  Every frame covers its whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.scalars import bmi, elapsed_days, floor_div, week_index
@@ -40,21 +40,26 @@ def daily(spark: SparkSession, base: str) -> DataFrame:
     return daily_summary(readings(spark, base))
 
 
-def per_key(df: DataFrame, keys: list[str | Column], time: Column, value: Column) -> DataFrame:
-    """Maps of the newest value per time key.
+def time_key(*before: Column) -> Column:
+    """Time of day to the microsecond; readings of one instant but the first add their id."""
+    same = Window.partitionBy("patient_id", "ts").orderBy("reading_id")
+    text = F.concat_ws(" ", *before, F.date_format("ts", "HH:mm:ss.SSSSSS"))
+    later = F.concat_ws("_", text, F.col("reading_id").cast("string"))
+    return F.when(F.row_number().over(same) == 1, text).otherwise(later)
 
-    Keys are seconds of a day or of a week, so a map has at most 604,800 entries.
-    """
-    newest = df.groupBy(*keys, time.alias("k")).agg(F.max_by(value, "reading_id").alias("v"))
-    names = [c for c in newest.columns if c not in ("k", "v")]
-    return newest.groupBy(*names).agg(
+
+def per_key(df: DataFrame, keys: list[str | Column], time: Column, value: Column) -> DataFrame:
+    """Maps from time keys to values, one entry per reading."""
+    rows = df.select(*keys, time.alias("k"), value.alias("v"))
+    names = [c for c in rows.columns if c not in ("k", "v")]
+    return rows.groupBy(*names).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("daily_data")
     )
 
 
 def day_maps(spark: SparkSession, base: str) -> DataFrame:
     rows = readings(spark, base).withColumn("date", F.to_date("ts"))
-    maps = per_key(rows, ["patient_id", "date"], F.date_format("ts", "HH:mm:ss"), F.col("glucose"))
+    maps = per_key(rows, ["patient_id", "date"], time_key(), F.col("glucose"))
     record = F.concat_ws("_", F.col("patient_id").cast("string"), F.col("date").cast("string"))
     return maps.select(record.alias("id"), "patient_id", "date", "daily_data")
 
@@ -93,7 +98,7 @@ def _week_records(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _snapshot(rows: DataFrame, value: Column) -> DataFrame:
-    key = F.concat_ws(" ", F.col("d").cast("string"), F.date_format("ts", "HH:mm:ss"))
+    key = time_key(F.col("d").cast("string"))
     record = F.concat_ws("_", F.col("patient_id").cast("string"), F.col("week").cast("string"))
     return per_key(rows, [record.alias("id")], key, value)
 
@@ -247,6 +252,14 @@ def id_map(spark: SparkSession, base: str) -> DataFrame:
 
 
 # The same frames for the SQL side.
+
+
+def time_key_sql(before: str) -> str:
+    text = f"{before} || strftime(ts, '%H:%M:%S.%f')"
+    return f"""{text} || CASE WHEN row_number() OVER (PARTITION BY patient_id, ts ORDER BY reading_id) = 1
+        THEN '' ELSE '_' || reading_id END"""
+
+
 SQL = {
     "readings": """SELECT user_id AS patient_id, 'D' || user_id AS device_id, ts, value AS glucose,
         event_id AS reading_id FROM events""",
@@ -300,18 +313,17 @@ SQL = {
     "melted": """UNPIVOT (SELECT patient_id, week, week_count, seq, TBR, TBR_II, TAR, TAR_II, TIR, GRI,
         lbgi, hbgi, mean, std, cv FROM pairs) ON TBR, TBR_II, TAR, TAR_II, TIR, GRI, lbgi, hbgi, mean,
         std, cv INTO NAME variable VALUE value""",
-    "day_long": """SELECT patient_id || '_' || CAST(ts AS DATE) AS id, patient_id,
-        CAST(ts AS DATE) AS date, strftime(ts, '%H:%M:%S') AS time, max_by(glucose, reading_id) AS glucose
-        FROM readings GROUP BY 1, 2, 3, 4""",
+    "day_long": f"""SELECT patient_id || '_' || CAST(ts AS DATE) AS id, patient_id,
+        CAST(ts AS DATE) AS date, {time_key_sql("''")} AS time, glucose FROM readings""",
     "records": """SELECT *, CAST(floor(day / 7.0) AS INTEGER) AS week, day % 7 AS d
         FROM (SELECT *, CAST(ts AS DATE) - DATE '2024-01-01' AS day FROM readings)""",
-    "old_long": """SELECT patient_id || '_' || week AS id, d || ' ' || strftime(ts, '%H:%M:%S') AS time,
-        max_by(glucose, reading_id) AS v FROM records
-        WHERE reading_id % 11 <> 0 AND NOT (d >= 4 AND patient_id % 5 = 0) GROUP BY 1, 2""",
-    "new_long": """SELECT patient_id || '_' || week AS id, d || ' ' || strftime(ts, '%H:%M:%S') AS time,
-        max_by(CASE WHEN reading_id % 7 = 0 THEN round(glucose + 0.5, 2) ELSE glucose END, reading_id) AS v
+    "old_long": f"""SELECT patient_id || '_' || week AS id, {time_key_sql("d || ' '")} AS time,
+        glucose AS v FROM records
+        WHERE reading_id % 11 <> 0 AND NOT (d >= 4 AND patient_id % 5 = 0)""",
+    "new_long": f"""SELECT patient_id || '_' || week AS id, {time_key_sql("d || ' '")} AS time,
+        CASE WHEN reading_id % 7 = 0 THEN round(glucose + 0.5, 2) ELSE glucose END AS v
         FROM records
-        WHERE reading_id % 13 <> 0 AND NOT (patient_id % 10 = 0 AND week = 3) GROUP BY 1, 2""",
+        WHERE reading_id % 13 <> 0 AND NOT (patient_id % 10 = 0 AND week = 3)""",
     "patients": """SELECT c_custkey AS patient_id, CAST(c_custkey % 2 AS INTEGER) AS arm,
         n_name AS hospital, r_name AS city, c_mktsegment AS status
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",

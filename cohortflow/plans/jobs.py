@@ -41,12 +41,12 @@ def week_effect(
     per_day: int = PER_DAY,
     min_valid: int = PER_DAY * 5,
     min_weeks: int = 2,
-    exact_upto: int = 50,
+    method: str = "normal",
 ) -> DataFrame:
     """First against last valid week: paired test and medians per metric (PIPE1)."""
     weekly = weekly_rollup(daily, per_day=per_day, min_valid=min_valid)
     pairs = pair_up(week_pairs(weekly, min_weeks), "patient_id", "variable")
-    return wilcoxon(pairs, "variable", exact_upto=exact_upto)
+    return wilcoxon(pairs, "variable", method=method)
 
 
 def week_effect_boxes(
@@ -102,17 +102,21 @@ def baseline_latest(
     anchor: str = "enroll_ts",
     tie: str = "reading_id",
 ) -> DataFrame:
-    """Earliest record up to ``days`` after the anchor against one after it (PIPE4).
+    """Record up to ``days`` after the anchor against one after it (PIPE4).
 
-    ``latest='last'`` takes the newest later record, ``'first'`` the earliest one,
-    which is what the reference's pivot does.  Columns are label_value.
+    The last record of a day stands for the day.  The baseline is the first day
+    with a known value; ``latest='last'`` takes the newest later such day,
+    ``'first'`` the earliest one.  Columns are label_value.
     """
+    if latest not in ("first", "last"):
+        raise ValueError(f"unknown latest {latest}")
     since = with_offset(measures, anchors, key, "ts", anchor).where(F.col("ts") >= F.col(anchor))
-    seq = label_when(since, "seq", [(F.col("days") <= days, "baseline")], "latest")
-    base = keep_one(seq.where("seq = 'baseline'"), [key], ["ts", tie], "first")
-    late = keep_one(seq.where("seq = 'latest'"), [key], ["ts", tie], latest)
-    both = base.unionByName(late).withColumn("grade", bmi_class(value))
-    return pivot_first(both, key, "seq", ["baseline", "latest"], [value, "grade"], "ts")
+    daily = keep_one(since.withColumn("_day", F.to_date("ts")), [key, "_day"], ["ts", tie], "last")
+    seq = label_when(daily, "seq", [(F.col("days") <= days, "baseline")], "latest")
+    day = F.unix_date("_day")
+    order = F.when(F.col("seq") == "baseline", day).otherwise(-day if latest == "last" else day)
+    both = seq.withColumn("grade", bmi_class(value)).withColumn("_order", order)
+    return pivot_first(both, key, "seq", ["baseline", "latest"], [value, "grade"], "_order")
 
 
 def first_last_measure(
@@ -120,10 +124,10 @@ def first_last_measure(
 ) -> DataFrame:
     """First and last record of one or of merged sources, side by side.
 
-    A patient with one record has a first and no last one.
+    A patient with one record has a first and no last one.  Records are ranked
+    whether their value is known or not, so an unknown first value stays unknown.
     """
-    known = measures.where(F.col(value).isNotNull())
-    ends = first_last_pair(known, key, "ts", lone=True, spread=True)
+    ends = first_last_pair(measures, key, "ts", lone=True, spread=True)
     graded = ends.withColumn("grade", bmi_class(value))
     return pivot_first(graded, key, "seq", ["first", "last"], [value, "grade"], tie)
 
@@ -135,9 +139,16 @@ def weekly_means(
     key: str = "patient_id",
     start: str = "start_date",
     keep: Sequence[str] = (),
+    paid: str | None = None,
 ) -> DataFrame:
-    """Mean per patient and week since the start date; nothing before it."""
+    """Mean per patient and week since the start date; nothing before it.
+
+    ``paid`` names the time of purchase in ``starts``; earlier measures of the
+    start day don't count either.
+    """
     since = with_offset(measures, starts, key, "ts", start).where("days >= 0")
+    if paid:
+        since = since.where(F.col("ts") >= F.col(paid))
     return (
         since.withColumn("week", week_index("days"))
         .groupBy(key, start, "week", *keep)
@@ -165,16 +176,21 @@ def weight_frame(
     key: str = "patient_id",
     window: int = 30,
     except_: Sequence[str] = (),
+    paid: str = "paid_at",
 ) -> DataFrame:
     """Weekly outcome with baseline and drug flag, the input of the models (PIPE5).
 
-    The baseline is the week-0 mean, else the earliest exam of the first seven
-    days.  The flag tells a listed drug within 30 days around the start.
+    ``starts`` has the start date and the time of purchase, from which measures
+    and exams count.  The baseline is the week-0 mean, else the last exam of the
+    first day with one in the seven days after the purchase.  The flag tells a
+    listed drug within 30 days around the start.
     """
-    weekly = weekly_means(measures, starts, value, key, keep=[arm])
+    starts = cut_lineage(starts)
+    weekly = weekly_means(measures, starts, value, key, keep=[arm], paid=paid)
     base = first_by(weekly.where("week = 0"), key, "week", value).withColumnRenamed(value, "base_bmi")
-    early = anchored_window(exams, starts.select(key, "start_date"), key, "ts", "start_date", 0, 6)
-    extra = keep_one(early, [key], ["ts", "reading_id"]).select(key, F.col(value).alias("_extra"))
+    early = anchored_window(exams, starts.select(key, paid), key, "ts", paid, 0, 6)
+    daily = keep_one(early.withColumn("_day", F.to_date("ts")), [key, "_day"], ["ts", "reading_id"], "last")
+    extra = keep_one(daily, [key], ["_day"]).select(key, F.col(value).alias("_extra"))
     around = anchored_window(
         prescriptions, starts.select(key, "start_date"), key, "date", "start_date", -window, window
     )
@@ -301,10 +317,11 @@ def prescription_timeline(
     lo: int | None = None,
     hi: int | None = None,
     key: str = "patient_id",
-    order: Sequence[str] = ("date",),
+    *,
+    order: Sequence[str],
 ) -> DataFrame:
     """Newest prescription of a drug class per patient, days from the start, and
-    the number of different medicines (PIPE9)."""
+    the number of different medicines (PIPE9).  End ``order`` with a unique column."""
     timed = anchored_window(
         prescriptions.where(flag_contains("medicine", token, except_)),
         starts,

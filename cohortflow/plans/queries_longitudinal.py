@@ -260,13 +260,19 @@ def seq_ranks(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "WIN1_seq_ranks_readings",
     with_frames(
-        """SELECT patient_id, reading_id, dense_rank() OVER (PARTITION BY patient_id ORDER BY ts) AS seq_asc,
-        dense_rank() OVER (PARTITION BY patient_id ORDER BY ts DESC) AS seq_desc FROM readings""",
+        """SELECT patient_id, reading_id,
+        CASE WHEN seen IS NOT NULL THEN dense_rank() OVER (PARTITION BY patient_id ORDER BY seen NULLS LAST) END
+            AS seq_asc,
+        CASE WHEN seen IS NOT NULL THEN dense_rank() OVER (PARTITION BY patient_id ORDER BY seen DESC NULLS LAST) END
+            AS seq_desc
+        FROM (SELECT *, CASE WHEN reading_id % 97 <> 0 THEN ts END AS seen FROM readings)""",
         "readings",
     ),
 )
 def seq_ranks_readings(spark: SparkSession, base: str) -> DataFrame:
-    df = windows.seq_ranks(B.readings(spark, base), ["patient_id"], "ts", time_chunk("ts"))
+    seen = F.when(F.col("reading_id") % 97 != 0, F.col("ts"))
+    rows = B.readings(spark, base).withColumn("seen", seen)
+    df = windows.seq_ranks(rows, ["patient_id"], "seen", time_chunk("seen"))
     return df.select("patient_id", "reading_id", "seq_asc", "seq_desc")
 
 
@@ -622,7 +628,23 @@ def snapshot_delta(spark: SparkSession, base: str) -> DataFrame:
 
 
 ENDS = "SELECT id, max(time) AS old_end, min(time) AS old_start FROM old_long GROUP BY 1"
-BOTH = """SELECT id, time, old_end, round_even(o.v, 1) AS a, round_even(n.v, 1) AS b,
+
+
+
+def tenth_sql(v: str) -> str:
+    """One decimal of a binary number: 10 v as a sum with its error, then half to even."""
+    high, low = f"({v} * 8::DOUBLE)", f"({v} * 2::DOUBLE)"
+    s = f"({high} + {low})"
+    t = f"({s} - {high})"
+    e = f"(({high} - ({s} - {t})) + ({low} - {t}))"
+    f = f"(CASE WHEN {s} = floor({s}) AND {e} < 0 THEN floor({s}) - 1 ELSE floor({s}) END)"
+    d = f"(2 * {s} - (2 * {f} + 1))"
+    side = f"(CASE WHEN {d} <> 0 THEN {d} ELSE {e} END)"
+    up = f"CASE WHEN {side} > 0 THEN 1 WHEN {side} < 0 THEN 0 WHEN {f} % 2 = 0 THEN 0 ELSE 1 END"
+    return f"({f} + {up}) / 10::DOUBLE"
+
+
+BOTH = f"""SELECT id, time, old_end, {tenth_sql("o.v")} AS a, {tenth_sql("n.v")} AS b,
     o.v IS NOT NULL AS in_old, n.v IS NOT NULL AS in_new
     FROM old_long o FULL JOIN new_long n USING (id, time) JOIN ends USING (id)
     WHERE id IN (SELECT id FROM new_long)"""
@@ -793,7 +815,7 @@ def wilcoxon_test(spark: SparkSession, base: str) -> DataFrame:
     from cohortflow.operators.wilcoxon import pair_up, wilcoxon
 
     sides = pair_up(jobs.week_pairs(weekly(spark, base)), "patient_id", "variable")
-    return effect(wilcoxon(sides, "variable", exact_upto=0))
+    return effect(wilcoxon(sides, "variable", ))
 
 
 @query(
@@ -809,7 +831,7 @@ def wilcoxon_test(spark: SparkSession, base: str) -> DataFrame:
     ),
 )
 def week_effect(spark: SparkSession, base: str) -> DataFrame:
-    df = jobs.week_effect(B.daily(spark, base), B.PER_DAY, B.MIN_VALID, min_weeks=3, exact_upto=0)
+    df = jobs.week_effect(B.daily(spark, base), B.PER_DAY, B.MIN_VALID, min_weeks=3)
     return effect(df)
 
 

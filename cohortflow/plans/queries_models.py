@@ -368,9 +368,10 @@ def scaled_features(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "SER1_series_windows",
     with_frames(
-        f"""SELECT patient_id, {day_sql('date')}, CAST(count(*) AS INTEGER) AS n,
-        string_agg(printf('%.2f', glucose), ',' ORDER BY time) AS v FROM day_long GROUP BY 1, 2""",
-        "day_long",
+        """SELECT patient_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(count(*) AS INTEGER) AS n,
+        string_agg(printf('%.2f', glucose), ',' ORDER BY ts, reading_id) AS v FROM readings
+        WHERE glucose IS NOT NULL GROUP BY 1, 2""",
+        "readings",
     ),
 )
 def series_windows(spark: SparkSession, base: str) -> DataFrame:
@@ -440,26 +441,42 @@ def early_phenotype(spark: SparkSession, base: str) -> DataFrame:
     return out.select("patient_id", "cluster")
 
 
-def latest_sql(frame: str, days: int, late: str) -> str:
-    return f"""SELECT patient_id, max(CASE WHEN seq = 'baseline' THEN round(bmi, 6) END) AS baseline_bmi,
-        max(CASE WHEN seq = 'latest' THEN round(bmi, 6) END) AS latest_bmi,
-        max(CASE WHEN seq = 'baseline' THEN grade END) AS baseline_grade,
-        max(CASE WHEN seq = 'latest' THEN grade END) AS latest_grade
+# Some records have no value, so that the first known one of a label is sought.
+GAPS = "SELECT * REPLACE (CASE WHEN reading_id % 3 <> 0 THEN bmi END AS bmi) FROM exam"
+
+
+def gaps(spark: SparkSession, base: str) -> DataFrame:
+    return B.exam(spark, base).withColumn("bmi", F.when(F.col("reading_id") % 3 != 0, F.col("bmi")))
+
+
+def latest_sql(days: int, late: str) -> str:
+    end = "arg_max" if late == "last" else "arg_min"
+    return f"""SELECT patient_id,
+        arg_min(round(bmi, 6), day) FILTER (WHERE seq = 'baseline' AND bmi IS NOT NULL) AS baseline_bmi,
+        {end}(round(bmi, 6), day) FILTER (WHERE seq = 'latest' AND bmi IS NOT NULL) AS latest_bmi,
+        arg_min(grade, day) FILTER (WHERE seq = 'baseline' AND bmi IS NOT NULL) AS baseline_grade,
+        {end}(grade, day) FILTER (WHERE seq = 'latest' AND bmi IS NOT NULL) AS latest_grade
         FROM (SELECT *, CASE WHEN bmi < 18.5 THEN 'underweight' WHEN bmi < 24 THEN 'normal'
-            WHEN bmi < 28 THEN 'overweight' ELSE 'obese' END AS grade, row_number() OVER (PARTITION BY patient_id, seq
-            ORDER BY CASE WHEN seq = 'latest' AND '{late}' = 'last' THEN -epoch_us(ts) ELSE epoch_us(ts) END) AS rn
-            FROM (SELECT *, CASE WHEN floor(epoch(ts - enroll_ts) / 86400) <= {days} THEN 'baseline' ELSE 'latest' END AS seq
-                FROM {frame} JOIN anchors USING (patient_id) WHERE ts >= enroll_ts)) WHERE rn = 1 GROUP BY 1"""
+            WHEN bmi < 28 THEN 'overweight' WHEN bmi >= 28 THEN 'obese' END AS grade, CAST(ts AS DATE) AS day,
+            CASE WHEN floor(epoch(ts - enroll_ts) / 86400) <= {days} THEN 'baseline' ELSE 'latest' END AS seq,
+            row_number() OVER (PARTITION BY patient_id, CAST(ts AS DATE) ORDER BY ts DESC, reading_id DESC) AS rn
+            FROM gaps JOIN anchors USING (patient_id) WHERE ts >= enroll_ts) WHERE rn = 1 GROUP BY 1"""
 
 
-@query("JOB4_baseline_latest", with_frames(latest_sql("exam", 10, "last"), "exam", "anchors"))
+@query(
+    "JOB4_baseline_latest",
+    with_frames(latest_sql(10, "last"), "exam", "anchors", extra={"gaps": GAPS}),
+)
 def baseline_latest(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(jobs.baseline_latest(B.exam(spark, base), B.anchors(spark, base), days=10))
+    return rounded(jobs.baseline_latest(gaps(spark, base), B.anchors(spark, base), days=10))
 
 
-@query("JOB4_baseline_first_later", with_frames(latest_sql("exam", 10, "first"), "exam", "anchors"))
+@query(
+    "JOB4_baseline_first_later",
+    with_frames(latest_sql(10, "first"), "exam", "anchors", extra={"gaps": GAPS}),
+)
 def baseline_first_later(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(jobs.baseline_latest(B.exam(spark, base), B.anchors(spark, base), days=10, latest="first"))
+    return rounded(jobs.baseline_latest(gaps(spark, base), B.anchors(spark, base), days=10, latest="first"))
 
 
 GRADE = """CASE WHEN bmi < 18.5 THEN 'underweight' WHEN bmi < 24 THEN 'normal' WHEN bmi < 28
@@ -484,6 +501,7 @@ def starts(spark: SparkSession, base: str) -> DataFrame:
     return B.anchors(spark, base).select(
         "patient_id",
         F.col("enroll_ts").cast("date").cast("timestamp").alias("start_date"),
+        F.col("enroll_ts").alias("paid_at"),
         (F.col("patient_id") % 2).cast("int").alias("arm"),
     )
 
@@ -503,12 +521,14 @@ def frame_of(spark: SparkSession, base: str) -> DataFrame:
 
 WEIGHT = {
     "starts": """SELECT patient_id, CAST(CAST(enroll_ts AS DATE) AS TIMESTAMP) AS start_date,
-        CAST(patient_id % 2 AS INTEGER) AS arm FROM anchors""",
+        enroll_ts AS paid_at, CAST(patient_id % 2 AS INTEGER) AS arm FROM anchors""",
     "weeks": """SELECT patient_id, start_date, week, arm, avg(bmi) AS bmi FROM (SELECT *,
         CAST(floor(days / 7) AS INTEGER) AS week FROM (SELECT *, floor(epoch(ts - start_date) / 86400) AS days
-        FROM scale JOIN starts USING (patient_id)) WHERE days >= 0) GROUP BY 1, 2, 3, 4""",
-    "extra": """SELECT patient_id, arg_min(bmi, ts) AS bmi FROM exam JOIN starts USING (patient_id)
-        WHERE floor(epoch(ts - start_date) / 86400) BETWEEN 0 AND 6 GROUP BY 1""",
+        FROM scale JOIN starts USING (patient_id) WHERE ts >= paid_at)) GROUP BY 1, 2, 3, 4""",
+    "extra": """SELECT patient_id, arg_min(bmi, day) AS bmi FROM (SELECT *, CAST(ts AS DATE) AS day,
+        row_number() OVER (PARTITION BY patient_id, CAST(ts AS DATE) ORDER BY ts DESC, reading_id DESC) AS rn
+        FROM exam JOIN starts USING (patient_id) WHERE floor(epoch(ts - paid_at) / 86400) BETWEEN 0 AND 6)
+        WHERE rn = 1 GROUP BY 1""",
     "users": """SELECT DISTINCT p.patient_id FROM prescriptions p JOIN starts USING (patient_id)
         WHERE contains(medicine, 'small ring') AND DATE '2024-01-01' + CAST(
             ((CAST(date AS DATE) - DATE '1990-01-01') % 120) - 60 AS INTEGER) - CAST(start_date AS DATE) BETWEEN -30 AND 30""",

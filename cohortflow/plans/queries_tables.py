@@ -610,12 +610,12 @@ def edge_keys(spark: SparkSession, base: str) -> DataFrame:
     "RSH3_explode_day_map",
     with_frames(
         f"""SELECT id, {day_sql('date')}, time, glucose,
-        CAST(date AS VARCHAR) || ' ' || time AS ts FROM day_long""",
+        CAST(date AS VARCHAR) || ' ' || split_part(time, '_', 1) AS ts FROM day_long""",
         "day_long",
     ),
 )
 def explode_maps(spark: SparkSession, base: str) -> DataFrame:
     df = explode_day_map(B.day_maps(spark, base).drop("patient_id"), "date", "daily_data")
     return df.select(
-        "id", day_text("date"), "time", "glucose", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+        "id", day_text("date"), "time", "glucose", ts_text("ts")
     )

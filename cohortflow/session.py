@@ -40,9 +40,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+# Paths that this process has handed out and not removed.
+_paths: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clear_scratch`` removes it."""
+    _paths.append(f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what lies under the paths handed out so far; call it when no frame reads them any more.
+
+    Checkpoints go by themselves, with their frames, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from cohortflow.functions import columns as C
 from cohortflow.functions import scalars as S
 from cohortflow.operators import cgm, joins, quality, revision, shape, survival, windows
 from cohortflow.plans import jobs
-from cohortflow.session import scratch_path
+from cohortflow.session import clear_scratch, scratch_path
 from cohortflow.sources import tables
 
 
@@ -176,6 +176,89 @@ def test_latest_pivot_first_and_last(spark):
     assert first["latest_bmi"] == 51.0
 
 
+def test_last_record_of_a_day_and_first_known_value(spark):
+    start = ts("2024-01-01T07:00:00")
+    rows = [(0, 6, 99.0), (0, 8, None), (0, 9, 25.0), (0, 20, 30.0), (1, 9, None), (2, 9, 31.0)]
+    rows += [(40, 9, None), (41, 9, 20.0), (50, 8, 21.0), (50, 9, 22.0), (60, 9, None)]
+    data = [(1, ts("2024-01-01T00:00:00") + dt.timedelta(days=d, hours=h), i, v) for i, (d, h, v) in enumerate(rows)]
+    measures = spark.createDataFrame(data, "patient_id int, ts timestamp, reading_id int, bmi double")
+    anchors = spark.createDataFrame([(1, start)], "patient_id int, enroll_ts timestamp")
+    last = jobs.baseline_latest(measures, anchors).first()
+    first = jobs.baseline_latest(measures, anchors, latest="first").first()
+    assert (last["baseline_bmi"], last["latest_bmi"], first["latest_bmi"]) == (30.0, 22.0, 20.0)
+    late = jobs.baseline_latest(measures.where("reading_id = 3 OR bmi IS NULL"), anchors).first()
+    assert (late["baseline_bmi"], late["latest_bmi"], late["latest_grade"]) == (30.0, None, None)
+
+
+def test_weight_job_counts_from_the_purchase(spark):
+    paid = ts("2024-01-01T12:00:00")
+    hour = lambda h: ts("2024-01-01T00:00:00") + dt.timedelta(hours=h)
+    scale = spark.createDataFrame([(1, hour(8), 90.0), (1, hour(14), 30.0), (2, hour(200), 28.0)], "patient_id int, ts timestamp, bmi double")
+    exams = spark.createDataFrame(
+        [(2, hour(9), 1, 50.0), (2, hour(13), 2, 33.0), (2, hour(20), 3, 34.0), (2, hour(40), 4, 35.0)],
+        "patient_id int, ts timestamp, reading_id int, bmi double",
+    )
+    starts = spark.createDataFrame([(p, ts("2024-01-01T00:00:00"), paid, p % 2) for p in (1, 2)], "patient_id int, start_date timestamp, paid_at timestamp, arm int")
+    drugs = spark.createDataFrame([(2, hour(0), "some token")], "patient_id int, date timestamp, medicine string")
+    got = {r["patient_id"]: r for r in jobs.weight_frame(scale, starts, exams, drugs, "token").collect()}
+    assert (got[1]["week"], got[1]["bmi"], got[1]["base_bmi"], got[1]["drug"]) == (0, 30.0, 30.0, False)
+    assert (got[2]["week"], got[2]["base_bmi"], got[2]["drug"]) == (1, 34.0, True)
+
+
+def test_an_unknown_first_record_stays_unknown(spark):
+    rows = [(1, ts("2024-01-01T00:00:00"), 1, None), (1, ts("2024-01-02T00:00:00"), 2, 20.0), (1, ts("2024-01-03T00:00:00"), 3, 25.0)]
+    df = spark.createDataFrame(rows, "patient_id int, ts timestamp, reading_id int, bmi double")
+    row = jobs.first_last_measure(df).first()
+    assert (row["first_bmi"], row["last_bmi"]) == (None, 25.0)
+
+
+def test_tenths_round_as_python_does(spark):
+    import random
+
+    random.seed(3)
+    v = [round(i / 100, 2) for i in range(-700, 700)] + [random.uniform(-50, 50) for _ in range(500)]
+    v += [0.25, 0.35, 0.45, 2.5, 5.35, 5.3, 1e13 + 0.25, -0.05, 0.0]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double").select("v", S.round_tenth(F.col("v")).alias("r"))
+    for r in df.collect():
+        assert r["r"] == (None if r["v"] is None else round(r["v"], 1))
+    old, new = {"a": 5.35}, {"a": 5.3}
+    assert revision.map_diff(maps(spark, ("x", old, new))).first()["changed"] is (round(5.35, 1) != 5.3)
+
+
+def test_ranks_keep_rows_without_an_order(spark):
+    rows = [(1, ts("2024-01-01T00:00:00"), 1), (1, None, 2), (1, ts("2024-01-01T05:00:00"), 3), (None, ts("2024-01-01T00:00:00"), 4)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, i int")
+    for chunk in (None, F.unix_micros("ts")):
+        got = {r["i"]: (r["seq_asc"], r["seq_desc"]) for r in windows.seq_ranks(df, ["k"], "ts", chunk).collect()}
+        assert got == {1: (1, 2), 2: (None, None), 3: (2, 1), 4: (None, None)}
+
+
+def test_profile_without_numbers(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    assert shape.profile(df, "x").first()["n"] == 0 and shape.profile(df.where("x > 0"), "x").first()["n"] == 0
+    times = df.select(F.col("x").cast("timestamp").alias("t"))
+    assert shape.profile_time(times, "t").first().asDict() == {"n": 0, **dict.fromkeys(("mean", "min", "max", "q1", "median", "q3"))}
+
+
+def test_readings_of_one_instant_have_their_own_keys(spark):
+    from cohortflow.plans import bindings
+
+    rows = [(1, ts("2024-01-01T00:00:01"), i, float(i)) for i in (5, 3)] + [(1, ts("2024-01-01T00:00:01.5"), 9, 9.0)]
+    df = spark.createDataFrame(rows, "patient_id int, ts timestamp, reading_id int, glucose double").withColumn("date", F.to_date("ts"))
+    row = bindings.per_key(df, ["patient_id", "date"], bindings.time_key(), F.col("glucose")).first()
+    assert row["daily_data"] == {"00:00:01.000000": 3.0, "00:00:01.000000_5": 5.0, "00:00:01.500000": 9.0}
+    frame = spark.createDataFrame([(row["date"], row["daily_data"])], "date date, m map<string,double>")
+    assert sorted(values(shape.explode_day_map(frame, "date", "m"), "ts")) == [ts("2024-01-01T00:00:01")] * 2 + [ts("2024-01-01T00:00:01.5")]
+
+
+def test_scratch_is_cleared(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert clear_scratch(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
 def weekly(spark, rows):
     return spark.createDataFrame(rows, "patient_id int, week int, bmi double, base_bmi double")
 

@@ -26,11 +26,12 @@ def paired(spark, diffs):
 
 
 def test_signed_rank_exact(spark):
-    row = wilcoxon(paired(spark, MAIZE), "variable").first()
+    row = wilcoxon(paired(spark, MAIZE), "variable", method="exact").first()
     assert (row["w_plus"], row["w_minus"]) == (96.0, 24.0)
     assert row["exact"] and row["p"] == pytest.approx(0.041259765625, abs=1e-12)
     assert row["z"] == pytest.approx(-2.044663, abs=1e-6)
-    normal = wilcoxon(paired(spark, MAIZE), "variable", exact_upto=0).first()
+    normal = wilcoxon(paired(spark, MAIZE), "variable").first()
+    assert not normal["exact"]
     assert normal["p"] == pytest.approx(0.040888, abs=1e-6)
 
 
@@ -40,6 +41,16 @@ def test_signed_rank_ties_and_zero(spark):
     assert row["z"] == pytest.approx(-1.667376, abs=1e-6)
     assert row["p"] == pytest.approx(0.095440, abs=1e-6)
     assert row["p_text"] == "p = 0.095"
+    with pytest.raises(ValueError):
+        wilcoxon(paired(spark, [1]), "variable", method="other")
+
+
+def test_method_does_not_follow_the_size(spark):
+    many = [float(i + 1) * (1 if i % 3 else -1) for i in range(60)]
+    exact = wilcoxon(paired(spark, many), "variable", method="exact").first()
+    normal = wilcoxon(paired(spark, many[:20]), "variable").first()
+    assert exact["exact"] and not normal["exact"]
+    assert exact["p"] == pytest.approx(wilcoxon(paired(spark, many), "variable").first()["p"], rel=0.05)
 
 
 def test_signed_rank_all_zero(spark):
@@ -109,8 +120,31 @@ def efron(t, e, x, beta):
     return ll, grad, info
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_cox_step_with_many_ties(spark, few):
+def test_pieces_follow_the_distinct_times(spark, monkeypatch):
+    df = spark.range(200_000).select((F.col("id") / 1000).alias("t")).unionByName(spark.createDataFrame([(0.5,)] * 50 + [(None,)], "t double"))
+    got = survival.in_pieces(df, "t").where("t IS NOT NULL").groupBy("_piece").agg(
+        F.countDistinct("t").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")
+    ).orderBy("_piece").collect()
+    assert len(got) > 40 and max(r["n"] for r in got) < 3 * survival.PIECE
+    assert all(a["hi"] < b["lo"] for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("piece", [1, 7])
+@pytest.mark.parametrize("unit", [1e-3, 1.0, 1e6])
+def test_small_pieces_give_the_same_curves(spark, monkeypatch, piece, unit):
+    whole = {(r["arm"], r["T"]): r.asDict() for r in survival.kaplan_meier(trial(spark)).collect()}
+    monkeypatch.setattr(survival, "PIECE", piece)
+    scaled = trial(spark).withColumn("T", F.col("T") * unit)
+    for r in survival.kaplan_meier(scaled).collect():
+        want = whole[r["arm"], round(r["T"] / unit)]
+        assert {k: v for k, v in r.asDict().items() if k != "T"} == pytest.approx({k: v for k, v in want.items() if k != "T"})
+    assert survival.logrank(scaled, 1).first()["chi2"] == pytest.approx(16.792941, abs=1e-6)
+    assert survival.cox_ph(scaled).first()["coef"] == pytest.approx(-1.572125, abs=1e-6)
+
+
+@pytest.mark.parametrize("piece", [1, 4096])
+def test_cox_step_with_many_ties(spark, monkeypatch, piece):
+    monkeypatch.setattr(survival, "PIECE", piece)
     rng = np.random.default_rng(5)
     n = 300
     t = rng.integers(1, 5, n).astype(float)
@@ -119,7 +153,7 @@ def test_cox_step_with_many_ties(spark, few):
     beta = np.array([0.3, -0.4])
     rows = [(float(a), int(b), float(c), float(d), 1) for a, b, (c, d) in zip(t, e, x)]
     df = spark.createDataFrame(rows, "t double, e int, x0 double, x1 double, m bigint")
-    got = survival._cox_step(df, beta, "efron", few)
+    got = survival._cox_step(survival.in_pieces(df, "t"), beta, "efron")
     want = efron(t, e, x, beta)
     assert got[0] == pytest.approx(want[0], rel=1e-10)
     np.testing.assert_allclose(got[1], want[1], rtol=1e-8, atol=1e-8)
@@ -184,15 +218,20 @@ def test_mixed_model_against_dense_matrices(spark, reml):
 
 
 @pytest.mark.parametrize("reml", [False, True])
-def test_search_on_spark_gives_the_same_fit(spark, monkeypatch, reml):
+def test_strata_and_formulas_fit_as_alone(spark, monkeypatch, reml):
     rows = [(i % 17, i % 5, float(20 + (i % 17) ** 1.5 - 0.3 * (i % 5) + (i * 7 % 11) / 5), i % 2 == 0)
             for i in range(150) if i % 17 < 5 + i % 12]
     df = spark.createDataFrame(rows, "g int, week int, y double, drug boolean").cache()
-    here = mixed.fit_mixed(df, "y", ["week"], "g", reml=reml, by="drug")
-    monkeypatch.setattr(mixed, "MAX_SIZES", 1)
+    here = [mixed.fit_mixed(df.where(F.col("drug") == s), "y", ["week"], "g", reml=reml)[0] for s in (False, True)]
     there = mixed.fit_mixed(df, "y", ["week"], "g", reml=reml, by="drug")
-    assert [f.stratum for f in here] == [f.stratum for f in there] == [False, True]
-    for a, b in zip(here, there):
+    assert [f.stratum for f in there] == [False, True]
+    formulas = {"one": ["week"], "two": ["week*drug"], "none": []}
+    there += mixed.fit_formulas(df, "y", formulas, "g", reml=reml)
+    here += [mixed.fit_mixed(df, "y", t, "g", reml=reml)[0] for t in formulas.values()]
+    monkeypatch.setattr(mixed, "POINTS", 16)
+    there += mixed.fit_mixed(df, "y", ["week"], "g", reml=reml)
+    here.append(here[2])
+    for a, b in zip(here, there, strict=True):
         np.testing.assert_allclose(a.coef, b.coef, rtol=1e-9)
         np.testing.assert_allclose(a.cov, b.cov, rtol=1e-8)
         assert a.loglik == pytest.approx(b.loglik, abs=1e-9)
@@ -200,6 +239,30 @@ def test_search_on_spark_gives_the_same_fit(spark, monkeypatch, reml):
         assert (a.n_obs, a.n_groups) == (b.n_obs, b.n_groups)
 
 
+def test_prediction_has_the_levels_of_the_fit(spark):
+    rows = [(i % 30, "ABCDE"[i % 5], float(i % 7), float(i % 5 + (i * 7 % 11) / 10)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, seg string, x double, y double")
+    fit = mixed.fit_mixed(df, "y", ["x", "seg"], "g")[0]
+    assert fit.levels == {"seg": list("ABCDE")} and len(fit.names) == 6
+    coef = dict(zip(fit.names, fit.coef))
+    new = spark.createDataFrame([("B", 1.0), ("D", 2.0), ("Z", 1.0), (None, 1.0)], "seg string, x double")
+    got = [r["predicted"] for r in mixed.predict_mixed(new, ["x", "seg"], fit).collect()]
+    want = [coef["Intercept"] + coef["x"] * x + coef[f"seg={s}"] for s, x in (("B", 1.0), ("D", 2.0))]
+    assert got[:2] == pytest.approx(want) and got[2:] == [None, None]
+    only = mixed.predict_mixed(new.where("seg = 'B'"), ["x", "seg"], fit).first()["predicted"]
+    assert only == pytest.approx(want[0])
+    other = mixed.fit_mixed(df, "y", ["x", "seg"], "g", levels={"seg": list("EABCD")})[0]
+    assert "seg=A" in other.names and other.loglik == pytest.approx(fit.loglik)
+    report = mixed.group_report(spark, [fit]).first()
+    assert (report["n_groups"], report["least"], report["most"], report["converged"]) == (30, 6, 7, True)
+
+
+def test_many_levels(spark):
+    rows = [(i, f"L{i % 250:03d}", float(i % 13)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, lev string, y double")
+    assert len(mixed.design_columns(df, ["lev"])) == 249
+
+
 def test_no_group_variance_gives_least_squares(spark):
     rows = [(i % 3, float(i), float(2 * i + (-1) ** i)) for i in range(12)]
     df = spark.createDataFrame(rows, "g int, x double, y double")
@@ -238,6 +301,9 @@ def test_clusters_separate_and_repeat(spark):
     assert {r["patient_id"]: r["cluster"] for r in clusters.score(again, df).collect()} == {
         k: v for k, v in got.items() if v is not None
     }
+    report = clusters.fit_report(model)
+    assert report["converged"] and report["rounds"] < 100
+    assert not clusters.fit_report(clusters.fit_clusters(df, ["a", "b"], max_iter=1))["converged"]
     profile = clusters.cluster_profile(model, df).collect()
     assert sum(r["n"] for r in profile) == 90
     assert sum(r["n"] * r["a"] for r in profile) == pytest.approx(0.0, abs=1e-9)
