@@ -11,6 +11,7 @@ from cohortflow.operators.shape import rounded
 from cohortflow.plans import bindings as B
 from cohortflow.plans import jobs
 from cohortflow.plans.bindings import with_frames
+from cohortflow.plans.matrix_sql import cox_ctes, mixed_ctes
 from cohortflow.plans.queries_longitudinal import METRIC_FRAMES, METRICS_SQL, NORMAL_TAIL
 from cohortflow.plans.registry import day_sql, query, r, ts_sql, ts_text
 from cohortflow.session import cut_lineage, scratch_path
@@ -137,9 +138,69 @@ def model_summary(spark: SparkSession, base: str) -> DataFrame:
     return rounded(mixed.summaries(spark, fits), 4)
 
 
-@query("STAT2_mixed_lm_covariates")
+OUTCOME = {"outcome": "SELECT * REPLACE (drug::INTEGER AS drug) FROM weekly_outcome WHERE base IS NOT NULL"}
+COVARIATES = {"week": "week", "arm": "arm", "base": "base", "week:arm": "week * arm"}
+
+
+@query(
+    "STAT2_mixed_lm_covariates",
+    with_frames(
+        f"SELECT {COEF_COLUMNS} FROM tested",
+        "weekly_outcome",
+        extra={**OUTCOME, **mixed_ctes(COVARIATES, "outcome")},
+    ),
+)
 def mixed_lm_covariates(spark: SparkSession, base: str) -> DataFrame:
-    return mixed.mixed_lm(outcome(spark, base), "y", TERMS, "patient_id")
+    return rounded_coefficients(mixed.mixed_lm(outcome(spark, base), "y", TERMS, "patient_id"))
+
+
+def segments(spark: SparkSession, base: str) -> DataFrame:
+    """The weekly outcome with a category of five levels."""
+    status = B.patients(spark, base).select("patient_id", "status")
+    return outcome(spark, base).join(status, "patient_id")
+
+
+SEGMENTS = {
+    **OUTCOME,
+    "segments": "SELECT * FROM outcome JOIN (SELECT patient_id, status FROM patients) USING (patient_id)",
+}
+LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+BY_SEGMENT = {"week": "week", **{f"status={s}": f"(status = '{s}')::INTEGER" for s in LEVELS[1:]}}
+
+
+@query(
+    "STAT2_mixed_lm_category",
+    with_frames(
+        f"SELECT {COEF_COLUMNS} FROM tested",
+        "weekly_outcome",
+        "patients",
+        extra={**SEGMENTS, **mixed_ctes(BY_SEGMENT, "segments")},
+    ),
+)
+def mixed_lm_category(spark: SparkSession, base: str) -> DataFrame:
+    fits = mixed.fit_mixed(segments(spark, base), "y", ["week", "status"], "patient_id", levels={"status": LEVELS})
+    return rounded_coefficients(mixed.coefficients(spark, fits))
+
+
+@query(
+    "STAT6_predict_category",
+    with_frames(
+        f"""SELECT patient_id, week, round(list_sum(list_transform(range({len(BY_SEGMENT) + 1}),
+            lambda i: s[i * {len(BY_SEGMENT) + 2} + {len(BY_SEGMENT) + 2}] * z[i + 1])), 4) AS predicted
+        FROM (SELECT patient_id, week, [1::DOUBLE, {', '.join(f'({c})::DOUBLE' for c in BY_SEGMENT.values())}] AS z
+            FROM segments WHERE status IN ('BUILDING', 'MACHINERY')), fitted""",
+        "weekly_outcome",
+        "patients",
+        extra={**SEGMENTS, **mixed_ctes(BY_SEGMENT, "segments")},
+    ),
+)
+def predict_category(spark: SparkSession, base: str) -> DataFrame:
+    """Fitted on all rows, predicted on the rows of two levels."""
+    df = segments(spark, base)
+    fit = mixed.fit_mixed(df, "y", ["week", "status"], "patient_id")[0]
+    some = df.where(F.col("status").isin("BUILDING", "MACHINERY"))
+    out = mixed.predict_mixed(some, ["week", "status"], fit)
+    return rounded(out.select("patient_id", "week", "predicted"), {"predicted": 4})
 
 
 @query(
@@ -189,9 +250,25 @@ def compare_models(spark: SparkSession, base: str) -> DataFrame:
     return rounded(mixed.compare_models(outcome(spark, base), "y", formulas, "patient_id"), 4)
 
 
-@query("STAT5_compare_formulas")
+def _formulas_sql() -> str:
+    """One fit per formula; ``a*b*c`` is written out as its products."""
+    fits = []
+    for name, terms in FORMULAS.items():
+        products = {":".join(t): " * ".join(t) for t in mixed._expand(terms)}
+        columns = f"""CAST(obs AS BIGINT) AS n_obs, CAST(n_groups AS BIGINT) AS n_groups,
+            {r('group_var', 'scale', 'loglik', digits=4)}, round(-2 * (loglik - p - 2), 4) AS aic"""
+        body = with_frames(
+            f"SELECT {columns} FROM fitted",
+            "weekly_outcome",
+            extra={**OUTCOME, **mixed_ctes(products, "outcome")},
+        )
+        fits.append(f"SELECT '{name}' AS model, * FROM ({body})")
+    return " UNION ALL ".join(fits)
+
+
+@query("STAT5_compare_formulas", _formulas_sql())
 def compare_formulas(spark: SparkSession, base: str) -> DataFrame:
-    return mixed.compare_models(outcome(spark, base), "y", FORMULAS, "patient_id")
+    return rounded(mixed.compare_models(outcome(spark, base), "y", FORMULAS, "patient_id"), 4)
 
 
 @query(
@@ -286,14 +363,14 @@ def _cox_ctes(frame: str) -> dict[str, str]:
         "newton": f"""SELECT 0 AS step, 0.0::DOUBLE AS b UNION ALL SELECT step + 1, b + u / i FROM (
             SELECT step, b, sum(own - p) AS u, sum(p * (1 - p)) AS i FROM (SELECT step, b, own, {share} AS p
             FROM newton JOIN ties ON step < 25) GROUP BY 1, 2)""",
-        "cox": f"""SELECT b AS coef, 1 / sqrt(sum(p * (1 - p))) AS se, sum(own * b - ln(total)) AS loglik
+        "cox": f"""SELECT 'arm' AS term, b AS coef, 1 / sqrt(sum(p * (1 - p))) AS se, sum(own * b - ln(total)) AS loglik
             FROM (SELECT b, own, {share} AS p, n0 - l / d * d0 + (n1 - l / d * d1) * exp(b) AS total
             FROM newton JOIN ties ON step = 25) GROUP BY b""",
         "tested": "SELECT *, coef / se AS z FROM cox",
     }
 
 
-COX_COLUMNS = f"""'arm' AS term, {r('coef', 'se', 'z')}, round(exp(coef), 6) AS hazard_ratio,
+COX_COLUMNS = f"""term, {r('coef', 'se', 'z')}, round(exp(coef), 6) AS hazard_ratio,
     round({NORMAL_TAIL}, 6) AS p, round(coef - 1.959963984540054::DOUBLE * se, 6) AS ci_lo,
     round(coef + 1.959963984540054::DOUBLE * se, 6) AS ci_hi, round(loglik, 6) AS loglik, true AS converged"""
 
@@ -303,9 +380,12 @@ def cox_ph(spark: SparkSession, base: str) -> DataFrame:
     return rounded(survival.cox_ph(B.survival_frame(spark, base), x=["arm"]))
 
 
-@query("SURV4_cox_covariates")
+@query(
+    "SURV4_cox_covariates",
+    with_frames(f"SELECT {COX_COLUMNS} FROM tested", "survival", extra=cox_ctes(["arm", "age"], "survival")),
+)
 def cox_covariates(spark: SparkSession, base: str) -> DataFrame:
-    return survival.cox_ph(B.survival_frame(spark, base), x=["arm", "age"])
+    return rounded(survival.cox_ph(B.survival_frame(spark, base), x=["arm", "age"]))
 
 
 # Clusters of patients.
@@ -384,6 +464,32 @@ def blocks(spark: SparkSession, base: str) -> DataFrame:
     return series.dtw_blocks(B.series(spark, base))
 
 
+WARP_STEP = """list_reduce(list_transform(range(len(b)), lambda j: [j::DOUBLE]), lambda acc, y: list_append(acc,
+    pow(a[i + 1] - b[CAST(y[1] AS BIGINT) + 1], 2) + CASE WHEN i = 0 THEN CASE WHEN len(acc) = 0 THEN 0 ELSE acc[-1] END
+        WHEN len(acc) = 0 THEN row[1]
+        ELSE least(acc[-1], row[len(acc)], row[len(acc) + 1]) END), []::DOUBLE[])"""
+
+
+@query(
+    "SER2_next_day_distances",
+    with_frames(
+        """SELECT patient_id, CAST(date AS VARCHAR) AS date, round(sqrt(row[-1]), 6) AS distance
+        FROM warped WHERE i = len(a)""",
+        "readings",
+        extra={
+            "arrays": """SELECT patient_id, CAST(ts AS DATE) AS date, list(glucose ORDER BY ts, reading_id) AS v
+                FROM readings WHERE glucose IS NOT NULL GROUP BY 1, 2""",
+            "warped": f"""SELECT x.patient_id, x.date, x.v AS a, y.v AS b, 0 AS i, []::DOUBLE[] AS row
+                FROM arrays x JOIN arrays y ON x.patient_id = y.patient_id AND y.date = x.date + 1
+                UNION ALL SELECT patient_id, date, a, b, i + 1, {WARP_STEP} FROM warped WHERE i < len(a)""",
+        },
+    ),
+)
+def next_day_distances(spark: SparkSession, base: str) -> DataFrame:
+    df = series.next_window_distances(series.series_windows(B.readings(spark, base)))
+    return rounded(df.select("patient_id", F.date_format("start", "yyyy-MM-dd").alias("date"), "distance"))
+
+
 @query("SER2_dtw_distances")
 def dtw_distances(spark: SparkSession, base: str) -> DataFrame:
     return series.distance_summary(blocks(spark, base))
@@ -539,6 +645,11 @@ WEIGHT = {
 }
 
 
+CUT = """SELECT coalesce(min(week) FILTER (WHERE arms < 2) - 1, max(week)) AS last_week FROM (
+    SELECT week, count(*) FILTER (WHERE n >= 2) AS arms FROM (SELECT week, arm,
+    count(DISTINCT patient_id) AS n FROM framed GROUP BY 1, 2) GROUP BY 1)"""
+
+
 @query(
     "JOB5_weight_frame",
     with_frames(
@@ -566,9 +677,7 @@ def weight_frame(spark: SparkSession, base: str) -> DataFrame:
         "prescriptions",
         extra={
             **WEIGHT,
-            "cut": """SELECT coalesce(min(week) FILTER (WHERE arms < 2) - 1, max(week)) AS last_week FROM (
-                SELECT week, count(*) FILTER (WHERE n >= 2) AS arms FROM (SELECT week, arm,
-                count(DISTINCT patient_id) AS n FROM framed GROUP BY 1, 2) GROUP BY 1)""",
+            "cut": CUT,
             **_fit_ctes("week"),
             "outcome": """SELECT patient_id, week, bmi AS y FROM framed, cut
                 WHERE week <= last_week AND base_bmi IS NOT NULL""",
@@ -580,10 +689,31 @@ def weight_slope(spark: SparkSession, base: str) -> DataFrame:
     return rounded_coefficients(mixed.coefficients(spark, fitted.fits))
 
 
-@query("JOB5_weight_model")
+WEIGHT_COLUMNS = {
+    "week": "week", "arm": "arm", "base_bmi": "base_bmi", "drug=True": "drug::INTEGER", "week:arm": "week * arm",
+}
+
+
+@query(
+    "JOB5_weight_model",
+    with_frames(
+        f"SELECT {COEF_COLUMNS} FROM tested",
+        "scale",
+        "exam",
+        "anchors",
+        "prescriptions",
+        extra={
+            **WEIGHT,
+            "cut": CUT,
+            "outcome": """SELECT patient_id, week, arm, base_bmi, drug, bmi AS y FROM framed, cut
+                WHERE week <= last_week AND base_bmi IS NOT NULL""",
+            **mixed_ctes(WEIGHT_COLUMNS, "outcome"),
+        },
+    ),
+)
 def weight_model(spark: SparkSession, base: str) -> DataFrame:
     fitted = jobs.weight_model(frame_of(spark, base), ["week*arm", "base_bmi", "drug"], min_n=2)
-    return mixed.coefficients(spark, fitted.fits)
+    return rounded_coefficients(mixed.coefficients(spark, fitted.fits))
 
 
 def report(spark: SparkSession, base: str, covariates: list[str]) -> jobs.ReboundReport:
@@ -609,9 +739,19 @@ def rebound_hazards(spark: SparkSession, base: str) -> DataFrame:
     return rounded(report(spark, base, ["arm"]).hazards)
 
 
-@query("JOB6_rebound_covariates")
+@query(
+    "JOB6_rebound_covariates",
+    with_frames(
+        f"SELECT {COX_COLUMNS} FROM tested",
+        "weekly_outcome",
+        extra={
+            "followed": f"""SELECT r.*, (patient_id % 3 = 0)::INTEGER AS drug FROM ({REBOUND}) r WHERE T > 0""",
+            **cox_ctes(["arm", "drug", "base"], "followed"),
+        },
+    ),
+)
 def rebound_covariates(spark: SparkSession, base: str) -> DataFrame:
-    return report(spark, base, ["arm", "drug", "base"]).hazards
+    return rounded(report(spark, base, ["arm", "drug", "base"]).hazards)
 
 
 def _wide_cell(source: str, measure: str, how: str, w: int) -> str:
