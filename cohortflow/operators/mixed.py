@@ -211,7 +211,10 @@ def _totals(stats: DataFrame, by: str, m: int) -> dict[object, _Totals]:
 def _evaluate(
     stats: DataFrame, by: str, m: int, asked: Sequence[tuple[object, float]]
 ) -> list[Part]:
-    """The likelihood's four weighted sums for pairs of stratum and variance ratio, in one job."""
+    """The likelihood's four weighted sums for pairs of stratum and variance ratio, in one job.
+
+    The pairs are broadcast: there are at most POINTS of them for each model.
+    """
     cells = [f"{i}_{j}" for i in range(m) for j in range(i, m)]
     kind = stats.schema[by].dataType.simpleString()
     requests = stats.sparkSession.createDataFrame(
@@ -219,7 +222,7 @@ def _evaluate(
     )
     size, groups, theta = F.col("size"), F.col("groups"), F.col("theta")
     grown = 1.0 + size * theta
-    sums = stats.join(requests, by).groupBy("at").agg(
+    sums = stats.join(F.broadcast(requests), by).groupBy("at").agg(
         F.sum(groups * F.ln(grown)).alias("log_v"),
         F.sum(groups * size / grown).alias("slope_v"),
         *[F.sum(theta / grown * F.col(f"b_{c}")).alias(f"k_{c}") for c in cells],

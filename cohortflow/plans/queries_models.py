@@ -154,18 +154,18 @@ def mixed_lm_covariates(spark: SparkSession, base: str) -> DataFrame:
     return rounded_coefficients(mixed.mixed_lm(outcome(spark, base), "y", TERMS, "patient_id"))
 
 
-def segments(spark: SparkSession, base: str) -> DataFrame:
+def sites(spark: SparkSession, base: str) -> DataFrame:
     """The weekly outcome with a category of five levels."""
-    status = B.patients(spark, base).select("patient_id", "status")
-    return outcome(spark, base).join(status, "patient_id")
+    site = F.concat(F.lit("S"), (F.col("patient_id") % 5).cast("string"))
+    return outcome(spark, base).withColumn("site", site)
 
 
-SEGMENTS = {
+SITES = {
     **OUTCOME,
-    "segments": "SELECT * FROM outcome JOIN (SELECT patient_id, status FROM patients) USING (patient_id)",
+    "sites": "SELECT *, 'S' || patient_id % 5 AS site FROM outcome",
 }
-LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-BY_SEGMENT = {"week": "week", **{f"status={s}": f"(status = '{s}')::INTEGER" for s in LEVELS[1:]}}
+LEVELS = ("S0", "S1", "S2", "S3", "S4")
+BY_SITE = {"week": "week", **{f"site={s}": f"(site = '{s}')::INTEGER" for s in LEVELS[1:]}}
 
 
 @query(
@@ -173,33 +173,31 @@ BY_SEGMENT = {"week": "week", **{f"status={s}": f"(status = '{s}')::INTEGER" for
     with_frames(
         f"SELECT {COEF_COLUMNS} FROM tested",
         "weekly_outcome",
-        "patients",
-        extra={**SEGMENTS, **mixed_ctes(BY_SEGMENT, "segments")},
+        extra={**SITES, **mixed_ctes(BY_SITE, "sites")},
     ),
 )
 def mixed_lm_category(spark: SparkSession, base: str) -> DataFrame:
-    fits = mixed.fit_mixed(segments(spark, base), "y", ["week", "status"], "patient_id", levels={"status": LEVELS})
+    fits = mixed.fit_mixed(sites(spark, base), "y", ["week", "site"], "patient_id", levels={"site": LEVELS})
     return rounded_coefficients(mixed.coefficients(spark, fits))
 
 
 @query(
     "STAT6_predict_category",
     with_frames(
-        f"""SELECT patient_id, week, round(list_sum(list_transform(range({len(BY_SEGMENT) + 1}),
-            lambda i: s[i * {len(BY_SEGMENT) + 2} + {len(BY_SEGMENT) + 2}] * z[i + 1])), 4) AS predicted
-        FROM (SELECT patient_id, week, [1::DOUBLE, {', '.join(f'({c})::DOUBLE' for c in BY_SEGMENT.values())}] AS z
-            FROM segments WHERE status IN ('BUILDING', 'MACHINERY')), fitted""",
+        f"""SELECT patient_id, week, round(list_sum(list_transform(range({len(BY_SITE) + 1}),
+            lambda i: s[i * {len(BY_SITE) + 2} + {len(BY_SITE) + 2}] * z[i + 1])), 4) AS predicted
+        FROM (SELECT patient_id, week, [1::DOUBLE, {', '.join(f'({c})::DOUBLE' for c in BY_SITE.values())}] AS z
+            FROM sites WHERE site IN ('S1', 'S4')), fitted""",
         "weekly_outcome",
-        "patients",
-        extra={**SEGMENTS, **mixed_ctes(BY_SEGMENT, "segments")},
+        extra={**SITES, **mixed_ctes(BY_SITE, "sites")},
     ),
 )
 def predict_category(spark: SparkSession, base: str) -> DataFrame:
     """Fitted on all rows, predicted on the rows of two levels."""
-    df = segments(spark, base)
-    fit = mixed.fit_mixed(df, "y", ["week", "status"], "patient_id")[0]
-    some = df.where(F.col("status").isin("BUILDING", "MACHINERY"))
-    out = mixed.predict_mixed(some, ["week", "status"], fit)
+    df = sites(spark, base)
+    fit = mixed.fit_mixed(df, "y", ["week", "site"], "patient_id")[0]
+    some = df.where(F.col("site").isin("S1", "S4"))
+    out = mixed.predict_mixed(some, ["week", "site"], fit)
     return rounded(out.select("patient_id", "week", "predicted"), {"predicted": 4})
 
 
