@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.components import components
@@ -24,6 +24,8 @@ from cohortflow.llm.texts import slices, write_once
 
 # Members of a group at most; larger ones are split, so that a task opens a bounded one.
 GROUP = 64
+# Tokens that two linked sets share at least among their meeting tokens, if they are that large.
+SHARED = 4
 # Slots of the sketch that tells frequent tokens from others; its size bounds what the driver gets.
 SLOT_BITS = 20
 
@@ -33,6 +35,11 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def shared_column(n: Column, percent: int) -> Column:
+    """What a set of size n shares at least with a linked one among the meeting tokens of both."""
+    return F.least(F.lit(SHARED), F.ceil(n * percent / 100))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, in whole numbers."""
     most = min(len(a), len(b))
@@ -41,46 +48,60 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return (100 + percent) * overlap(a, b) >= percent * (len(a) + len(b))
 
 
-def text_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """(doc_id, name, n, packed): a row per input row, the text packed once per name and batch.
+def _sets(batch: pa.RecordBatch, words: int) -> tuple[list[bytes], list[np.ndarray]]:
+    raws = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
+    return raws, [shingle_set(w, words) for w in word_hashes(raws)]
+
+
+def named_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """(doc_id, name, n): the name and the size of every row's set; an empty set has no name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                _, sets = _sets(b, words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                    ],
+                    names=["doc_id", "name", "n"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, name binary, n bigint")
 
-    ``packed`` stays with the batch's smallest doc_id, so the smallest one of a
-    name has it.
+
+def packed_texts(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """(doc_id, name, packed): the texts, of equal sets in a batch only that of the smallest doc_id.
+
+    So the smallest document of each name is always there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for b in slices(whole, 1):
-                ids = b.column(0)
-                raws = [(t or "").encode("utf-8") for t in b.column(1).to_pylist()]
-                sets = [shingle_set(w, words) for w in word_hashes(raws)]
-                names = [set_name(s) if len(s) else None for s in sets]
+                raws, sets = _sets(b, words)
+                ids = b.column(0).to_pylist()
                 first: dict[bytes, int] = {}
-                order = ids.to_pylist()
-                for i, (name, doc) in enumerate(zip(names, order)):
-                    if name and doc is not None and (
-                        name not in first or doc < order[first[name]]
-                    ):
-                        first[name] = i
-                kept = set(first.values())
+                for i, (s, doc) in enumerate(zip(sets, ids)):
+                    if len(s) and doc is not None:
+                        name = set_name(s)
+                        if name not in first or doc < ids[first[name]]:
+                            first[name] = i
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        pa.array(names, pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(
-                            [shrink(r) if i in kept else None for i, r in enumerate(raws)],
-                            pa.binary(),
-                        ),
+                        b.column(0).take(pa.array(list(first.values()), pa.int64())),
+                        pa.array(list(first), pa.binary()),
+                        pa.array([shrink(raws[i]) for i in first.values()], pa.binary()),
                     ],
-                    names=["doc_id", "name", "n", "packed"],
+                    names=["doc_id", "name", "packed"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(
-        run, f"doc_id {kind}, name binary, n bigint, packed binary"
-    )
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, name binary, packed binary")
 
 
 def _opened(packed: list[bytes], words: int) -> list[np.ndarray]:
@@ -130,7 +151,8 @@ def meeting_tokens(
     """(token, root, n): the tokens of each class in which it must meet every class it is linked to.
 
     Two linked sets have at least ``needed`` tokens in common, so the first
-    n - needed + 1 of either, in one order of all tokens, share one.
+    n - needed + k of either, in one order of all tokens, share k of them; k is
+    SHARED, or less for sets that need not have so many in common.
     """
     slots = np.array(sorted(frequent), np.int64)
     often = np.array([frequent[s] for s in slots.tolist()], np.int64)
@@ -141,7 +163,8 @@ def meeting_tokens(
             for at in range(0, len(packed), 256):
                 tokens, sizes, firsts = [], [], []
                 for s in _opened(packed[at : at + 256], words):
-                    first = len(s) - needed(len(s), percent) + 1
+                    least = needed(len(s), percent)
+                    first = len(s) - least + min(SHARED, least)
                     if len(slots):
                         slot = _slots(s)
                         place = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
@@ -182,15 +205,23 @@ def _verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def hub_pairs(meeting: DataFrame) -> DataFrame:
-    """(root, hub): of the smallest classes under a class's tokens, the one it meets most often."""
+def hub_pairs(meeting: DataFrame, percent: int) -> DataFrame:
+    """(root, hub): of the smallest classes under a class's tokens, the one it meets most often.
+
+    Classes that meet none of them often enough for a link have no hub.
+    """
     hubs = (
         meeting.groupBy("token")
         .agg(F.min("root").alias("hub"), F.max("root").alias("last"))
         .where("hub < last")
         .select("token", "hub")
     )
-    met = meeting.join(hubs, "token").groupBy("root", "hub").agg(F.count(F.lit(1)).alias("k"))
+    met = (
+        meeting.join(hubs, "token")
+        .groupBy("root", "hub")
+        .agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+        .where(F.col("k") >= shared_column(F.col("n"), percent))
+    )
     best = F.max(F.struct("k", (-F.col("hub")).alias("minus"))).alias("best")
     return (
         met.where("root > hub")
@@ -205,54 +236,67 @@ def open_groups(
 ) -> DataFrame:
     """Links (a, b) between classes of different components.
 
-    ``grouped`` (root, hub, component) puts each class into a group around its
-    hub.  A query is sent to a group if it shares a meeting token with a member
-    of another component; the group's union then bounds the overlap with any of
-    its members before they are looked at.
+    ``grouped`` (root, hub, component) puts classes into groups around a hub; a
+    class that is not in it is a group of its own.  A query is sent to a group if
+    it shares as many meeting tokens with it as with a linked member, one of
+    another component; the group's union then bounds the overlap with any of its
+    members before they are looked at.
     """
     kind = classes.schema["root"].dataType.simpleString()
-    rows = meeting.join(grouped, "root")
+    several = meeting.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    several = several.where("a < b").select("token")
+    rows = meeting.join(several, "token", "left_semi").join(grouped, "root", "left").select(
+        "token",
+        "root",
+        "n",
+        F.coalesce("hub", "root").alias("hub"),
+        F.coalesce("component", "root").alias("component"),
+    )
+    rows = write_once(rows, "shared")
     open_tokens = (
         rows.groupBy("token")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
         .select("token")
     )
-    rows = write_once(rows.join(open_tokens, "token", "left_semi"), "meeting")
-    sizes = grouped.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    grouped = grouped.join(sizes, "hub").withColumn(
-        "part", F.pmod(F.xxhash64("root"), F.ceil(F.col("members") / GROUP))
-    )
-    grouped = write_once(
-        grouped.join(rows.select("root").distinct(), "root", "left_semi").select(
-            "root", "hub", "part", "component"
-        ),
-        "groups",
+    rows = rows.join(open_tokens, "token", "left_semi")
+    groups = rows.select("root", "hub", "component").distinct()
+    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    part = F.pmod(F.xxhash64("root"), F.ceil(F.col("members") / GROUP))
+    groups = write_once(
+        groups.join(sizes, "hub").select("root", "hub", "component", part.alias("part")), "groups"
     )
-    # The matrix: one row per token, group and component, however many members have the token.
+    # The matrix: one row per token and group, however many members have the token.
     matrix = (
         rows.select("token", "root", "n")
-        .join(grouped, "root")
-        .groupBy("token", "hub", "part", "component")
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        .join(groups, "root")
+        .groupBy("token", "hub", "part")
+        .agg(
+            F.min("component").alias("low"), F.min("n").alias("least"), F.max("n").alias("most")
+        )
     )
     queries = write_once(
         rows.select("token", "root", "n", F.col("component").alias("own"))
         .join(matrix, "token")
         .where(
-            (F.col("own") > F.col("component"))
+            (F.col("own") > F.col("low"))
             & (100 * F.col("least") <= F.floor(100 * F.col("n") * 100 / percent))
             & (100 * F.col("most") >= percent * F.col("n"))
         )
-        .select("root", "own", "hub", "part")
-        .distinct(),
+        .groupBy("root", "own", "hub", "part")
+        .agg(F.count(F.lit(1)).alias("k"), F.least(F.min("n"), F.min("least")).alias("n"))
+        .where(F.col("k") >= shared_column(F.col("n"), percent))
+        .select("root", "own", "hub", "part"),
         "queries",
     )
-    packed = classes.select("root", "packed")
-    asked = queries.join(packed, "root").toDF("asked", "own", "q_hub", "q_part", "q_packed")
-    members = grouped.join(packed, "root").join(
-        queries.select("hub", "part").distinct(), ["hub", "part"], "left_semi"
+    opened = queries.select("hub", "part").distinct()
+    members = write_once(groups.join(opened, ["hub", "part"], "left_semi"), "members")
+    wanted = queries.select("root").unionByName(members.select("root")).distinct()
+    packed = write_once(
+        classes.select("root", "packed").join(wanted, "root", "left_semi"), "opened"
     )
+    asked = queries.join(packed, "root").toDF("asked", "own", "q_hub", "q_part", "q_packed")
+    members = members.join(packed, "root")
 
     def run(members: pa.Table, asked: pa.Table) -> pa.Table:
         ids = members.column("root").to_pylist()
@@ -300,7 +344,7 @@ def jaccard_groups(
     and has a null component.  An empty table gives no row, columns other than
     doc_id and the text are not read.
     """
-    sets = write_once(text_sets(docs, words, text), "sets")
+    sets = write_once(named_sets(docs, words, text), "sets")
     roots = (
         sets.where("name IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("name")
@@ -308,7 +352,7 @@ def jaccard_groups(
     )
     # One text per set, that of the smallest document.
     classes = (
-        sets.where("packed IS NOT NULL")
+        packed_texts(docs, words, text)
         .join(roots, "name")
         .where("doc_id = root")
         .select("name", "root", "packed")
@@ -317,12 +361,14 @@ def jaccard_groups(
     )
     classes = write_once(classes, "classes")
     frequent = frequent_slots(classes, words)
-    meeting = meeting_tokens(classes, frequent, words, percent)
-    hubs = write_once(hub_pairs(meeting), "hubs")
+    meeting = write_once(meeting_tokens(classes, frequent, words, percent), "meeting")
+    hubs = write_once(hub_pairs(meeting, percent), "hubs")
+    near = hubs.select(F.explode(F.array("root", "hub")).alias("root")).distinct()
+    packed = write_once(classes.join(near, "root", "left_semi"), "near")
     pairs = (
         hubs.select(F.col("root").alias("a"), F.col("hub").alias("b"))
-        .join(classes.select(F.col("root").alias("a"), F.col("packed").alias("packed_a")), "a")
-        .join(classes.select(F.col("root").alias("b"), F.col("packed").alias("packed_b")), "b")
+        .join(packed.select(F.col("root").alias("a"), F.col("packed").alias("packed_a")), "a")
+        .join(packed.select(F.col("root").alias("b"), F.col("packed").alias("packed_b")), "b")
     )
     named = sets.where("doc_id IS NOT NULL").select("name", "doc_id").join(roots, "name")
     copies = named.where("doc_id > root").select(
@@ -332,7 +378,6 @@ def jaccard_groups(
         _verified(pairs, words, percent).unionByName(copies).distinct(), "links"
     )
     first = write_once(components(known), "components")
-    near = hubs.select(F.explode(F.array("root", "hub")).alias("root")).distinct()
     grouped = (
         near.join(hubs, "root", "left")
         .join(first.select(F.col("node").alias("root"), F.col("root").alias("_c")), "root", "left")
