@@ -19,15 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.components import components
-from cohortflow.llm.shingles import overlap, set_name, shingle_set, word_hashes
+from cohortflow.llm.shingles import overlap, set_name, shingle, shingle_set, word_hashes
 from cohortflow.llm.texts import slices, write_once
 
 # Members of a group at most; larger ones are split, so that a task opens a bounded one.
 GROUP = 64
 # Tokens that two linked sets share at least among their meeting tokens, if they are that large.
 SHARED = 4
-# Slots of the sketch that tells frequent tokens from others; its size bounds what the driver gets.
+# Slots of the sketch that tells common words from rare ones, and from how often on a task names a
+# slot; the number of slots bounds what the driver gets and what travels to the tasks.
 SLOT_BITS = 20
+OFTEN = 8
 
 
 def needed(size: int, percent: int) -> int:
@@ -104,21 +106,24 @@ def packed_texts(docs: DataFrame, words: int, text: str) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, name binary, packed binary")
 
 
-def _opened(packed: list[bytes], words: int) -> list[np.ndarray]:
+def _words(packed: list[bytes]) -> list[np.ndarray]:
     open_ = zstandard.ZstdDecompressor().decompress
-    return [shingle_set(w, words) for w in word_hashes([open_(p) for p in packed])]
+    return word_hashes([open_(p) for p in packed])
+
+
+def _opened(packed: list[bytes], words: int) -> list[np.ndarray]:
+    return [shingle_set(w, words) for w in _words(packed)]
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def frequent_slots(classes: DataFrame, words: int) -> dict[int, int]:
-    """Slots whose tokens are in far more sets than others, with a count.
+def word_weights(classes: DataFrame) -> np.ndarray:
+    """How common words are, by slot of their number: eight times the binary logarithm of their count.
 
-    A task counts its sets' tokens by slot and names the slots that stand out;
-    their sums, at most two to SLOT_BITS numbers, order the tokens.  Any order
-    gives whole results; this one puts tokens of common passages last.
+    Every text is counted.  A task names the slots that it has met OFTEN, so
+    rare words weigh nothing; the driver gets at most two to SLOT_BITS sums.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +131,9 @@ def frequent_slots(classes: DataFrame, words: int) -> dict[int, int]:
         for b in batches:
             packed = b.column(0).to_pylist()
             for at in range(0, len(packed), 256):
-                for s in _opened(packed[at : at + 256], words):
-                    count += np.bincount(_slots(s), minlength=len(count)) if len(s) > 50_000 else 0
-                    if len(s) <= 50_000:
-                        np.add.at(count, _slots(s), 1)
-        usual = count.mean()
-        out = np.flatnonzero(count > usual + 8.0 * np.sqrt(usual) + 8.0)
+                words = [_slots(w) for w in _words(packed[at : at + 256])]
+                count += np.bincount(np.concatenate(words), minlength=len(count))
+        out = np.flatnonzero(count >= OFTEN)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out, pa.int64()), pa.array(count[out], pa.int64())], names=["slot", "n"]
         )
@@ -141,39 +143,47 @@ def frequent_slots(classes: DataFrame, words: int) -> dict[int, int]:
         .mapInArrow(run, "slot bigint, n bigint")
         .groupBy("slot")
         .agg(F.sum("n").alias("n"))
+        .toPandas()
     )
-    return {r.slot: r.n for r in found.collect()}
+    weights = np.zeros(1 << SLOT_BITS, np.int16)
+    weights[found["slot"].to_numpy(dtype=np.int64)] = np.round(
+        8 * np.log2(1.0 + found["n"].to_numpy(dtype=float))
+    )
+    return weights
+
+
+def rare_first(words: np.ndarray, k: int, weights: np.ndarray) -> np.ndarray:
+    """The distinct shingles in the one order of all tokens: by the weights of their words, then by number."""
+    tokens, at = np.unique(shingle(words, k), return_index=True)
+    w = weights[_slots(words)].astype(np.int64)
+    k = min(k, len(words))
+    total = sum((w[i : len(w) - k + 1 + i] for i in range(k)), np.zeros(len(w) - k + 1, np.int64))
+    return tokens[np.argsort(total[at], kind="stable")]
 
 
 def meeting_tokens(
-    classes: DataFrame, frequent: dict[int, int], words: int, percent: int
+    classes: DataFrame, weights: np.ndarray, words: int, percent: int
 ) -> DataFrame:
     """(token, root, n): the tokens of each class in which it must meet every class it is linked to.
 
     Two linked sets have at least ``needed`` tokens in common, so the first
     n - needed + k of either, in one order of all tokens, share k of them; k is
-    SHARED, or less for sets that need not have so many in common.
+    SHARED, or less for sets that need not have so many in common.  Any order
+    gives whole results; this one begins with shingles of rare words, which
+    texts that aren't linked seldom share.
     """
-    slots = np.array(sorted(frequent), np.int64)
-    often = np.array([frequent[s] for s in slots.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             roots, packed = b.column(0), b.column(1).to_pylist()
             for at in range(0, len(packed), 256):
-                tokens, sizes, firsts = [], [], []
-                for s in _opened(packed[at : at + 256], words):
+                tokens, sizes = [], []
+                for w in _words(packed[at : at + 256]):
+                    s = rare_first(w, words, weights)
                     least = needed(len(s), percent)
-                    first = len(s) - least + min(SHARED, least)
-                    if len(slots):
-                        slot = _slots(s)
-                        place = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-                        heavy = np.where(slots[place] == slot, often[place], 0)
-                        s = s[np.argsort(heavy, kind="stable")]
-                    tokens.append(s[:first].view(np.int64))
+                    tokens.append(s[: len(s) - least + min(SHARED, least)].view(np.int64))
                     sizes.append(len(s))
-                    firsts.append(len(tokens[-1]))
-                which = np.repeat(np.arange(len(firsts)), firsts)
+                which = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens), pa.int64()),
@@ -360,8 +370,8 @@ def jaccard_groups(
         .select("root", "packed")
     )
     classes = write_once(classes, "classes")
-    frequent = frequent_slots(classes, words)
-    meeting = write_once(meeting_tokens(classes, frequent, words, percent), "meeting")
+    weights = word_weights(classes)
+    meeting = write_once(meeting_tokens(classes, weights, words, percent), "meeting")
     hubs = write_once(hub_pairs(meeting, percent), "hubs")
     near = hubs.select(F.explode(F.array("root", "hub")).alias("root")).distinct()
     packed = write_once(classes.join(near, "root", "left_semi"), "near")
