@@ -88,39 +88,39 @@ def _text(packed: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8") if packed else ""
 
 
+def _dealt(words: set[str]) -> dict[int, list[str]]:
+    """Words by the part of the word table they go to, each list in order."""
+    parts: dict[int, list[str]] = {}
+    for w in sorted(words):
+        parts.setdefault(_part(w), []).append(w)
+    return parts
+
+
 def word_rows(dealt: DataFrame) -> DataFrame:
-    """(part, block, words, places): a block's distinct words, with their places in its sorted list."""
+    """(part, block, words): a block's distinct words by the part that encodes them."""
 
     def run(table: pa.Table) -> pa.Table:
         seen: set[str] = set()
         for p in table.column("packed"):
             seen.update(chunks(_text(p.as_py())))
-        parts: dict[int, tuple[list, list]] = {}
-        for i, w in enumerate(sorted(seen)):
-            words, places = parts.setdefault(_part(w), ([], []))
-            words.append(w)
-            places.append(i)
+        parts = _dealt(seen)
         block = table.column("block")[0].as_py()
         return pa.table(
             {
                 "part": pa.array(list(parts), pa.int32()),
                 "block": pa.array([block] * len(parts), pa.int32()),
-                "words": pa.array([_pack(w) for w, _ in parts.values()], pa.binary()),
-                "places": pa.array(
-                    [np.asarray(p, "<u4").tobytes() for _, p in parts.values()], pa.binary()
-                ),
+                "words": pa.array([_pack(w) for w in parts.values()], pa.binary()),
             }
         )
 
-    return dealt.groupBy("block").applyInArrow(
-        run, "part int, block int, words binary, places binary"
-    )
+    return dealt.groupBy("block").applyInArrow(run, "part int, block int, words binary")
 
 
 def word_ids(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(block, places, lengths, ids): the word table's answer to each row of ``word_rows``.
+    """(block, part, lengths, ids): the word table's answer to each row of ``word_rows``.
 
-    All rows of a word meet in one part, so it is encoded once.
+    All rows of a word meet in one part, so it is encoded once.  The words aren't
+    sent back: the block knows their order.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -150,34 +150,32 @@ def word_ids(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("block"),
-                    pa.array([shrink(x) for x in b.column("places").to_pylist()], pa.binary()),
+                    b.column("part"),
                     pa.array([shrink(x) for x in lengths], pa.binary()),
                     pa.array([shrink(x) for x in ids], pa.binary()),
                 ],
-                names=["block", "places", "lengths", "ids"],
+                names=["block", "part", "lengths", "ids"],
             )
 
     return (
         rows.repartition(n, "part")
         .sortWithinPartitions("part", "block")
-        .mapInArrow(run, "block int, places binary, lengths binary, ids binary")
+        .mapInArrow(run, "block int, part int, lengths binary, ids binary")
     )
 
 
-def _joined(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and ids of each place of a block's sorted words."""
+def _joined(
+    words: set[str], answers: pa.Table
+) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words by place, and the start, the length and the ids of each place."""
     open_ = zstandard.ZstdDecompressor().decompress
-
-    def column(name: str) -> np.ndarray:
-        raw = b"".join(open_(x) for x in answers.column(name).to_pylist())
-        return np.frombuffer(raw, "<u4").astype(np.int64)
-
-    places, lengths, ids = column("places"), column("lengths"), column("ids")
-    start = np.zeros(len(places), np.int64)
-    size = np.zeros(len(places), np.int64)
-    size[places] = lengths
-    start[places] = np.cumsum(lengths) - lengths
-    return start, size, ids
+    parts = _dealt(words)
+    rows = sorted(zip(*[answers.column(c).to_pylist() for c in ("part", "lengths", "ids")]))
+    place = {w: i for i, w in enumerate(w for part, _, _ in rows for w in parts[part])}
+    size, ids = (
+        np.frombuffer(b"".join(open_(r[c]) for r in rows), "<u4").astype(np.int64) for c in (1, 2)
+    )
+    return place, np.cumsum(size) - size, size, ids
 
 
 def encode_decode(
@@ -207,13 +205,10 @@ def encode_decode(
     id_to_piece = dict(vocabulary.piece_rows())
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        start, size, ids = _joined(answers)
+        split = [chunks(_text(p)) for p in texts.column("packed").to_pylist()]
+        place, start, size, ids = _joined(set().union(*split), answers)
         pieces = list(map(id_to_piece.__getitem__, ids.tolist()))
         spelled = [" ".join(pieces[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]
-        seen: set[str] = set()
-        split = [chunks(_text(p)) for p in texts.column("packed").to_pylist()]
-        seen.update(*split)
-        place = {w: i for i, w in enumerate(sorted(seen))}
         out: list[list] = [[] for _ in range(len(schema) - 2)]
         for words in split:
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
