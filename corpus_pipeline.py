@@ -23,12 +23,23 @@ from cohortflow.session import configure
 VOCABULARY = "word_bpe_49k.json"
 
 
+# Rows that travel to a Python worker at once: a worker keeps the memory of its largest batch, and
+# the stages share the workers.
+BATCH_ROWS = 1000
+
+
+def _configured(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return configure(spark)
+
+
 def _carried(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the production policy rejects; null and empty texts go."""
+    _configured(spark)
     entries = apply_policy(ledger(_carried(docs), keep=["_row"]), PRODUCTION, kept="_kept")
     return entries.where("_kept").select("_row.*")
 
@@ -38,6 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars``, if there is one, follows the new text.  Null texts stay.
     """
+    _configured(spark)
     rows = dedup_lines(_carried(docs), keep=["_row"])
     rows = rows.where("n_removed = 0 OR kept RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     new = {"text": F.col("kept")}
@@ -53,6 +65,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows without a doc_id or without words belong to no group and stay, rows of
     one doc_id stay or go together.
     """
+    _configured(spark)
     groups = jaccard_groups(docs, words=5, percent=80)
     gone = groups.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -60,6 +73,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark; null and empty texts stay."""
+    _configured(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contaminated(_carried(docs), items, keep=["_row"])
     return found.where(F.size("matches") == 0).select("_row.*")
@@ -67,6 +81,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and decoded text of every document."""
+    _configured(spark)
     vocabulary = Vocabulary.load(public_tokenizers.path(VOCABULARY))
     return encode_decode(docs, vocabulary).select(
         "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"
@@ -87,7 +102,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written and read again."""
-    configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_once(stage(spark, docs, sf_dir), name)
