@@ -215,6 +215,20 @@ def _verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def shared_tokens(meeting: DataFrame, percent: int) -> DataFrame:
+    """Rows of tokens that several classes have, of classes with as many of them as a link takes."""
+    several = (
+        meeting.groupBy("token")
+        .agg(F.min("root").alias("a"), F.max("root").alias("b"))
+        .where("a < b")
+        .select("token")
+    )
+    rows = write_once(meeting.join(several, "token", "left_semi"), "shared")
+    enough = rows.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+    enough = enough.where(F.col("k") >= shared_column(F.col("least"), percent)).select("root")
+    return write_once(rows.join(enough, "root", "left_semi"), "shared")
+
+
 def hub_pairs(meeting: DataFrame, percent: int) -> DataFrame:
     """(root, hub): of the smallest classes under a class's tokens, the one it meets most often.
 
@@ -253,16 +267,14 @@ def open_groups(
     members before they are looked at.
     """
     kind = classes.schema["root"].dataType.simpleString()
-    several = meeting.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-    several = several.where("a < b").select("token")
-    rows = meeting.join(several, "token", "left_semi").join(grouped, "root", "left").select(
+    rows = meeting.join(grouped, "root", "left").select(
         "token",
         "root",
         "n",
         F.coalesce("hub", "root").alias("hub"),
         F.coalesce("component", "root").alias("component"),
     )
-    rows = write_once(rows, "shared")
+    rows = write_once(rows, "placed")
     open_tokens = (
         rows.groupBy("token")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -301,10 +313,7 @@ def open_groups(
     )
     opened = queries.select("hub", "part").distinct()
     members = write_once(groups.join(opened, ["hub", "part"], "left_semi"), "members")
-    wanted = queries.select("root").unionByName(members.select("root")).distinct()
-    packed = write_once(
-        classes.select("root", "packed").join(wanted, "root", "left_semi"), "opened"
-    )
+    packed = classes.select("root", "packed")
     asked = queries.join(packed, "root").toDF("asked", "own", "q_hub", "q_part", "q_packed")
     members = members.join(packed, "root")
 
@@ -372,13 +381,15 @@ def jaccard_groups(
     classes = write_once(classes, "classes")
     weights = word_weights(classes)
     meeting = write_once(meeting_tokens(classes, weights, words, percent), "meeting")
+    meeting = shared_tokens(meeting, percent)
     hubs = write_once(hub_pairs(meeting, percent), "hubs")
-    near = hubs.select(F.explode(F.array("root", "hub")).alias("root")).distinct()
-    packed = write_once(classes.join(near, "root", "left_semi"), "near")
+    # Only these classes can have a link.  Their list grows with the corpus, so it is never broadcast.
+    near = meeting.select("root").distinct().hint("merge")
+    classes = write_once(classes.join(near, "root", "left_semi"), "near")
     pairs = (
         hubs.select(F.col("root").alias("a"), F.col("hub").alias("b"))
-        .join(packed.select(F.col("root").alias("a"), F.col("packed").alias("packed_a")), "a")
-        .join(packed.select(F.col("root").alias("b"), F.col("packed").alias("packed_b")), "b")
+        .join(classes.select(F.col("root").alias("a"), F.col("packed").alias("packed_a")), "a")
+        .join(classes.select(F.col("root").alias("b"), F.col("packed").alias("packed_b")), "b")
     )
     named = sets.where("doc_id IS NOT NULL").select("name", "doc_id").join(roots, "name")
     copies = named.where("doc_id > root").select(
@@ -388,8 +399,9 @@ def jaccard_groups(
         _verified(pairs, words, percent).unionByName(copies).distinct(), "links"
     )
     first = write_once(components(known), "components")
+    paired = hubs.select(F.explode(F.array("root", "hub")).alias("root")).distinct()
     grouped = (
-        near.join(hubs, "root", "left")
+        paired.join(hubs, "root", "left")
         .join(first.select(F.col("node").alias("root"), F.col("root").alias("_c")), "root", "left")
         .select(
             "root",
