@@ -24,6 +24,8 @@ from cohortflow.llm.texts import slices, write_once
 
 # Members of a group at most; larger ones are split, so that a task opens a bounded one.
 GROUP = 64
+# Queries that a task compares with a group, about; the group's members go along with each such lot.
+ASKED = 512
 # Tokens that two linked sets share at least among their meeting tokens, if they are that large.
 SHARED = 4
 # Slots of the sketch that tells common words from rare ones, and from how often on a task names a
@@ -311,11 +313,24 @@ def open_groups(
         .select("root", "own", "hub", "part"),
         "queries",
     )
-    opened = queries.select("hub", "part").distinct()
-    members = write_once(groups.join(opened, ["hub", "part"], "left_semi"), "members")
+    # A hub of common passages may be asked by a large part of all classes, so the queries of a group
+    # are dealt into lots.
+    opened = queries.groupBy("hub", "part").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("lots"))
+    opened = write_once(opened, "opened")
+    lots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1))
+    members = groups.join(opened, ["hub", "part"]).withColumn("lot", lots).drop("lots")
+    lot = F.pmod(F.xxhash64("root", F.lit("lot")), F.col("lots"))
+    queries = queries.join(opened, ["hub", "part"]).withColumn("lot", lot)
     packed = classes.select("root", "packed")
-    asked = queries.join(packed, "root").toDF("asked", "own", "q_hub", "q_part", "q_packed")
-    members = members.join(packed, "root")
+    asked = queries.join(packed, "root").select(
+        F.col("root").alias("asked"),
+        "own",
+        F.col("hub").alias("q_hub"),
+        F.col("part").alias("q_part"),
+        F.col("lot").alias("q_lot"),
+        F.col("packed").alias("q_packed"),
+    )
+    members = write_once(members, "members").join(packed, "root")
 
     def run(members: pa.Table, asked: pa.Table) -> pa.Table:
         ids = members.column("root").to_pylist()
@@ -340,8 +355,8 @@ def open_groups(
         return pa.table([[a for a, _ in found], [b for _, b in found]], schema=schema)
 
     return (
-        members.groupBy("hub", "part")
-        .cogroup(asked.groupBy("q_hub", "q_part"))
+        members.groupBy("hub", "part", "lot")
+        .cogroup(asked.groupBy("q_hub", "q_part", "q_lot"))
         .applyInArrow(run, f"a {kind}, b {kind}")
     )
 

@@ -75,6 +75,7 @@ def test_shingle_sets_follow_the_words():
 @pytest.mark.parametrize("words,percent,group", [(3, 90, 64), (5, 80, 2), (1, 50, 3)])
 def test_groups_by_brute_force(spark, monkeypatch, words, percent, group):
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "ASKED", group)
     rng = np.random.default_rng(percent)
     texts: list[str | None] = [None, "", " ", "one", "one two", "One two"]
     common = rng.choice(60, 25).tolist()
