@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 4)."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment (operator 4)."""
 
 from __future__ import annotations
 
@@ -17,8 +17,6 @@ from cohortflow.llm.texts import map_texts, slices
 # Words of a seed, and the least score of a match as a share of the item's own.
 SEED_WORDS = 5
 THRESHOLD = 0.6
-# A seed is rare if it is in at most so many times the documents of its item's median seed.
-RARE = 20.0
 # Alignment of words: what a pair of equal words adds, and what other pairs and gaps cost.
 MATCH, MISMATCH, GAP = 2, 1, 1
 # Bytes of test items that one pass over the documents takes; more items take more passes.
@@ -57,9 +55,6 @@ class Items:
         order = np.lexsort((place, item, seed))
         return cls([i for i, _ in rows], words, seed[order], item[order], place[order].astype(np.int64))
 
-    def only(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seed[keep], self.item[keep], self.place[keep])
-
 
 def passes(items: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[tuple]]:
     """Distinct items (id, text) in lots of bounded size; each is collected when its pass begins."""
@@ -78,42 +73,6 @@ def passes(items: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[tupl
             yield sorted(((r.item_id, r.text) for r in found), key=repr)
 
 
-def rare_seeds(docs: DataFrame, items: Items, seed_words: int, rare: float, text: str) -> Items:
-    """Leave out seeds that far more documents have than the median seed of their item.
-
-    All documents count.  The measure is the item's own median, so the seeds of
-    an item that a large part of the corpus has copied stay.
-    """
-    table = np.unique(items.seed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(table), np.int64)
-        for whole in batches:
-            for b in slices(whole, 0):
-                for w in words_of(b.column(0).to_pylist()):
-                    if len(w) >= seed_words and len(table):
-                        found = np.unique(shingle(w, seed_words))
-                        at = np.minimum(np.searchsorted(table, found), len(table) - 1)
-                        count[at[table[at] == found]] += 1
-        hit = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hit, pa.int64()), pa.array(count[hit], pa.int64())], names=["seed", "n"]
-        )
-
-    rows = (
-        docs.select(text).mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    )
-    documents = np.zeros(len(table), np.int64)
-    for r in rows.collect():
-        documents[r.seed] = r.n
-    of = documents[np.searchsorted(table, items.seed)]
-    keep = np.ones(len(of), bool)
-    for i in np.unique(items.item):
-        mine = items.item == i
-        keep[mine] = of[mine] <= rare * max(1.0, float(np.median(of[mine])))
-    return items.only(keep)
-
-
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of an item with each row of ``windows``: score, first and last word.
 
@@ -245,7 +204,6 @@ def contaminated(
     items: DataFrame,
     seed_words: int = SEED_WORDS,
     threshold: float = THRESHOLD,
-    rare: float = RARE,
     keep: Sequence[str] = ("doc_id",),
     text: str = "text",
     pass_bytes: int = PASS_BYTES,
@@ -253,10 +211,11 @@ def contaminated(
     """``keep`` and ``matches`` (item_id, score, first_word, last_word) of every row of ``docs``.
 
     ``items`` (item_id, text) are the benchmark.  A text and an item are aligned
-    where they share a rare seed, a run of ``seed_words`` words; the match counts
-    if its score is ``threshold`` of the item's with itself.  Words are in lower
-    case, ASCII marks don't count.  A text may match several items; of several
-    alignments with one item the best counts, the first of equal ones.
+    where they share a seed, a run of ``seed_words`` words, however many
+    documents have it; the match counts if its score is ``threshold`` of the
+    item's with itself.  Words are in lower case, ASCII marks don't count.  A
+    text may match several items; of several alignments with one item the best
+    counts, the first of equal ones.
 
     Null and empty texts match nothing; nor do items that are null or under
     ``seed_words`` words, which can't be told from chance.  Repeated rows of
@@ -267,7 +226,7 @@ def contaminated(
     """
     found = None
     for lot in passes(items, pass_bytes):
-        table = rare_seeds(docs, Items.of(lot, seed_words), seed_words, rare, text)
+        table = Items.of(lot, seed_words)
 
         def make(table: Items = table):
             return lambda texts: [find_matches(texts, table, seed_words, threshold)]

@@ -166,6 +166,17 @@ def test_edited_copies_are_found(spark, odd, nothing):
     assert contaminated(nothing, bench).collect() == []
 
 
+@pytest.mark.parametrize("copies", [30, 300])
+def test_an_edited_variant_in_many_documents(spark, copies):
+    words = [f"w{i}" for i in range(30)]
+    variant = " ".join("other" if i % 6 == 5 else w for i, w in enumerate(words))
+    frame = spark.createDataFrame([(d, f"own {d} {variant} end") for d in range(copies)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    found = contaminated(frame.repartition(3), bench).collect()
+    # The last word is replaced, so the passage ends before it: 25 words of 30, four others within.
+    assert [[(m.item_id, m.score) for m in r.matches] for r in found] == [[(1, 46 / 60)]] * copies
+
+
 def test_registered_leaks(spark, base, sample, duck):
     items = duck.sql("SELECT item_id, text FROM benchmark").fetchall()
     got = {(r.doc_id, r.item_id): r.score for r in entry.queries()["op4_decontamination"](spark, base).collect()}
