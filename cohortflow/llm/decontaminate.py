@@ -1,4 +1,10 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment (operator 4)."""
+"""Benchmark decontamination: word seeds, then Smith-Waterman alignment (operator 4).
+
+A match needs a least score, so it has a least number of equal words within a
+greatest number of words of the text.  Of an item's words, rarest first, as many
+are seeds as it takes for every match to hold several of them; texts are aligned
+where that many lie close enough together.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.shingles import shingle, word_hashes
+from cohortflow.llm.shingles import word_hashes
 from cohortflow.llm.texts import map_texts, slices
 
-# Words of a seed, and the least score of a match as a share of the item's own.
-SEED_WORDS = 5
+# Words of an item at least, and the least score of a match as a share of the item's own.
+MIN_WORDS = 5
 THRESHOLD = 0.6
+# Of the equal words of the shortest match, one in so many must be seeds.
+SEEDED = 5
 # Alignment of words: what a pair of equal words adds, and what other pairs and gaps cost.
 MATCH, MISMATCH, GAP = 2, 1, 1
 # Bytes of test items that one pass over the documents takes; more items take more passes.
 PASS_BYTES = 32 << 20
+# Words of texts, pairs of a word and an item's seed, and cells of a row of the alignment that are
+# worked on together; they bound the arrays.
+WORDS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 20
+CELLS_AT_ONCE = 1 << 20
 
 # Marks next to words don't count: they become spaces.
 _MARKS = bytes.maketrans(
@@ -35,25 +48,81 @@ def words_of(texts: Sequence[str | None]) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Items:
-    """Test items of one pass, with the table of their seeds sorted by number."""
+    """Test items of one pass, and how often the documents have each of their distinct words.
+
+    ``least`` words make an item; shorter ones match nothing.
+    """
 
     ids: list
     words: list[np.ndarray]
-    seed: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    least: int
+    known: np.ndarray
+    often: np.ndarray
 
     @classmethod
-    def of(cls, rows: Sequence[tuple], seed_words: int) -> Items:
+    def of(cls, rows: Sequence[tuple], min_words: int) -> Items:
         words = words_of([t for _, t in rows])
-        seeds = [
-            shingle(w, seed_words) if len(w) >= seed_words else np.zeros(0, np.uint64) for w in words
-        ]
-        seed = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])
-        place = np.concatenate([*[np.arange(len(s)) for s in seeds], np.zeros(0, np.int64)])
-        order = np.lexsort((place, item, seed))
-        return cls([i for i, _ in rows], words, seed[order], item[order], place[order].astype(np.int64))
+        long = [w for w in words if len(w) >= min_words]
+        known = np.unique(np.concatenate([*long, np.zeros(0, np.uint64)]))
+        return cls([i for i, _ in rows], words, min_words, known, np.zeros(len(known), np.int64))
+
+    def counted(self, often: np.ndarray) -> Items:
+        return Items(self.ids, self.words, self.least, self.known, often)
+
+
+def least_score(size: int, threshold: float) -> int:
+    """The least score above 0 that is ``threshold`` of an item of so many words."""
+    score = max(1, int(threshold * MATCH * size) - 1)
+    while score / (MATCH * size) < threshold:
+        score += 1
+    return score
+
+
+@dataclass(frozen=True)
+class Seeds:
+    """The words that are seeds, sorted, the items of each (from ``start``), and what a match of an item has.
+
+    A score of C takes m >= C / MATCH equal words and leaves (MATCH * m - C) for
+    what other pairs and gaps cost, so the match spans so many words of the text
+    more than m at most: ``span``.  All but n - m of the item's n words are
+    equal, so of any n - m + t of them at least t are: ``hits``.
+    """
+
+    word: np.ndarray
+    start: np.ndarray
+    item: np.ndarray
+    hits: np.ndarray
+    span: np.ndarray
+
+    @classmethod
+    def of(cls, items: Items, threshold: float) -> Seeds:
+        hits, span = np.ones(len(items.words), np.int64), np.ones(len(items.words), np.int64)
+        words, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, w in enumerate(items.words):
+            n = len(w)
+            if n < max(1, items.least) or (score := least_score(n, threshold)) > MATCH * n:
+                continue
+            equal = -(-score // MATCH)
+            hits[i] = -(-equal // SEEDED)
+            span[i] = n + (MATCH * n - score) // min(MISMATCH, GAP)
+            at = np.searchsorted(items.known, w)
+            rare = at[np.argsort(items.often[at], kind="stable")]
+            words.append(np.unique(rare[: n - equal + hits[i]]))
+            of.append(np.full(len(words[-1]), i))
+        at, item = np.concatenate(words), np.concatenate(of)
+        order = np.argsort(at, kind="stable")
+        seed, n = np.unique(at, return_counts=True)
+        start = np.concatenate([[0], np.cumsum(n)])
+        return cls(items.known[seed], start, item[order], hits, span)
+
+
+def _found(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    which = np.flatnonzero(table[at] == words)
+    return which, at[which]
 
 
 def passes(items: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[tuple]]:
@@ -73,6 +142,45 @@ def passes(items: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[tupl
             yield sorted(((r.item_id, r.text) for r in found), key=repr)
 
 
+def counted(docs: DataFrame, items: Items, text: str) -> Items:
+    """Items with the number of times that all documents have each of their words.
+
+    It says which words make good seeds; the matches are the same for any numbers.
+    """
+    known = items.known
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(len(known), np.int64)
+        for whole in batches:
+            for b in slices(whole, 0):
+                for w in _together(words_of(b.column(0).to_pylist())):
+                    count += np.bincount(_found(known, np.concatenate(w))[1], minlength=len(known))
+        hit = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hit, pa.int64()), pa.array(count[hit], pa.int64())], names=["word", "n"]
+        )
+
+    rows = (
+        docs.select(text).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    )
+    often = np.zeros(len(known), np.int64)
+    for r in rows.collect():
+        often[r.word] = r.n
+    return items.counted(often)
+
+
+def _together(words: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in order, in lots of at most WORDS_AT_ONCE words or one text."""
+    at, held = 0, 0
+    for t, w in enumerate(words):
+        if t > at and held + len(w) > WORDS_AT_ONCE:
+            yield words[at:t]
+            at, held = t, 0
+        held += len(w)
+    if at < len(words):
+        yield words[at:]
+
+
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of an item with each row of ``windows``: score, first and last word.
 
@@ -112,40 +220,49 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, first, last
 
 
-def windows_of(words: np.ndarray, items: Items, seed_words: int) -> list[tuple[int, int, int]]:
-    """(item, from, to): the stretches of a text in which its seeds say an item may lie.
+def windows_of(words: list[np.ndarray], seeds: Seeds) -> Iterator[tuple[int, int, int, int]]:
+    """(item, text, from, to): the stretches of texts that hold all matches of the item.
 
-    Hits of one item whose diagonals lie within half its length share a stretch.
+    ``hits`` seeds of an item within ``span`` words open a stretch that takes in
+    whatever match may hold them; stretches that overlap are one.
     """
-    if len(words) < seed_words or not len(items.seed):
-        return []
-    found = shingle(words, seed_words)
-    low = np.searchsorted(items.seed, found, side="left")
-    at = np.flatnonzero((low < len(items.seed)) & (items.seed[np.minimum(low, len(items.seed) - 1)] == found))
-    if not len(at):
-        return []
-    low = low[at]
-    n = np.searchsorted(items.seed, found[at], side="right") - low
-    entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    item, diagonal = items.item[entry], np.repeat(at, n) - items.place[entry]
-    out = []
-    order = np.lexsort((diagonal, item))
-    open_: tuple[int, int, int] | None = None
-    for i, d in zip(item[order].tolist(), diagonal[order].tolist()):
-        size = len(items.words[i])
-        if open_ and open_[0] == i and d - open_[1] <= size // 2:
-            open_ = (i, open_[1], d)
-            continue
-        if open_:
-            out.append(open_)
-        open_ = (i, d, d)
-    out.append(open_)
-    stretches = []
-    for i, a, b in out:
-        size = len(items.words[i])
-        slack = size // 2 + 4
-        stretches.append((i, max(0, a - slack), min(len(words), b + size + slack)))
-    return stretches
+    sizes = np.array([len(w) for w in words])
+    widest = int(seeds.span.max(initial=0))
+    # Places in one row of all texts, so far apart that no stretch reaches the next text.
+    begin = np.cumsum(sizes + 2 * widest) - sizes - 2 * widest
+    which, at = _found(seeds.word, np.concatenate(words))
+    if not len(which):
+        return
+    text = np.repeat(np.arange(len(words)), sizes)[which]
+    place = which + 2 * widest * text
+    n = np.diff(seeds.start)[at]
+    pairs = np.cumsum(n)
+    lo = 0
+    while lo < len(which):
+        # Windows begin in lo:hi and end before ``to``.
+        hi = max(lo + 1, int(np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
+        to = int(np.searchsorted(place, place[hi - 1] + widest))
+        m = n[lo:to]
+        entry = np.repeat(seeds.start[at[lo:to]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        hit = np.repeat(np.arange(lo, to), m)
+        item = seeds.item[entry]
+        order = np.argsort(item, kind="stable")
+        item, hit = item[order], hit[order]
+        last = np.arange(len(item)) + seeds.hits[item] - 1
+        inside = np.minimum(last, len(item) - 1)
+        near = (last == inside) & (item[inside] == item) & (hit < hi)
+        near &= place[hit[inside]] - place[hit] < seeds.span[item]
+        first = np.flatnonzero(near)
+        if len(first):
+            item, span = item[first], seeds.span[item[first]]
+            a, b = place[hit[inside[first]]] - span + 1, place[hit[first]] + span
+            new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (a[1:] >= b[:-1])])
+            end = np.r_[new[1:], len(first)] - 1
+            of = text[hit[first[new]]]
+            a = np.maximum(a[new] - begin[of], 0)
+            b = np.minimum(b[end] - begin[of], sizes[of])
+            yield from zip(item[new].tolist(), of.tolist(), a.tolist(), b.tolist())
+        lo = hi
 
 
 MATCHES = T.ArrayType(
@@ -160,39 +277,60 @@ MATCHES = T.ArrayType(
 )
 
 
-def find_matches(texts: list, items: Items, seed_words: int, threshold: float) -> list[list[dict]]:
+def find_matches(
+    texts: list, items: Items, min_words: int, threshold: float, seeds: Seeds | None = None
+) -> list[list[dict]]:
     """Per text, the best alignment with each item that reaches the threshold, by item."""
+    seeds = seeds or Seeds.of(items, threshold)
     words = words_of(texts)
-    asked: dict[int, list[tuple[int, int, int]]] = {}
-    for t, w in enumerate(words):
-        for i, a, b in windows_of(w, items, seed_words):
-            asked.setdefault(i, []).append((b - a, t, a))
     best: list[dict[int, dict]] = [{} for _ in texts]
-    for i, stretches in asked.items():
-        item = items.words[i]
-        stretches.sort()  # stretches of like width are aligned together
-        for at in range(0, len(stretches), 64):
-            part = stretches[at : at + 64]
-            table = np.zeros((len(part), part[-1][0]), np.uint64)
-            inside = np.zeros(table.shape, bool)
-            for r, (width, t, a) in enumerate(part):
-                table[r, :width] = words[t][a : a + width]
-                inside[r, :width] = True
-            table[~inside] = _other(item)
-            scores, first, last = align(item, table)
-            for (_, t, a), s, x, y in zip(part, scores.tolist(), first.tolist(), last.tolist()):
-                share = s / (MATCH * len(item))
-                old = best[t].get(i)
-                if share >= threshold and (old is None or share > old["score"]):
-                    best[t][i] = {
-                        "item_id": items.ids[i],
-                        "score": share,
-                        "first_word": a + x,
-                        "last_word": a + y,
-                    }
+    done = 0
+    for lot in _together(words):
+        asked: dict[int, list[tuple[int, int, int]]] = {}
+        for i, t, a, b in windows_of(lot, seeds):
+            asked.setdefault(i, []).append((b - a, t, a))
+        for i, stretches in asked.items():
+            stretches.sort()  # stretches of like width are aligned together
+            _align_all(i, items, stretches, lot, threshold, best[done : done + len(lot)])
+        done += len(lot)
     return [[found[i] for i in sorted(found)] for found in best]
 
 
+def _align_all(
+    i: int,
+    items: Items,
+    stretches: list[tuple[int, int, int]],
+    words: list[np.ndarray],
+    threshold: float,
+    best: list[dict[int, dict]],
+) -> None:
+    """Align an item with stretches (width, text, from) and keep the best match of each text in ``best``."""
+    item, at = items.words[i], 0
+    while at < len(stretches):
+        part = stretches[at : at + 64]
+        part = part[: max(1, CELLS_AT_ONCE // part[-1][0])]
+        at += len(part)
+        table = np.zeros((len(part), part[-1][0]), np.uint64)
+        inside = np.zeros(table.shape, bool)
+        for r, (width, t, a) in enumerate(part):
+            table[r, :width] = words[t][a : a + width]
+            inside[r, :width] = True
+        table[~inside] = _other(item)
+        scores, first, last = align(item, table)
+        for (_, t, a), s, x, y in zip(part, scores.tolist(), first.tolist(), last.tolist()):
+            share = s / (MATCH * len(item))
+            old = best[t].get(i)
+            if share < threshold:
+                continue
+            if old is None or (share, -(a + y)) > (old["score"], -old["last_word"]):
+                best[t][i] = {
+                    "item_id": items.ids[i],
+                    "score": share,
+                    "first_word": a + x,
+                    "last_word": a + y,
+                }
+
+
 def _other(item: np.ndarray) -> np.uint64:
     """A number that no word of the item has."""
     taken = set(item.tolist())
@@ -202,7 +340,7 @@ def _other(item: np.ndarray) -> np.uint64:
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
-    seed_words: int = SEED_WORDS,
+    min_words: int = MIN_WORDS,
     threshold: float = THRESHOLD,
     keep: Sequence[str] = ("doc_id",),
     text: str = "text",
@@ -210,15 +348,14 @@ def contaminated(
 ) -> DataFrame:
     """``keep`` and ``matches`` (item_id, score, first_word, last_word) of every row of ``docs``.
 
-    ``items`` (item_id, text) are the benchmark.  A text and an item are aligned
-    where they share a seed, a run of ``seed_words`` words, however many
-    documents have it; the match counts if its score is ``threshold`` of the
-    item's with itself.  Words are in lower case, ASCII marks don't count.  A
-    text may match several items; of several alignments with one item the best
-    counts, the first of equal ones.
+    ``items`` (item_id, text) are the benchmark.  A match is a local alignment of
+    words whose score is ``threshold`` of the item's with itself; none is lost,
+    wherever its words differ and however many documents have it.  Words are in
+    lower case, ASCII marks don't count.  A text may match several items; of
+    several alignments with one item the best counts, the first of equal ones.
 
     Null and empty texts match nothing; nor do items that are null or under
-    ``seed_words`` words, which can't be told from chance.  Repeated rows of
+    ``min_words`` words, which can't be told from chance.  Repeated rows of
     ``docs`` give repeated results, repeated items count once, null ids stay
     null.  Without items, no row has a match; an empty table gives no row.
     ``matches`` may not be among ``keep``.  Items are taken in lots of bounded
@@ -226,10 +363,11 @@ def contaminated(
     """
     found = None
     for lot in passes(items, pass_bytes):
-        table = Items.of(lot, seed_words)
+        table = counted(docs, Items.of(lot, min_words), text)
 
         def make(table: Items = table):
-            return lambda texts: [find_matches(texts, table, seed_words, threshold)]
+            seeds = Seeds.of(table, threshold)
+            return lambda texts: [find_matches(texts, table, min_words, threshold, seeds)]
 
         if found is None:
             found = map_texts(docs, make, [T.StructField("matches", MATCHES)], keep=[*keep, text], text=text)

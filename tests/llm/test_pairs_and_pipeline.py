@@ -177,6 +177,29 @@ def test_an_edited_variant_in_many_documents(spark, copies):
     assert [[(m.item_id, m.score) for m in r.matches] for r in found] == [[(1, 46 / 60)]] * copies
 
 
+def test_copies_edited_everywhere_are_found(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate([5, 6, 7, 10, 15, 15, 20, 25, 40])]
+    rows = []
+    for d in range(90):
+        i, copy = d % 9, items[d % 9][1].split()
+        if d < 9:
+            copy = ["other" if at % 5 == 4 else w for at, w in enumerate(copy)]
+        elif d < 18:
+            copy = [x for w in copy for x in (w, "other")][:-1]  # no two words of the item are next to each other
+        else:
+            copy = edited(rng, copy, 0.1 + 0.05 * (d % 7))
+        own = rng.choice(vocabulary, 40).tolist()
+        rows.append((d, " ".join(own[:20] + copy + own[20:])))
+    want = brute.leaks(rows, items, seed=1)
+    assert len(want) > len(brute.leaks(rows, items)) + 9 and (9, 0) in want
+    assert all((d, d) in want for d in range(9))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, m.item_id): m.score for r in found for m in r.matches} == pytest.approx(want)
+
+
 def test_registered_leaks(spark, base, sample, duck):
     items = duck.sql("SELECT item_id, text FROM benchmark").fetchall()
     got = {(r.doc_id, r.item_id): r.score for r in entry.queries()["op4_decontamination"](spark, base).collect()}
