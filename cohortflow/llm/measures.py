@@ -25,9 +25,15 @@ MEASURES = (
     "n_stops",
 )
 
+# Words of a stretch over which variety is measured, so that it doesn't fall with a text's length.
+STRETCH = 500
+
+MORE_MEASURES = ("n_letters", "n_stretch_words")
+
 _UPPER = string.ascii_uppercase.encode()
 _LOWER = string.ascii_lowercase.encode()
 _DIGITS = string.digits.encode()
+_ASCII = bytes(range(128))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -83,3 +89,15 @@ def measure(text: str | None) -> tuple[int, ...]:
         count(b"|"),
         count(b".?!"),
     )
+
+
+def measure_more(text: str | None) -> tuple[int, int]:
+    """MORE_MEASURES of a text: letters of any script, and distinct words of each STRETCH words, added up."""
+    raw = (text or "").encode("utf-8")
+    words = raw.split()
+    latin = len(raw) - len(raw.translate(None, _UPPER + _LOWER))
+    others = raw.translate(None, _ASCII).decode("utf-8")
+    return (
+        latin + sum(map(str.isalpha, others)),
+        sum(len(set(words[at : at + STRETCH])) for at in range(0, len(words), STRETCH)),
+    )

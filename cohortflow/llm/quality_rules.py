@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.measures import MEASURES, measure
+from cohortflow.llm.measures import MEASURES, MORE_MEASURES, measure, measure_more
 from cohortflow.llm.texts import map_texts
 
 
@@ -38,6 +38,14 @@ RULES = (
     Rule("low_variety", "100 * n_distinct_words < 35 * n_words"),
 )
 
+# The registered operator 8 has RULES, as its SQL has.  Two of them judge clean texts by their length
+# or script; these two judge the same without.  Bits follow those of RULES.
+ALL_RULES = (
+    *RULES,
+    Rule("capitals_of_letters", "100 * n_upper > 30 * n_letters"),
+    Rule("low_variety_by_stretch", "100 * n_stretch_words < 35 * n_words"),
+)
+
 
 def mask(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
     places = {r.name: i for i, r in enumerate(rules)}
@@ -52,23 +60,31 @@ class Policy:
 
 BASE = Policy("base-1", mask(["few_words", "repeats"]))
 PRODUCTION = Policy("production-1", mask([r.name for r in RULES]))
+CORPUS = Policy(
+    "corpus-1",
+    mask([r.name for r in ALL_RULES if r.name not in ("capitals", "low_variety")], ALL_RULES),
+)
 
 
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep``, MEASURES (long) and ``failed`` (long, bit i set where rule i fails), row by row.
 
+    MORE_MEASURES are taken too if a rule names one of them.
     Null and empty texts measure 0 throughout and so fail ``few_words`` alone.
     A repeated row gives a repeated result, null ids stay null, an empty table
     gives no row; columns beside ``keep`` and the text are not read.
     """
 
+    more = any(m in rule.sql for rule in rules for m in MORE_MEASURES)
+    names = (*MEASURES, *MORE_MEASURES) if more else MEASURES
+
     def make():
         def run(texts: list) -> list:
-            return list(zip(*map(measure, texts)))
+            return list(zip(*((*measure(t), *measure_more(t)) if more else measure(t) for t in texts)))
 
         return run
 
-    measured = map_texts(docs, make, [T.StructField(m, T.LongType()) for m in MEASURES], keep)
+    measured = map_texts(docs, make, [T.StructField(m, T.LongType()) for m in names], keep)
     bits: Column = F.lit(0).cast("bigint")
     for i, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.sql), F.lit(1 << i)).otherwise(F.lit(0)))

@@ -16,7 +16,7 @@ from cohortflow.llm.decontaminate import contaminated
 from cohortflow.llm.jaccard_join import jaccard_groups
 from cohortflow.llm.line_dedup import dedup_lines
 from cohortflow.llm.pieces import Vocabulary
-from cohortflow.llm.quality_rules import PRODUCTION, apply_policy, ledger
+from cohortflow.llm.quality_rules import ALL_RULES, CORPUS, apply_policy, ledger
 from cohortflow.llm.texts import write_once
 from cohortflow.session import configure
 
@@ -38,9 +38,9 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the production policy rejects; null and empty texts go."""
+    """Documents that no rule of the corpus policy rejects; null and empty texts go."""
     _configured(spark)
-    entries = apply_policy(ledger(_carried(docs), keep=["_row"]), PRODUCTION, kept="_kept")
+    entries = apply_policy(ledger(_carried(docs), ALL_RULES, keep=["_row"]), CORPUS, kept="_kept")
     return entries.where("_kept").select("_row.*")
 
 

@@ -256,6 +256,18 @@ def test_pipeline_by_brute_force(spark, base, sample, duck):
     assert "pipeline" in entry.queries()
 
 
+def test_rules_of_the_pipeline_keep_long_and_non_latin_texts(spark, base):
+    rng = np.random.default_rng(3)
+    ranks = np.arange(1, 20_001)
+    long = " ".join(f"w{i}" for i in rng.choice(ranks, 120_000, p=1 / ranks / (1 / ranks).sum()))
+    cyrillic = " ".join(f"слово{chr(0x430 + i)} текст{chr(0x44F - i)}" for i in range(25)) + " NASA"
+    junk = " ".join(rng.choice(["buy", "now", "here"], 3000))
+    shout = " ".join("".join(chr(65 + x) for x in rng.integers(0, 26, 6)) for _ in range(60))
+    rows = [(1, long), (2, cyrillic), (3, junk), (4, shout)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, base).collect()} == {1, 2}
+
+
 def test_stages_of_odd_rows(spark, odd, nothing, base):
     for frame in (odd, nothing):
         docs = frame
