@@ -361,22 +361,18 @@ def open_groups(
     )
 
 
-def jaccard_groups(
-    docs: DataFrame, words: int = 3, percent: int = 90, text: str = "text"
-) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+def _class_number() -> Column:
+    """A number from 0 on that names the class of a set's name."""
+    return F.shiftrightunsigned(F.xxhash64("name"), 1)
 
-    Two documents are linked when 100 * intersection >= percent * union of
-    their sets of word shingles; ``component_id`` is the smallest doc_id
-    reachable by links.  No link between different sets is lost; links inside a
-    component that is known already are not sought.
 
-    Null and empty texts, and texts of white space, have no shingles and stand
-    alone.  A repeated row gives a repeated result.  Rows of one doc_id with
-    different texts are one document: what is linked with one is linked with
-    all.  A null doc_id names no document; such a row is linked with nothing
-    and has a null component.  An empty table gives no row, columns other than
-    doc_id and the text are not read.
+def _prepared(
+    docs: DataFrame, words: int, percent: int, text: str, numbered: bool = False
+) -> tuple[DataFrame, ...]:
+    """Sets of all rows, roots of their classes, classes that may have links, their meeting tokens and hubs.
+
+    A class goes by its root, or by its number: a document of several texts may
+    be the root of several classes.
     """
     sets = write_once(named_sets(docs, words, text), "sets")
     roots = (
@@ -391,7 +387,7 @@ def jaccard_groups(
         .where("doc_id = root")
         .select("name", "root", "packed")
         .dropDuplicates(["name"])
-        .select("root", "packed")
+        .select((_class_number() if numbered else F.col("root")).alias("root"), "packed")
     )
     classes = write_once(classes, "classes")
     weights = word_weights(classes)
@@ -401,6 +397,87 @@ def jaccard_groups(
     # Only these classes can have a link.  Their list grows with the corpus, so it is never broadcast.
     near = meeting.select("root").distinct().hint("merge")
     classes = write_once(classes.join(near, "root", "left_semi"), "near")
+    return sets, roots, classes, meeting, hubs
+
+
+def class_pairs(
+    meeting: DataFrame, classes: DataFrame, hubs: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """(a, b), a > b: every two different classes that are linked, once, each verified on the texts.
+
+    Every class counts as a component of its own, so no link is left out as known.
+    """
+    paired = hubs.select(F.explode(F.array("root", "hub")).alias("root")).distinct()
+    grouped = paired.join(hubs, "root", "left").select(
+        "root", F.coalesce("hub", "root").alias("hub"), F.col("root").alias("component")
+    )
+    return open_groups(meeting, classes, write_once(grouped, "grouped"), words, percent)
+
+
+def jaccard_links(docs: DataFrame, words: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row of ``docs`` (doc_id, text).
+
+    As ``jaccard_groups``, but every link is sought.  ``n_links`` counts the
+    other pairs of a document and a set of it that are linked with the row's,
+    equal sets included; where a doc_id has one text, that is the number of
+    documents linked with it.  Rows without shingles or without a doc_id have no
+    links.  The links of a group of near copies grow with the square of its
+    classes.
+    """
+    sets, roots, classes, meeting, hubs = _prepared(docs, words, percent, text, numbered=True)
+    pairs = write_once(class_pairs(meeting, classes, hubs, words, percent), "pairs")
+    named = sets.where("doc_id IS NOT NULL").select("name", "doc_id").distinct().join(roots, "name")
+    named = write_once(named.withColumn("class", _class_number()), "named")
+    sizes = named.groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("root"))
+    sizes = write_once(sizes, "sizes")
+    of = sizes.select(F.col("class").alias("b"), "size")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(of, "b").groupBy(F.col("a").alias("class")).agg(F.sum("size").alias("further"))
+    counts = sizes.join(near, "class", "left").select(
+        "class", (F.col("size") - 1 + F.coalesce("further", F.lit(0))).alias("n_links")
+    )
+    documents = pairs
+    for end in ("a", "b"):
+        root = sizes.select(F.col("class").alias(end), F.col("root").alias(f"_{end}"))
+        documents = documents.join(root, end)
+    links = documents.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(
+        named.where("doc_id > root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    )
+    found = components(write_once(links, "links"))
+    rows = sets.select("doc_id", "n", F.when(F.col("name").isNotNull(), _class_number()).alias("class"))
+    return (
+        rows.join(found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "doc_id", "left")
+        .join(counts, "class", "left")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+            .otherwise(F.lit(0))
+            .cast("bigint")
+            .alias("n_links"),
+        )
+    )
+
+
+def jaccard_groups(
+    docs: DataFrame, words: int = 3, percent: int = 90, text: str = "text"
+) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    Two documents are linked when 100 * intersection >= percent * union of
+    their sets of word shingles; ``component_id`` is the smallest doc_id
+    reachable by links.  No link between different sets is lost; links inside a
+    component that is known already are not sought.
+
+    Null and empty texts, and texts of white space, have no shingles and stand
+    alone.  A repeated row gives a repeated result.  Rows of one doc_id with
+    different texts are one document: what is linked with one is linked with
+    all.  A null doc_id names no document; such a row is linked with nothing
+    and has a null component.  An empty table gives no row, columns other than
+    doc_id and the text are not read.
+    """
+    sets, roots, classes, meeting, hubs = _prepared(docs, words, percent, text)
     pairs = (
         hubs.select(F.col("root").alias("a"), F.col("hub").alias("b"))
         .join(classes.select(F.col("root").alias("a"), F.col("packed").alias("packed_a")), "a")

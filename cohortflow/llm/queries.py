@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.bpe import encode_decode
 from cohortflow.llm.decontaminate import contaminated
-from cohortflow.llm.jaccard_join import jaccard_groups
+from cohortflow.llm.jaccard_join import jaccard_groups, jaccard_links
 from cohortflow.llm.language import fit_language, language_spans
 from cohortflow.llm.line_dedup import MIN_BYTES, MIN_LINES, dedup_lines
 from cohortflow.llm.pieces import Vocabulary
@@ -110,6 +110,11 @@ def jaccard_join(spark: SparkSession, base: str) -> DataFrame:
     return jaccard_groups(table(spark, base, "documents"))
 
 
+@query("op3_jaccard_links")
+def jaccard_every_link(spark: SparkSession, base: str) -> DataFrame:
+    return jaccard_links(table(spark, base, "documents"))
+
+
 @query("op4_decontamination")
 def decontamination(spark: SparkSession, base: str) -> DataFrame:
     found = contaminated(table(spark, base, "documents"), table(spark, base, "benchmark"))

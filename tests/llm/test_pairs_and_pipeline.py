@@ -14,7 +14,7 @@ import corpus_pipeline
 from cohortflow.llm import jaccard_join as jaccard
 from cohortflow.llm.components import components
 from cohortflow.llm.decontaminate import Items, align, contaminated, find_matches
-from cohortflow.llm.jaccard_join import jaccard_groups
+from cohortflow.llm.jaccard_join import jaccard_groups, jaccard_links
 from cohortflow.llm.line_dedup import dedup_lines
 from cohortflow.llm.shingles import shingle_set, word_hashes
 from tests.llm import brute
@@ -108,6 +108,39 @@ def test_registered_groups(spark, base, sample):
     assert got == brute.groups([(d, t) for d, t, _ in sample], 3, 90)
 
 
+def links(rows, k, percent):
+    """Rows (doc_id, n_shingles, component_id, n_links) by comparing all with all."""
+    sets = {(d, brute.shingles(t, k)) for d, t in rows if d is not None and brute.words(t)}
+    count = {
+        (d, s): sum((e, t) != (d, s) and 100 * len(s & t) >= percent * len(s | t) for e, t in sets) for d, s in sets
+    }
+    of = {d: c for d, _, c in brute.groups(rows, k, percent)}
+    shingled = [(d, brute.shingles(t, k)) for d, t in rows]
+    return Counter((d, len(s), of[d], count.get((d, s), 0)) for d, s in shingled)
+
+
+@pytest.mark.parametrize("words,percent,group", [(3, 80, 64), (2, 50, 3)])
+def test_every_link_by_brute_force(spark, odd, monkeypatch, words, percent, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "ASKED", group)
+    rng = np.random.default_rng(percent)
+    rows = []
+    for d in range(80):  # two groups of near copies around a text, and texts of their own
+        own = [f"w{i}" for i in rng.integers(0, 300, 40)]
+        base = [f"{'ab'[d % 2]}{i}" for i in range(40)]
+        for _ in range(rng.integers(0, 3)):
+            base[rng.integers(0, 40)] = f"w{rng.integers(0, 300)}"
+        rows.append((d, " ".join(own if d % 5 == 0 else base)))
+    rows += [(90, rows[1][1]), (90, rows[2][1]), rows[3], (None, rows[3][1]), (91, ""), (92, None), (93, "one")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(r) for r in jaccard_links(frame.repartition(3), words, percent).collect())
+    assert got == links(rows, words, percent)
+    assert max(n for *_, n in got) > 5
+    if group > 3:
+        assert Counter(tuple(r) for r in jaccard_links(odd).collect()) == links(pairs(odd), 3, 90)
+        assert jaccard_links(odd.limit(0)).collect() == []
+
+
 # Decontamination ---------------------------------------------------------------------------------
 
 
