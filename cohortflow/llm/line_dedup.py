@@ -1,10 +1,13 @@
 """Removal of repeated runs of lines by prefix doubling over line numbers (operator 2).
 
-Lines get places that count through the whole corpus.  The rank of a place
-among all suffixes of the line sequence is kept as the first place whose next
-lines are the same, so ranks of 1, 2, 4, ... lines come from pairs of shorter
-ranks.  Places of one rank are an interval of the suffix array with that common
-prefix; all but its first are later copies.  Everything is DataFrame operations.
+Lines get places that count through the whole corpus.  The rank of a place is
+the first place whose next lines are the same, so ranks of 2 and 3 lines come
+from pairs of shorter ranks.  Doubling stops at ``min_lines``, and ranks are
+never put in order: windows of a fixed number of lines take the place of a
+suffix array and its intervals.  A line lies in a repeated run of that length or
+more just if it lies in such a window, so the removed lines are the same; the
+maximal repeated runs and their lengths are not found.  Everything is DataFrame
+operations.
 """
 
 from __future__ import annotations
