@@ -3,7 +3,8 @@
 Documents are dealt into blocks.  A block sends its distinct words (the runs
 between white space) to the word table, which encodes each word once for the
 whole corpus; the ids come back to the block and are put in the words'
-positions.  Decoding joins ids with the id-to-piece table.
+positions.  Decoding looks ids up in the id-to-piece table, a dict in each task
+of a block, and is no join of Spark.
 """
 
 from __future__ import annotations
