@@ -26,11 +26,19 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+?)-----END \1-----")
+_ESCAPED = re.compile(r"\\[nr]")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+# Lines of base64 of one width, the last of which may be shorter, with or without escapes for line ends.
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0-9+/]+)+={0,2}"
+)
 _LONG_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}")
 _SSH_KEY = b"openssh-key-v1\x00"
+# A line of a wrapped block, and how the base64 of a SEQUENCE or of an SSH key begins.
+_LINE = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/\\]))[A-Za-z0-9+/]+={0,2}")
+_KEY_HEADS = ("MA", "MB", "MC", "MD", "ME", "MF", "MG", "MH", "MI", "b3Blbn")
 
 Span = tuple[int, int, str]
 
@@ -116,19 +124,41 @@ def confirmed_spans(text: str) -> list[Span]:
     found: list[Span] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if key_ok(decoded(m[2])):
+            if key_ok(decoded(_ESCAPED.sub("", m[2]))):
                 found.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if jwt_ok(m[0])]
     for m in _BASE64.finditer(text):
         if kind := key_ok(decoded(m[0])):
             found.append((m.start(), m.end(), kind))
+    for m in _WRAPPED.finditer(text):
+        found += wrapped_keys(m[0], m.start())
     for m in _LONG_HEX.finditer(text):
         if m[0][:2] in ("30", "6f") and (kind := key_ok(bytes.fromhex(m[0]))):
             found.append((m.start(), m.end(), kind))
     return found
 
 
+def wrapped_keys(block: str, start: int) -> list[Span]:
+    """Keys in adjoining base64 lines: from a line that may begin one to the first line of another width."""
+    lines = [(m.start(), m.end()) for m in _LINE.finditer(block)]
+    found: list[Span] = []
+    at = 0
+    while at < len(lines):
+        a, b = lines[at]
+        to = at + 1
+        if block.startswith(_KEY_HEADS, a):
+            while to < len(lines) and lines[to - 1][1] - lines[to - 1][0] == b - a >= lines[to][1] - lines[to][0]:
+                to += 1
+            raw = decoded("".join(block[x:y] for x, y in lines[at:to])) if to > at + 1 else None
+            if kind := key_ok(raw):
+                found.append((start + a, start + lines[to - 1][1], kind))
+                at = to
+                continue
+        at += 1
+    return found
+
+
 def joined(spans: list[Span]) -> str:
     """kind:start:end by start, then kind as listed, then end."""
     order = sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

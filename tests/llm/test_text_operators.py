@@ -217,6 +217,17 @@ def test_structure_is_confirmed():
     assert [confirmed_spans(t) for t in none] == [[]] * len(none)
 
 
+def test_escaped_and_wrapped_keys():
+    key = b"\x30\x82\x01\x2c" + b"\x02\x82\x01\x28" + bytes(range(1, 149)) * 2
+    block = base64.b64encode(key).decode()
+    lines = [block[i : i + 64] for i in range(0, len(block), 64)]
+    pem = "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(lines) + "\\n-----END PRIVATE KEY-----\\n"
+    text = f'"private_key": "{pem}"'
+    assert (16, 14 + len(pem), "pem") in [(a + 0, b, k) for a, b, k in confirmed_spans(text)]
+    bare = "key:\n" + "\n".join(lines) + "\nend"
+    assert confirmed_spans(bare) == [(5, len(bare) - 4, "der")]
+
+
 def brute_spans(text):
     """Base spans by trying every place, with no regular expression for the words."""
     out, at = [], 0
