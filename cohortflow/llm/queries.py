@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortflow.llm import queries_more  # registers its queries  # noqa: F401
 from cohortflow.llm.bpe import encode_decode
 from cohortflow.llm.decontaminate import contaminated
 from cohortflow.llm.jaccard_join import jaccard_groups, jaccard_links
@@ -16,46 +15,18 @@ from cohortflow.llm.line_dedup import MIN_BYTES, MIN_LINES, dedup_lines
 from cohortflow.llm.pieces import Vocabulary
 from cohortflow.llm.quality_model import fit_quality, score_quality
 from cohortflow.llm.quality_rules import BASE, PRODUCTION, apply_policy, ledger
+from cohortflow.llm.registry import ORACLES, QUERIES, fold, query, table
 from cohortflow.llm.secrets import secret_spans
 from cohortflow.llm.suffix_dedup import remove_repeats
 from cohortflow.llm.token_counts import token_counts
-from cohortflow.session import configure
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 VOCABULARY = "word_bpe_49k.json"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(fn: Query) -> Query:
-        def run(spark: SparkSession, base: str) -> DataFrame:
-            return fn(configure(spark), base)
-
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
-
-
-def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
-
-
 def vocabulary() -> Vocabulary:
     return Vocabulary.load(public_tokenizers.path(VOCABULARY))
 
 
-def fold(parts: int, held: int) -> Column:
-    """True for the documents that are held out of learning; a null id is not held out."""
-    of = F.crc32(F.col("doc_id").cast("string")) % parts
-    return F.coalesce(of == held, F.lit(False))
-
-
 @query("op1_suffix_dedup")
 def suffix_dedup(spark: SparkSession, base: str) -> DataFrame:
     rows = remove_repeats(table(spark, base, "documents"))
