@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.bit_planes import cluster_vectors
 from cohortflow.llm.merkle import manifest
-from cohortflow.llm.registry import query, table
+from cohortflow.llm.registry import fold, query, table
+from cohortflow.llm.toxicity import fit_toxicity, toxic_clauses
 
 
 def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
@@ -134,3 +135,16 @@ FROM (
 def merkle_manifest(spark: SparkSession, base: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     return manifest(table(spark, base, "documents"), tampered=hit)
+
+
+@query("op12_toxicity")
+def toxicity(spark: SparkSession, base: str) -> DataFrame:
+    docs, labels = table(spark, base, "documents"), table(spark, base, "labels")
+    model = fit_toxicity(docs, labels.where(~fold(4, 2)))
+    return toxic_clauses(docs, model).select(
+        "doc_id",
+        fold(4, 2).alias("held_out"),
+        "score",
+        "predicted",
+        F.size("clauses").cast("bigint").alias("n_clauses"),
+    )
