@@ -33,7 +33,7 @@ FIT_ROWS = 20_000
 LEXICON = 20_000
 
 # A pattern is kept if its counts differ from those of the shorter one by this likelihood ratio.
-SIGNIFICANT = 16.0
+SIGNIFICANT = 24.0
 
 # Rows that the shorter pattern counts for, and an entry of the lists below.
 SHRINK, LISTED = 2.0, 4.0
@@ -62,7 +62,7 @@ INTENTS = (
 )
 VIOLENCES = (
     "kill murder hurt beat destroy shoot stab strangle burn hang töten umbringen schlagen erschießen tuer "
-    "frapper détruire matar golpear destruir die sterben mourir morir"
+    "frapper détruire matar golpear destruir"
 )
 INSULTS = (
     "idiot moron stupid dumb loser trash garbage scum pathetic worthless disgusting imbecile cretin vermin "
@@ -176,12 +176,14 @@ class Scanner:
         self, text: str, less: tuple[int, int] = (0, 0)
     ) -> tuple[list[tuple[str, int, int, float]], int]:
         """(kind, start, end, weight) of the matching clauses, in code points, and the text's tokens."""
-        found, tokens = [], 0
-        state, table = 0, self.table
+        words = _TOKEN.findall(text)
+        # Most texts have no word that a clause could be about; they need no second look.
+        if not any(self.symbol(w, less)[0] in t.CORE for w in set(words)):
+            return [], len(words)
+        found, state, table = [], 0, self.table
         held: list[list] = []  # of this clause: letter, weight, start, end
         core = False
         for m in _TOKEN.finditer(text):
-            tokens += 1
             symbol, weight = self.symbol(m.group(), less)
             state, letter = table[state][symbol]
             if symbol in t.CORE:
@@ -196,7 +198,7 @@ class Scanner:
                     held, core = [], False
         if core:
             found += self._clause(held)
-        return found, tokens
+        return found, len(words)
 
     @staticmethod
     def _clause(held: list[list]) -> list[tuple[str, int, int, float]]:
@@ -204,7 +206,7 @@ class Scanner:
         parts = []
         for letter, weight, first, last in held:
             if letter & t.SYMBOL == t.VIOLENCE:
-                # A violent word alone is no threat: it needs an intent and a target.
+                # A violent word alone is no threat: it needs an intent before and a target behind it.
                 if not (letter & t.MEANT and letter & t.AIMED):
                     continue
                 kind = 5 if letter & t.NEGATED else 6 if letter & t.REPORTED else 4

@@ -42,8 +42,10 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
-def reach(opens: int, words: int, mark: int, ends: tuple[int, ...]) -> Transducer:
-    """Marks the core letters among the next ``words`` after a symbol; some symbols end the reach."""
+def reach(
+    opens: int, words: int, mark: int, ends: tuple[int, ...], marked: tuple[int, ...] = CORE
+) -> Transducer:
+    """Marks such letters among the next ``words`` after a symbol; some symbols end the reach."""
 
     def step(left: int, letter: int) -> tuple[int, int]:
         symbol = letter & SYMBOL
@@ -51,7 +53,7 @@ def reach(opens: int, words: int, mark: int, ends: tuple[int, ...]) -> Transduce
             return 0, letter
         if symbol == opens:
             return words, letter
-        return max(0, left - 1), letter | (mark if left and symbol in CORE else 0)
+        return max(0, left - 1), letter | (mark if left and symbol in marked else 0)
 
     return Transducer(0, step)
 
@@ -83,8 +85,8 @@ def _after(left: int, letter: int) -> tuple[int, int]:
 GRAMMAR = (
     Transducer(0, _reported)
     .then(reach(NEGATION, NEGATION_REACH, NEGATED, (BREAK, COMMA, QUOTE)))
-    .then(reach(TARGET, TARGET_REACH, AIMED, (BREAK, QUOTE)))
-    .then(reach(INTENT, INTENT_REACH, MEANT, (BREAK, QUOTE)))
+    .then(reach(TARGET, TARGET_REACH, AIMED, (BREAK, QUOTE), (INSULT,)))
+    .then(reach(INTENT, INTENT_REACH, MEANT, (BREAK, QUOTE), (VIOLENCE,)))
     .then(Transducer(0, _after))
 )
 
