@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.scalars import VALID_FROM, col, elapsed_days, floor_div, micros, week_index
 from cohortflow.operators.joins import anchored_window, keep_keys
-from cohortflow.operators.ordered import exact_quantiles, time_chunk
+from cohortflow.operators.ordered import time_chunk
+from cohortflow.operators.quantiles import exact_quantiles
 
 # Band limits in mmol/L.
 VERY_LOW, LOW, HIGH, VERY_HIGH, TIGHT_HIGH = 3.0, 3.9, 10.0, 13.9, 7.8
@@ -329,12 +330,11 @@ def agp(
         "bin", floor_div(seconds, bin_minutes * 60).cast("int")
     )
     by = [*keys, "bin"]
-    in_range = F.avg(g.between(LOW, HIGH).cast("int")).alias("in_range")
+    in_range = F.avg(g.between(LOW, HIGH).cast("int"))
     if approx:
         probs = F.array(*[F.lit(p) for p in AGP_PERCENTILES.values()])
         sketch = F.percentile_approx("glucose", probs, 10000).alias("_p")
-        points = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch, in_range)
+        points = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch, in_range.alias("in_range"))
         columns = [F.col("_p")[i].alias(p) for i, p in enumerate(AGP_PERCENTILES)]
         return points.select(*by, "n", *columns, "in_range")
-    points = exact_quantiles(valid, by, "glucose", AGP_PERCENTILES)
-    return points.join(valid.groupBy(*by).agg(in_range), by).select(*by, "n", *AGP_PERCENTILES, "in_range")
+    return exact_quantiles(valid, by, "glucose", AGP_PERCENTILES, also={"in_range": in_range})

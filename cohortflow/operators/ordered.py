@@ -8,7 +8,6 @@ window runs inside a chunk, and only one row per chunk crosses to the key level.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +17,6 @@ from cohortflow.functions.scalars import col, floor_div, micros
 # Width of a value band: bands grow by 0.5 % of the value.
 BANDS_PER_E = 200
 BAND_OFFSET = 1_000_000
-# Equal parts that a band with a wanted position is cut into.
-PARTS = 1024
 
 
 def time_chunk(ts: Column | str, seconds: int = 3600) -> Column:
@@ -110,80 +107,3 @@ def dense_positions(
         .withColumn("seq_desc", F.col("_n") + 1 - F.col("seq_asc"))
         .drop("_one", "_n")
     )
-
-
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    band: Column | None = None,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key.
-
-    Values are counted, the counts are summed per band, then per part of the
-    bands that hold a wanted position, and only such parts are put in order.  No
-    task sees a whole group or band, so the number of distinct values may grow
-    with the data.  ``n`` counts the values.
-    """
-    src, by = df.where(F.col(value).isNotNull()), list(keys)
-    src = reduce(lambda d, k: d.where(F.col(k).isNotNull()), by, src)
-    counts = (
-        src.groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", band if band is not None else value_band("_v"))
-    )
-    along = Window.partitionBy(*by).orderBy("_band")
-    whole = Window.partitionBy(*by)
-    bands = (
-        counts.groupBy(*by, "_band")
-        .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_before", F.sum("_m").over(along) - F.col("_m"))
-        .withColumn("n", F.sum("_m").over(whole))
-    )
-
-    def position(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(float(p))
-
-    def inside(lo: Column, hi: Column, p: float, up: bool) -> Column:
-        at = F.ceil(position(p)) if up else F.floor(position(p))
-        return (at >= lo) & (at < hi)
-
-    end = F.col("_before") + F.col("_m")
-    hit = [inside(F.col("_before"), end, p, up) for p in probs.values() for up in (False, True)]
-    wanted = reduce(lambda a, b: a | b, hit)
-    width = F.col("_hi") - F.col("_lo")
-    place = F.floor((F.col("_v") - F.col("_lo")) / width * PARTS)
-    part = F.when(width > 0, F.least(place, F.lit(PARTS - 1))).otherwise(0).cast("int")
-    held = counts.join(bands.where(wanted).drop("_m"), [*by, "_band"]).withColumn("_part", part)
-    inner = Window.partitionBy(*by, "_band").orderBy("_part")
-    parts = (
-        held.groupBy(*by, "_band", "_part", "_before", "n")
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_before", F.col("_before") + F.sum("_m").over(inner) - F.col("_m"))
-        .where(wanted)
-        .select(*by, "_band", "_part", F.col("_before").alias("_start"))
-    )
-    upto = Window.partitionBy(*by, "_band", "_part").orderBy("_v")
-    near = (
-        held.join(parts, [*by, "_band", "_part"])
-        .withColumn("_to", F.col("_start") + F.sum("_n").over(upto))
-        .withColumn("_from", F.col("_to") - F.col("_n"))
-    )
-
-    def pick(p: float, up: bool) -> Column:
-        return F.max(F.when(inside(F.col("_from"), F.col("_to"), p, up), F.col("_v")))
-
-    picked = near.groupBy(*by, "n").agg(
-        *[pick(p, False).alias(f"_lo_{q}") for q, p in probs.items()],
-        *[pick(p, True).alias(f"_hi_{q}") for q, p in probs.items()],
-    )
-    share = {q: position(p) - F.floor(position(p)) for q, p in probs.items()}
-    return picked.select(
-        *keys,
-        "n",
-        *[
-            (F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * share[q]).alias(q)
-            for q in probs
-        ],
-    )

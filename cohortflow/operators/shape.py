@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.operators.ordered import exact_quantiles
+from cohortflow.operators.quantiles import exact_quantiles
 
 # Fixed value: two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
@@ -68,27 +68,20 @@ def value_counts(
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def profile(df: DataFrame, name: str, band: Column | None = None) -> DataFrame:
+def profile(df: DataFrame, name: str) -> DataFrame:
     """Count, mean, extremes and quartiles of a number, exact at any size; n is 0 without any."""
     numbers = df.select(F.col(name).cast("double").alias("_x"))
-    basic = numbers.agg(
-        F.count("_x").alias("n"),
-        F.avg("_x").alias("mean"),
-        F.min("_x").alias("min"),
-        F.max("_x").alias("max"),
-    )
-    return basic.join(exact_quantiles(numbers, [], "_x", QUARTILES, band), "n", "left")
+    basic = {"mean": F.avg("_x"), "min": F.min("_x"), "max": F.max("_x")}
+    found = exact_quantiles(numbers, [], "_x", QUARTILES, also=basic)
+    # Grouping by nothing gives one row for an empty frame too.
+    rest = [F.any_value(c).alias(c) for c in (*basic, *QUARTILES)]
+    return found.agg(F.coalesce(F.any_value("n"), F.lit(0)).alias("n"), *rest)
 
 
 def profile_time(df: DataFrame, ts: str) -> DataFrame:
-    """The same profile of a time, as timestamps.
-
-    Day-wide bands keep the bands narrow where a relative width would not.
-    """
+    """The same profile of a time, as timestamps."""
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    out = profile(
-        df.select(seconds.alias("t")), "t", band=F.floor(F.col("_v") / 86400).cast("bigint")
-    )
+    out = profile(df.select(seconds.alias("t")), "t")
     as_ts = [F.timestamp_seconds(F.col(c)).alias(c) for c in ("mean", "min", "max", *QUARTILES)]
     return out.select("n", *as_ts)
 
@@ -105,15 +98,9 @@ def first_by(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
 
 def box_stats(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 IQR) and n per group."""
-    box = exact_quantiles(df, keys, name, QUARTILES)
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    x = F.col(name)
-    fenced = df.where(x.isNotNull()).join(box, list(keys)) if keys else None
-    if fenced is None:
+    if not keys:
         raise ValueError("box_stats needs at least one key")
-    near = fenced.where((x >= F.col("q1") - reach) & (x <= F.col("q3") + reach))
-    ends = near.groupBy(*keys).agg(F.min(x).alias("whisker_lo"), F.max(x).alias("whisker_hi"))
-    return box.join(ends, list(keys))
+    return exact_quantiles(df, keys, name, QUARTILES, whiskers=True)
 
 
 def trajectory(df: DataFrame, week: str, by: Sequence[str], name: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.functions.scalars import fmt_fixed
-from cohortflow.operators.ordered import exact_quantiles, running_totals, value_band
+from cohortflow.operators.ordered import running_totals, value_band
+from cohortflow.operators.quantiles import exact_quantiles
 from cohortflow.operators.tails import normal_p, signed_rank_p
 
 

@@ -64,6 +64,13 @@ def clear_scratch(spark: SparkSession) -> int:
     return removed
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, so that Spark knows its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder once, so later jobs reread it."""
     scratch_dir(df.sparkSession)

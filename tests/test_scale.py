@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import cgm, ordered, quality, windows
+from cohortflow.operators import cgm, ordered, quality, quantiles, windows
 from cohortflow.operators import joins as J
+from cohortflow.operators.shape import QUARTILES
 from cohortflow.plans import bindings as B
 from cohortflow.session import scratch_dir
 from cohortflow.sources import tables as T
@@ -52,16 +53,65 @@ def test_exact_quantiles(spark, scale):
     rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("big", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     probs = {"p0": 0.0, "p05": 0.05, "q1": 0.25, "median": 0.5, "p95": 0.95, "p1": 1.0}
-    got = table(ordered.exact_quantiles(df, ["k"], "v", probs), "k")
+    got = table(quantiles.exact_quantiles(df, ["k"], "v", probs), "k")
     assert set(got) == {(k,) for k in groups}
     for k, v in groups.items():
         assert got[k,]["n"] == len(v)
         for name, p in probs.items():
             assert got[k,][name] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-15)
-    whole = ordered.exact_quantiles(df.where("k = 'big'"), [], "v", {"m": 0.5}).first()
+    whole = quantiles.exact_quantiles(df.where("k = 'big'"), [], "v", {"m": 0.5}).first()
     assert whole["m"] == pytest.approx(np.median(groups["big"]))
 
 
+def brute_box(v):
+    q1, median, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+    reach = (q3 - q1) * 1.5
+    near = v[(v >= q1 - reach) & (v <= q3 + reach)]
+    return [q1, median, q3, near.min(), near.max()]
+
+
+@pytest.mark.parametrize("sketch", [64, 8192])
+def test_brackets_keep_few_values(spark, sketch):
+    """Groups of far more values than a bracket takes whole; ties, outliers and a hot group."""
+    rng = np.random.default_rng(11)
+    groups = {
+        "hot": rng.normal(size=60_000),
+        "ties": rng.integers(0, 12, 20_000).astype(float),
+        "tails": np.concatenate([rng.normal(size=20_000), rng.normal(size=300) * 1e6]),
+        "flat": np.full(5_000, 2.5),
+        "few": np.array([1.0, 2.0, 4.0, 100.0]),
+    }
+    frame = {"k": np.repeat(list(groups), [len(v) for v in groups.values()]), "v": np.concatenate(list(groups.values()))}
+    order = rng.permutation(len(frame["k"]))
+    data = [(str(k), float(x)) for k, x in zip(frame["k"][order], frame["v"][order])]
+    data += [("few", None), ("few", float("nan")), (None, 1.0)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    out = quantiles.exact_quantiles(
+        df, ["k"], "v", QUARTILES, also={"total": F.count("v"), "top": F.max("v")}, whiskers=True, sketch=sketch
+    )
+    got = table(out, "k")
+    assert set(got) == {(k,) for k in groups}
+    for k, v in groups.items():
+        row = got[k,]
+        assert (row["n"], row["total"], row["top"]) == (len(v), len(v), v.max())
+        names = ("q1", "median", "q3", "whisker_lo", "whisker_hi")
+        assert [row[c] for c in names] == pytest.approx(brute_box(v), rel=1e-12, abs=1e-12)
+    one = quantiles.exact_quantiles(df.where("k = 'hot'"), [], "v", {"m": 0.5, "p": 0.999}, sketch=sketch).collect()
+    assert [(r["m"], r["p"]) for r in one] == [tuple(np.quantile(groups["hot"], [0.5, 0.999]))]
+    assert quantiles.exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).collect() == []
+    assert quantiles.exact_quantiles(df.limit(0), [], "v", {"m": 0.5}).collect() == []
+
+
+def test_rows_between_brackets_are_counted_only(spark):
+    """What is put in order is a small share of the rows."""
+    df = spark.range(200_000).select((F.col("id") % 3).alias("k"), F.rand(3).alias("v"))
+    out = quantiles.exact_quantiles(df, ["k"], "v", {"m": 0.5})
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") <= 2 and "BroadcastHashJoin" in final
+
+
 def test_value_bands_keep_order(spark):
     v = [-1e300, -5.0, -4.99, -1e-300, 0.0, 1e-300, 0.1, 0.1001, 7.0, 1e300]
     df = spark.createDataFrame([(x,) for x in v], "v double").select(ordered.value_band("v").alias("b"))
