@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 
 from cohortflow.operators.ordered import running_totals
 from cohortflow.operators.shape import Z95
-from cohortflow.operators.tails import chi2_one_p, normal_two_sided
+from cohortflow.operators.tails import chi2_one_p, chi2_tail, normal_two_sided
 from cohortflow.session import cut_lineage
 
-# Distinct times of a piece; beyond MOST_PIECES the pieces grow instead.
+# Distinct times of a piece, up to PIECE squared of them; beyond that the number of pieces and
+# their size grow alike, with the square root.
 PIECE = 4096
-MOST_PIECES = 1000
 
 
 def in_pieces(df: DataFrame, t: str) -> DataFrame:
@@ -27,7 +28,8 @@ def in_pieces(df: DataFrame, t: str) -> DataFrame:
     doesn't matter.  ``df`` is read twice here and should be written before.
     """
     times = df.where(F.col(t).isNotNull()).select(F.col(t).cast("double").alias("_t")).distinct()
-    pieces = min(MOST_PIECES, max(1, -(-times.count() // PIECE)))
+    count = times.count()
+    pieces = max(1, min(-(-count // PIECE), math.isqrt(count)))
     probs = [i / pieces for i in range(1, pieces)]
     cuts = sorted(set(times.approxQuantile("_t", probs, 0.2 / pieces))) if probs else []
     if not cuts:
@@ -275,7 +277,20 @@ COX_SCHEMA = (
 )
 
 
-def cox_ph(
+@dataclass
+class CoxFit:
+    """A fitted model; ``rows`` has the distinct rows as t, e, x0, x1, ... and their number m."""
+
+    names: list[str]
+    rows: DataFrame
+    beta: np.ndarray
+    info: np.ndarray
+    loglik: float
+    loglik_null: float
+    converged: bool
+
+
+def fit_cox(
     df: DataFrame,
     t: str = "T",
     e: str = "E",
@@ -283,7 +298,7 @@ def cox_ph(
     ties: str = "efron",
     max_iter: int = 30,
     tol: float = 1e-9,
-) -> DataFrame:
+) -> CoxFit:
     """Proportional-hazards regression by Newton steps, one Spark job each.
 
     A step groups by time and runs the risk sums over pieces of the distinct
@@ -308,8 +323,8 @@ def cox_ph(
     means = kept.agg(*[F.avg(n).alias(n) for n in names]).first()
     rows = kept.withColumns({n: F.col(n) - F.lit(means[n] or 0.0) for n in names})
     beta = np.zeros(p)
-    ll, gradient, info = _cox_step(rows, beta, ties)
-    converged = False
+    null, gradient, info = _cox_step(rows, beta, ties)
+    ll, converged = null, False
     for _ in range(max_iter):
         step = np.linalg.solve(info, gradient)
         for _ in range(10):
@@ -322,7 +337,21 @@ def cox_ph(
         if abs(gain) < tol and np.abs(step).max() < 1e-6:
             converged = True
             break
-    se = np.sqrt(np.diag(np.linalg.inv(info)))
+    return CoxFit(list(x), kept.drop("_piece"), beta, info, ll, null, converged)
+
+
+def cox_ph(
+    df: DataFrame,
+    t: str = "T",
+    e: str = "E",
+    x: Sequence[str] = ("arm",),
+    ties: str = "efron",
+    max_iter: int = 30,
+    tol: float = 1e-9,
+) -> DataFrame:
+    """Coefficient table of a proportional-hazards regression, see ``fit_cox``."""
+    fit = fit_cox(df, t, e, x, ties, max_iter, tol)
+    se = np.sqrt(np.diag(np.linalg.inv(fit.info)))
     out = [
         (
             name,
@@ -333,9 +362,104 @@ def cox_ph(
             normal_two_sided(b / s),
             float(b - Z95 * s),
             float(b + Z95 * s),
-            float(ll),
-            converged,
+            float(fit.loglik),
+            fit.converged,
         )
-        for name, b, s in zip(x, beta, se)
+        for name, b, s in zip(fit.names, fit.beta, se)
     ]
     return df.sparkSession.createDataFrame(out, COX_SCHEMA)
+
+
+def concordance(
+    df: DataFrame, t: str = "T", e: str = "E", score: str = "score", weight: str | None = None
+) -> DataFrame:
+    """Pairs that can be compared, and those whose higher ``score`` came first: one row.
+
+    Two patients compare if the earlier of them had the event; of one time, if
+    just one had it, who counts as earlier.  Equal scores are ``tied`` and count
+    half in ``concordance``, which is NULL without comparable pairs.  Rows with a
+    NULL are left out; ``weight`` counts a row that often.
+
+    No pair is ever listed.  Two places in the order of time part at exactly one
+    level of halving that order, so at each level the events of the left half of
+    a block meet the running counts of its right half by score: rows times the
+    logarithm of the distinct times, in aggregates and windows over pieces of the
+    scores.
+    """
+    known = df_known(df, [c for c in (t, e, score, weight) if c])
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    merged = known.groupBy(
+        F.col(t).cast("double").alias("t"),
+        F.col(e).cast("int").alias("e"),
+        F.col(score).cast("double").alias("s"),
+    ).agg(number.cast("decimal(38,0)").alias("m"))
+    kept = cut_lineage(merged)
+    times = in_pieces(cut_lineage(kept.select("t").distinct()), "t").withColumn("_one", F.lit(1))
+    ranked = running_totals(times, [], "t", {"k": "_one"}, F.col("_piece")).select("t", "k")
+    # At one time the event comes before the censored patients.
+    pos = 2 * F.col("k") + F.when(F.col("e") == 1, 0).otherwise(1)
+    placed = in_pieces(kept, "s").withColumnRenamed("_piece", "_strip").join(ranked, "t")
+    placed = cut_lineage(placed.select("s", "m", "e", "_strip", pos.cast("bigint").alias("pos")))
+    last = placed.agg(F.max("pos")).first()[0] or 0
+    level, side = F.col("level"), F.expr("shiftright(pos, level) & 1")
+    halves = (
+        placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last.bit_length()))))
+        .withColumn("right", side == 1)
+        .where(F.col("right") | (F.col("e") == 1))
+        .groupBy(level, F.expr("shiftright(pos, level + 1)").alias("block"), "_strip", "s")
+        .agg(
+            F.sum(F.when(~F.col("right"), F.col("m")).otherwise(0)).cast("decimal(38,0)").alias("asked"),
+            F.sum(F.when(F.col("right"), F.col("m")).otherwise(0)).cast("decimal(38,0)").alias("held"),
+        )
+    )
+    halves = cut_lineage(halves)
+    by = ["level", "block"]
+    totals = halves.groupBy(*by).agg(F.sum("asked").alias("asked"), F.sum("held").alias("held"))
+    ranked = running_totals(halves, by, "s", {"upto": "held"}, F.col("_strip"))
+
+    def whole(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)")
+
+    asked, held = (F.col(c).cast("decimal(19,0)") for c in ("asked", "held"))
+    lower = (F.col("upto") - F.col("held")).cast("decimal(19,0)")
+    counted = ranked.agg(whole(asked * lower).alias("concordant"), whole(asked * held).alias("tied"))
+    pairs = totals.agg(whole(asked * held).alias("comparable"))
+    n = F.col("comparable").cast("double")
+    share = F.try_divide(F.col("concordant").cast("double") + F.col("tied").cast("double") / 2, n)
+    # Both sides are one row.
+    return counted.crossJoin(F.broadcast(pairs)).withColumn("concordance", share)
+
+
+def cox_summary(
+    df: DataFrame,
+    t: str = "T",
+    e: str = "E",
+    x: Sequence[str] = ("arm",),
+    ties: str = "efron",
+) -> DataFrame:
+    """The figures of a fitted model as a whole, one row.
+
+    Patients and events, log-likelihoods without and with the covariates, their
+    likelihood-ratio test, partial AIC, and how well the fitted hazard orders the
+    patients.
+    """
+    fit = fit_cox(df, t, e, x, ties)
+    p = len(fit.names)
+    chi2 = 2.0 * (fit.loglik - fit.loglik_null)
+    hazard = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(fit.beta)), F.lit(0.0))
+    pairs = concordance(fit.rows.withColumn("_hazard", hazard), "t", "e", "_hazard", weight="m")
+    size = fit.rows.agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("e")).alias("events"))
+    return size.crossJoin(F.broadcast(pairs)).select(
+        "n",
+        "events",
+        F.lit(float(fit.loglik_null)).alias("loglik_null"),
+        F.lit(float(fit.loglik)).alias("loglik"),
+        F.lit(chi2).alias("chi2"),
+        F.lit(p).alias("df"),
+        F.lit(chi2_tail(chi2, p)).alias("p"),
+        F.lit(2.0 * p - 2.0 * float(fit.loglik)).alias("partial_aic"),
+        "concordant",
+        "tied",
+        "comparable",
+        "concordance",
+    )

@@ -15,6 +15,20 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def chi2_tail(x: float, df: int) -> float:
+    """Upper tail of chi-square with a whole number of degrees of freedom, as a finite sum."""
+    if x <= 0:
+        return 1.0
+    half = x / 2.0
+    odd = df % 2
+    total = math.erfc(math.sqrt(half)) if odd else 0.0
+    power = 0.5 if odd else 0.0
+    while power < df / 2.0:
+        total += math.exp(power * math.log(half) - half - math.lgamma(power + 1.0))
+        power += 1.0
+    return min(1.0, total)
+
+
 @pandas_udf(DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v)).astype("float64")

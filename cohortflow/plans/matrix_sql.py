@@ -100,6 +100,7 @@ def cox_ctes(x: Sequence[str], frame: str) -> dict[str, str]:
             WHERE e = 1 GROUP BY 1)""",
         "newton": f"""SELECT 0 AS step, [{zero}] AS beta UNION ALL SELECT step + 1, {moved}
             FROM (SELECT *, {swept("a", m, p)} AS s FROM ({summed("(SELECT * FROM newton WHERE step < 20)")}))""",
+        "null_model": summed("(SELECT * FROM newton WHERE step = 0)"),
         "cox": f"SELECT *, {swept('a', m, p)} AS s FROM ({summed('(SELECT * FROM newton WHERE step = 20)')})",
         "tested": f"""SELECT *, coef / se AS z FROM (SELECT [{names}][i + 1] AS term, beta[i + 1] AS coef,
             sqrt(s[i * {m} + i + 1]) AS se,

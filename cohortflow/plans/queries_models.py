@@ -386,6 +386,49 @@ def cox_covariates(spark: SparkSession, base: str) -> DataFrame:
     return rounded(survival.cox_ph(B.survival_frame(spark, base), x=["arm", "age"]))
 
 
+# Every pair of patients, the first of which had the event.
+PAIRS = """SELECT count(*) FILTER (a.s > b.s) AS concordant, count(*) FILTER (a.s = b.s) AS tied,
+    count(*) AS comparable FROM scored a JOIN scored b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))"""
+SHARE = "round((concordant + tied / 2.0::DOUBLE) / comparable, 6) AS concordance"
+COUNTED = ["concordant", "tied", "comparable"]
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumns({c: F.col(c).cast("bigint") for c in COUNTED}))
+
+
+@query(
+    "SURV4_concordance",
+    with_frames(
+        f"SELECT *, {SHARE} FROM ({PAIRS})",
+        "survival",
+        extra={"scored": "SELECT T AS t, E AS e, age - 3 * arm AS s FROM survival"},
+    ),
+)
+def concordance(spark: SparkSession, base: str) -> DataFrame:
+    scored = B.survival_frame(spark, base).withColumn("score", F.col("age") - 3 * F.col("arm"))
+    return _counted(survival.concordance(scored))
+
+
+@query(
+    "SURV4_cox_summary",
+    with_frames(
+        f"""SELECT n, events, round(null_ll, 6) AS loglik_null, round(loglik, 6) AS loglik,
+        round(2 * (loglik - null_ll), 6) AS chi2, 2 AS df, round(exp(-(loglik - null_ll)), 6) AS p,
+        round(4 - 2 * loglik, 6) AS partial_aic, concordant, tied, comparable, {SHARE}
+        FROM (SELECT count(*) AS n, CAST(sum(e) AS BIGINT) AS events FROM subjects),
+        (SELECT any_value(loglik) AS loglik FROM tested), (SELECT logs AS null_ll FROM null_model), ({PAIRS})""",
+        "survival",
+        extra={
+            **cox_ctes(["arm", "age"], "survival"),
+            "scored": "SELECT t, e, beta[1] * x[2] + beta[2] * x[3] AS s FROM subjects, cox",
+        },
+    ),
+)
+def cox_summary(spark: SparkSession, base: str) -> DataFrame:
+    return _counted(survival.cox_summary(B.survival_frame(spark, base), x=["arm", "age"]))
+
+
 # Clusters of patients.
 
 
