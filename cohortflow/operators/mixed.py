@@ -35,19 +35,24 @@ def _expand(terms: Sequence[str]) -> list[tuple[str, ...]]:
 
 Levels = Mapping[str, Sequence]
 
+# Levels of a category at most; the design is solved on the driver.
+MOST_LEVELS = 1000
+
 
 def category_levels(df: DataFrame, terms: Sequence[str], levels: Levels | None = None) -> dict[str, list]:
-    """Levels of each text or flag column of the terms, in order; those not given are read, in one scan.
+    """Levels of each text or flag column of the terms, in order; those not given are read, a scan each.
 
-    A level adds a coefficient, so their number is that of a model's design.
+    A level adds a coefficient, so a column of more than MOST_LEVELS is an error.
     """
     kinds, given = dict(df.dtypes), dict(levels or {})
     names = dict.fromkeys(v for t in _expand(terms) for v in t)
     names = [n for n in names if kinds[n] in ("string", "boolean")]
     wanted = [n for n in names if n not in given]
-    if wanted:
-        found = df.agg(*[F.sort_array(F.collect_set(n)).alias(n) for n in wanted]).first()
-        given |= {n: found[n] for n in wanted}
+    for n in wanted:
+        found = df.where(F.col(n).isNotNull()).select(n).distinct().limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{n} has more than {MOST_LEVELS} levels")
+        given[n] = sorted(r[0] for r in found)
     return {n: list(given[n]) for n in names}
 
 
@@ -110,6 +115,13 @@ class MixedFit:
     levels: dict[str, list] = field(default_factory=dict)
     group_sizes: tuple[int, float, int] = (0, 0.0, 0)
     converged: bool = True
+    ratio_se: float | None = None
+    group_var_se: float | None = None
+
+    @property
+    def ratio(self) -> float:
+        """Group variance over the scale."""
+        return self.group_var / self.scale
 
     @property
     def aic(self) -> float:
@@ -232,6 +244,60 @@ def _evaluate(
     return [(_matrix(r, "k", m), _matrix(r, "d", m), r["log_v"], r["slope_v"]) for r in rows]
 
 
+def _curvature(
+    stats: DataFrame, by: str, m: int, asked: Sequence[tuple[object, float]]
+) -> list[tuple[np.ndarray, float]]:
+    """Second derivatives by the variance ratio of the weighted sums of products and of log V, in one job."""
+    cells = [f"{i}_{j}" for i in range(m) for j in range(i, m)]
+    kind = stats.schema[by].dataType.simpleString()
+    requests = stats.sparkSession.createDataFrame(
+        [(k, s, float(t)) for k, (s, t) in enumerate(asked)], f"at int, {by} {kind}, theta double"
+    )
+    size, groups = F.col("size"), F.col("groups")
+    grown = 1.0 + size * F.col("theta")
+    sums = stats.join(F.broadcast(requests), by).groupBy("at").agg(
+        F.sum(-groups * size * size / (grown * grown)).alias("log_v"),
+        *[F.sum(2 * size * F.col(f"b_{c}") / (grown * grown * grown)).alias(f"c_{c}") for c in cells],
+    )
+    return [(_matrix(r, "c", m), r["log_v"]) for r in sorted(sums.collect(), key=lambda r: r["at"])]
+
+
+def _variance_errors(
+    fit: MixedFit, within: np.ndarray, part: Part, curve: tuple[np.ndarray, float], reml: bool
+) -> tuple[float | None, float | None]:
+    """Standard errors of the variance ratio and of the group variance, from the observed information.
+
+    ``within`` and the parts are those of the fit's design columns and y.  The
+    coefficients are profiled out; ratio and scale keep their joint information.
+    None where the likelihood isn't at a peak, as at a ratio of 0.
+    """
+    if fit.ratio <= 0 or not fit.converged:
+        return None, None
+    p = len(fit.names)
+    shrunk, change, _, _ = part
+    second, log_v2 = curve
+    q = within - shrunk
+    a = q[:p, :p]
+    v = np.append(-np.linalg.solve(a, q[:p, p]), 1.0)
+    # By the ratio, q has the first derivative -change and the second derivative ``second``.
+    pull = (change @ v)[:p]
+    r1 = -(v @ change @ v)
+    r2 = v @ second @ v - 2.0 * pull @ np.linalg.solve(a, pull)
+    s2 = fit.scale
+    free = fit.n_obs - p if reml else fit.n_obs
+    if reml:
+        turned = np.linalg.solve(a, change[:p, :p])
+        log_v2 = log_v2 + np.trace(np.linalg.solve(a, second[:p, :p])) - np.trace(turned @ turned)
+    info = np.array(
+        [[0.5 * (log_v2 + r2 / s2), -0.5 * r1 / s2**2], [-0.5 * r1 / s2**2, 0.5 * free / s2**2]]
+    )
+    if np.linalg.det(info) <= 0 or info[0, 0] <= 0:
+        return None, None
+    cov = np.linalg.inv(info)
+    slope = np.array([s2, fit.ratio])
+    return float(math.sqrt(cov[0, 0])), float(math.sqrt(slope @ cov @ slope))
+
+
 def _maximise(
     names: list[str], sums: _Totals, centre: Sequence[float], reml: bool
 ) -> Generator[Sequence[float], list[Part], MixedFit]:
@@ -313,6 +379,7 @@ def fit_formulas(
     reml: bool = False,
     by: str | None = None,
     levels: Levels | None = None,
+    variance_errors: bool = False,
 ) -> list[MixedFit]:
     """Fit several formulas on the rows that are complete for all of them, per stratum.
 
@@ -320,7 +387,8 @@ def fit_formulas(
     column means and once for the sufficient statistics of all design columns
     together, which are written: one row per stratum and distinct group size.
     The search over the variance ratio runs on them, all models in one job a
-    round, at any number of sizes.
+    round, at any number of sizes.  ``variance_errors`` adds the standard errors
+    of the variances, in two more such jobs for all models.
     """
     terms = list(dict.fromkeys(t for f in formulas.values() for t in f))
     known = category_levels(df, terms, levels)
@@ -360,6 +428,16 @@ def fit_formulas(
         for (s, f), ts in now:
             cut = np.ix_(place[f], place[f])
             advance((s, f), [(k[cut], d[cut], lv, sv) for k, d, lv, sv in (next(found) for _ in ts)])
+    if variance_errors:
+        pairs = [(key, fit.ratio) for key, fit in fits.items()]
+        points = [(s, ratio) for (s, _), ratio in pairs]
+        parts, curves = _evaluate(stats, stratum, m, points), _curvature(stats, stratum, m, points)
+        for ((s, f), _), (k, d, lv, sv), (c, lv2) in zip(pairs, parts, curves):
+            cut = np.ix_(place[f], place[f])
+            errors = _variance_errors(
+                fits[s, f], totals[s].within[cut], (k[cut], d[cut], lv, sv), (c[cut], lv2), reml
+            )
+            fits[s, f].ratio_se, fits[s, f].group_var_se = errors
     for (s, f), fit in fits.items():
         fit.stratum, fit.model = (s if by else None), f
         used = {v for t in _expand(formulas[f]) for v in t}
@@ -394,6 +472,34 @@ def summaries(spark: SparkSession, fits: Sequence[MixedFit], by: str | None = No
     return spark.createDataFrame(rows, (f"{by} string, " if by else "") + SUMMARY_SCHEMA)
 
 
+VARIANCE_SCHEMA = (
+    "group_var double, group_var_se double, scale double, ratio double, ratio_se double, converged boolean"
+)
+
+
+def variances(
+    df: DataFrame,
+    y: str,
+    terms: Sequence[str],
+    group: str,
+    reml: bool = False,
+    by: str | None = None,
+    levels: Levels | None = None,
+) -> DataFrame:
+    """Group variance, scale and their ratio with standard errors, one row per stratum.
+
+    The errors come from the observed information with the coefficients profiled
+    out; they are NULL at a ratio of 0, where the likelihood has no peak.
+    """
+    fits = fit_formulas(df, y, {"": terms}, group, reml, by, levels, variance_errors=True)
+    rows = [
+        ((str(f.stratum),) if by else ())
+        + (f.group_var, f.group_var_se, f.scale, f.ratio, f.ratio_se, f.converged)
+        for f in fits
+    ]
+    return df.sparkSession.createDataFrame(rows, (f"{by} string, " if by else "") + VARIANCE_SCHEMA)
+
+
 def mixed_lm(
     df: DataFrame, y: str, terms: Sequence[str], group: str, reml: bool = False
 ) -> DataFrame:

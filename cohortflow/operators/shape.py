@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,6 +113,59 @@ def trajectory(df: DataFrame, week: str, by: Sequence[str], name: str) -> DataFr
     )
 
 
+def _poisson_weight(u: Column) -> Column:
+    """A Poisson number of mean 1 from a number in [0, 1): how often a resample has a row."""
+    chain, total = None, 0.0
+    for k in range(18):
+        total += math.exp(-1.0) / math.factorial(k)
+        chain = F.when(u < total, k) if chain is None else chain.when(u < total, k)
+    return chain.otherwise(18)
+
+
+def hashed_draw(ids: Sequence[str]) -> Callable[[Column], Column]:
+    """Numbers in [0, 1) that depend on a row's ``ids`` and the replicate only."""
+    return lambda replicate: F.shiftrightunsigned(F.xxhash64(*ids, replicate), 11) * 2.0**-53
+
+
+def trajectory_bands(
+    df: DataFrame,
+    week: str,
+    by: Sequence[str],
+    name: str,
+    ids: Sequence[str],
+    replicates: int = 1000,
+    level: float = 0.95,
+    draw: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Mean per (week, arm...) with a bootstrap interval: percentiles of the means of resamples.
+
+    Each resample counts a row a Poisson number of times, drawn from a hash of
+    the row's ``ids`` and the number of the resample, so it is the same however
+    the rows are laid out, and rows need not be brought together.  Rows meet all
+    resamples in one pass; what is shuffled is one row per group and resample.
+    A resample without rows is left out, NULL keys and values too.
+    """
+    draw = draw or hashed_draw(ids)
+    known = without_null_keys(df, [week, *by, name]).withColumn("_y", F.col(name).cast("double"))
+    # Replicate 0 has each row once: the mean itself.
+    many = known.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    weight = F.when(F.col("_r") == 0, 1).otherwise(_poisson_weight(draw(F.col("_r"))))
+    sums = (
+        many.select(week, *by, "_r", "_y", weight.alias("_w"))
+        .where("_w > 0")
+        .groupBy(week, *by, "_r")
+        .agg(F.sum("_w").alias("n"), (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_m"))
+    )
+    own, tail = F.col("_r") == 0, (1 - level) / 2
+    resampled = F.when(~own, F.col("_m"))
+    return sums.groupBy(week, *by).agg(
+        F.max(F.when(own, F.col("n"))).alias("n"),
+        F.max(F.when(own, F.col("_m"))).alias("mean"),
+        F.percentile(resampled, F.lit(tail)).alias("ci_lo"),
+        F.percentile(resampled, F.lit(1 - tail)).alias("ci_hi"),
+    )
+
+
 def histogram(df: DataFrame, name: str, width: float) -> DataFrame:
     """Counts in bins [start, start + width)."""
     start = (F.floor(F.col(name) / F.lit(float(width))) * width).alias("bin_start")

@@ -58,6 +58,18 @@ def mixed_ctes(z: Mapping[str, str], frame: str) -> dict[str, str]:
         "fitted": f"""SELECT *, {p} AS p, scale * theta AS group_var,
             -0.5 * (obs * ln(2 * pi() * scale) + logv + obs) AS loglik
             FROM (SELECT *, rss / obs AS scale FROM ({solved("(SELECT * FROM search WHERE step = 60)")}))""",
+        # Second derivatives by the variance ratio, and the observed information of ratio and scale.
+        "curved": f"""SELECT list(e2 ORDER BY c) AS e2, sum(CASE WHEN c = 0 THEN lv2 END) AS lv2 FROM (
+            SELECT c, sum(2 * size * b / pow(1 + size * theta, 3)) AS e2,
+            sum(-groups * size * size / pow(1 + size * theta, 2)) AS lv2 FROM cells, fitted GROUP BY c)""",
+        "pulls": f"""SELECT *, list_transform(range({p}), lambda i:
+            list_sum(list_transform(range({m}), lambda j: d[i * {m} + j + 1] * v[j + 1]))) AS pull
+            FROM fitted, curved""",
+        "informed": f"""SELECT *, 0.5 * (lv2 + r2 / scale) AS i11, -0.5 * change / pow(scale, 2) AS i12,
+            0.5 * obs / pow(scale, 2) AS i22 FROM (SELECT *,
+            list_sum(list_transform(range({m * m}), lambda e: e2[e + 1] * v[e // {m} + 1] * v[e % {m} + 1]))
+            - 2 * list_sum(list_transform(range({p * p}), lambda e:
+                pull[e // {p} + 1] * s[(e // {p}) * {m} + e % {p} + 1] * pull[e % {p} + 1])) AS r2 FROM pulls)""",
         "tested": f"""SELECT *, coef / se AS z FROM (SELECT [{names}][i + 1] AS term, s[i * {m} + {m}] AS coef,
             sqrt(scale * s[i * {m} + i + 1]) AS se FROM fitted, range({p}) t(i))""",
     }

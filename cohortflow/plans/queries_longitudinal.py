@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.operators import cgm, quality, revision, shape, windows
@@ -168,6 +170,44 @@ def trajectory(spark: SparkSession, base: str) -> DataFrame:
     return rounded(shape.trajectory(B.weekly_outcome(spark, base), "week", ["arm"], "y"))
 
 
+# The same numbers in both engines: the first 8 hexadecimal digits of a digest of row and replicate.
+REPLICATES = 200
+_ROW_TEXT = "concat_ws(':', patient_id, week, {r})"
+DRAW_SQL = f"CAST('0x' || substr(md5({_ROW_TEXT.format(r='r')}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+POISSON_SQL = " + ".join(
+    f"(u >= {sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))!r}::DOUBLE)::INTEGER" for k in range(18)
+)
+
+
+def digest_draw(replicate: Column) -> Column:
+    digest = F.md5(F.concat_ws(":", "patient_id", "week", replicate.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+@query(
+    "AGG10_trajectory_bands",
+    with_frames(
+        f"""SELECT week, arm, any_value(n) AS n, round(any_value(mean), 6) AS mean,
+        round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi
+        FROM resampled JOIN (SELECT week, arm, count(*) AS n, avg(y) AS mean FROM weekly_outcome GROUP BY 1, 2)
+        USING (week, arm) GROUP BY 1, 2""",
+        "weekly_outcome",
+        extra={
+            "drawn": f"SELECT *, {DRAW_SQL} AS u FROM weekly_outcome, range(1, {REPLICATES + 1}) t(r)",
+            "resampled": f"""SELECT week, arm, r, sum(w * y) / sum(w) AS m
+            FROM (SELECT *, {POISSON_SQL} AS w FROM drawn) WHERE w > 0 GROUP BY 1, 2, 3""",
+        },
+    ),
+)
+def trajectory_bands(spark: SparkSession, base: str) -> DataFrame:
+    frame = B.weekly_outcome(spark, base)
+    return rounded(
+        shape.trajectory_bands(
+            frame, "week", ["arm"], "y", ["patient_id", "week"], REPLICATES, draw=digest_draw
+        )
+    )
+
+
 @query(
     "AGG11_histogram",
     "SELECT CAST(floor(p_size / 10.0) * 10 AS BIGINT) AS bin_start, count(*) AS n FROM part GROUP BY 1",

@@ -154,6 +154,22 @@ def mixed_lm_covariates(spark: SparkSession, base: str) -> DataFrame:
     return rounded_coefficients(mixed.mixed_lm(outcome(spark, base), "y", TERMS, "patient_id"))
 
 
+@query(
+    "STAT2_group_variance",
+    with_frames(
+        """SELECT round(group_var, 4) AS group_var, round(scale, 4) AS scale, round(theta, 5) AS ratio,
+        round(sqrt(i22 / det), 5) AS ratio_se,
+        round(sqrt((scale * scale * i22 - 2 * scale * theta * i12 + theta * theta * i11) / det), 4) AS group_var_se,
+        true AS converged FROM (SELECT *, i11 * i22 - i12 * i12 AS det FROM informed)""",
+        "weekly_outcome",
+        extra={**OUTCOME, **mixed_ctes({"week": "week", "arm": "arm"}, "outcome")},
+    ),
+)
+def group_variance(spark: SparkSession, base: str) -> DataFrame:
+    out = mixed.variances(outcome(spark, base), "y", ["week", "arm"], "patient_id")
+    return rounded(out, {"group_var": 4, "scale": 4, "group_var_se": 4, "ratio": 5, "ratio_se": 5})
+
+
 def sites(spark: SparkSession, base: str) -> DataFrame:
     """The weekly outcome with a category of five levels."""
     site = F.concat(F.lit("S"), (F.col("patient_id") % 5).cast("string"))

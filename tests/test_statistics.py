@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import clusters, mixed, survival
+from cohortflow.operators import clusters, mixed, shape, survival
+from cohortflow.operators.tails import chi2_tail
 from cohortflow.operators.wilcoxon import wilcoxon
 
 # The 6-MP leukaemia trial (Freireich 1963), weeks, censored ones negative.
@@ -319,3 +320,160 @@ def test_projection_matches_svd(spark):
     v = np.linalg.svd(z)[2][:2].T
     v *= np.where(v[np.abs(v).argmax(axis=0), [0, 1]] > 0, 1, -1)
     np.testing.assert_allclose([got[i] for i in range(60)], z @ v, atol=1e-8)
+
+
+# Concordance, likelihood ratio, errors of variances, resampled bands.
+
+
+def brute_pairs(t, e, s):
+    concordant = tied = comparable = 0
+    for i in range(len(t)):
+        for j in range(len(t)):
+            if e[i] and (t[j] > t[i] or (t[j] == t[i] and not e[j])):
+                comparable += 1
+                concordant += s[i] > s[j]
+                tied += s[i] == s[j]
+    return concordant, tied, comparable
+
+
+@pytest.mark.parametrize("piece", [1, 4096])
+@pytest.mark.parametrize("times", [6, 10_000])
+def test_concordance_equals_all_pairs(spark, monkeypatch, piece, times):
+    monkeypatch.setattr(survival, "PIECE", piece)
+    rng = np.random.default_rng(times)
+    n = 260
+    t, e = rng.integers(1, times, n).astype(float), (rng.random(n) < 0.6).astype(int)
+    s = np.where(rng.random(n) < 0.4, rng.integers(0, 3, n), rng.normal(size=n))
+    rows = [(float(a), int(b), float(c)) for a, b, c in zip(t, e, s)]
+    rows += [(None, 1, 0.0), (1.0, None, 0.0), (1.0, 1, None)]
+    df = spark.createDataFrame(rows, "T double, E int, score double").repartition(3)
+    row = survival.concordance(df).first()
+    want = brute_pairs(t, e, s)
+    assert tuple(int(row[c]) for c in ("concordant", "tied", "comparable")) == want
+    assert row["concordance"] == pytest.approx((want[0] + want[1] / 2) / want[2])
+    twice = survival.concordance(df.withColumn("w", F.lit(2)), weight="w").first()
+    assert int(twice["comparable"]) == 4 * want[2] and int(twice["tied"]) == 4 * want[1]
+
+
+def test_concordance_without_pairs(spark):
+    df = spark.createDataFrame([(1.0, 1, 0.5), (1.0, 1, 0.7), (0.5, 0, 2.0)], "T double, E int, score double")
+    assert [tuple(r) for r in survival.concordance(df).collect()] == [(0, 0, 0, None)]
+    assert survival.concordance(df.limit(0)).first()["comparable"] == 0
+
+
+@pytest.mark.parametrize(
+    ("x", "df", "want"),
+    [(3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (7.814727903251179, 3, 0.05),
+     (18.307038053275146, 10, 0.05), (0.0, 2, 1.0), (26.757, 11, 0.005), (0.1, 9, 0.9999999764)],
+)
+def test_chi_square_tail(x, df, want):
+    assert chi2_tail(x, df) == pytest.approx(want, rel=1e-4)
+
+
+def test_cox_summary_of_the_trial(spark):
+    row = survival.cox_summary(trial(spark), x=["arm"]).first()
+    data = [(r["T"], r["E"], r["arm"]) for r in trial(spark).collect()]
+    t, e, arm = (np.array(c, float) for c in zip(*data))
+    null = efron(t, e, arm[:, None], np.zeros(1))[0]
+    assert row["loglik"] == pytest.approx(-85.008425, abs=1e-6)
+    assert row["loglik_null"] == pytest.approx(null, abs=1e-9)
+    assert row["chi2"] == pytest.approx(2 * (row["loglik"] - null)) and row["df"] == 1
+    assert row["p"] == pytest.approx(math.erfc(math.sqrt(row["chi2"] / 2)))
+    assert row["partial_aic"] == pytest.approx(2 - 2 * row["loglik"])
+    want = brute_pairs(t, e, -arm)  # the arm of the lower hazard has code 1
+    assert (int(row["concordant"]), int(row["tied"]), int(row["comparable"])) == want
+    assert (row["n"], row["events"]) == (42, 30)
+
+
+@pytest.mark.parametrize("reml", [False, True])
+def test_errors_of_the_variances(spark, reml):
+    """Against numeric second derivatives of the likelihood with whole covariance matrices."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(40):
+        shift = rng.normal() * 1.5
+        for k in range(rng.integers(2, 7)):
+            rows.append((g, float(k), 1.0 + 0.5 * k + shift + rng.normal()))
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    row = mixed.variances(df, "y", ["x"], "g", reml=reml).first()
+    groups = [np.array([r[1:] for r in rows if r[0] == g]) for g in range(40)]
+
+    def loglik(ratio, scale):
+        a, b, rss, logdet, n = np.zeros((2, 2)), np.zeros(2), 0.0, 0.0, 0
+        parts = []
+        for m in groups:
+            x = np.column_stack([np.ones(len(m)), m[:, 0]])
+            v = np.eye(len(m)) + ratio * np.ones((len(m), len(m)))
+            inv = np.linalg.inv(v)
+            a, b = a + x.T @ inv @ x, b + x.T @ inv @ m[:, 1]
+            logdet += np.linalg.slogdet(v)[1]
+            n += len(m)
+            parts.append((x, m[:, 1], inv))
+        beta = np.linalg.solve(a, b)
+        for x, y, inv in parts:
+            rss += (y - x @ beta) @ inv @ (y - x @ beta)
+        free = n - 2 if reml else n
+        extra = np.linalg.slogdet(a)[1] if reml else 0.0
+        return -0.5 * (free * math.log(scale) + logdet + rss / scale + extra)
+
+    at = np.array([row["ratio"], row["scale"]])
+    h = at * 1e-3
+    info = np.empty((2, 2))
+    for i in range(2):
+        for j in range(2):
+            d, f = np.eye(2)[i] * h, np.eye(2)[j] * h
+            second = loglik(*(at + d + f)) - loglik(*(at + d - f)) - loglik(*(at - d + f)) + loglik(*(at - d - f))
+            info[i, j] = -second / (4 * h[i] * h[j])
+    cov = np.linalg.inv(info)
+    slope = np.array([row["scale"], row["ratio"]])
+    assert row["ratio_se"] == pytest.approx(math.sqrt(cov[0, 0]), rel=1e-4)
+    assert row["group_var_se"] == pytest.approx(math.sqrt(slope @ cov @ slope), rel=1e-4)
+
+
+def test_no_error_at_a_ratio_of_zero(spark):
+    rows = [(g, float(v)) for g in range(20) for v in (1, -1)]
+    row = mixed.variances(spark.createDataFrame(rows, "g int, y double"), "y", [], "g").first()
+    assert row["ratio"] == 0 and row["ratio_se"] is None and row["group_var_se"] is None
+
+
+def test_levels_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(mixed, "MOST_LEVELS", 3)
+    df = spark.createDataFrame([(str(i),) for i in range(5)], "site string")
+    with pytest.raises(ValueError, match="site"):
+        mixed.category_levels(df, ["site"])
+    assert mixed.category_levels(df.where("site < '3'"), ["site"]) == {"site": ["0", "1", "2"]}
+
+
+def measured(spark, n=600):
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 2, str(i % 3), float(x)) for i, x in enumerate(rng.normal(5, 2, n))]
+    return spark.createDataFrame([*rows, (n, 0, "0", None), (n + 1, None, "0", 1.0)], "id int, week int, arm string, y double")
+
+
+def test_bands_by_brute_force(spark):
+    df = measured(spark)
+    got = {(r["week"], r["arm"]): r for r in shape.trajectory_bands(df, "week", ["arm"], "y", ["id"], 50).collect()}
+    draw = shape.hashed_draw(["id"])
+    drawn = df.na.drop().select("*", *[draw(F.lit(r)).alias(f"u{r}") for r in range(1, 51)]).collect()
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    assert len(got) == 6
+    for (week, arm), row in got.items():
+        mine = [r for r in drawn if (r["week"], r["arm"]) == (week, arm)]
+        y = np.array([r["y"] for r in mine])
+        weights = np.array([[np.searchsorted(steps, r[f"u{k}"], side="right") for k in range(1, 51)] for r in mine])
+        means = (weights * y[:, None]).sum(axis=0) / weights.sum(axis=0)
+        assert (row["n"], row["mean"]) == (len(mine), pytest.approx(y.mean()))
+        assert (row["ci_lo"], row["ci_hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+        # Weights of mean and variance 1, another for each row and replicate.
+        assert weights.mean() == pytest.approx(1, abs=0.06) and weights.var() == pytest.approx(1, abs=0.12)
+
+
+def test_bands_don_t_depend_on_layout_and_near_the_normal_interval(spark):
+    df = measured(spark, 3000).where("week = 0")
+    one = shape.trajectory_bands(df.repartition(1), "week", [], "y", ["id"]).first()
+    other = shape.trajectory_bands(df.repartition(9, "y"), "week", [], "y", ["id"]).first()
+    assert tuple(one) == pytest.approx(tuple(other), rel=1e-12)
+    normal = shape.trajectory(df, "week", [], "y").first()
+    width = normal["ci_hi"] - normal["ci_lo"]
+    assert one["ci_lo"] == pytest.approx(normal["ci_lo"], abs=0.15 * width)
+    assert one["ci_hi"] == pytest.approx(normal["ci_hi"], abs=0.15 * width)
