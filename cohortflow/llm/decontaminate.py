@@ -265,16 +265,18 @@ def windows_of(words: list[np.ndarray], seeds: Seeds) -> Iterator[tuple[int, int
         lo = hi
 
 
-MATCHES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("item_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("first_word", T.LongType()),
-            T.StructField("last_word", T.LongType()),
-        ]
+def matches_type(item_id: T.DataType) -> T.ArrayType:
+    """Matches with ids of the items' own type."""
+    return T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("item_id", item_id),
+                T.StructField("score", T.DoubleType()),
+                T.StructField("first_word", T.LongType()),
+                T.StructField("last_word", T.LongType()),
+            ]
+        )
     )
-)
 
 
 def find_matches(
@@ -361,7 +363,7 @@ def contaminated(
     ``matches`` may not be among ``keep``.  Items are taken in lots of bounded
     size, each in a pass over the texts.
     """
-    found = None
+    found, kind = None, matches_type(items.schema["item_id"].dataType)
     for lot in passes(items, pass_bytes):
         table = counted(docs, Items.of(lot, min_words), text)
 
@@ -370,11 +372,11 @@ def contaminated(
             return lambda texts: [find_matches(texts, table, min_words, threshold, seeds)]
 
         if found is None:
-            found = map_texts(docs, make, [T.StructField("matches", MATCHES)], keep=[*keep, text], text=text)
+            found = map_texts(docs, make, [T.StructField("matches", kind)], keep=[*keep, text], text=text)
         else:
-            more = [T.StructField("_more", MATCHES)]
+            more = [T.StructField("_more", kind)]
             found = map_texts(found, make, more, keep=[*keep, text, "matches"], text=text)
             found = found.withColumn("matches", F.concat("matches", "_more")).drop("_more")
     if found is None:
-        found = docs.select(*dict.fromkeys([*keep, text])).withColumn("matches", F.array().cast(MATCHES))
+        found = docs.select(*dict.fromkeys([*keep, text])).withColumn("matches", F.array().cast(kind))
     return found.select(*keep, "matches")

@@ -18,6 +18,8 @@ from cohortflow.llm.texts import map_texts
 FIT_DOCUMENTS = 8_000
 # Words that a worker remembers before it starts afresh; a bound on memory, not on results.
 REMEMBERED = 1_000_000
+# Characters of the words that a worker remembers.
+REMEMBERED_CHARS = 32 << 20
 # A language uses a script if it has this share of the language's letters.
 SCRIPT_SHARE = 0.01
 # What a change of language from one word to the next costs, in units of log likelihood.
@@ -137,6 +139,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.scores = np.zeros((1024, max(1, len(self.model.languages))), np.float32)
         self.n_letters = np.zeros(1024, np.int64)
 
@@ -173,6 +176,7 @@ class Scorer:
         self.scores[at:need] = rows
         self.n_letters[at:need] = [len(w) for w in plain]
         self.place.update(zip(words, range(at, need)))
+        self.chars += sum(map(len, words))
 
     def narrow(self, rows: np.ndarray, i: int, name: str) -> None:
         used = self.model.scripts.get(name)
@@ -183,7 +187,7 @@ class Scorer:
 
     def paths(self, texts: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Best language and letters of every word, per text."""
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         words = [(t or "").split() for t in texts]
         new: dict[str, None] = {}
@@ -202,10 +206,11 @@ class Scorer:
         for rank, i in enumerate(order):
             flat[first[: len(at[i])] + rank] = at[i]
         score = self.scores[flat]
-        back = np.zeros(score.shape, np.int8)
         n_lang = score.shape[1]
+        number = np.min_scalar_type(-n_lang)  # a signed type that holds every language's number
+        back = np.zeros(score.shape, number)
         state = np.tile(self.model.prior.astype(np.float32), (len(order), 1))
-        stay = np.arange(n_lang, dtype=np.int8)
+        stay = np.arange(n_lang, dtype=number)
         for t in range(steps):
             k, a = int(running[t]), int(first[t])
             v = state[:k]
@@ -213,13 +218,13 @@ class Scorer:
             jump = v.max(axis=1)[:, None] - self.switch
             back[a : a + k] = np.where(v >= jump, stay, best[:, None])
             state[:k] = np.maximum(v, jump) + score[a : a + k]
-        label = np.zeros(len(flat), np.int8)
+        label = np.zeros(len(flat), number)
         now = state.argmax(axis=1) if n_lang else np.zeros(len(order), np.int64)
         for t in range(steps - 1, -1, -1):
             k, a = int(running[t]), int(first[t])
             label[a : a + k] = now[:k]
             now[:k] = back[np.arange(a, a + k), now[:k]]
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(at)
+        out: list[np.ndarray] = [np.zeros(0, number)] * len(at)
         for rank, i in enumerate(order):
             out[i] = label[first[: len(at[i])] + rank]
         return out, [self.n_letters[a] for a in at]

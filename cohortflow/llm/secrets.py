@@ -26,9 +26,13 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+?)-----END \1-----")
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]+)-----"
+    r"((?:(?:\s|\\[nr])*[A-Z][A-Za-z-]*:\x20?[\x20A-Za-z0-9,-]+(?=\s|\\[nr]))*)"
+    r"((?:[A-Za-z0-9+/=\s]|\\[nr])+?)-----END \1-----"
+)
 _ESCAPED = re.compile(r"\\[nr]")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+_JWT_PART = re.compile(r"[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 # Lines of base64 of one width, the last of which may be shorter, with or without escapes for line ends.
 _WRAPPED = re.compile(
@@ -43,11 +47,24 @@ _KEY_HEADS = ("MA", "MB", "MC", "MD", "ME", "MF", "MG", "MH", "MI", "b3Blbn")
 Span = tuple[int, int, str]
 
 
+def secret_form(tags: list[int]) -> bool:
+    """True if a SEQUENCE of such members is a private key, plain or encrypted.
+
+    Private keys begin with a version, an INTEGER; two or three INTEGERs alone
+    are a public key, a signature or parameters.  An encrypted key is an
+    algorithm and an OCTET STRING.  Public keys, certificates and requests begin
+    with a SEQUENCE and end with a BIT STRING.
+    """
+    if tags == [0x30, 0x04]:
+        return True
+    return tags[:1] == [0x02] and tags not in ([0x02] * 2, [0x02] * 3)
+
+
 def der_ok(raw: bytes) -> bool:
-    """True if the bytes are one ASN.1 SEQUENCE whose nested lengths all fit, with an INTEGER or an OID in it."""
+    """True if the bytes are one ASN.1 SEQUENCE whose nested lengths all fit, in the form of a private key."""
     if len(raw) < 16 or raw[0] != 0x30:
         return False
-    seen: set[int] = set()
+    top: list[int] = []
 
     def header(at: int, end: int) -> tuple[int, int, int] | None:
         """Tag, start and end of the value at ``at``; None if it doesn't fit in ``end``."""
@@ -65,17 +82,19 @@ def der_ok(raw: bytes) -> bool:
     if first is None or first[2] != len(raw):
         return False
     todo = [(first[1], first[2])]
+    whole = todo[0]
     while todo:
-        at, end = todo.pop()
+        at, end = span = todo.pop()
         while at < end:
             got = header(at, end)
             if got is None:
                 return False
             tag, start, at = got
-            seen.add(tag)
+            if span == whole:
+                top.append(tag)
             if tag in (0x30, 0x31):
                 todo.append((start, at))
-    return bool(seen & {0x02, 0x06})
+    return secret_form(top)
 
 
 def decoded(text: str, url: bool = False) -> bytes | None:
@@ -124,10 +143,12 @@ def confirmed_spans(text: str) -> list[Span]:
     found: list[Span] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if key_ok(decoded(_ESCAPED.sub("", m[2]))):
+            raw = decoded(_ESCAPED.sub("", m[3]))
+            # Headers of an encrypted block: what they say is the cipher's, a whole number of its blocks.
+            hidden = "ENCRYPTED" in m[2] and m[1].endswith("PRIVATE KEY") and raw and len(raw) % 8 == 0
+            if hidden or key_ok(raw):
                 found.append((m.start(), m.end(), "pem"))
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if jwt_ok(m[0])]
+    found += signed_tokens(text)
     for m in _BASE64.finditer(text):
         if kind := key_ok(decoded(m[0])):
             found.append((m.start(), m.end(), kind))
@@ -139,6 +160,23 @@ def confirmed_spans(text: str) -> list[Span]:
     return found
 
 
+def signed_tokens(text: str) -> list[Span]:
+    """Signed tokens: three parts that begin with the base64 of ``{"``; each part of the text is read once."""
+    found: list[Span] = []
+    at = text.find("eyJ")
+    while at >= 0:
+        ends = [_JWT_PART.match(text, at).end()]
+        while len(ends) < 3 and text[ends[-1] : ends[-1] + 1] == ".":
+            ends.append(_JWT_PART.match(text, ends[-1] + 1).end())
+        if len(ends) == 3 and ends[0] - at >= 13 and ends[1] - ends[0] >= 5:
+            if jwt_ok(text[at : ends[2]]):
+                found.append((at, ends[2], "jwt"))
+            at = text.find("eyJ", ends[2])
+        else:
+            at = text.find("eyJ", ends[0])
+    return found
+
+
 def wrapped_keys(block: str, start: int) -> list[Span]:
     """Keys in adjoining base64 lines: from a line that may begin one to the first line of another width."""
     lines = [(m.start(), m.end()) for m in _LINE.finditer(block)]

@@ -11,6 +11,8 @@ from cohortflow.llm.texts import map_texts
 
 # Chunks, and words, that a worker remembers before it starts afresh; a bound on memory, not on results.
 REMEMBERED = 1_000_000
+# Longer chunks and words are counted anew each time, so that what is remembered is bounded in bytes too.
+LONGEST = 64
 
 # What this worker process has counted, by the vocabulary's name; later tasks go on with it.
 _known: dict[str, tuple[dict[str, int], dict[str, int]]] = {}
@@ -21,12 +23,13 @@ def counter(vocabulary: Vocabulary):
     split, count = vocabulary.splitter(), vocabulary.count
     of_chunk, of_word = _known.setdefault(vocabulary.name, ({}, {}))
 
-    def learn(chunk: str) -> None:
-        words = split(chunk)
-        for w in words:
-            if w not in of_word:
-                of_word[w] = count(w)
-        of_chunk[chunk] = sum(map(of_word.__getitem__, words))
+    def word(w: str) -> int:
+        n = of_word.get(w)
+        if n is None:
+            n = count(w)
+            if len(w) <= LONGEST:
+                of_word[w] = n
+        return n
 
     def total(text: str) -> int:
         parts = chunks(text)
@@ -36,9 +39,10 @@ def counter(vocabulary: Vocabulary):
             for known in (of_chunk, of_word):
                 if len(known) > REMEMBERED:
                     known.clear()
-            for c in set(parts).difference(of_chunk):
-                learn(c)
-            return sum(map(of_chunk.__getitem__, parts))
+            new = {c: sum(map(word, split(c))) for c in set(parts).difference(of_chunk)}
+            found = sum(new[c] if c in new else of_chunk[c] for c in parts)
+            of_chunk.update((c, n) for c, n in new.items() if len(c) <= LONGEST)
+            return found
 
     return total
 

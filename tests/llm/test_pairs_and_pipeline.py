@@ -311,3 +311,20 @@ def test_stages_of_odd_rows(spark, odd, nothing, base):
                 assert docs.columns == frame.columns
             assert frame is odd or rows == []
         assert docs.count() <= frame.count()
+
+
+def test_items_with_text_ids(spark):
+    item = "which of these seven words is the longest one of all"
+    docs = spark.createDataFrame([(1, f"well {item} so"), (2, "nothing of the kind")], "doc_id long, text string")
+    items = spark.createDataFrame([("q-1", item), (None, "another item of at least five words")], "item_id string, text string")
+    got = {r.doc_id: [(m.item_id, m.score) for m in r.matches] for r in contaminated(docs, items).collect()}
+    assert got == {1: [("q-1", 1.0)], 2: []}
+
+
+def test_stages_of_dotted_names(spark, base):
+    rows = [(1, "The quick brown fox jumps over the lazy dog while the cat sleeps under a warm red blanket today. " * 2, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `c``d` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, base)
+        assert docs.columns == ["doc_id", "text", "a.b", "c`d"]
+    assert docs.count() in (0, 1)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -16,12 +17,12 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from cohortflow.llm import queries
 from cohortflow.llm.bpe import encode_decode
-from cohortflow.llm.language import fit_language, language_spans
+from cohortflow.llm.language import LanguageModel, Scorer, fit_language, grams, language_spans
 from cohortflow.llm.measures import MEASURES, measure, repeated_words
 from cohortflow.llm.quality_model import Trees, features, fit, fit_quality, score_quality
 from cohortflow.llm.quality_rules import BASE, PRODUCTION, RULES, ablation, apply_policy, ledger
 from cohortflow.llm.secrets import base_spans, confirmed_spans, der_ok, secret_spans
-from cohortflow.llm.token_counts import token_counts
+from cohortflow.llm.token_counts import _known, counter, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -284,3 +285,77 @@ def test_secret_rows(spark, odd, nothing, base, sample):
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(
             sum(k == kind for *_, k in spans) for kind in rank
         )
+
+
+# Cases that once went wrong --------------------------------------------------------------------
+
+
+def pem(kind: str, raw: bytes, headers: str = "") -> str:
+    block = base64.encodebytes(raw).decode()
+    return f"-----BEGIN {kind}-----\n{headers}{block}-----END {kind}-----"
+
+
+def test_public_keys_and_certificates_are_no_secrets():
+    algorithm = tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + tlv(5, b""))
+    bits = tlv(3, b"\0" + bytes(range(200)))
+    public = {
+        "PUBLIC KEY": tlv(0x30, algorithm + bits),
+        "CERTIFICATE": tlv(0x30, tlv(0x30, tlv(2, b"\1") + algorithm) + algorithm + bits),
+        "RSA PUBLIC KEY": tlv(0x30, tlv(2, bytes(range(1, 129))) + tlv(2, b"\1\0\1")),
+        "DSA PARAMETERS": tlv(0x30, tlv(2, bytes(range(1, 129))) * 3),
+        "PKCS7": tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7") + tlv(0xA0, bytes(200))),
+    }
+    for kind, raw in public.items():
+        assert confirmed_spans(pem(kind, raw)) == [], kind
+        assert confirmed_spans(base64.b64encode(raw).decode()) == [], kind
+    private = {
+        "RSA PRIVATE KEY": tlv(0x30, tlv(2, b"\0") + tlv(2, bytes(range(1, 30))) * 8),
+        "EC PRIVATE KEY": tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(range(32))) + tlv(0xA1, bits)),
+        "PRIVATE KEY": KEY,
+        "ENCRYPTED PRIVATE KEY": tlv(0x30, algorithm + tlv(4, bytes(range(160)))),
+    }
+    for kind, raw in private.items():
+        assert {k for _, _, k in confirmed_spans(pem(kind, raw))} >= {"pem"}, kind
+
+
+def test_encrypted_block_with_headers():
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    raw = hashlib.sha256(b"x").digest() * 4
+    text = "a " + pem("RSA PRIVATE KEY", raw, headers)
+    assert confirmed_spans(text) == [(2, len(text), "pem")]
+    assert confirmed_spans(pem("RSA PRIVATE KEY", raw[:-1], headers)) == []
+    assert confirmed_spans(pem("RSA PRIVATE KEY", raw)) == []
+    escaped = text.replace("\n", "\\n")
+    assert confirmed_spans(escaped) == [(2, len(escaped), "pem")]
+
+
+def test_tokens_in_long_runs_take_linear_time():
+    start = time.perf_counter()
+    assert confirmed_spans("eyJ" * 700_000) == []
+    assert confirmed_spans("eyJhbG" * 300_000 + ".abcd") == []
+    assert confirmed_spans("-----BEGIN A-----\n" * 100_000) == []
+    assert time.perf_counter() - start < 20
+    assert confirmed_spans(f"host.{JWT} x_{JWT}.") == [(5, 5 + len(JWT), "jwt"), (8 + len(JWT), 8 + 2 * len(JWT), "jwt")]
+
+
+def test_more_languages_than_a_byte_counts():
+    names = [f"l{i:03d}" for i in range(300)]
+    rng = np.random.default_rng(3)
+    words = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(3)] for n in names}
+    number = {g: i for i, g in enumerate(sorted({x for w in words.values() for v in w for x in grams(v)}))}
+    table = np.full((len(number) + 1, 300), -9.0)
+    for i, n in enumerate(names):
+        for w in words[n]:
+            table[[number[g] for g in grams(w)], i] = -1.0
+    scripts = {"latin": np.ones(300, bool)}
+    scorer = Scorer(LanguageModel(names, number, table, scripts, np.zeros(300)), 5.0)
+    labels, _ = scorer.paths([" ".join(words[n] * 3) for n in names])
+    assert [set(x.tolist()) for x in labels] == [{i} for i in range(300)]
+
+
+def test_long_words_are_not_remembered(vocabulary):
+    long = "z" * 5_000
+    total = counter(vocabulary)
+    first = total(f"{long} a a")
+    assert total(f"{long} a a") == first == total(long) + 2 * total("a")
+    assert all(len(k) <= 64 for known in _known[vocabulary.name] for k in known)
