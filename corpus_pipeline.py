@@ -8,7 +8,7 @@ row as one struct, so columns may have any name.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm.bpe import encode_decode
@@ -33,8 +33,13 @@ def _configured(spark: SparkSession) -> SparkSession:
     return configure(spark)
 
 
+def _named(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def _carried(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    return docs.select(F.struct(*_named(docs)).alias("_row"), "doc_id", "text")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         length = F.length("kept").cast(docs.schema["n_chars"].dataType)
         new["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("_row.n_chars"))
-    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    old = {c: F.col("_row").getField(c) for c in docs.columns}
+    return rows.select(*[new.get(c, old[c]).alias(c) for c in docs.columns])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +74,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     _configured(spark)
     groups = jaccard_groups(docs, words=5, percent=80)
     gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_named(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
