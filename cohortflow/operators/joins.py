@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.scalars import elapsed_days
+from cohortflow.functions.scalars import DAY_MICROS, elapsed_days, floor_div, micros
 
 
 def attach(df: DataFrame, attributes: DataFrame, on: str | list[str]) -> DataFrame:
@@ -84,9 +84,27 @@ def anchored_window(
     lo: int | None = None,
     hi: int | None = None,
     name: str = "days",
+    spread_days: int | None = None,
 ) -> DataFrame:
-    """Events whose day offset from the anchor lies in [lo, hi]."""
-    out = with_offset(events, anchors, key, ts, anchor, name)
+    """Events whose day offset from the anchor lies in [lo, hi].
+
+    With ``spread_days`` events meet their anchors by key and by stretches of so
+    many days, and an anchor goes to every stretch that its window touches, which
+    must end on both sides: the events of one key then lie in many tasks, and
+    those far from all anchors meet none.
+    """
+    if spread_days is None:
+        out = with_offset(events, anchors, key, ts, anchor, name)
+    else:
+        if lo is None or hi is None:
+            raise ValueError("spread_days needs a window with two ends")
+        stretch, day = spread_days * DAY_MICROS, F.lit(DAY_MICROS)
+        first = floor_div(micros(anchor) + lo * day, stretch)
+        last = floor_div(micros(anchor) + (hi + 1) * day - 1, stretch)
+        asked = anchors.withColumn("_stretch", F.explode(F.sequence(first, last)))
+        placed = events.withColumn("_stretch", floor_div(micros(ts), stretch))
+        met = placed.join(asked, [key, "_stretch"]).drop("_stretch")
+        out = met.withColumn(name, elapsed_days(anchor, ts))
     if lo is not None:
         out = out.where(F.col(name) >= lo)
     if hi is not None:

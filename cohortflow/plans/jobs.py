@@ -177,15 +177,19 @@ def weight_frame(
     window: int = 30,
     except_: Sequence[str] = (),
     paid: str = "paid_at",
+    kept: bool = False,
 ) -> DataFrame:
     """Weekly outcome with baseline and drug flag, the input of the models (PIPE5).
 
     ``starts`` has the start date and the time of purchase, from which measures
     and exams count.  The baseline is the week-0 mean, else the last exam of the
     first day with one in the seven days after the purchase.  The flag tells a
-    listed drug within 30 days around the start.
+    listed drug within 30 days around the start.  ``kept`` says that the frames
+    are stored already; where they are stored by buckets of the patient, nothing
+    is shuffled.
     """
-    starts = cut_lineage(starts)
+    if not kept:
+        starts = cut_lineage(starts)
     weekly = weekly_means(measures, starts, value, key, keep=[arm], paid=paid)
     base = first_by(weekly.where("week = 0"), key, "week", value).withColumnRenamed(value, "base_bmi")
     early = anchored_window(exams, starts.select(key, paid), key, "ts", paid, 0, 6)

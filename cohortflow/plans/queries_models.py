@@ -15,6 +15,7 @@ from cohortflow.plans.matrix_sql import cox_ctes, mixed_ctes
 from cohortflow.plans.queries_longitudinal import METRIC_FRAMES, METRICS_SQL, NORMAL_TAIL
 from cohortflow.plans.registry import day_sql, query, r, ts_sql, ts_text
 from cohortflow.session import cut_lineage, scratch_path
+from cohortflow.sources import tables as T
 
 # Mixed models.
 
@@ -676,6 +677,25 @@ def around_start(spark: SparkSession, base: str) -> DataFrame:
     return df.withColumn("date", F.date_add(F.lit(B.ORIGIN).cast("date"), day).cast("timestamp"))
 
 
+# Buckets of the frames that are kept by patient.
+BUCKETS = 8
+
+
+def stored_frames(spark: SparkSession, base: str) -> list[DataFrame]:
+    """The four sources of the weight job, kept in the catalog by patient."""
+    frames = {
+        "scale": B.scale(spark, base),
+        "starts": starts(spark, base),
+        "exam": B.exam(spark, base),
+        "prescriptions": around_start(spark, base),
+    }
+    out = []
+    for name, df in frames.items():
+        path = scratch_path(spark, name)
+        out.append(T.save_by_key(df, path.rsplit("/", 1)[-1].replace("-", "_"), path, "patient_id", BUCKETS))
+    return out
+
+
 def frame_of(spark: SparkSession, base: str) -> DataFrame:
     return jobs.weight_frame(
         B.scale(spark, base), starts(spark, base), B.exam(spark, base), around_start(spark, base), "small ring"
@@ -707,6 +727,24 @@ CUT = """SELECT coalesce(min(week) FILTER (WHERE arms < 2) - 1, max(week)) AS la
     count(DISTINCT patient_id) AS n FROM framed GROUP BY 1, 2) GROUP BY 1)"""
 
 
+def weight_frame_sql() -> str:
+    return with_frames(
+        """SELECT patient_id, start_date, week, arm, round(bmi, 6) AS bmi, round(base_bmi, 6) AS base_bmi, drug
+        FROM framed""",
+        "scale",
+        "exam",
+        "anchors",
+        "prescriptions",
+        extra=WEIGHT,
+    )
+
+
+@query("SRC5_stored_by_patient", weight_frame_sql())
+def stored_by_patient(spark: SparkSession, base: str) -> DataFrame:
+    df = jobs.weight_frame(*stored_frames(spark, base), "small ring", kept=True)
+    return rounded(df.withColumn("start_date", F.date_format("start_date", "yyyy-MM-dd")))
+
+
 @query(
     "JOB5_weight_frame",
     with_frames(

@@ -67,6 +67,38 @@ def json_round_trip(spark: SparkSession, base: str) -> DataFrame:
     return T.read_json_records(spark, path, df.schema)
 
 
+ODD_TEXTS = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name || chr(10) || ' "quoted", ' || c_mktsegment
+    WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN ' ' || c_name || ' ' ELSE '{}]' || chr(10) END AS note,
+    c_acctbal, c_mktsegment FROM customer"""
+
+
+def odd_texts(spark: SparkSession, base: str) -> DataFrame:
+    """Customers with texts that are easy to get wrong."""
+    case = F.pmod("c_custkey", F.lit(5))
+    note = (
+        F.when(case == 0, F.concat("c_name", F.lit('\n "quoted", '), "c_mktsegment"))
+        .when(case == 1, "")
+        .when(case == 3, F.concat(F.lit(" "), "c_name", F.lit(" ")))
+        .when(case == 4, "{}]\n")
+    )
+    df = T.load(spark, base, "customer")
+    return df.select("c_custkey", note.alias("note"), "c_acctbal", "c_mktsegment")
+
+
+@query("SRC3_csv_odd_texts", ODD_TEXTS)
+def csv_odd_texts(spark: SparkSession, base: str) -> DataFrame:
+    df, path = odd_texts(spark, base), scratch_path(spark, "csv")
+    T.write_csv(df, path)
+    return T.read_csv(spark, path, df.schema)
+
+
+@query("SRC4_json_arrays", ODD_TEXTS)
+def json_arrays(spark: SparkSession, base: str) -> DataFrame:
+    df, path = odd_texts(spark, base), scratch_path(spark, "json")
+    T.write_json_array(df, path)
+    return T.read_json_records(spark, path, df.schema, array=True)
+
+
 @query(
     "SRC5_materialize",
     with_frames(f"SELECT patient_id, week, arm, drug, {r('y', 'base')} FROM weekly_outcome", "weekly_outcome"),
@@ -386,6 +418,17 @@ def anchored_window(spark: SparkSession, base: str) -> DataFrame:
     return df.select("reading_id", "patient_id", "glucose", "days")
 
 
+@query(
+    "JOIN9_spread_window",
+    with_frames(f"{ANCHORED} WHERE days BETWEEN -3 AND 9", "readings", "anchors"),
+)
+def spread_window(spark: SparkSession, base: str) -> DataFrame:
+    df = J.anchored_window(
+        B.readings(spark, base), B.anchors(spark, base), "patient_id", "ts", "enroll_ts", -3, 9, spread_days=2
+    )
+    return df.select("reading_id", "patient_id", "glucose", "days")
+
+
 @query(
     "JOIN9_offset_before",
     with_frames(f"{ANCHORED} WHERE days BETWEEN -30 AND 30", "readings", "anchors"),
@@ -484,6 +527,27 @@ def replace_rows(spark: SparkSession, base: str) -> DataFrame:
     return J.replace_rows(B.scale(spark, base).select(*cols), "patient_id", new)
 
 
+@query(
+    "SET2_replace_stored",
+    with_frames(
+        """SELECT patient_id, reading_id, weight, patient_id % 16 AS part FROM scale WHERE patient_id NOT IN
+        (SELECT patient_id FROM exam WHERE weight > 100)
+        UNION ALL SELECT patient_id, reading_id, weight, patient_id % 16 AS part FROM exam WHERE weight > 100""",
+        "scale",
+        "exam",
+    ),
+)
+def replace_stored(spark: SparkSession, base: str) -> DataFrame:
+    cols = ["patient_id", "reading_id", "weight", F.pmod("patient_id", F.lit(16)).alias("part")]
+    path = scratch_path(spark, "stored")
+    B.scale(spark, base).select(*cols).write.partitionBy("part").parquet(path)
+    new = B.exam(spark, base).where("weight > 100").select(*cols)
+    for _ in range(2):  # the second run changes nothing
+        T.replace_stored(spark, path, new, "patient_id", "part", scratch_path(spark, "staged"))
+    out = spark.read.parquet(path)
+    return out.withColumn("part", F.col("part").cast(new.schema["part"].dataType))
+
+
 @query(
     "SET3_key_sets",
     with_frames(
