@@ -75,20 +75,23 @@ def trend_medians(weekly: DataFrame, min_weeks: int = 1, last_week: int = 12) ->
 def early_phenotype(
     readings: DataFrame,
     anchors: DataFrame,
-    model: PipelineModel | None = None,
+    model: PipelineModel | clusters.Centres | None = None,
     features: Sequence[str] = clusters.FEATURES,
     k: int = 3,
     seed: int = 42,
-) -> tuple[DataFrame, PipelineModel]:
+) -> tuple[DataFrame, PipelineModel | clusters.Centres]:
     """Cluster patients by the metrics of their first seven days (PIPE3).
 
-    Without a saved model one is fitted; patients with incomplete metrics keep
+    A saved model may be one of stages or plain centres; without one it is fitted; patients with incomplete metrics keep
     their row with a NULL cluster.
     """
     early = first_days(readings, anchors).select("patient_id", "ts", "reading_id", "glucose")
     metrics = cut_lineage(patient_metrics(early))
     if model is None:
         model = clusters.fit_clusters(metrics, features, k, seed)
+    if isinstance(model, clusters.Centres):
+        labels = model.assign(metrics).select("patient_id", "cluster")
+        return attach(anchors, labels, "patient_id"), model
     return clusters.assign_clusters(model, metrics, anchors), model
 
 

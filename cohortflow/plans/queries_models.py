@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.columns import complete_cases, rejected_keys
 from cohortflow.operators import cgm, clusters, mixed, series, survival
+from cohortflow.operators.joins import attach
 from cohortflow.operators.shape import rounded
 from cohortflow.plans import bindings as B
 from cohortflow.plans import jobs
@@ -500,6 +501,135 @@ def scaled_features(spark: SparkSession, base: str) -> DataFrame:
     return rounded(clusters.scaled_features(metrics(spark, base), SIMPLE, "patient_id"))
 
 
+# Fixed numbers in place of a saved model: scales and centres that the fixture's patients lie around.
+GIVEN = clusters.Centres(
+    clusters.FEATURES,
+    (22.0, 18.0, 0.8, 0.2, 0.1, 0.7, 5.0, 60.0, 0.5, 30.0),
+    (6.0, 6.0, 0.2, 0.1, 0.1, 0.1, 4.0, 20.0, 0.3, 9.0),
+    tuple(tuple(((7 * i + 3 * j) % 5 - 2) / 2.0 for j in range(10)) for i in range(3)),
+)
+METRICS_PLAIN = """SELECT m.patient_id, mean, sd, sd / mean AS cv, (n - vlow - low - high - vhigh) / n AS TIR,
+    (vlow + low) / n AS TBR, (high + vhigh) / n AS TAR, lbgi, hbgi,
+    CASE WHEN n >= 2 THEN coalesce(path, 0) / nullif(hours, 0) END AS MAG, MAGE
+    FROM moments m LEFT JOIN (SELECT r.patient_id, sum(amplitude) AS path,
+        avg(amplitude) FILTER (WHERE amplitude > sd) AS MAGE FROM runs r
+        JOIN moments USING (patient_id) GROUP BY 1) s USING (patient_id)"""
+COMPLETE = " AND ".join(f"{f} IS NOT NULL" for f in clusters.FEATURES)
+
+
+def _given_frames() -> dict[str, str]:
+    """Scaled features of complete patients and their nearest given centre."""
+    g = GIVEN
+    scaled = ", ".join(
+        f"({f} - {m!r}::DOUBLE) / {s!r}::DOUBLE AS {f}" for f, m, s in zip(g.features, g.means, g.sds)
+    )
+    far = [" + ".join(f"pow({f} - ({v!r}::DOUBLE), 2)" for f, v in zip(g.features, c)) for c in g.centres]
+    return {
+        "plain": METRICS_PLAIN,
+        "scaled": f"SELECT patient_id, {scaled} FROM plain WHERE {COMPLETE}",
+        "labelled": f"""SELECT *, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster
+            FROM (SELECT *, [{", ".join(far)}] AS d FROM scaled)""",
+    }
+
+
+@query(
+    "ML1_centres_at_rest",
+    with_frames(
+        f"""SELECT count(*) AS n, 3::BIGINT AS n_clusters, 0::BIGINT AS n_nearer, 0::BIGINT AS n_away
+        FROM plain WHERE {COMPLETE}""",
+        "risk",
+        extra={**METRIC_FRAMES, "plain": METRICS_PLAIN},
+    ),
+)
+def centres_at_rest(spark: SparkSession, base: str) -> DataFrame:
+    df = metrics(spark, base)
+    return clusters.at_rest(clusters.fit_clusters(df), df)
+
+
+@query(
+    "ML2_given_centres",
+    with_frames(
+        "SELECT p.patient_id, hospital, cluster FROM patients p LEFT JOIN labelled l ON p.patient_id = l.patient_id",
+        "risk",
+        "patients",
+        extra={**METRIC_FRAMES, **_given_frames()},
+    ),
+)
+def given_centres(spark: SparkSession, base: str) -> DataFrame:
+    labels = GIVEN.assign(metrics(spark, base)).select("patient_id", "cluster")
+    return attach(B.patients(spark, base).select("patient_id", "hospital"), labels, "patient_id")
+
+
+@query(
+    "ML4_given_labels",
+    with_frames(
+        "SELECT cluster, count(*) AS n, "
+        + ", ".join(f"round(avg({f}), 6) AS {f}" for f in clusters.FEATURES)
+        + " FROM labelled GROUP BY 1",
+        "risk",
+        extra={**METRIC_FRAMES, **_given_frames()},
+    ),
+)
+def given_labels(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(clusters.profile_of(GIVEN.assign(metrics(spark, base)), clusters.FEATURES))
+
+
+def _components_frames() -> dict[str, str]:
+    """Two principal components by squaring the correlation matrix until one direction is left."""
+    p = len(clusters.FEATURES)
+    scaled = ", ".join(f"({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER ()" for f in clusters.FEATURES)
+
+    def times(a: str, b: str) -> str:
+        return f"""list_transform(range({p * p}), lambda e: list_sum(list_transform(range({p}),
+            lambda k: {a}[(e // {p}) * {p} + k + 1] * {b}[k * {p} + e % {p} + 1])))"""
+
+    def shrunk(a: str) -> str:
+        trace = f"list_sum(list_transform(range({p}), lambda t: {a}[t * {p + 1} + 1]))"
+        return f"list_transform({a}, lambda v: v / {trace})"
+
+    def direction(name: str, start: str) -> dict[str, str]:
+        # The matrix tends to the product of the direction with itself: its longest column is taken.
+        column = f"list_transform(range({p}), lambda i: m[i * {p} + top + 1])"
+        return {
+            f"{name}_powers": f"""SELECT 0 AS step, {shrunk("m")} AS m FROM {start} UNION ALL
+                SELECT step + 1, {shrunk("m")} FROM (SELECT step, {times("m", "m")} AS m
+                FROM {name}_powers WHERE step < 30)""",
+            f"{name}_axis": f"""SELECT list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))
+                * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v FROM (SELECT {column} AS v FROM (
+                SELECT m, list_position(d, list_max(d)) - 1 AS top FROM (SELECT m,
+                list_transform(range({p}), lambda t: m[t * {p + 1} + 1]) AS d FROM {name}_powers WHERE step = 30)))""",
+        }
+
+    return {
+        "plain": METRICS_PLAIN,
+        "zed": f"SELECT patient_id, [{scaled}] AS z FROM plain WHERE {COMPLETE}",
+        "corr": f"""SELECT list(v ORDER BY e) AS m FROM (SELECT e, sum(z[e // {p} + 1] * z[e % {p} + 1]) /
+            (count(*) - 1) AS v FROM zed, range({p * p}) t(e) GROUP BY 1)""",
+        **direction("first", "corr"),
+        # What the first direction holds is taken out.
+        "rest": f"""SELECT list_transform(range({p * p}), lambda e: m[e + 1] - lambda_ * v[e // {p} + 1] * v[e % {p} + 1]) AS m
+            FROM (SELECT m, v, list_sum(list_transform(range({p * p}),
+                lambda e: m[e + 1] * v[e // {p} + 1] * v[e % {p} + 1])) AS lambda_ FROM corr, first_axis)""",
+        **direction("second", "rest"),
+    }
+
+
+@query(
+    "ML3_components",
+    with_frames(
+        f"""SELECT patient_id, round(list_sum(list_transform(range({len(clusters.FEATURES)}),
+            lambda i: z[i + 1] * a.v[i + 1])), 5) AS pc1,
+        round(list_sum(list_transform(range({len(clusters.FEATURES)}), lambda i: z[i + 1] * b.v[i + 1])), 5) AS pc2
+        FROM zed, first_axis a, second_axis b""",
+        "risk",
+        extra={**METRIC_FRAMES, **_components_frames()},
+    ),
+)
+def components(spark: SparkSession, base: str) -> DataFrame:
+    df = metrics(spark, base)
+    return rounded(clusters.project2d(clusters.fit_clusters(df), df).select("patient_id", "pc1", "pc2"), 5)
+
+
 # Series.
 
 
@@ -599,6 +729,20 @@ def incomplete_patients(spark: SparkSession, base: str) -> DataFrame:
     return rejected_keys(cgm.patient_metrics(first_day), "patient_id", clusters.FEATURES)
 
 
+@query(
+    "JOB3_given_centres",
+    with_frames(
+        "SELECT a.patient_id, cluster FROM anchors a LEFT JOIN labelled l ON a.patient_id = l.patient_id",
+        "readings",
+        "anchors",
+        extra={**EARLY, **_given_frames()},
+    ),
+)
+def early_given_centres(spark: SparkSession, base: str) -> DataFrame:
+    out, _ = jobs.early_phenotype(B.readings(spark, base), B.anchors(spark, base), GIVEN)
+    return out.select("patient_id", "cluster")
+
+
 @query("JOB3_early_phenotype")
 def early_phenotype(spark: SparkSession, base: str) -> DataFrame:
     out, _ = jobs.early_phenotype(B.readings(spark, base), B.anchors(spark, base))

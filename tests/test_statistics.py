@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.operators import clusters, mixed, shape, survival
+from cohortflow.operators.cgm import patient_metrics
 from cohortflow.operators.tails import chi2_tail
 from cohortflow.operators.wilcoxon import wilcoxon
+from cohortflow.plans import bindings as B
+from cohortflow.session import cut_lineage
 
 # The 6-MP leukaemia trial (Freireich 1963), weeks, censored ones negative.
 DRUG = [6, 6, 6, -6, 7, -9, 10, -10, -11, 13, 16, -17, -19, -20, 22, 23, -25, -32, -32, -34, -35]
@@ -477,3 +480,17 @@ def test_bands_don_t_depend_on_layout_and_near_the_normal_interval(spark):
     width = normal["ci_hi"] - normal["ci_lo"]
     assert one["ci_lo"] == pytest.approx(normal["ci_lo"], abs=0.15 * width)
     assert one["ci_hi"] == pytest.approx(normal["ci_hi"], abs=0.15 * width)
+
+
+def test_plain_centres_assign_as_the_model(spark, base):
+    df = cut_lineage(patient_metrics(B.readings(spark, base)))
+    model = clusters.fit_clusters(df)
+    plain = clusters.Centres.of(model)
+    want = {r["patient_id"]: r["cluster"] for r in clusters.score(model, df).collect()}
+    assert {r["patient_id"]: r["cluster"] for r in plain.assign(df).collect()} == want
+    profile = {r["cluster"]: r for r in clusters.cluster_profile(model, df).collect()}
+    for r in clusters.profile_of(plain.assign(df), plain.features).collect():
+        assert r.asDict() == pytest.approx(profile[r["cluster"]].asDict(), abs=1e-9)
+    assert tuple(clusters.at_rest(model, df).first())[1:] == (3, 0, 0)
+    moved = clusters.Centres(plain.features, plain.means, plain.sds, plain.centres[::-1])
+    assert {r["patient_id"]: 2 - r["cluster"] for r in moved.assign(df).collect()} == want
