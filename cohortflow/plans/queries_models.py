@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.functions.columns import complete_cases, rejected_keys
-from cohortflow.operators import cgm, clusters, mixed, series, survival
+from cohortflow.operators import cgm, clusters, mixed, neighbours, series, survival
 from cohortflow.operators.joins import attach
 from cohortflow.operators.shape import rounded
 from cohortflow.plans import bindings as B
@@ -678,6 +678,63 @@ def next_day_distances(spark: SparkSession, base: str) -> DataFrame:
     return rounded(df.select("patient_id", F.date_format("start", "yyyy-MM-dd").alias("date"), "distance"))
 
 
+NEAREST = 5
+# Every pair of the patients' weekly series by the recurrence of the path matrix, row by row.
+NEAREST_FRAMES = {
+    "arrays": "SELECT patient_id AS id, list(y ORDER BY week) AS v FROM weekly_outcome WHERE y IS NOT NULL GROUP BY 1",
+    "warped": f"""SELECT x.id AS src, y.id AS dst, x.v AS a, y.v AS b, 0 AS i, []::DOUBLE[] AS row
+        FROM arrays x JOIN arrays y ON x.id < y.id
+        UNION ALL SELECT src, dst, a, b, i + 1, {WARP_STEP} FROM warped WHERE i < len(a)""",
+    "pairs": "SELECT src, dst, sqrt(row[-1]) AS distance FROM warped WHERE i = len(a)",
+    "edges": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS place
+        FROM (SELECT * FROM pairs UNION ALL SELECT dst, src, distance FROM pairs)) WHERE place <= {NEAREST}""",
+}
+
+
+def nearest(spark: SparkSession, base: str) -> DataFrame:
+    weeks = B.weekly_outcome(spark, base).where("y IS NOT NULL")
+    points = F.array_sort(F.collect_list(F.struct("week", "y")))
+    rows = weeks.groupBy(F.col("patient_id").alias("id")).agg(F.transform(points, lambda p: p["y"]).alias("v"))
+    return neighbours.nearest_series(rows, NEAREST, exact=True)
+
+
+@query(
+    "SER2_nearest_weeks",
+    with_frames(
+        f"SELECT src, dst, {r('distance')}, CAST(place AS INTEGER) AS rank FROM edges",
+        "weekly_outcome",
+        extra=NEAREST_FRAMES,
+    ),
+)
+def nearest_weeks(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(nearest(spark, base))
+
+
+@query(
+    "SER3_graph_affinity",
+    with_frames(
+        f"""SELECT a, b, {r('weight')}, {r('sigma')} FROM (SELECT a, b, sigma,
+        exp(-distance * distance / (2 * sigma * sigma)) AS weight
+        FROM graph, (SELECT quantile_cont(distance, 0.5) AS sigma FROM graph))""",
+        "weekly_outcome",
+        extra={
+            **NEAREST_FRAMES,
+            "graph": """SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(distance) AS distance
+                FROM edges GROUP BY 1, 2""",
+        },
+    ),
+)
+def graph_affinity(spark: SparkSession, base: str) -> DataFrame:
+    near, sigma = neighbours.graph_affinity(nearest(spark, base))
+    return rounded(near.withColumn("sigma", F.lit(sigma)))
+
+
+@query("SER4_graph_labels")
+def graph_labels(spark: SparkSession, base: str) -> DataFrame:
+    near, _ = neighbours.graph_affinity(neighbours.nearest_series(B.series(spark, base)))
+    return neighbours.graph_labels(near)
+
+
 @query("SER2_dtw_distances")
 def dtw_distances(spark: SparkSession, base: str) -> DataFrame:
     return series.distance_summary(blocks(spark, base))
