@@ -8,6 +8,10 @@ share a piece without being equal are put into shards.  Each shard gets its
 Burrows-Wheeler transform; the transforms are merged by refining their
 interleave, and the intervals whose common prefix reaches ``size`` are the
 repeated strings.
+
+Blocks of one piece that are too many for a task are cut anew by a longer piece:
+strings that are equal share that one too, and the blocks around it are shorter
+and more alike.  A piece as long as the string leaves nothing to compare.
 """
 
 from __future__ import annotations
@@ -17,18 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.shingles import _BYTE, mix
-from cohortflow.llm.texts import slices, write_once
+from cohortflow.llm.texts import sized, slices, write_once
 
 # Steps in which an interleave is refined to the full length.
 STEPS = 4
-# Bytes of a shard, and of the blocks that one task merges; distinct blocks of one piece in a task.
+# Bytes of a shard, of the blocks that one task merges, about, and of the different blocks of a piece.
 SHARD_BYTES = 256 << 10
 MERGE_BYTES = 2 << 20
-BLOCKS_OF_A_PIECE = 4096
+PIECE_BYTES = 2 << 20
 
 _P = 0xD1342543DE82EF95
 _FACTOR = np.uint64(_P)
@@ -237,68 +241,98 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged_shards(found: DataFrame, size: int) -> DataFrame:
-    """(row, first, last): repeated places of the blocks (bucket, chunk, chunks, piece, row, first, bytes).
+    """(row, first, last): runs of repeated places in the blocks (bucket, row, first, bytes).
 
-    A task merges the shards of one bucket.  Blocks of a piece that has more of
-    them than a task takes lie in several chunks; of those, each chunk gives its
-    places with the name of their string, and a string counts over all chunks.
+    A task merges the shards of one bucket, which has all blocks of its pieces.
     """
-    fields = ("row", "first", "last", "piece", "name", "n")
 
     def run(table: pa.Table) -> pa.Table:
-        rolling = Rolling()
-        blocks = table.column("bytes").to_pylist()
-        intervals, counts = repeated_places(blocks, size, rolling)
-        out: dict[str, list] = {f: [] for f in fields}
-        given = [table.column(c).to_pylist() for c in ("row", "first", "piece", "chunks")]
-        for block, of, row, start, piece, chunks in zip(blocks, intervals, *given):
-            if chunks == 1:
-                a, b = runs(counts[of] > 1)
-                names = [None] * len(a)
-            else:
-                a = b = np.arange(len(of))
-                sums = rolling.sums(np.frombuffer(block, np.uint8))
-                names = rolling.at(sums, a, a + size).view(np.int64).tolist()
+        intervals, counts = repeated_places(table.column("bytes").to_pylist(), size, Rolling())
+        out: dict[str, list] = {"row": [], "first": [], "last": []}
+        for of, row, start in zip(intervals, table.column("row").to_pylist(), table.column("first").to_pylist()):
+            a, b = runs(counts[of] > 1)
             out["row"] += [row] * len(a)
             out["first"] += (a + start).tolist()
             out["last"] += (b + start).tolist()
-            out["piece"] += [piece] * len(a)
-            out["name"] += names
-            out["n"] += [2 if chunks == 1 else 1] * len(a)
         return pa.table({f: pa.array(v, pa.int64()) for f, v in out.items()})
 
-    judged = found.groupBy("bucket", "chunk").applyInArrow(
-        run, ", ".join(f"{f} bigint" for f in fields)
-    )
-    total = F.sum("n").over(Window.partitionBy("piece", "name"))
-    return judged.withColumn("m", total).where("m > 1").select("row", "first", "last")
+    return found.groupBy("bucket").applyInArrow(run, "row bigint, first bigint, last bigint")
 
 
 # The operator ------------------------------------------------------------------------------------
 
 
+PLACES = ["row", "first", "last"]
+
+
 def _blocks_bytes(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The wanted blocks (row, first, last, ...) with their bytes, cut out of the texts (row, packed)."""
-    extra = ["bucket", "chunk", "chunks", "piece", "first", "last"]
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct(*extra)).alias("wanted"))
+    """The wanted blocks (bucket, row, first, last) with their bytes, cut out of the texts (row, n_bytes, packed)."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("bucket", "first", "last")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in sized(whole, whole.column(1).to_numpy()):
                 out = []
-                for row, packed, blocks in zip(*[c.to_pylist() for c in b.columns]):
+                for row, packed, blocks in zip(*[b.column(i).to_pylist() for i in (0, 2, 3)]):
                     raw = open_(packed)
-                    out += [(row, *x.values(), raw[x["first"] : x["last"] + size]) for x in blocks]
+                    out += [(row, x["bucket"], x["first"], raw[x["first"] : x["last"] + size]) for x in blocks]
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(c, pa.int64()) for c in columns[:-1]], pa.array(columns[-1], pa.binary())],
-                    names=["row", *extra, "bytes"],
+                    names=["row", "bucket", "first", "bytes"],
                 )
 
-    schema = ", ".join(f"{c} bigint" for c in ["row", *extra]) + ", bytes binary"
-    return texts.join(lists, "row").select("row", "packed", "wanted").mapInArrow(run, schema)
+    joined = texts.join(lists, "row").select("row", "n_bytes", "packed", "wanted")
+    return joined.mapInArrow(run, "row bigint, bucket bigint, first bigint, bytes binary")
+
+
+def _cut_anew(texts: DataFrame, ranges: DataFrame, size: int, piece: int) -> DataFrame:
+    """Blocks by a longer piece within ranges (row, first, last) of places of the texts (row, n_bytes, packed)."""
+    lists = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    names = ["row", "piece", "name", "first", "last", "weight"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        rolling = Rolling()
+        for whole in batches:
+            for b in sized(whole, whole.column(1).to_numpy()):
+                parts: list[list[np.ndarray]] = [[] for _ in names]
+                for row, packed, found in zip(*[b.column(i).to_pylist() for i in (0, 2, 3)]):
+                    raw = open_(packed)
+                    for x in found:
+                        cut = blocks_of(raw[x["first"] : x["last"] + size], size, piece, rolling)
+                        of, name, first, last, weight = cut
+                        shift = x["first"]
+                        columns = (np.full(len(of), row), of, name, first + shift, last + shift, weight)
+                        for part, c in zip(parts, columns):
+                            part.append(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([*p, np.zeros(0, np.int64)]), pa.int64()) for p in parts], names=names
+                )
+
+    joined = texts.join(lists, "row").select("row", "n_bytes", "packed", "ranges")
+    return joined.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _judged(blocks: DataFrame, size: int) -> DataFrame:
+    """Blocks whose piece is shared: ``whole`` if an equal block is there, ``open`` if the piece has others to compare.
+
+    ``amount`` is the size of the piece's different blocks.
+    """
+    shared = blocks.groupBy("piece").agg(F.sum("weight").alias("total")).where("total > 1")
+    marked = write_once(blocks.drop("weight").join(shared.select("piece"), "piece", "left_semi"), "blocks")
+    bytes_ = F.max(F.col("last") - F.col("first") + size)
+    counted = marked.groupBy("piece", "name").agg(F.count(F.lit(1)).alias("c"), bytes_.alias("bytes"))
+    pieces = counted.groupBy("piece").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.sum("bytes").alias("amount"),
+        (F.min("c") == 1).alias("open"),
+    )
+    state = counted.join(pieces, "piece").select(
+        "piece", "name", "open", "distinct", "amount", (F.col("c") > 1).alias("whole")
+    )
+    return write_once(marked.join(state, ["piece", "name"]), "marked")
 
 
 def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text") -> DataFrame:
@@ -318,43 +352,50 @@ def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text") -> Data
         raise ValueError(f"size must be a multiple of {STEPS}")
     piece = max(1, size * 64 // 200)
     texts = write_once(text_blocks(docs, size, piece, text), "texts")
-    blocks = texts.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
-    shared = blocks.groupBy("piece").agg(F.sum("weight").alias("total")).where("total > 1")
-    marked = write_once(
-        blocks.drop("weight").join(shared.select("piece"), "piece", "left_semi"), "blocks"
-    )
-    counted = marked.groupBy("piece", "name").agg(F.count(F.lit(1)).alias("c"))
-    pieces = counted.groupBy("piece").agg(
-        F.count(F.lit(1)).alias("distinct"), (F.min("c") == 1).alias("open")
-    )
-    state = counted.join(pieces, "piece").select(
-        "piece", "name", "open", "distinct", (F.col("c") > 1).alias("whole")
-    )
-    marked = write_once(marked.join(state, ["piece", "name"]), "marked")
-    equal = marked.where("whole").select("row", "first", "last")
-    # Of equal blocks one is enough to compare others with; the rest are all distinct.
-    candidates = marked.where("open")
-    kept = ["piece", "name", "distinct"]
-    some = (
-        candidates.where("whole")
-        .groupBy(*kept)
-        .agg(F.min(F.struct("row", "first", "last")).alias("s"))
-        .select(*kept, "s.*")
-    )
-    wanted = candidates.where("NOT whole").select(*kept, "row", "first", "last").unionByName(some)
-    amount = candidates.where("NOT whole").agg(F.sum(F.col("last") - F.col("first") + size))
-    buckets = max(1, -(-2 * int(amount.first()[0] or 0) // MERGE_BYTES))
-    wanted = (
-        wanted.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("bigint"))
-        .withColumn("chunks", F.ceil(F.col("distinct") / BLOCKS_OF_A_PIECE).cast("bigint"))
-        .withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("bigint"))
-    )
-    # The texts are dealt once; both joins with them read the same shuffle.
+    # The texts are dealt once; the joins with them read the same shuffle.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select("row", "doc_id", "n_bytes", "packed").repartition(n, "row")
-    partial = merged_shards(_blocks_bytes(dealt.select("row", "packed"), wanted, size), size)
+    sources = dealt.select("row", "n_bytes", "packed")
+    blocks = texts.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
+    equal, compared = [], []
+    while True:
+        marked = _judged(blocks, size)
+        if piece == size:
+            # What shares the whole string is repeated, whatever its block.
+            equal.append(marked.select(*PLACES))
+            break
+        equal.append(marked.where("whole").select(*PLACES))
+        # Of equal blocks one is enough to compare others with; the rest are all distinct.
+        candidates = marked.where("open")
+        kept = ["piece", "name", "distinct", "amount"]
+        some = (
+            candidates.where("whole")
+            .groupBy(*kept)
+            .agg(F.min(F.struct(*PLACES)).alias("s"))
+            .select(*kept, "s.*")
+        )
+        distinct = candidates.where("NOT whole").select(*kept, *PLACES).unionByName(some)
+        many = (F.col("distinct") > 1) & (F.col("amount") > PIECE_BYTES)
+        compared.append(distinct.where(~many).select("piece", *PLACES))
+        further = write_once(distinct.where(many).select(*PLACES), "further")
+        if further.isEmpty():
+            break
+        piece = size - (size - piece) // 2
+        blocks = _cut_anew(sources, further, size, piece)
+    wanted = compared[0]
+    for level in compared[1:]:
+        wanted = wanted.unionByName(level)
+    if len(compared) > 1:
+        wanted = write_once(wanted, "wanted")
+    amount = wanted.agg(F.sum(F.col("last") - F.col("first") + size))
+    buckets = max(1, -(-2 * int(amount.first()[0] or 0) // MERGE_BYTES))
+    wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("bigint"))
+    partial = merged_shards(_blocks_bytes(sources, wanted.drop("piece"), size), size)
+    whole = equal[0]
+    for level in equal[1:]:
+        whole = whole.unionByName(level)
     places = (
-        equal.unionByName(partial)
+        whole.unionByName(partial)
         .groupBy("row")
         .agg(F.collect_set(F.struct("first", "last")).alias("places"))
     )
@@ -364,8 +405,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in sized(whole, whole.column(1).to_numpy()):
                 removed, spans, kept = [], [], []
                 for n, packed, where in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)]):
                     raw = open_(packed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,11 @@ TextFunction = Callable[[list], Sequence]
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of a bounded size, in order."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    yield from sized(batch, pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+
+
+def sized(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of which each takes a bounded number of bytes; ``sizes`` has those of its rows."""
     at, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if i > at and (held + size > BYTES_AT_ONCE or i - at >= ROWS_AT_ONCE):

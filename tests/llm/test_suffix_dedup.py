@@ -81,9 +81,9 @@ def test_blocks_hold_every_place():
         assert places == list(range(max(0, len(text) - 19)))
 
 
-@pytest.mark.parametrize("chunk", [4096, 2])
-def test_rows_by_brute_force(spark, odd, monkeypatch, chunk):
-    monkeypatch.setattr(suffix_dedup, "BLOCKS_OF_A_PIECE", chunk)
+@pytest.mark.parametrize("of_a_piece", [2 << 20, 500, 30])
+def test_rows_by_brute_force(spark, odd, monkeypatch, of_a_piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", of_a_piece)
     monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", 20_000)
     rng = np.random.default_rng(6)
     texts = make_texts(rng, 80, "abé ", 20) + [None, "", "short"]
@@ -113,3 +113,20 @@ def test_registered(spark, base, sample):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (n, removed, spans)
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    """A passage that thousands of texts have, each between other words; runs of one letter of any length."""
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 20_000)
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    passage = "".join(rng.choice(letters, 60))
+    texts = [
+        "".join(rng.choice(letters, rng.integers(0, 40))) + passage + "".join(rng.choice(letters, rng.integers(0, 40)))
+        for _ in range(4000)
+    ]
+    texts += ["z" * int(rng.integers(30, 400)) for _ in range(300)] + ["xy" * int(rng.integers(20, 300)) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(frame, 40).collect()}
+    want = brute(texts, 40)
+    assert [got[i] for i in range(len(texts))] == want
