@@ -13,6 +13,7 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -165,14 +166,26 @@ def word_ids(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
 
 
-def _joined(
-    words: set[str], answers: pa.Table
-) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-    """A block's words by place, and the start, the length and the ids of each place."""
+def _numbered(packed: list[bytes]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """A number for each distinct word of the texts, and the texts as numbers; words are not kept as often as they occur."""
+    number: dict[str, int] = {}
+    texts, held = [], 0
+    for p in packed:
+        words = chunks(_text(p))
+        # A word's number is the place of its first occurrence in the block.
+        texts.append(np.fromiter(map(number.setdefault, words, count(held)), np.int64, len(words)))
+        held += len(words)
+    return number, texts
+
+
+def _joined(number: dict[str, int], answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each word by its number, and the start, the length and the ids of each place."""
     open_ = zstandard.ZstdDecompressor().decompress
-    parts = _dealt(words)
+    parts = _dealt(set(number))
     rows = sorted(zip(*[answers.column(c).to_pylist() for c in ("part", "lengths", "ids")]))
-    place = {w: i for i, w in enumerate(w for part, _, _ in rows for w in parts[part])}
+    place = np.zeros(max(number.values(), default=-1) + 1, np.int32)
+    ordered = [number[w] for part, _, _ in rows for w in parts[part]]
+    place[ordered] = np.arange(len(ordered))
     size, ids = (
         np.frombuffer(b"".join(open_(r[c]) for r in rows), "<u4").astype(np.int64) for c in (1, 2)
     )
@@ -206,13 +219,14 @@ def encode_decode(
     id_to_piece = dict(vocabulary.piece_rows())
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        split = [chunks(_text(p)) for p in texts.column("packed").to_pylist()]
-        place, start, size, ids = _joined(set().union(*split), answers)
+        number, numbered = _numbered(texts.column("packed").to_pylist())
+        place, start, size, ids = _joined(number, answers)
+        del number
         pieces = list(map(id_to_piece.__getitem__, ids.tolist()))
         spelled = [" ".join(pieces[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]
         out: list[list] = [[] for _ in range(len(schema) - 2)]
-        for words in split:
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        for words in numbered:
+            at = place[words]
             n = size[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
@@ -222,7 +236,7 @@ def encode_decode(
                 total,
                 hashlib.sha256(of.astype("<u4").tobytes()).hexdigest(),
                 hashlib.sha256(decoded.encode("utf-8")).hexdigest(),
-                of,
+                of.astype(np.int32),
                 decoded,
             ]
             for column, value in zip(out, row):
