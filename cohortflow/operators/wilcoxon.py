@@ -9,6 +9,7 @@ from cohortflow.functions.scalars import fmt_fixed
 from cohortflow.operators.ordered import running_totals, value_band
 from cohortflow.operators.quantiles import exact_quantiles
 from cohortflow.operators.tails import normal_p, signed_rank_p
+from cohortflow.session import keep
 
 
 def pair_up(
@@ -32,19 +33,21 @@ def pair_up(
 def signed_ranks(pairs: DataFrame, by: str, a: str = "a", b: str = "b") -> DataFrame:
     """Rank sums per metric.
 
-    Equal absolute differences are counted first; ranks then come from running
-    counts over value bands, so no task holds all pairs of a metric.
+    Equal absolute differences are counted and the counts written, zeros too;
+    ranks then come from running counts over value bands, so no task holds all
+    pairs of a metric.
     """
     d = F.col(a) - F.col(b)
-    counts = (
-        pairs.where(d != 0)
+    counts = keep(
+        pairs.where(d.isNotNull())
         .groupBy(by, F.abs(d).alias("size"))
         .agg(
             F.count(F.lit(1)).alias("ties"),
             F.sum((d > 0).cast("bigint")).alias("ups"),
-        )
+        ),
+        "ties",
     )
-    ranked = running_totals(counts, [by], "size", {"upto": "ties"}, value_band("size"))
+    ranked = running_totals(counts.where("size > 0"), [by], "size", {"upto": "ties"}, value_band("size"))
     rank = F.col("upto") - (F.col("ties") - 1) / 2
     t = F.col("ties").cast("double")
     sums = ranked.groupBy(by).agg(
@@ -53,7 +56,7 @@ def signed_ranks(pairs: DataFrame, by: str, a: str = "a", b: str = "b") -> DataF
         F.sum(rank * (F.col("ties") - F.col("ups"))).alias("w_minus"),
         F.sum(t * t * t - t).alias("tie_term"),
     )
-    totals = pairs.where(d.isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n_pairs"))
+    totals = counts.groupBy(by).agg(F.sum("ties").alias("n_pairs"))
     zero = {"n": 0, "w_plus": 0.0, "w_minus": 0.0, "tie_term": 0.0}
     return totals.join(sums, by, "left").na.fill(zero)
 
@@ -71,6 +74,7 @@ def wilcoxon(
     """
     if method not in ("normal", "exact"):
         raise ValueError(f"unknown method {method}")
+    pairs = keep(pairs.select(by, a, b), "pairs")
     sums = signed_ranks(pairs, by, a, b)
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4

@@ -57,14 +57,14 @@ def week_effect_boxes(
 ) -> DataFrame:
     """Box summaries of both ends per metric, the data of the comparison figure."""
     weekly = weekly_rollup(daily, per_day=per_day, min_valid=min_valid)
-    return box_stats(week_pairs(weekly, min_weeks), ["variable", "seq"], "value")
+    return box_stats(cut_lineage(week_pairs(weekly, min_weeks)), ["variable", "seq"], "value")
 
 
 def weekly_trend(weekly: DataFrame, min_weeks: int = 1, last_week: int = 12) -> DataFrame:
     """Median, count and box per metric and week (PIPE2)."""
     chosen = weekly.where((F.col("week") <= last_week) & (F.col("week_count") >= min_weeks))
     long = melt(chosen, ["patient_id", "week"], WEEKLY_METRICS)
-    return box_stats(long, ["variable", "week"], "value")
+    return box_stats(cut_lineage(long), ["variable", "week"], "value")
 
 
 def trend_medians(weekly: DataFrame, min_weeks: int = 1, last_week: int = 12) -> DataFrame:
@@ -194,6 +194,8 @@ def weight_frame(
     if not kept:
         starts = cut_lineage(starts)
     weekly = weekly_means(measures, starts, value, key, keep=[arm], paid=paid)
+    if not kept:
+        weekly = cut_lineage(weekly)
     base = first_by(weekly.where("week = 0"), key, "week", value).withColumnRenamed(value, "base_bmi")
     early = anchored_window(exams, starts.select(key, paid), key, "ts", paid, 0, 6)
     daily = keep_one(early.withColumn("_day", F.to_date("ts")), [key, "_day"], ["ts", "reading_id"], "last")

@@ -15,6 +15,7 @@ from cohortflow.plans import bindings as B
 from cohortflow.plans import jobs
 from cohortflow.plans.bindings import with_frames
 from cohortflow.plans.registry import day_sql, day_text, query, r, ts_sql, ts_text
+from cohortflow.session import cut_lineage
 from cohortflow.sources import tables as T
 
 
@@ -153,7 +154,7 @@ def box_sql(keys: str, frame: str, value: str) -> str:
 
 @query("AGG9_box_stats", with_frames(box_sql("week", "weekly", "TIR"), "weekly"))
 def box_stats(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(shape.box_stats(weekly(spark, base), ["week"], "TIR"))
+    return rounded(shape.box_stats(cut_lineage(weekly(spark, base)), ["week"], "TIR"))
 
 
 @query(
