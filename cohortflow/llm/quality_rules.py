@@ -32,19 +32,16 @@ RULES = (
     Rule("repeats", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", "100 * n_symbols > 5 * word_chars"),
     Rule("repeated_lines", "100 * n_dup_lines > 40 * n_lines"),
-    Rule("capitals", "100 * n_upper > 30 * (n_upper + n_lower)"),
+    # Of the letters of any script, so that a few Latin capitals among others don't count.
+    Rule("capitals", "100 * n_upper > 30 * n_letters"),
     Rule("exclaims", "100 * n_exclaims > 20 * n_words"),
     Rule("pipes", "100 * n_pipes > 20 * n_words"),
-    Rule("low_variety", "100 * n_distinct_words < 35 * n_words"),
+    # Over stretches of a fixed number of words, as the share of distinct words falls with a text's length.
+    Rule("low_variety", "100 * n_stretch_words < 35 * n_words"),
 )
 
-# The registered operator 8 has RULES, as its SQL has.  Two of them judge clean texts by their length
-# or script; these two judge the same without.  Bits follow those of RULES.
-ALL_RULES = (
-    *RULES,
-    Rule("capitals_of_letters", "100 * n_upper > 30 * n_letters"),
-    Rule("low_variety_by_stretch", "100 * n_stretch_words < 35 * n_words"),
-)
+# What the corpus pipeline evaluates.
+ALL_RULES = RULES
 
 
 def mask(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
@@ -59,11 +56,8 @@ class Policy:
 
 
 BASE = Policy("base-1", mask(["few_words", "repeats"]))
-PRODUCTION = Policy("production-1", mask([r.name for r in RULES]))
-CORPUS = Policy(
-    "corpus-1",
-    mask([r.name for r in ALL_RULES if r.name not in ("capitals", "low_variety")], ALL_RULES),
-)
+PRODUCTION = Policy("production-2", mask([r.name for r in RULES]))
+CORPUS = Policy("corpus-2", PRODUCTION.mask)
 
 
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -12,6 +12,7 @@ from cohortflow.llm.decontaminate import contaminated
 from cohortflow.llm.jaccard_join import jaccard_groups, jaccard_links
 from cohortflow.llm.language import fit_language, language_spans
 from cohortflow.llm.line_dedup import MIN_BYTES, MIN_LINES, dedup_lines
+from cohortflow.llm.measures import STRETCH
 from cohortflow.llm.pieces import Vocabulary
 from cohortflow.llm.quality_model import fit_quality, score_quality
 from cohortflow.llm.quality_rules import BASE, PRODUCTION, apply_policy, ledger
@@ -139,9 +140,11 @@ WITH d AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          coalesce(n_repeat, 0) AS n_repeat_words,
-         len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct_words,
+         len(lines) AS n_lines,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
-         length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
+         length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n_letters,
+         coalesce(list_sum(list_transform(range(0, len(words), {STRETCH}),
+             lambda i: len(list_distinct(words[i + 1:i + {STRETCH}])))), 0) AS n_stretch_words,
          length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims,
          length(regexp_replace(text, '[^|]', '', 'g')) AS n_pipes
   FROM w LEFT JOIN again USING (rid)
@@ -151,10 +154,10 @@ WITH d AS (
            + 2 * (100 * n_repeat_words > 30 * n_words)::INT
            + 4 * (100 * n_symbols > 5 * word_chars)::INT
            + 8 * (100 * n_dup_lines > 40 * n_lines)::INT
-           + 16 * (100 * n_upper > 30 * (n_upper + n_lower))::INT
+           + 16 * (100 * n_upper > 30 * n_letters)::INT
            + 32 * (100 * n_exclaims > 20 * n_words)::INT
            + 64 * (100 * n_pipes > 20 * n_words)::INT
-           + 128 * (100 * n_distinct_words < 35 * n_words)::INT AS BIGINT) AS failed
+           + 128 * (100 * n_stretch_words < 35 * n_words)::INT AS BIGINT) AS failed
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

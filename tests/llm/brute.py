@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from cohortflow.llm.measures import measure
+from cohortflow.llm.measures import MORE_MEASURES, measure, measure_more
 from cohortflow.llm.quality_rules import RULES
 
 SPACE = re.compile(r"[\x20\x09-\x0d]+")
@@ -20,6 +20,7 @@ def words(text, lower=True):
 
 def rejected(text):
     m = dict(zip("n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_distinct_words n_upper n_lower n_digits n_exclaims n_pipes n_stops".split(), measure(text)))
+    m |= zip(MORE_MEASURES, measure_more(text))
     return any(eval(r.sql, {}, m) for r in RULES)  # the rules are plain conditions in both languages
 
 

@@ -359,3 +359,18 @@ def test_long_words_are_not_remembered(vocabulary):
     first = total(f"{long} a a")
     assert total(f"{long} a a") == first == total(long) + 2 * total("a")
     assert all(len(k) <= 64 for known in _known[vocabulary.name] for k in known)
+
+
+def test_long_and_foreign_texts_are_not_rejected_for_it(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words, 120_000))
+    foreign = "Компания NATO и ЕС " + " ".join("".join(rng.choice(list("абвгдежзиклмнопрст"), 6)) for _ in range(60))
+    shout = " ".join("".join(rng.choice(list("ABCDEFGHIJKLMNOP"), 6)) for _ in range(60))
+    same = " ".join(rng.choice(words[:50], 5000))
+    rows = [(1, long), (2, foreign), (3, shout), (4, same)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.failed for r in ledger(docs).collect()}
+    names = [r.name for r in RULES]
+    bit = {n: 1 << i for i, n in enumerate(names)}
+    assert got == {1: 0, 2: 0, 3: bit["capitals"], 4: bit["low_variety"]}
