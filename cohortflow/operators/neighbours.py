@@ -10,7 +10,6 @@ nearer one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,9 @@ REACH = 6
 # Cells of path matrices that are worked on together, and diagonals between looks at what can be given up.
 CELLS = 1 << 21
 LOOK = 16
+# Columns beyond the wanted ones in the search for eigenvectors, and products between two looks at them.
+SPARE = 6
+PRODUCTS = 3
 
 
 def described(series: DataFrame) -> DataFrame:
@@ -326,20 +328,54 @@ def graph_affinity(edges: DataFrame, sigma: float | None = None) -> tuple[DataFr
     return pairs.select("a", "b", weight.alias("weight")), sigma
 
 
+def _crossed(vectors: DataFrame, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cross products of the columns x with themselves and with y: a small matrix per task, summed by Spark."""
+    columns = [f"x{c}" for c in range(q)], [f"y{c}" for c in range(q)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, h = np.zeros((q, q)), np.zeros((q, q))
+        for batch in batches:
+            x, y = (np.column_stack([batch.column(c).to_numpy() for c in names]) for names in columns)
+            g, h = g + x.T @ x, h + x.T @ y
+        cells = pa.array(np.arange(q * q, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([cells, pa.array(g.ravel()), pa.array(h.ravel())], names=["cell", "g", "h"])
+
+    rows = vectors.select(*columns[0], *columns[1]).mapInArrow(run, "cell int, g double, h double")
+    out = np.zeros((2, q * q))
+    for r in rows.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+        out[:, r["cell"]] = r["g"], r["h"]
+    return out[0].reshape(q, q), out[1].reshape(q, q)
+
+
+def _turned(vectors: DataFrame, columns: list[str], turn: np.ndarray, names: list[str]) -> DataFrame:
+    """id and the columns times a small matrix; names beyond its width get directions that start anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            x = np.column_stack([batch.column(c).to_numpy() for c in columns]) @ turn
+            fresh = [np.cos(ids.to_numpy() * (12.9898 + c)) for c in range(turn.shape[1], len(names))]
+            made = [np.ascontiguousarray(x[:, c]) for c in range(x.shape[1])] + fresh
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, made)], names=["id", *names])
+
+    kinds = ", ".join(f"{n} double" for n in names)
+    return vectors.select("id", *columns).mapInArrow(run, f"id bigint, {kinds}")
+
+
 def graph_labels(
     affinity: DataFrame,
     k: int = 3,
     seed: int = 42,
     starts: int = 3,
-    max_rounds: int = 60,
-    tol: float = 1e-7,
+    max_rounds: int = 25,
+    tol: float = 1e-6,
     max_iter: int = 100,
 ) -> DataFrame:
     """Spectral clusters of a graph (a, b, weight): (id, label, converged), labels numbered by smallest id.
 
     The leading eigenvectors of (I + D^-1/2 A D^-1/2) / 2 come from products of
-    the table of edges with a table of k + 2 columns; a small eigenproblem on
-    their cross products turns the columns after each two products.
+    the table of edges with a table of k + SPARE columns; a small eigenproblem on
+    their cross products turns the columns after each PRODUCTS products.
     """
     both = affinity.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").unionByName(
         affinity.select(F.col("b").alias("i"), F.col("a").alias("j"), "weight")
@@ -349,7 +385,7 @@ def graph_labels(
     if n < 2:
         raise ValueError("spectral clustering needs at least two series")
     k = min(k, n)
-    q = min(k + 2, n)
+    q = min(k + SPARE, n)
     di = degrees.select(F.col("id").alias("i"), F.col("d").alias("_di"))
     dj = degrees.select(F.col("id").alias("j"), F.col("d").alias("_dj"))
     # An edge of no weight at this sigma has no part in the sums.
@@ -363,20 +399,17 @@ def graph_labels(
         half = [((F.col(c) + F.col(f"_{c}")) / 2).alias(c) for c in names]
         return vectors.join(sums, "id").select("id", *half)
 
-    noise = [F.xxhash64("id", F.lit(seed), F.lit(c)) / 2.0**63 for c in range(q)]
     # The first direction is known: the roots of the degrees.
-    x = degrees.select("id", F.sqrt("d").alias("x0"), *[noise[c].alias(names[c]) for c in range(1, q)])
+    start = [F.xxhash64("id", F.lit(seed), F.lit(c)) / 2.0**63 for c in range(1, q)]
+    x = degrees.select("id", F.sqrt("d").alias("x0"), *[v.alias(n) for v, n in zip(start, names[1:])])
     values, settled, turn = np.zeros(k), False, np.eye(q)
     for _ in range(max_rounds):
-        y = times(times(x)).select("id", *[F.col(c).alias(f"y{i}") for i, c in enumerate(names)])
+        y = x
+        for _ in range(PRODUCTS):
+            y = times(y)
+        y = y.select("id", *[F.col(c).alias(f"y{i}") for i, c in enumerate(names)])
         both_sides = keep(x.join(y, "id"), "vectors")
-        cells = [(i, j) for i in range(q) for j in range(q)]
-        row = both_sides.agg(
-            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i, j in cells],
-            *[F.sum(F.col(f"x{i}") * F.col(f"y{j}")).alias(f"h{i}_{j}") for i, j in cells],
-        ).first()
-        g = np.array([[row[f"g{i}_{j}"] for j in range(q)] for i in range(q)])
-        h = np.array([[row[f"h{i}_{j}"] for j in range(q)] for i in range(q)])
+        g, h = _crossed(both_sides, q)
         # Directions that the columns hardly hold are dropped from the small problem.
         size, basis = np.linalg.eigh((g + g.T) / 2)
         sound = size > 1e-12 * size.max()
@@ -385,23 +418,15 @@ def graph_labels(
         order = np.argsort(-value)
         turn = white @ inner[:, order]
         top = value[order][:k]
-        if len(top) == k and np.abs(top - values).max() < tol:
-            settled = True
-            x = both_sides.select("id", *[F.col(f"x{c}") for c in range(q)])
+        settled = len(top) == k and bool(np.abs(top - values).max() < tol)
+        if settled:
             break
         values = top if len(top) == k else np.zeros(k)
-        # The products, turned; directions that were dropped start anew.
-        columns = [
-            sum((F.col(f"y{i}") * float(turn[i, c]) for i in range(q)), F.lit(0.0)) if c < turn.shape[1] else noise[c]
-            for c in range(q)
-        ]
-        x = both_sides.select("id", *[c.alias(name) for c, name in zip(columns, names)])
-        turn = np.eye(q)
+        x = _turned(both_sides, [f"y{i}" for i in range(q)], turn, names)
     used = min(k, turn.shape[1])
-    vectors = [
-        reduce(lambda s, i, c=c: s + F.col(f"x{i}") * float(turn[i, c]), range(q), F.lit(0.0)) for c in range(used)
-    ]
+    last = _turned(both_sides, names, turn[:, :used], [f"v{c}" for c in range(used)])
+    vectors = [F.col(f"v{c}") for c in range(used)]
     # A series of no weight at all lies at the origin.
     rows = [F.coalesce(F.try_divide(v, F.sqrt("d")), F.lit(0.0)) for v in vectors]
-    embedded = keep(x.join(degrees, "id").select("id", F.array(*rows).alias("v")), "embedded")
+    embedded = keep(last.join(degrees, "id").select("id", F.array(*rows).alias("v")), "embedded")
     return cut_embedding(embedded, used, settled, seed, starts, max_iter)
