@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from cohortflow.llm import bit_planes, merkle
 from cohortflow.llm import transducers as t
 from cohortflow.llm.toxicity import (
@@ -330,3 +331,17 @@ def test_toxicity_of_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     (row,) = toxic_clauses(docs, model).collect()
     assert [(c["kind"], text[c["start"] : c["end"]]) for c in row["clauses"]] == [("aimed_insult", "idiot")]
+
+
+def test_registered_toxicity(spark):
+    """Held-out labels of the registered query: clean documents stay, English insults are found."""
+    base = "/root/testdata/sf0.01"
+    rows = entry.queries()["op12_toxicity"](spark, base)
+    labels = spark.read.parquet(f"{base}/labels.parquet").select("doc_id", "toxic")
+    lang = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "lang")
+    found = rows.join(labels, "doc_id").join(lang, "doc_id").where("held_out").collect()
+    clean = [r["predicted"] for r in found if r["toxic"] == 0]
+    english = [r["predicted"] for r in found if r["toxic"] == 1 and r["lang"] == "en"]
+    assert len(clean) > 50 and sum(clean) <= 0.03 * len(clean)
+    assert len(english) >= 5 and sum(english) >= 0.9 * len(english)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted", "n_clauses"]
