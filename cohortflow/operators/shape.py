@@ -147,14 +147,20 @@ def trajectory_bands(
     """
     draw = draw or hashed_draw(ids)
     known = without_null_keys(df, [week, *by, name]).withColumn("_y", F.col(name).cast("double"))
+    # Each row becomes as many as there are resamples, so the rows are dealt out by their number, not
+    # by their size: a given number of partitions is kept as it is.
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Replicate 0 has each row once: the mean itself.
-    many = known.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    weight = F.when(F.col("_r") == 0, 1).otherwise(_poisson_weight(draw(F.col("_r"))))
+    many = known.repartition(tasks).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # The draw is a column of its own and no filter follows it, so it is made once a row.
+    drawn = many.withColumn("_u", draw(F.col("_r")))
+    weight = F.when(F.col("_r") == 0, 1).otherwise(_poisson_weight(F.col("_u")))
+    weighted = F.when(F.col("_w") > 0, F.col("_w") * F.col("_y"))
     sums = (
-        many.select(week, *by, "_r", "_y", weight.alias("_w"))
-        .where("_w > 0")
+        drawn.select(week, *by, "_r", "_y", weight.alias("_w"))
         .groupBy(week, *by, "_r")
-        .agg(F.sum("_w").alias("n"), (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_m"))
+        .agg(F.sum("_w").alias("n"), F.try_divide(F.sum(weighted), F.sum("_w")).alias("_m"))
     )
     own, tail = F.col("_r") == 0, (1 - level) / 2
     resampled = F.when(~own, F.col("_m"))

@@ -482,6 +482,21 @@ def test_bands_don_t_depend_on_layout_and_near_the_normal_interval(spark):
     assert one["ci_hi"] == pytest.approx(normal["ci_hi"], abs=0.15 * width)
 
 
+def test_bands_draw_once_a_row_in_many_tasks(spark):
+    """Rows of a few bytes become many: they are dealt out first, and a draw is not made anew for each step of its use."""
+    df = shape.trajectory_bands(measured(spark).coalesce(1), "week", ["arm"], "y", ["id"], 50)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(") == 1
+    assert "REPARTITION_BY_NUM" in plan.partition("Generate explode")[2]
+
+
+def test_bands_leave_out_resamples_without_rows(spark):
+    one = spark.createDataFrame([(1, 0, 7.0), (2, 1, float("inf"))], "id int, week int, y double")
+    got = {r["week"]: r for r in shape.trajectory_bands(one, "week", [], "y", ["id"], 60).collect()}
+    assert tuple(got[0]) == (0, 1, 7.0, 7.0, 7.0)
+    assert tuple(got[1])[1:3] == (1, float("inf"))
+
+
 def test_plain_centres_assign_as_the_model(spark, base):
     df = cut_lineage(patient_metrics(B.readings(spark, base)))
     model = clusters.fit_clusters(df)
