@@ -2,9 +2,9 @@
 
 The matrix of all distances grows with the square of the series; a graph of the
 k nearest ones of each grows with series times k.  First neighbours come from
-orders along coarse averages, better ones from the neighbours of neighbours;
-``exact`` then looks wherever lower bounds of the distance leave room for a
-nearer one.
+orders along coarse averages, better ones from the neighbours of neighbours.
+``exact`` looks in tiles of like series, wherever lower bounds of the distance
+leave room for a nearer one.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ REACH = 6
 # Cells of path matrices that are worked on together, and diagonals between looks at what can be given up.
 CELLS = 1 << 21
 LOOK = 16
+# Least series of a tile of the exact search, bits of the grid in each of its directions, and series
+# that ask in a tile at once; a little more room than a radius, for rounding.
+TILE = 256
+BITS = 5
+QUERIES = 4096
+ROOM = 1 + 1e-9
 # Columns beyond the wanted ones in the search for eigenvectors, and products between two looks at them.
 SPARE = 6
 PRODUCTS = 3
@@ -223,47 +230,146 @@ def _limited(pairs: DataFrame, radius: DataFrame) -> DataFrame:
     return pairs.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", limit.alias("limit"))
 
 
-def _open_pairs(known: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """Pairs that lower bounds leave within the radius of one of the two: (a, b).
+ENDS = ("first", "last", "low", "high")
 
-    Ends must lie within the radius of each other, so a series meets those of
-    its own and the neighbouring cells of a grid as wide as its radius, rounded
-    up to a power of two; extremes must lie within it too.
+
+def _tiled(known: DataFrame, total: int) -> DataFrame:
+    """Series with a tile: a few hundred that are alike in their ends and extremes, or the root of all where that is more.
+
+    Series go along a curve through the grid of the quantiles of the four numbers, which is
+    cut into tiles inside the parts of a range partitioning.
     """
-    ids = known.select("id", "n", "first", "last", "low", "high")
-    radius = _radius(edges, k)
-    rows = ids.join(radius, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-    spread = ids.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
-    widest = max((spread["high"] or 0.0) - (spread["low"] or 0.0), 1e-300)
-    top = int(np.ceil(np.log2(widest))) + 1
-    # Radii under a millionth of the range share a grid, whose cells hold all the same.
-    level = F.ceil(F.log2(F.least(F.greatest("radius", F.lit(widest / 2**20)), F.lit(widest)))).cast("int")
-    rows = keep(rows.withColumn("level", F.least(level, F.lit(top))), "radii")
-    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())
-    if not levels:
-        return ids.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-
-    def cell(c: str) -> Column:
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
-
-    other = ids.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    other = other.select(
-        "level", cell("first").alias("x"), cell("last").alias("y"),
-        *[F.col(c).alias(f"_{c}") for c in ("id", "n", "first", "last", "low", "high")],
+    size = max(TILE, int(np.sqrt(total)))
+    steps = [i / 2**BITS for i in range(1, 2**BITS)]
+    code = F.lit(0)
+    cuts = known.stat.approxQuantile(list(ENDS), steps, 0.25 / 2**BITS)
+    for place, (name, cut) in enumerate(zip(ENDS, cuts)):
+        level = sum(((F.col(name) > F.lit(c)).cast("int") for c in sorted(set(cut))), F.lit(0))
+        for bit in range(BITS):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(level, bit).bitwiseAND(F.lit(1)), bit * len(ENDS) + place))
+    placed = known.select("id", "v", "n", *ENDS, code.alias("code"))
+    placed = placed.repartitionByRange(_tasks(known), "code", "id").sortWithinPartitions("code", "id")
+    number = F.monotonically_increasing_id()
+    part, row = F.shiftright(number, 33), number.bitwiseAND(F.lit(2**33 - 1))
+    tile = F.shiftleft(part, 33) + F.floor(row / size)
+    return keep(placed.withColumn("tile", tile).drop("code"), "tiles")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of work that a small number of bytes may ask for."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _asked(rows: DataFrame, radius: DataFrame) -> DataFrame:
+    """(tile, id, v, radius): each series with the other tiles that may hold one within its radius.
+
+    The tiles' boxes, as many as the root of the number of series at most, meet every series.
+    """
+    span = [c(f).alias(f"{side}_{f}") for f in ENDS for side, c in (("from", F.min), ("to", F.max))]
+    boxes = rows.groupBy("tile").agg(*span).withColumnRenamed("tile", "_tile")
+    wide = rows.select("id", "v", "n", *ENDS, "tile").join(radius, "id")
+
+    def gap(f: str) -> Column:
+        off = F.greatest(F.col(f"from_{f}") - F.col(f), F.col(f) - F.col(f"to_{f}"), F.lit(0.0))
+        return off * off
+
+    # A series of one point may meet another by a single step.
+    ends = gap("first") + F.when(F.col("n") == 1, 0.0).otherwise(gap("last"))
+    near = F.greatest(ends, gap("low"), gap("high")) <= F.col("radius") * F.col("radius") * ROOM
+    met = wide.join(F.broadcast(boxes), (F.col("tile") != F.col("_tile")) & near)
+    return met.select(F.col("_tile").alias("tile"), "id", "v", "radius")
+
+
+def _alike(ids: np.ndarray, rows: list, most: int) -> tuple[list, list[np.ndarray]]:
+    """Different series, each with the ``most`` smallest ids that have it."""
+    held: dict[bytes, list] = {}
+    for i in np.argsort(ids, kind="stable"):
+        held.setdefault(np.asarray(rows[i], dtype=float).tobytes(), []).append(ids[i])
+    return [np.frombuffer(b) for b in held], [np.unique(x)[:most] for x in held.values()]
+
+
+def _nearest_in(unit: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest members of a tile, within its radius, for each series that asks there."""
+    inside = unit["is_member"].to_numpy()
+    there = unit[inside]
+    asks = unit[~inside]
+    out: list[tuple] = []
+    if len(there) and len(asks):
+        # One more of each kind than wanted, as a series does not count for itself.
+        members, ids = _alike(there["id"].to_numpy(), list(there["v"]), k + 1)
+        y, ly = _padded(members)
+        edge = [np.array([f(m) for m in members]) for f in (lambda m: m[0], lambda m: m[-1], np.min, np.max)]
+        kinds: dict[bytes, list[int]] = {}
+        for at, v in enumerate(asks["v"]):
+            kinds.setdefault(np.asarray(v, dtype=float).tobytes(), []).append(at)
+        limits, names = asks["radius"].to_numpy(), asks["id"].to_numpy()
+        queries = [np.frombuffer(b) for b in kinds]
+        reach = np.array([limits[at].max() for at in kinds.values()])
+        x, lx = _padded(queries)
+        mine = [np.array([f(q) for q in queries]) for f in (lambda q: q[0], lambda q: q[-1], np.min, np.max)]
+        found: list[list] = [[] for _ in queries]
+        step = max(1, (1 << 20) // len(members))
+        for start in range(0, len(queries), step):
+            some = slice(start, start + step)
+            gaps = [(q[some, None] - m[None, :]) ** 2 for q, m in zip(mine, edge)]
+            single = (lx[some, None] == 1) & (ly[None, :] == 1)
+            bound = np.maximum(np.where(single, gaps[0], gaps[0] + gaps[1]), np.maximum(gaps[2], gaps[3]))
+            qs, ms = np.nonzero(bound <= (reach[some, None] ** 2) * ROOM)
+            qs += start
+            few = max(1, CELLS // (x.shape[1] * y.shape[1]))
+            for low in range(0, len(qs), few):
+                q, m = qs[low : low + few], ms[low : low + few]
+                d = warp_pairs(x[q], lx[q], y[m], ly[m], reach[q] * ROOM)
+                good = np.isfinite(d)
+                for i, j, far in zip(*_best(q[good], m[good], d[good], k + 1)):
+                    found[i].append((far, j))
+        for q, ats in enumerate(kinds.values()):
+            ends = sorted((far, i) for far, j in found[q] for i in ids[j])
+            for at in ats:
+                others = (e for e in ends if e[1] != names[at])
+                out += [(names[at], i, far) for (far, i), _ in zip(others, range(k))]
+    return pd.DataFrame(out, columns=["src", "dst", "distance"])
+
+
+def _best(q: np.ndarray, m: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs whose distance is among the ``most`` smallest ones of their query; equal ones all stay."""
+    order = np.lexsort((d, q))
+    q, m, d = q[order], m[order], d[order]
+    start = np.searchsorted(q, q, side="left")
+    last = np.minimum(start + most - 1, np.searchsorted(q, q, side="right") - 1)
+    good = d <= d[last]
+    return q[good], m[good], d[good]
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(src, dst, distance) of the nearest members of the tiles in which series ask, at most QUERIES at a time."""
+    asked = keep(asked, "asked")
+    units = asked.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("units"))
+    # All that are alike ask together.
+    number = F.pmod(F.xxhash64("v"), F.col("units"))
+    asking = asked.join(units, "tile").select(
+        "tile", number.alias("unit"), "id", "v", "radius", F.lit(False).alias("is_member")
+    )
+    members = rows.join(units, "tile").select(
+        "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("units") - 1)).alias("unit"), "id", "v",
+        F.lit(0.0).alias("radius"), F.lit(True).alias("is_member"),
     )
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    asked = rows.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    asked = asked.withColumn("x", cell("first") + F.col("dx")).withColumn("y", cell("last") + F.col("dy"))
+    work = asking.unionByName(members).repartition(_tasks(rows), "tile", "unit")
+    return work.groupBy("tile", "unit").applyInPandas(
+        lambda unit: _nearest_in(unit, k), "src bigint, dst bigint, distance double"
+    )
 
-    def gap(c: str) -> Column:
-        return (F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}"))
 
-    ends = F.when((F.col("n") == 1) & (F.col("_n") == 1), gap("first")).otherwise(gap("first") + gap("last"))
-    # A little more room than the radius, for rounding.
-    room = F.col("radius") * F.col("radius") * (1 + 1e-9)
-    near = F.greatest(ends, gap("low"), gap("high")) <= room
-    met = asked.join(other, ["level", "x", "y"]).where((F.col("id") != F.col("_id")) & near)
-    return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+def exact_neighbours(known: DataFrame, total: int, k: int) -> DataFrame:
+    """(src, dst, distance, rank): the k nearest of all series, each sought in its own tile, then where its radius reaches."""
+    rows = _tiled(known.where("id IS NOT NULL"), total)
+    own = rows.select("tile", "id", "v", F.lit(float("inf")).alias("radius"))
+    near = keep(_first(_search(rows, own, k), k), "own")
+    short = rows.select("id").distinct().join(_radius(near, k), "id", "left")
+    radius = short.select("id", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
+    far = _search(rows, _asked(rows, radius), k)
+    return keep(_first(near.select("src", "dst", "distance").unionByName(far), k), "edges")
 
 
 def nearest_series(
@@ -273,8 +379,9 @@ def nearest_series(
 
     Every round measures the neighbours of neighbours, reverse ones included,
     over edges that the last round found, until hardly any edge changes; that
-    finds nearly all nearest ones.  ``exact`` measures after that every pair that
-    the lower bounds leave open, so nothing is missed; how many they are lies in
+    finds nearly all nearest ones.  ``exact`` seeks them in tiles of like series
+    instead, first in a series' own tile, then in all that lower bounds leave within the
+    distance found there, so nothing is missed; how many they are lies in
     the data.  Equal distances go by the smaller id.  A series alone has no row.
     """
     known = described(series)
@@ -283,6 +390,8 @@ def nearest_series(
         return known.select(
             F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")
         ).limit(0)
+    if exact:
+        return exact_neighbours(known, total, k).select("src", "dst", "distance", "rank")
     pairs = beside_each_other(known, seed).withColumn("limit", F.lit(float("inf")))
     seen = keep(pairs.select("a", "b"), "seen")
     found = keep(measured(seen.withColumn("limit", F.lit(float("inf"))), known), "measured")
@@ -304,10 +413,6 @@ def nearest_series(
         edges = keep(_first(better, k), "edges")
         if edges.where("new").count() <= 0.001 * k * total:
             break
-    if exact:
-        open_ = _open_pairs(known, edges, k).join(seen, ["a", "b"], "left_anti")
-        more = measured(_limited(open_, _radius(edges, k)), known)
-        edges = keep(_first(edges.select("src", "dst", "distance").unionByName(_both_ways(more)), k), "edges")
     return edges.select("src", "dst", "distance", "rank")
 
 

@@ -1,6 +1,7 @@
 """Neighbour graphs of series against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,34 @@ def test_exact_neighbours_equal_all_pairs(spark):
         assert r["distance"] == pytest.approx(want[r["src"]][r["rank"] - 1][0], abs=1e-9)
 
 
+def test_exact_search_over_many_tiles(spark, monkeypatch):
+    """Small tiles, few askers at a time, far series, copies over more than a tile and rows without an id."""
+    for name, value in (("TILE", 8), ("QUERIES", 5)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.exponential(20, rng.integers(1, 6)).tolist()) for i in range(70)]
+    rows += [(100 + i, [3.0, 4.0, 5.0]) for i in range(24)] + [(300, [900.0, 2.0]), (301, [7.0])]
+    got = N.nearest_series(frame(spark, rows + [(None, [3.0, 4.0, 5.0])]), 4, exact=True).collect()
+    want = brute_edges(rows, 4)
+    assert {(r["src"], r["dst"], r["rank"]) for r in got} == {
+        (i, j, p + 1) for i, far in want.items() for p, (_, j) in enumerate(far)
+    }
+
+
+def test_copies_in_a_tile_are_met_as_one():
+    """Of members that are alike the least ids count, and those that ask alike ask once."""
+    ids, v = np.arange(3000), [[1.0, 2.0]] * 2999 + [[1.0, 2.5]]
+    kinds, held = N._alike(ids[::-1], v[::-1], 4)
+    assert {tuple(k): list(i) for k, i in zip(kinds, held)} == {(1.0, 2.0): [0, 1, 2, 3], (1.0, 2.5): [2999]}
+    members = pd.DataFrame({"id": ids, "v": v, "radius": 0.0, "is_member": True})
+    asks = pd.DataFrame({"id": [1, 2999, 7000], "v": [[1.0, 2.0], [1.0, 2.5], [1.0, 2.0]], "radius": np.inf, "is_member": False})
+    got = N._nearest_in(pd.concat([members, asks]), 3)
+    assert {tuple(r) for r in got.itertuples(index=False)} == {
+        (1, 0, 0.0), (1, 2, 0.0), (1, 3, 0.0), (7000, 0, 0.0), (7000, 1, 0.0), (7000, 2, 0.0),
+        (2999, 0, 0.5), (2999, 1, 0.5), (2999, 2, 0.5),
+    }
+
+
 def test_recall_without_the_exact_pass(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 24)).cumsum(axis=1)
