@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ COARSE = 8
 ORDERS = 8
 # Next series in an order that are candidates.
 REACH = 6
+# Series of an order, or neighbourhoods, whose pairs are measured as one unit.
+STRETCH = 256
+HOODS = 64
 # Cells of path matrices that are worked on together, and diagonals between looks at what can be given up.
 CELLS = 1 << 21
 LOOK = 16
@@ -67,7 +71,9 @@ def described(series: DataFrame) -> DataFrame:
 
 
 def beside_each_other(known: DataFrame, seed: int, reach: int = REACH, orders: int = ORDERS) -> DataFrame:
-    """Pairs (a, b), a < b, of series that stand within ``reach`` places in one of the orders.
+    """Pairs (a, b, unit), a < b, of series that stand within ``reach`` places in one of the orders.
+
+    The unit is a stretch of an order that has them.
 
     Places are those within a part of a range partitioning, so no order is held
     in one task, and however many series are alike, each has few candidates.
@@ -81,7 +87,8 @@ def beside_each_other(known: DataFrame, seed: int, reach: int = REACH, orders: i
     placed = placed.repartitionByRange("o", "score", "id").sortWithinPartitions("o", "score", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        o, ids, passed = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        stretches = TaskContext.get().partitionId() << 32
         for batch in batches:
             o = np.concatenate([o, batch.column("o").to_numpy().astype(np.int64)])
             ids = np.concatenate([ids, batch.column("id").to_numpy()])
@@ -91,14 +98,17 @@ def beside_each_other(known: DataFrame, seed: int, reach: int = REACH, orders: i
                 # Pairs whose later member is new in this batch.
                 at = np.arange(max(kept, step), len(ids))
                 at = at[o[at] == o[at - step]]
-                found.append(np.column_stack([ids[at - step], ids[at]]))
-            pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+                found.append(np.column_stack([ids[at - step], ids[at], stretches + (passed + at - kept) // STRETCH]))
+            pairs = np.concatenate([*found, np.zeros((0, 3), np.int64)])
+            ends, unit = pairs[:, :2], pairs[:, 2]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"]
+                [pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), pa.array(unit)], names=["a", "b", "unit"]
             )
+            passed += batch.num_rows
             o, ids = o[-reach:], ids[-reach:]
 
-    return placed.select("o", "id").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
+    pairs = placed.select("o", "id").mapInArrow(run, "a bigint, b bigint, unit bigint").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.min("unit").alias("unit"))
 
 
 def warp_pairs(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -165,42 +175,51 @@ def _padded(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def _measure(unit: pd.DataFrame) -> pd.DataFrame:
+    """Distances of the pairs of a unit, from the series that came with them."""
+    paired = unit["is_pair"].to_numpy()
+    pairs, held = unit[paired], unit[~paired].sort_values("a")
+    ids, rows = held["a"].to_numpy(), held["v"].to_list()
+    a, b, limit = (pairs[c].to_numpy() for c in ("a", "b", "limit"))
+    # An id that more than one series has stands for each of them.
+    from_a, from_b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    of_a, of_b = np.searchsorted(ids, a, side="right") - from_a, np.searchsorted(ids, b, side="right") - from_b
+    ways = of_a * of_b
+    at = np.repeat(np.arange(len(pairs)), ways)
+    way = np.arange(len(at)) - np.repeat(np.cumsum(ways) - ways, ways)
+    left, right = from_a[at] + way // of_b[at], from_b[at] + way % of_b[at]
+    lengths = np.array([len(v) for v in rows])
+    sizes = lengths[left] * lengths[right]
+    out, start = np.full(len(at), np.inf), 0
+    while start < len(at):
+        held_cells = np.cumsum(sizes[start:])
+        some = slice(start, start + max(1, int(np.searchsorted(held_cells, CELLS, side="right"))))
+        x, lx = _padded([rows[i] for i in left[some]])
+        y, ly = _padded([rows[i] for i in right[some]])
+        most = limit[at[some]]
+        near = np.flatnonzero(least_distances(x, lx, y, ly) <= most)
+        if len(near):
+            out[start + near] = warp_pairs(x[near], lx[near], y[near], ly[near], most[near])
+        start = some.stop
+    good = np.isfinite(out)
+    return pd.DataFrame({"a": a[at[good]], "b": b[at[good]], "distance": out[good]})
+
+
 def measured(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, distance) of the pairs (a, b, limit) that are not further apart than their limit."""
-    a = known.select(F.col("id").alias("a"), F.col("v").alias("va"))
-    b = known.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    """(a, b, distance) of the pairs (a, b, limit, unit) that are not further apart than their limit.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            left, right = batch.column("va"), batch.column("vb")
-            sizes = [len(x) * len(y) for x, y in zip(left, right)]
-            limits = batch.column("limit").to_numpy()
-            while at < batch.num_rows:
-                to, held = at, 0
-                while to < batch.num_rows and (to == at or held + sizes[to] <= CELLS):
-                    held += sizes[to]
-                    to += 1
-                x, lx = _padded(left.slice(at, to - at).to_pylist())
-                y, ly = _padded(right.slice(at, to - at).to_pylist())
-                limit = limits[at:to]
-                found = np.full(to - at, np.inf)
-                near = np.flatnonzero(least_distances(x, lx, y, ly) <= limit)
-                if len(near):
-                    found[near] = warp_pairs(x[near], lx[near], y[near], ly[near], limit[near])
-                good = pa.array(np.isfinite(found))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("a").slice(at, to - at).filter(good),
-                        batch.column("b").slice(at, to - at).filter(good),
-                        pa.array(found).filter(good),
-                    ],
-                    names=["a", "b", "distance"],
-                )
-                at = to
-
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "limit", "va", "vb")
-    return joined.mapInArrow(run, "a bigint, b bigint, distance double")
+    A series goes once to each unit that has pairs of it, not along with each pair.
+    """
+    needed = pairs.select("unit", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sent = needed.join(known.select("id", "v"), "id").select(
+        "unit", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("limit"), "v",
+        F.lit(False).alias("is_pair"),
+    )
+    asked = pairs.select(
+        "unit", "a", "b", "limit", F.lit(None).cast("array<double>").alias("v"), F.lit(True).alias("is_pair")
+    )
+    work = asked.unionByName(sent).repartition(_tasks(known), "unit")
+    return work.groupBy("unit").applyInPandas(_measure, "a bigint, b bigint, distance double")
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -227,7 +246,7 @@ def _limited(pairs: DataFrame, radius: DataFrame) -> DataFrame:
     rb = radius.select(F.col("id").alias("b"), F.col("radius").alias("_rb"))
     far = F.lit(float("inf"))
     limit = F.greatest(F.coalesce("_ra", far), F.coalesce("_rb", far))
-    return pairs.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", limit.alias("limit"))
+    return pairs.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", "unit", limit.alias("limit"))
 
 
 ENDS = ("first", "last", "low", "high")
@@ -392,9 +411,9 @@ def nearest_series(
         ).limit(0)
     if exact:
         return exact_neighbours(known, total, k).select("src", "dst", "distance", "rank")
-    pairs = beside_each_other(known, seed).withColumn("limit", F.lit(float("inf")))
-    seen = keep(pairs.select("a", "b"), "seen")
-    found = keep(measured(seen.withColumn("limit", F.lit(float("inf"))), known), "measured")
+    pairs = keep(beside_each_other(known, seed), "pairs")
+    seen = pairs.select("a", "b")
+    found = keep(measured(pairs.withColumn("limit", F.lit(float("inf"))), known), "measured")
     edges = keep(_first(_both_ways(found), k).withColumn("new", F.lit(True)), "edges")
     for _ in range(rounds):
         back = _first(edges.drop("rank"), k, "dst", "src")
@@ -404,9 +423,12 @@ def nearest_series(
         ways = ways.groupBy("via", "end").agg(F.max("new").alias("new"))
         one = ways.select("via", F.col("end").alias("a"), F.col("new").alias("_na"))
         two = ways.select("via", F.col("end").alias("b"), F.col("new").alias("_nb"))
-        near = one.join(two, "via").where("a < b AND (_na OR _nb)").select("a", "b").distinct()
-        fresh = keep(near.join(seen, ["a", "b"], "left_anti"), "fresh")
-        seen = seen.unionByName(fresh)
+        near = one.join(two, "via").where("a < b AND (_na OR _nb)")
+        # Pairs of one neighbourhood are measured together.
+        near = near.groupBy("a", "b").agg(F.min("via").alias("via"))
+        unit = F.pmod(F.xxhash64("via"), F.lit(total // HOODS + 1)).alias("unit")
+        fresh = keep(near.join(seen, ["a", "b"], "left_anti").select("a", "b", unit), "fresh")
+        seen = seen.unionByName(fresh.select("a", "b"))
         more = measured(_limited(fresh, _radius(edges, k)), known)
         old = edges.select("src", "dst", "distance", F.lit(False).alias("new"))
         better = old.unionByName(_both_ways(more).withColumn("new", F.lit(True)))

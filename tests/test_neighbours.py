@@ -94,6 +94,18 @@ def test_copies_in_a_tile_are_met_as_one():
     }
 
 
+def test_pairs_of_a_unit_share_their_series():
+    """A series comes once for all pairs of the unit; an id that two series have stands for both."""
+    series = {1: [[1.0, 2.0, 3.0]], 2: [[4.0, 5.0, 6.0]], 3: [[1.0, 2.0, 2.0, 3.0, 4.0], [1.0]]}
+    sent = [(i, i, 0.0, v, False) for i in (3, 1, 2) for v in series[i]]
+    asked = [(1, 2, np.inf, None, True), (1, 3, np.inf, None, True), (2, 3, 2.0, None, True)]
+    unit = pd.DataFrame(asked + sent, columns=["a", "b", "limit", "v", "is_pair"])
+    got = sorted(tuple(r) for r in N._measure(unit).itertuples(index=False))
+    want = sorted((a, b, brute_distance(x, y)) for a, b, *_ in asked[:2] for x in series[a] for y in series[b])
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    np.testing.assert_allclose([d for *_, d in got], [d for *_, d in want])
+
+
 def test_recall_without_the_exact_pass(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 24)).cumsum(axis=1)
